@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from keepwatt.operators.forest import (
     ForestParams, evaluate_model, feature_importance, model_parameters, train_random_forest,
 )
-from keepwatt.operators.preparation import PreparedData, dummies, prepare_data
+from keepwatt.operators.preparation import (
+    PreparedData, dummies, prepare_data, selectable_features,
+)
 from keepwatt.operators.tuning import SearchSpace, TuningResult, train_random_forest_tuned
 from keepwatt.session import stage
 from keepwatt.sources.models import ModelRegistry
@@ -50,14 +52,18 @@ def prepare_and_stage(encoded: DataFrame, chosen: Sequence[str] | None = None,
 def custom_model(encoded: DataFrame, chosen: Sequence[str] | None = None,
                  params: ForestParams = ForestParams(), registry: ModelRegistry | None = None,
                  data_version: str = "", seed: int = 0) -> ChurnModel:
-    """A forest on the chosen features. With a registry, the stored model is used unless
-    features, settings or data version changed."""
-    prepared = prepare_and_stage(encoded, chosen, seed=seed)
+    """A forest on the chosen features (default: all of them). With a registry, stored data
+    and model are used unless features, settings, seed or data version changed."""
+    def build() -> tuple[PreparedData, PipelineModel]:
+        prepared = prepare_and_stage(encoded, chosen, seed=seed)
+        return prepared, train_random_forest(prepared, params, seed)
+
     if registry is None:
-        return ChurnModel(train_random_forest(prepared, params, seed), prepared)
-    model, _ = registry.fit_or_load(
-        prepared.features, params, data_version,
-        lambda: train_random_forest(prepared, params, seed))
+        prepared, model = build()
+    else:
+        features = chosen or selectable_features(encoded)
+        key = registry.key(features, params, data_version, seed)
+        prepared, model = registry.fit_or_load(key, build)
     return ChurnModel(model, prepared)
 
 

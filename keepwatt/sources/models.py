@@ -41,20 +41,22 @@ def load_prepared(spark: SparkSession, path: str) -> PreparedData:
 
 
 class ModelRegistry:
-    """Models under one folder, each keyed by features, settings and data version.
+    """Models with their train/test data under one folder, each keyed by features, settings,
+    seed and data version.
 
-    Asking again for the same combination loads the stored model instead of training. A model
-    counts as stored once its ``ready`` table exists, which is written last, so a job that
-    died halfway leaves nothing that could be taken for a model.
+    Asking again for the same combination loads what is stored instead of preparing and
+    training. An entry counts once its ``ready`` table exists, which is written last, so a job
+    that died halfway leaves nothing that could be taken for a model.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    def key(self, features: Sequence[str], params: ForestParams, data_version: str) -> str:
+    def key(self, features: Sequence[str], params: ForestParams, data_version: str,
+            seed: int = 0) -> str:
         content = {"features": sorted(features), "params": params.as_dict(),
-                   "data": data_version}
+                   "data": data_version, "seed": seed}
         return hashlib.sha256(json.dumps(content, sort_keys=True).encode()).hexdigest()[:32]
 
     def path(self, key: str) -> str:
@@ -65,18 +67,20 @@ class ModelRegistry:
             ready = self.spark.read.schema("key string").parquet(f"{self.path(key)}/ready")
             return bool(ready.take(1))
         except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error):
+            if error.getCondition() == "PATH_NOT_FOUND":
                 return False
             raise
 
-    def fit_or_load(self, features: Sequence[str], params: ForestParams, data_version: str,
-                    train: Callable[[], PipelineModel]) -> tuple[PipelineModel, bool]:
-        """The model, and whether it had to be trained."""
-        key = self.key(features, params, data_version)
-        if self.has(key):
-            return load_model(f"{self.path(key)}/model"), False
-        model = train()
-        save_model(model, f"{self.path(key)}/model")
-        (self.spark.createDataFrame([(key,)], "key string").coalesce(1)
-         .write.mode("overwrite").parquet(f"{self.path(key)}/ready"))
-        return model, True
+    def load(self, key: str) -> tuple[PreparedData, PipelineModel]:
+        path = self.path(key)
+        return load_prepared(self.spark, f"{path}/prepared"), load_model(f"{path}/model")
+
+    def fit_or_load(self, key: str, build: Callable[[], tuple[PreparedData, PipelineModel]]
+                    ) -> tuple[PreparedData, PipelineModel]:
+        if not self.has(key):
+            prepared, model = build()
+            save_prepared(prepared, f"{self.path(key)}/prepared")
+            save_model(model, f"{self.path(key)}/model")
+            (self.spark.createDataFrame([(key,)], "key string").coalesce(1)
+             .write.mode("overwrite").parquet(f"{self.path(key)}/ready"))
+        return self.load(key)
