@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -36,11 +37,14 @@ from keepwatt.operators.tuning import SearchSpace, compare_models  # noqa: E402
 from keepwatt.plans.churn_model import (  # noqa: E402
     custom_model, encoded_features, tuned_model,
 )
+from keepwatt.plans.clean_tables import (  # noqa: E402
+    build_client_table, build_price_table,
+)
 from keepwatt.schemas import NUMERIC_FEATURES, PRICE_COLUMNS  # noqa: E402
 from keepwatt.session import configure, shared_dir, stage  # noqa: E402
 from keepwatt.sources.catalog import read_features, write_features  # noqa: E402
 from keepwatt.sources.csv_tables import (  # noqa: E402
-    load_table, schema_report as report_of, write_csv,
+    load_table, preview, schema_report as report_of, write_csv,
 )
 from keepwatt.sources.models import ModelRegistry, load_model, save_model  # noqa: E402
 
@@ -97,6 +101,27 @@ def clean_datatypes(spark, sf_dir):
                   date_columns=dates, bool_columns=["has_gas"])
 
 
+def _work_folder(spark, name):
+    """A new folder for one run of a query that writes files."""
+    return f"{shared_dir(spark)}/keepwatt/{name}-{uuid.uuid4().hex}"
+
+
+def clean_client_table(spark, sf_dir):
+    """Raw client CSV to the clean client table."""
+    folder = _work_folder(spark, "client")
+    raw = roles.client_role(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
+    write_csv(raw, f"{folder}/raw")
+    return build_client_table(spark, f"{folder}/raw", f"{folder}/clean")
+
+
+def clean_price_table(spark, sf_dir):
+    """Raw price CSV to the clean price table."""
+    folder = _work_folder(spark, "price")
+    raw = roles.price_role(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
+    write_csv(raw, f"{folder}/raw")
+    return rounded(build_price_table(spark, f"{folder}/raw", f"{folder}/clean"), PRICE_COLUMNS)
+
+
 def churn_share(spark, sf_dir):
     return share(roles.feature_role(spark, sf_dir), "tenure_years")
 
@@ -140,6 +165,11 @@ def schema_report(spark, sf_dir):
     return report_of(roles.feature_role(spark, sf_dir))
 
 
+def feature_preview(spark, sf_dir):
+    """The first five rows of the feature table by id."""
+    return preview(roles.feature_role(spark, sf_dir), 5, ["id"])
+
+
 def channel_dummies(spark, sf_dir):
     customer = roles.read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("channel_sales"))
@@ -185,6 +215,10 @@ def forest_importance(spark, sf_dir):
     return custom_model(_encoded(spark, sf_dir), params=FOREST).importance()
 
 
+def forest_parameters(spark, sf_dir):
+    return custom_model(_encoded(spark, sf_dir), params=FOREST).parameters()
+
+
 def forest_tuned(spark, sf_dir):
     _, result = tuned_model(_encoded(spark, sf_dir), n_trials=2, folds=3, space=SEARCH,
                             parallelism=4)
@@ -202,7 +236,7 @@ def tuned_vs_custom(spark, sf_dir):
 def feature_table_roundtrip(spark, sf_dir):
     """Feature table to Parquet, from there to CSV, and back with the same types."""
     features = staged_features(spark, sf_dir)
-    folder = f"{shared_dir(spark)}/keepwatt/roundtrip-{spark.sparkContext.applicationId}"
+    folder = _work_folder(spark, "roundtrip")
     write_csv(features, f"{folder}/csv")
     write_features(load_table(spark, f"{folder}/csv", features.schema), f"{folder}/parquet")
     return read_features(spark, f"{folder}/parquet")
@@ -211,8 +245,7 @@ def feature_table_roundtrip(spark, sf_dir):
 def model_roundtrip(spark, sf_dir):
     """Predictions for all clients by a model that was saved with its scaler and loaded."""
     encoded = _encoded(spark, sf_dir)
-    registry = ModelRegistry(spark, f"{shared_dir(spark)}/keepwatt/models-"
-                                    f"{spark.sparkContext.applicationId}")
+    registry = ModelRegistry(spark, _work_folder(spark, "models"))
     trained = custom_model(encoded, params=FOREST, registry=registry, data_version=sf_dir)
     path = f"{registry.folder}/with-scaler"
     save_model(with_scaler(trained.prepared, trained.model), path)
@@ -225,11 +258,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 REGISTERED = [
     price_sensitivity_features, price_changes, client_consumption_distinct,
-    clean_channel_sales, channel_codes, clean_datatypes,
+    clean_channel_sales, channel_codes, clean_datatypes, clean_client_table, clean_price_table,
     churn_share, churn_share_channel, churn_histogram, churn_histogram_all,
-    churn_kde, churn_kde_all, column_ranges, schema_report,
+    churn_kde, churn_kde_all, column_ranges, schema_report, feature_preview,
     channel_dummies, train_test_split, stratified_folds, scaled_features, class_weights,
-    evaluate_predictions, forest_scores, forest_importance, forest_tuned, tuned_vs_custom,
+    evaluate_predictions, forest_scores, forest_importance, forest_parameters, forest_tuned, tuned_vs_custom,
     feature_table_roundtrip, model_roundtrip,
 ]
 

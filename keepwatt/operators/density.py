@@ -18,11 +18,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwatt.functions import evenly_spaced
-from keepwatt.operators.profiling import long_values, number, one_row_per_column
+from keepwatt.operators.profiling import long_values, number_sql, one_row_per_column
 
 TERMS = 16
 BOX = 0.5       # box width in bandwidths
@@ -39,17 +39,18 @@ def _class_statistics(df: DataFrame, grids: Mapping[str, tuple[float, float] | N
     """
     wide = []
     for c, bounds in grids.items():
+        value = number_sql(c)
         for flag, name in CLASSES.items():
-            value = F.when(F.col(churn) == flag, number(c))
-            wide += [F.count(value).alias(f"{c}__n_{name}"),
-                     F.stddev_samp(value).alias(f"{c}__s_{name}")]
+            only = f"FILTER (WHERE `{churn}` = {flag})"
+            wide += [f"count({value}) {only} AS `{c}__n_{name}`",
+                     f"stddev_samp({value}) {only} AS `{c}__s_{name}`"]
         if bounds is None:
-            wide += [F.min(number(c)).alias(f"{c}__lo"), F.max(number(c)).alias(f"{c}__hi")]
+            wide += [f"min({value}) AS `{c}__lo`", f"max({value}) AS `{c}__hi`"]
         else:
-            wide += [F.first(F.lit(float(bounds[0]))).alias(f"{c}__lo"),
-                     F.first(F.lit(float(bounds[1]))).alias(f"{c}__hi")]
+            lo, hi = (float(bound) for bound in bounds)
+            wide += [f"any_value({lo!r}D) AS `{c}__lo`", f"any_value({hi!r}D) AS `{c}__hi`"]
     columns = list(grids)
-    row = df.agg(*wide)
+    row = df.agg(*[F.expr(measure) for measure in wide])
     flags = [
         row.select(one_row_per_column(columns, {"n": f"n_{name}", "s": f"s_{name}",
                                                 "lo": "lo", "hi": "hi"}))
@@ -70,45 +71,39 @@ def churn_kde(df: DataFrame, grids: Mapping[str, tuple[float, float] | None],
     A class with fewer than two values or without spread has no density: NULL.
     """
     stats = _class_statistics(df, grids, churn)
-    h, lo, hi, width = F.col("h"), F.col("lo"), F.col("hi"), F.col("h") * BOX
-
-    value = F.col("value")
-    in_reach = value.between(lo - (REACH + 1) * h, hi + (REACH + 1) * h)
+    margin = f"{REACH + 1} * h"
     boxed = (
         long_values(df, list(grids), churn)
         # two rows per profiled column
-        .join(F.broadcast(stats.where(h.isNotNull())), ["column", "churn"])
-        .where(in_reach)
-        .withColumn("box", F.floor((value - lo) / width))
-        .withColumn("t", (value - (lo + (F.col("box") + 0.5) * width)) / h)
-        .withColumn("p0", F.exp(-F.col("t") * F.col("t") / 2))
+        .join(F.broadcast(stats.where("h IS NOT NULL")), ["column", "churn"])
+        .where(f"value BETWEEN lo - {margin} AND hi + {margin}")
+        .selectExpr("*", f"floor((value - lo) / (h * {BOX})) AS box")
+        .selectExpr("*", f"(value - lo) / h - (box + 0.5D) * {BOX}D AS t")
+        .selectExpr("*", "exp(-t * t / 2) AS w")
     )
-    for k in range(1, TERMS):
-        boxed = boxed.withColumn(f"p{k}", F.col(f"p{k - 1}") * F.col("t"))
-    boxes = boxed.groupBy("column", "churn", "box", "h", "lo", "hi").agg(
-        *[(F.sum(f"p{k}") / math.factorial(k)).alias(f"m{k}") for k in range(TERMS)])
-
-    step = (hi - lo) / max(points - 1, 1)
-    centre = lo + (F.col("box") + 0.5) * width
-    first = F.greatest(F.ceil((F.col("centre") - REACH * h - lo) / step), F.lit(0))
-    last = F.least(F.floor((F.col("centre") + REACH * h - lo) / step), F.lit(points - 1))
-    everything = F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))
-    touched = (F.when(step <= 0, everything)
-               .when(F.col("first") <= F.col("last"), F.sequence(F.col("first"), F.col("last"))))
-    x = evenly_spaced(F.col("point"), lo, hi, points)
-    polynomial: Column = F.col(f"m{TERMS - 1}")
+    sums = [F.expr(f"sum(w{' * t' * k}) / {math.factorial(k)}D AS m{k}") for k in range(TERMS)]
+    boxes = boxed.groupBy("column", "churn", "box", "h", "lo", "hi").agg(*sums)
+
+    last_point = points - 1
+    step = f"((hi - lo) / {max(last_point, 1)})"
+    first = f"CAST(greatest(ceil((centre - {REACH} * h - lo) / {step}), 0) AS INT)"
+    last = f"CAST(least(floor((centre + {REACH} * h - lo) / {step}), {last_point}) AS INT)"
+    # a grid without extent has all its points in one place
+    touched = (f"CASE WHEN {step} <= 0 THEN sequence(0, {last_point}) "
+               f"WHEN {first} <= {last} THEN sequence({first}, {last}) END")
+    polynomial = f"m{TERMS - 1}"
     for k in range(TERMS - 2, -1, -1):
-        polynomial = polynomial * F.col("u") + F.col(f"m{k}")
+        polynomial = f"({polynomial}) * u + m{k}"
+    x = evenly_spaced(F.col("point"), F.col("lo"), F.col("hi"), points)
     kernels = (
-        boxes.withColumn("centre", centre)
-        .withColumn("first", F.when(step > 0, first).otherwise(F.lit(0)))
-        .withColumn("last", F.when(step > 0, last).otherwise(F.lit(points - 1)))
-        .withColumn("point", F.explode(touched))
-        .withColumn("u", (x - F.col("centre")) / h)
-        .groupBy("column", "churn", F.col("point").cast("int").alias("point"))
-        .agg(F.sum(F.exp(-F.col("u") * F.col("u") / 2) * polynomial).alias("kernel_sum"))
+        boxes.selectExpr("*", f"lo + (box + 0.5D) * {BOX}D * h AS centre")
+        .selectExpr("*", f"explode({touched}) AS point")
+        .withColumn("u", (x - F.col("centre")) / F.col("h"))
+        .groupBy("column", "churn", "point")
+        .agg(F.expr(f"sum(exp(-u * u / 2) * ({polynomial})) AS kernel_sum"))
     )
     grid = stats.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    h = F.col("h")
     density = F.coalesce(F.col("kernel_sum"), F.lit(0.0)) / (
         F.col("n") * h * math.sqrt(2 * math.pi))
     return grid.join(kernels, ["column", "churn", "point"], "left").select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 HASH_BITS = 32
 BUCKET_BITS = 20
+MAX_CUTS = 10_000
 
 
 def hash_order(keys: Sequence[str], seed: int = 0) -> Column:
@@ -46,7 +47,10 @@ def _cut_positions(df: DataFrame, keys: Sequence[str], seed: int,
                       lambda r: (r > F.col("upto") - F.col("n")) & (r <= F.col("upto")))
     hits = buckets.select("label", "bucket", (F.col("upto") - F.col("n")).alias("before"),
                           F.explode(inside).alias("rank"))
-    targets = df.sparkSession.createDataFrame(hits.collect(), hits.schema)
+    found = hits.limit(MAX_CUTS + 1).collect()
+    if len(found) > MAX_CUTS:
+        raise ValueError(f"{label!r} has too many different labels")
+    targets = df.sparkSession.createDataFrame(found, hits.schema)
 
     in_bucket = Window.partitionBy("label", "bucket").orderBy("key")
     spots = F.broadcast(targets.select("label", "bucket").distinct())

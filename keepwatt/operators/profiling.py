@@ -27,27 +27,24 @@ def churn_share(df: DataFrame, column: str, churn: str = "churn") -> DataFrame:
     )
 
 
-def number(name: str) -> Column:
+def number_sql(name: str) -> str:
     """The column as a double, with NaN treated as missing."""
-    c = F.col(name).cast("double")
-    return F.when(~F.isnan(c), c)
+    return f"nanvl(CAST(`{name}` AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
 def one_row_per_column(columns: Sequence[str], fields: dict[str, str]) -> Column:
     """Turn one row with ``<column>__<suffix>`` values into one row per column."""
-    return F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"),
-                 *[F.col(f"{c}__{suffix}").alias(name) for name, suffix in fields.items()])
-        for c in columns
-    ]))
+    rows = (", ".join([f"'{c}' AS column", *(f"`{c}__{suffix}` AS {name}"
+                                             for name, suffix in fields.items())])
+            for c in columns)
+    return F.expr(f"inline(array({', '.join(f'struct({row})' for row in rows)}))")
 
 
 def long_values(df: DataFrame, columns: Sequence[str], churn: str = "churn") -> DataFrame:
     """(column, churn, value) for the churn and no-churn rows; missing values are dropped."""
-    values = F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("value"))
-                       for c in columns])
+    pairs = ", ".join(f"struct('{c}' AS column, {number_sql(c)} AS value)" for c in columns)
     return (df.where(F.col(churn).isin(0, 1))
-            .select(F.col(churn).cast("int").alias("churn"), F.inline(values))
+            .select(F.col(churn).cast("int").alias("churn"), F.expr(f"inline(array({pairs}))"))
             .where(F.col("value").isNotNull()))
 
 
@@ -56,19 +53,18 @@ def column_ranges(df: DataFrame, columns: Sequence[str] = tuple(NUMERIC_FEATURES
     """Lowest and highest value of each column and the step of a ``steps``-part slider."""
     bounds = []
     for c in columns:
-        bounds += [F.min(number(c)).alias(f"{c}__lo"), F.max(number(c)).alias(f"{c}__hi")]
-    wide = df.agg(*bounds)
-    return (wide.select(one_row_per_column(columns, {"min_value": "lo", "max_value": "hi"}))
+        bounds += [F.expr(f"min({number_sql(c)}) AS `{c}__lo`"),
+                   F.expr(f"max({number_sql(c)}) AS `{c}__hi`")]
+    return (df.agg(*bounds).select(one_row_per_column(columns, {"min_value": "lo", "max_value": "hi"}))
             .withColumn("step", (F.col("max_value") - F.col("min_value")) / steps))
 
 
 def _churn_edges(df: DataFrame, columns: Sequence[str], churn: str) -> DataFrame:
     """Histogram range of each column, one row per column, taken from the churn rows only."""
-    churned = F.col(churn) == 1
     bounds = []
     for c in columns:
-        value = F.when(churned, number(c))
-        bounds += [F.min(value).alias(f"{c}__lo"), F.max(value).alias(f"{c}__hi")]
+        bounds += [F.expr(f"min({number_sql(c)}) FILTER (WHERE `{churn}` = 1) AS `{c}__lo`"),
+                   F.expr(f"max({number_sql(c)}) FILTER (WHERE `{churn}` = 1) AS `{c}__hi`")]
     ranges = df.agg(*bounds).select(one_row_per_column(columns, {"lo": "lo", "hi": "hi"}))
     constant = F.col("lo") == F.col("hi")
     return ranges.select(

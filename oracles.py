@@ -265,6 +265,22 @@ SELECT CAST(id AS VARCHAR) AS id, channel_sales, CAST(num_years_antig AS BIGINT)
        date_activ, date_end, date_modif_prod, date_renewal,
        CASE WHEN has_gas = 't' THEN 1 ELSE 0 END AS has_gas
 FROM client""",
+        "clean_client_table": f"""
+WITH {CLIENT},
+coded AS (SELECT channel_sales, dense_rank() OVER (ORDER BY count(*) DESC) - 1 AS code
+          FROM client GROUP BY 1 HAVING count(*) > 20)
+SELECT CAST(client.id AS VARCHAR) AS id, CAST(code AS BIGINT) AS channel_sales, num_years_antig,
+       date_activ, date_end, date_modif_prod, date_renewal, cons_12m, cons_gas_12m,
+       cons_last_month, imp_cons, net_margin, forecast_cons_12m, forecast_cons_year,
+       forecast_meter_rent_12m, margin_net_pow_ele, margin_gross_pow_ele,
+       CASE WHEN has_gas = 't' THEN 1 ELSE 0 END AS has_gas, churn
+FROM client JOIN coded USING (channel_sales)""",
+        "clean_price_table": f"""
+WITH {PRICE}
+SELECT CAST(id AS VARCHAR) AS id, price_date,
+       {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in PRICE_COLUMNS)}
+FROM price""",
+        "feature_preview": feature_rows + " ORDER BY id LIMIT 5",
         "churn_share": share("tenure_years"),
         "churn_share_channel": share("channel_sales"),
         "churn_histogram": histogram(f"{ORDER_VALUES}, {LONG_ORDERS}"),
