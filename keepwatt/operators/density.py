@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwatt.functions import evenly_spaced
-from keepwatt.operators.profiling import long_values, number_sql, one_row_per_column
+from keepwatt.operators.profiling import long_values, number_sql
 
 TERMS = 16
 BOX = 0.5       # box width in bandwidths
@@ -49,17 +49,16 @@ def _class_statistics(df: DataFrame, grids: Mapping[str, tuple[float, float] | N
         else:
             lo, hi = (float(bound) for bound in bounds)
             wide += [f"any_value({lo!r}D) AS `{c}__lo`", f"any_value({hi!r}D) AS `{c}__hi`"]
-    columns = list(grids)
+    # both classes come out of the one aggregated row
+    parts = ", ".join(
+        f"struct('{c}' AS column, {flag} AS churn, `{c}__n_{name}` AS n, `{c}__s_{name}` AS s, "
+        f"`{c}__lo` AS lo, `{c}__hi` AS hi)"
+        for c in grids for flag, name in CLASSES.items())
     row = df.agg(*[F.expr(measure) for measure in wide])
-    flags = [
-        row.select(one_row_per_column(columns, {"n": f"n_{name}", "s": f"s_{name}",
-                                                "lo": "lo", "hi": "hi"}))
-        .withColumn("churn", F.lit(flag))
-        for flag, name in CLASSES.items()
-    ]
+    flags = row.select(F.expr(f"inline(array({parts}))"))
     usable = (F.col("n") >= 2) & (F.col("s") > 0)
     bandwidth = F.when(usable, F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    return flags[0].unionByName(flags[1]).select(
+    return flags.select(
         "column", "churn", "n", bandwidth.alias("h"), "lo", "hi")
 
 

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 HASH_BITS = 32
-BUCKET_BITS = 20
+# 2^16 buckets: a counting task sends at most 65,536 rows, and a bucket of 10^11 keys holds
+# about 1.5 million of them
+BUCKET_BITS = 16
 MAX_CUTS = 10_000
 
 
@@ -32,9 +34,9 @@ def _cut_positions(df: DataFrame, keys: Sequence[str], seed: int,
     """Order positions (h, keys) of the rows with the given ranks within each label.
 
     ``ranks`` turns a label's row count into an array of ranks. Only one row per label and
-    rank comes back. The running totals are over at most 2^20 hash buckets, and then over the
-    keys of the buckets hit, about a millionth of all keys each. Copies of a key are counted
-    before either total, so they cannot pile up in one task.
+    rank comes back. The running totals are over 2^16 hash buckets, and then over the keys of
+    the buckets hit, each 1/65536 of all keys. Copies of a key are counted before either total,
+    so they cannot pile up in one task.
     """
     group = F.col(label) if label else F.lit(0)
     rows = df.select(group.alias("label"), _order_key(keys, seed).alias("key")).withColumn(

@@ -37,3 +37,26 @@ def test_both_sides_are_aggregated_before_the_join(spark, small):
     join = next(i for i, line in enumerate(optimized) if "Join Inner" in line)
     assert not any("Aggregate" in line for line in optimized[:join])
     assert sum("Aggregate" in line for line in optimized[join:]) >= 4
+
+
+def scans_run(df) -> int:
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("FileScan")
+
+
+def test_profiles_read_the_rows_twice(spark, small):
+    """Once for the range or bandwidth, once for the counts, for any number of columns."""
+    from keepwatt.operators.density import churn_kde
+    from keepwatt.operators.profiling import churn_histogram, column_ranges
+    from keepwatt.schemas import NUMERIC_FEATURES
+    from keepwatt.session import stage
+    df = stage(roles.feature_role(spark, small), "features")
+    assert scans_run(churn_histogram(df)) == 2
+    assert scans_run(churn_kde(df, {c: None for c in NUMERIC_FEATURES})) == 2
+    assert scans_run(column_ranges(df)) == 1
+
+
+def test_channel_codes_read_the_rows_once(spark, medium):
+    from keepwatt.operators.cleaning import channel_codes
+    assert scans_run(channel_codes(roles.channel_role(spark, medium))) == 1
