@@ -8,9 +8,8 @@ from the box centre and t that of a row, both in bandwidths, the kernel is
 
 so the sums of the bracket over the rows of a box are all the grid needs. As |t| <= 1/4, 16
 terms leave less than 5e-17 of the kernel's peak: the result is the exact density up to
-rounding. The sums are ordinary aggregates with map-side combine, and since a box touches only
-the points within its reach, the number of (box, point) pairs stays below about 350 thousand
-per class whatever the number of rows.
+rounding. The sums are ordinary aggregates with map-side combine. A grid point lies within
+reach of at most 157 boxes, so the number of (box, point) pairs does not grow with the rows.
 """
 
 from __future__ import annotations

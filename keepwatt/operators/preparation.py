@@ -73,20 +73,19 @@ def fit_scaler(train: DataFrame, features: Sequence[str],
     """
     wide = []
     for c in features:
-        value = F.expr(_as_double(c, fill_missing))
-        wide += [F.avg(value).alias(f"{c}__m"), F.stddev_pop(value).alias(f"{c}__s"),
-                 F.min(value).alias(f"{c}__lo"), F.max(value).alias(f"{c}__hi")]
-    row = train.agg(*wide).first()
+        value = _as_double(c, fill_missing)
+        wide += [f"avg({value}) AS `{c}__mean`", f"stddev_pop({value}) AS `{c}__spread`",
+                 f"min({value}) AS `{c}__low`"]
+    row = train.agg(*[F.expr(measure) for measure in wide]).first()
     scaled = []
     for c in features:
-        value, mean = _as_double(c, fill_missing), row[f"{c}__m"]
-        if mean is None:
+        value, spread = _as_double(c, fill_missing), row[f"{c}__spread"]
+        if spread is None:
             scaled.append(f"{value} AS `{c}`")
             continue
-        constant = row[f"{c}__lo"] == row[f"{c}__hi"]
-        spread = 1.0 if constant else row[f"{c}__s"]
-        centre = row[f"{c}__lo"] if constant else mean
-        scaled.append(f"({value} - {_number(centre)}) / {_number(spread)} AS `{c}`")
+        # the lowest value of a constant column is its exact mean
+        centre, scale = (row[f"{c}__mean"], spread) if spread > 0 else (row[f"{c}__low"], 1.0)
+        scaled.append(f"({value} - {_number(centre)}) / {_number(scale)} AS `{c}`")
     replaced = ", ".join(f"`{c}`" for c in features)
     return SQLTransformer(
         statement=f"SELECT * EXCEPT ({replaced}), {', '.join(scaled)} FROM __THIS__")

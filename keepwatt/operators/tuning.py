@@ -107,7 +107,7 @@ def train_random_forest_tuned(prepared: PreparedData, n_trials: int = 50, folds:
     The assembled training rows are written once and read by every fit.
     """
     rows = stratified_folds(prepared.train, prepared.target, keys, folds, seed)
-    folded = stage(assemble(rows, prepared.features, prepared.target), "folds")
+    folded = stage(assemble(rows, prepared.features, prepared.target), "folds", ("fold",))
     settings = space.sample(n_trials, seed)
     scores = cross_validate(folded, settings, prepared.target, folds, seed, parallelism)
     trials = list(zip(settings, scores, strict=True))

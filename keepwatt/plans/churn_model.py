@@ -45,7 +45,7 @@ def prepare_and_stage(encoded: DataFrame, chosen: Sequence[str] | None = None,
                       fill_missing: float | None = 0.0, seed: int = 0) -> PreparedData:
     """Prepare the model input and write it once, since every fit and evaluation reads it."""
     prepared = prepare_data(encoded, features=chosen, fill_missing=fill_missing, seed=seed)
-    prepared.data = stage(prepared.data, "prepared")
+    prepared.data = stage(prepared.data, "prepared", ("split",))
     return prepared
 
 

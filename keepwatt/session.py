@@ -59,13 +59,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Used where several passes follow (split, scaler, forest, profiles): the lineage is cut,
-    later scans are columnar and pruned, and a lost executor costs a re-read only.
+    later scans are columnar and pruned, and a lost executor costs a re-read only. Filters on
+    ``partition_by`` columns skip whole folders; use columns with few values.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keepwatt/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
