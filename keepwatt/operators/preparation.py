@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from keepwatt.operators.hash_split import train_test_split
 
 
+MAX_CLASSES = 100
+
+
 def category_values(df: DataFrame, column: str, max_categories: int = 200) -> list:
     """Sorted distinct values of a column; more than ``max_categories`` is an error."""
     found = (df.select(column).where(F.col(column).isNotNull()).distinct()
@@ -116,7 +119,7 @@ def balanced_weights(counts: Mapping) -> dict:
     return {value: total / (len(counts) * n) for value, n in counts.items()}
 
 
-def class_counts(df: DataFrame, label: str, max_classes: int = 100) -> dict:
+def class_counts(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> dict:
     rows = (df.where(F.col(label).isNotNull()).groupBy(label)
             .agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect())
     if len(rows) > max_classes:

@@ -17,7 +17,9 @@ from keepwatt.operators.forest import (
     WEIGHT, ForestParams, assemble, classifier, evaluate_model, train_random_forest,
 )
 from keepwatt.operators.hash_split import stratified_folds
-from keepwatt.operators.preparation import PreparedData, balanced_weights, weight_column
+from keepwatt.operators.preparation import (
+    MAX_CLASSES, PreparedData, balanced_weights, weight_column,
+)
 from keepwatt.session import stage
 
 
@@ -74,7 +76,10 @@ def cross_validate(folded: DataFrame, settings: Sequence[ForestParams], target:
     Class weights are those of the training folds. Up to ``parallelism`` fits run at a time;
     each of them is itself a distributed job.
     """
-    counted = folded.groupBy("fold", target).agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = (folded.groupBy("fold", target).agg(F.count(F.lit(1)).alias("n"))
+               .limit(MAX_CLASSES * folds + 1).collect())
+    if len(counted) > MAX_CLASSES * folds:
+        raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes")
 
     def weights_without(fold: int) -> dict:
         counts: dict = {}

@@ -17,10 +17,23 @@ REQUIRED_CONF = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings above to a running session. All of them are runtime settings."""
+# Aimed-at size of one shuffle partition: a sort of it fits an executor core's memory share.
+SHUFFLE_PARTITION_BYTES = 256 * 1024**2
+
+
+def configure(spark: SparkSession, shuffled_bytes: int | None = None) -> SparkSession:
+    """Apply the settings above to a running session. All of them are runtime settings.
+
+    ``shuffled_bytes``, the size of the largest table that has to be shuffled (usually the
+    price history), sets the number of shuffle partitions to start from. Adaptive execution
+    merges small ones, but it cannot start more than that.
+    """
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
+    if shuffled_bytes:
+        wanted = -(-shuffled_bytes // SHUFFLE_PARTITION_BYTES)
+        least = 2 * spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(wanted, least)))
     return spark
 
 

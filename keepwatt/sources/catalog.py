@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def use_database(spark: SparkSession, name: str) -> None:
@@ -19,6 +22,32 @@ def register_tables(**tables: DataFrame) -> None:
         df.createOrReplaceTempView(name)
 
 
+def largest_share(df: DataFrame, key: str) -> float:
+    """Share of the rows that the most frequent value of ``key`` holds (0 without rows)."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
+    return top["largest"] / top["rows"] if top["rows"] else 0.0
+
+
+def save_clustered(df: DataFrame, table: str, buckets: int, key: str = "id",
+                   sort_by: Sequence[str] = (), path: str | None = None) -> bool:
+    """Store ``df`` as a table bucketed by ``key``, and say whether it was bucketed.
+
+    Grouping, windows and joins by ``key`` on such a table need no shuffle. But a bucket is
+    read by one task, so a table whose most frequent key would fill more than an average
+    bucket is stored without buckets and keeps being shuffled after partial aggregation.
+    """
+    spread = largest_share(df, key) * buckets <= 1
+    # a task then holds whole buckets and writes one file for each
+    writer = (df.repartition(buckets, key) if spread else df).write.mode("overwrite")
+    if spread:
+        writer = writer.bucketBy(buckets, key).sortBy(key, *sort_by)
+    if path:
+        writer = writer.option("path", path)
+    writer.format("parquet").saveAsTable(table)
+    return spread
+
+
 def read_database_table(spark: SparkSession, url: str, table: str, partition_column: str,
                         lower: int | str, upper: int | str, partitions: int,
                         properties: dict[str, str] | None = None) -> DataFrame:

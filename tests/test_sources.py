@@ -1,15 +1,21 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import rows
 from keepwatt import roles
+from keepwatt.operators.features import price_changes, price_statistics
 from keepwatt.plans.clean_tables import build_client_table, build_price_table
-from keepwatt.plans.feature_table import build_feature_table, price_change_table
+from keepwatt.plans.feature_table import (
+    build_feature_table, price_change_table, register_views,
+)
 from keepwatt.schemas import CLIENT_SCHEMA, FEATURE_COLUMNS, PRICE_SCHEMA
-from keepwatt.session import shared_dir, stage
-from keepwatt.sources.catalog import read_table, register_tables, use_database
+from keepwatt.session import configure, shared_dir, stage
+from keepwatt.sources.catalog import (
+    largest_share, read_table, register_tables, save_clustered, use_database,
+)
 from keepwatt.sources.csv_tables import load_table, preview, schema_report, write_csv
 
 
@@ -91,3 +97,48 @@ def test_clean_and_feature_plans(spark, small, tmp_path):
     assert features.columns == FEATURE_COLUMNS
     assert features.count() == clean_client.count()
     assert price_change_table(spark).count() == price.count()
+
+    register_views(spark, as_of="1998-01-01")
+    both = spark.sql("""
+        SELECT f.id, f.net_margin, count(price_peak_var_change) AS changes
+        FROM describe_price f JOIN price_change p ON f.id = p.id GROUP BY ALL""")
+    assert both.count() == features.count()
+    assert spark.sql("SELECT * FROM client_consumption").count() == clean_client.count()
+
+
+def stored_prices(spark, small, tmp_path, buckets, hot=0):
+    price = roles.price_role(spark, small)
+    for _ in range(hot):
+        price = price.unionByName(price.where("id % 10 = 1").withColumn("id", F.lit(1)
+                                                                       .cast("bigint")))
+    table = f"stored_{buckets}_{hot}"
+    return save_clustered(price, table, buckets, sort_by=["price_date"],
+                          path=str(tmp_path / table)), spark.table(table), price
+
+
+def test_clustered_table_needs_no_shuffle(spark, small, tmp_path):
+    bucketed, stored, price = stored_prices(spark, small, tmp_path, 4)
+    assert bucketed
+    stats, changes = price_statistics(stored), price_changes(stored)
+    for df in (stats, changes):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert rows(stats, "id") == rows(price_statistics(price), "id")
+    assert rows(changes, "id", "price_date") == rows(price_changes(price), "id", "price_date")
+
+
+def test_table_with_a_hot_key_is_not_clustered(spark, small, tmp_path):
+    bucketed, stored, price = stored_prices(spark, small, tmp_path, 4, hot=2)
+    assert largest_share(price, "id") < 0.25 or not bucketed
+    bucketed, stored, price = stored_prices(spark, small, tmp_path, 64, hot=2)
+    assert not bucketed and stored.count() == price.count()
+
+
+def test_shuffle_partitions_follow_the_data(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        configure(spark, shuffled_bytes=100 * 1024**4)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "409600"
+        configure(spark, shuffled_bytes=1)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "16"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
