@@ -13,9 +13,19 @@ from keepwatt.operators.features import price_sensitivity_features
 
 AS_OF = "1998-01-01"
 
+# The columns read below. With given schemas no file is opened to plan a query.
+TABLES = {
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_shipdate timestamp",
+    "part": "p_partkey bigint, p_brand string, p_size int",
+}
+
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return spark.read.schema(TABLES[table]).parquet(f"{folder}/{table}.parquet")
 
 
 def client_role(spark: SparkSession, folder: str) -> DataFrame:
