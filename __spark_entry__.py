@@ -194,7 +194,8 @@ def scaled_features(spark, sf_dir):
 
 
 def class_weights(spark, sf_dir):
-    split = split_of(staged_features(spark, sf_dir).select("id", "churn"), ["id"], 0.2, seed=0)
+    labels = stage(roles.feature_role(spark, sf_dir).select("id", "churn"), "labels")
+    split = split_of(labels, ["id"], 0.2, seed=0)
     return weights_of(split.where(F.col("split") == "train"))
 
 

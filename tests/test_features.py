@@ -165,7 +165,8 @@ def test_cutting_hot_histories_changes_nothing(spark, floor):
     price = skewed_history(spark).repartition(5).persist()
     expected = plain_changes(price)
     result = price_changes(price, hot_floor=floor)
-    assert "piece" in result._jdf.queryExecution().toString()
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "piece" in plan and "BroadcastHashJoin" in plan and "NestedLoop" not in plan
     assert rows(result, "id", "price_date") == rows(expected, "id", "price_date")
 
 
