@@ -60,3 +60,38 @@ def test_profiles_read_the_rows_twice(spark, small):
 def test_channel_codes_read_the_rows_once(spark, medium):
     from keepwatt.operators.cleaning import channel_codes
     assert scans_run(channel_codes(roles.channel_role(spark, medium))) == 1
+
+
+def test_hot_orders_are_split_by_the_join(spark, tmp_path):
+    """A third of the lines belongs to one order; the join has to cut that partition up."""
+    from pyspark.sql import functions as F
+    n = 60_000
+    lines = spark.range(n, numPartitions=12).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 9000).alias("l_orderkey"),
+        (F.col("id") % 50 + 1.0).alias("l_quantity"),
+        (F.rand(1) * 1000 + 1000).alias("l_extendedprice"),
+        F.rand(2).alias("l_discount"), F.rand(3).alias("l_tax"),
+        F.timestamp_seconds(F.col("id") * 3000 + 800_000_000).alias("l_shipdate"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(9000).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 700).alias("o_custkey"),
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    expected = sorted(map(tuple, roles.price_role(spark, str(tmp_path)).collect()))
+
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+             "spark.sql.shuffle.partitions": "16"}
+    before = {key: spark.conf.get(key, None) for key in small}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        result = roles.price_role(spark, str(tmp_path))
+        found = sorted(map(tuple, result.collect()))
+        assert "SortMergeJoin(skew=true)" in plan_of(result)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert found == expected
