@@ -268,13 +268,29 @@ REGISTERED = [
 ]
 
 
+try:  # the subpackage for training data and its pipeline may be left out
+    import corpus_pipeline
+    from keepwatt.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "keepwatt.llm"):
+        raise
+    LLM_QUERIES, LLM_SQL = {}, {}
+else:
+    LLM_QUERIES = {query.__name__: query for query in llm.REGISTERED}
+    LLM_QUERIES["pipeline"] = corpus_pipeline.run
+    LLM_SQL = dict(llm.ORACLE_SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def _configured(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(configure(spark), sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: _configured(query) for query in REGISTERED}
+    named = {query.__name__: query for query in REGISTERED} | LLM_QUERIES
+    return {name: _configured(query) for name, query in named.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | LLM_SQL
