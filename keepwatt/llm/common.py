@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from keepwatt.session import stage
 
 HASH_SEED = 42  # the seed of Spark's xxhash64()
+SHINGLE = 5  # words
+MIX = np.uint64(0xFF51AFD7ED558CCD)
+HALF = np.uint64(32)
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,6 +60,16 @@ def word_lists(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         start = end
 
 
+def shingle_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of five words, given the hashes of the words; fewer words are one run."""
+    n = max(len(words) - SHINGLE + 1, 1 if len(words) else 0)
+    hashes = np.zeros(n, np.uint64)
+    for k in range(min(SHINGLE, len(words))):
+        hashes = (hashes ^ words[k:k + n]) * MIX
+        hashes ^= hashes >> HALF
+    return hashes
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) can reach.
 

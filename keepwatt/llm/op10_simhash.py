@@ -10,11 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwatt.llm.common import HASH_SEED, components, read_documents, whole_text, word_lists
+from keepwatt.llm.common import (
+    HASH_SEED, WordHashes, components, read_documents, shingle_hashes, whole_text, word_lists,
+)
 from keepwatt.session import stage
 
 BITS = 64
 RADIUS = 2
+VIEWS = 8
+VIEW_FACTORS = np.random.default_rng(10).integers(
+    1, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+VIEW_MIX = np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def _signed(bits: int) -> int:
@@ -65,7 +71,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def links(fps: DataFrame, name: str = "simhash") -> DataFrame:
-    """(a, b): links that connect all fingerprints (column fp) at 2 or fewer differing bits.
+    """(view, a, b): links that connect all fingerprints (view, fp) of a view at 2 or fewer
+    differing bits.
 
     Distinct fingerprints meet in seven tables by their bits under a covering mask. Where a
     bucket holds several, each one gives itself and its copies with one bit outside the mask
@@ -74,21 +81,23 @@ def links(fps: DataFrame, name: str = "simhash") -> DataFrame:
     size of the bucket, and it is linked as a star; no pairs of a bucket are made.
     """
     masks = covering_masks()
-    distinct = stage(fps.select("fp").distinct(), f"{name}-distinct")
+    distinct = stage(fps.select("view", "fp").distinct(), f"{name}-distinct")
     keys = F.array(*[F.struct(F.lit(t).alias("at"), F.col("fp").bitwiseAND(
         F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-    buckets = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.at", "k.key")
-    crowded = stage(buckets.groupBy("at", "key").agg(F.min("fp").alias("low"),
-                                                     F.max("fp").alias("high"))
-                    .where("low <> high").select("at", "key"), f"{name}-buckets")
+    buckets = distinct.select("view", "fp", F.explode(keys).alias("k")).select(
+        "view", "fp", "k.at", "k.key")
+    bucket = ["view", "at", "key"]
+    crowded = stage(buckets.groupBy(*bucket).agg(F.min("fp").alias("low"),
+                                                 F.max("fp").alias("high"))
+                    .where("low <> high").select(*bucket), f"{name}-buckets")
     flips = F.array(*[F.array(F.lit(0).cast("long"), *[
         F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in masks])
-    variants = buckets.join(crowded, ["at", "key"]).select("at", "fp", F.explode(
+    variants = buckets.join(crowded, bucket).select("view", "at", "fp", F.explode(
         F.transform(F.element_at(flips, F.col("at") + 1),
                     lambda bit: F.col("fp").bitwiseXOR(bit))).alias("variant"))
-    stars = variants.groupBy("at", "variant").agg(F.collect_set("fp").alias("members"))
+    stars = variants.groupBy("view", "at", "variant").agg(F.collect_set("fp").alias("members"))
     return (stars.where(F.size("members") > 1)
-            .select(F.array_min("members").alias("a"), F.explode("members").alias("b"))
+            .select("view", F.array_min("members").alias("a"), F.explode("members").alias("b"))
             .where("a <> b").distinct())
 
 
@@ -101,7 +110,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     fps = stage(fingerprints(docs, shingle), "simhash-fps")
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(fps), "simhash")
+    roots = components(links(fps.withColumn("view", F.lit(0))), "simhash")
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = stage(rooted, "simhash-classes")
@@ -110,6 +119,112 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of a text's distinct words under several hash functions."""
+    of_word = WordHashes()
+    for batch in batches:
+        fps = []
+        for text in batch.column(1):
+            words = {w for some in word_lists(text.as_py()) for w in some}
+            hashes = np.array([of_word[w] for w in words], np.uint64)
+            mixed = hashes[None, :] * VIEW_FACTORS[:, None]
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= VIEW_MIX
+            ones = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(
+                VIEWS, len(hashes), 8), axis=2).sum(axis=1, dtype=np.int64)
+            fps.append(np.packbits(2 * ones > len(hashes), axis=1).view(">i8").ravel())
+        flat = np.concatenate(fps).astype(np.int64) if fps else np.zeros(0, np.int64)
+        offsets = np.arange(0, len(flat) + 1, VIEWS, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+            ["key", "fps"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted distinct hashes of five-word shingles."""
+    of_word = WordHashes()
+    for batch in batches:
+        sets = []
+        for text in batch.column(1):
+            words = np.array([of_word[w] for some in word_lists(text.as_py()) for w in some],
+                             np.uint64)
+            sets.append(np.unique(shingle_hashes(words)).astype("<u8").tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(sets, pa.binary())], ["key", "shingles"])
+
+
+def _similar(least: float):
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, other in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(s.as_py(), "<u8") for s in (one, other))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * max(len(x) + len(y) - both, 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return of_batches
+
+
+def text_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(key, root): classes of similar texts, for texts similar to another one. A key is the
+    XXH64 of a text.
+
+    Near copies in the sense of five-word shingles at a similarity of 0.8 differ by several
+    bits in a SimHash of shingles, but by few in one of their words. So each text has eight
+    fingerprints of its distinct words, under different hash functions, and texts within two
+    bits in any of them are candidates, through one representative per fingerprint. What
+    counts is the exact Jaccard similarity of their five-word shingles. A pair at 0.8 is found
+    with a chance of about 0.8, one at 0.9 with 0.99; equal texts have one key.
+    """
+    texts = docs.select(whole_text().alias("text")).select(
+        F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
+    views = stage(texts.mapInArrow(_views, "key long, fps array<long>")
+                  .dropDuplicates(["key"]), "similar-fps")
+    fps = views.select("key", F.posexplode("fps").alias("view", "fp"))
+    first = stage(fps.groupBy("view", "fp").agg(F.min("key").alias("first")), "similar-first")
+    same = fps.join(first, ["view", "fp"]).where("key <> first").select(
+        F.col("first").alias("a"), F.col("key").alias("b"))
+    close = links(first, "similar")
+    for end in ("a", "b"):
+        named = first.select("view", F.col("fp").alias(end), F.col("first").alias(f"text_{end}"))
+        close = close.join(named, ["view", end])
+    close = close.select(F.col("text_a").alias("a"), F.col("text_b").alias("b"))
+    pairs = stage(same.union(close).where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+        "similar-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = stage(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+                 .mapInArrow(_shingle_sets, "key long, shingles binary"), "similar-shingles")
+    of_a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a"))
+    of_b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b"))
+    both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b")
+    return components(both.mapInArrow(_similar(least), "a long, b long"), "similar").select(
+        F.col("node").alias("key"), "root")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each class of similar texts, the one with the smallest doc_id, with all
+    columns. Rows with missing doc_ids come after others, ties are broken by the text's hash;
+    repeated rows become one. Missing texts are empty texts, which are equal."""
+    roots = text_classes(docs)
+    names = docs.columns
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+        F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).select(
+        "row", "id", F.xxhash64("text").alias("key"))
+    rows = stage(keyed.groupBy("id", "key").agg(F.count("*").alias("n")), "similar-rows")
+    classed = rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    order = F.struct(F.col("id").isNull().alias("missing"), "id", "key")
+    best = classed.groupBy("root").agg(F.min_by(F.struct("id", "key", "n"), order).alias("best"))
+    best = stage(best.select("best.*"), "similar-best")
+    kept = keyed.join(best.withColumnRenamed("id", "best_id"), "key").where(
+        F.col("id").eqNullSafe(F.col("best_id")))
+    single = kept.where("n = 1").select("row")
+    repeated = kept.where("n > 1").dropDuplicates(["id", "key"]).select("row")
+    return single.union(repeated).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+
+
 def op10_simhash(spark, sf_dir):
     found = near_duplicates(read_documents(spark, sf_dir))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))

@@ -10,30 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwatt.llm.common import (
-    UPPER, LOWER, WordHashes, read_documents, whole_text, word_lists,
+    LOWER, MIX, SHINGLE, UPPER, WordHashes, read_documents, shingle_hashes, whole_text,
+    word_lists,
 )
 from keepwatt.session import stage
 
-SHINGLE = 5
 CONTAINED = 0.8
 PERMUTATIONS = 40
 FILTER_BITS = 1 << 24
 _numbers = np.random.default_rng(7)
 FACTORS = _numbers.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MIX = np.uint64(0xFF51AFD7ED558CCD)
 HALF = np.uint64(32)
 
 
-def shingle_hashes(words: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of five words, given the hashes of the words; fewer words are one run."""
-    n = max(len(words) - SHINGLE + 1, 1 if len(words) else 0)
-    hashes = np.zeros(n, np.uint64)
-    for k in range(min(SHINGLE, len(words))):
-        hashes = (hashes ^ words[k:k + n]) * MIX
-        hashes ^= hashes >> HALF
-    return hashes
-
-
 def permuted(hashes: np.ndarray) -> np.ndarray:
     """One row per permutation: multiplied hashes, their higher half."""
     return (hashes[None, :] * FACTORS[:, None] >> HALF).astype(np.uint32)
@@ -201,6 +190,19 @@ def verified(texts: DataFrame, item_texts: DataFrame, pairs: DataFrame,
                       & found["item_id"].eqNullSafe(pairs["item"]), "left_semi")
 
 
+def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text holds no item; texts are told apart by
+    their XXH64."""
+    key = F.xxhash64(whole_text())
+    leaks = contaminations(docs.select(key.alias("doc_id"), "text"), items)
+    found = stage(leaks.select("doc_id").distinct(), "leak-texts")
+    names = docs.columns
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+                        key.alias("doc_id"))
+    return keyed.join(found, "doc_id", "left_anti").select(
+        *[F.col(f"row.`{c}`").alias(c) for c in names])
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(read_documents(spark, sf_dir),
                           read_documents(spark, sf_dir, "benchmark"))

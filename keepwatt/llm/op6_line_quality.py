@@ -127,13 +127,15 @@ def judged(docs: DataFrame, share: float = LINE_SHARE, texts: int = LINE_TEXTS,
 def cleaned(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs`` with all their columns; frequent lines leave their texts."""
     verdict, frequent = judged(docs)
-    passed = stage(verdict.where("kept").select("host", "key").distinct(), "quality-kept")
+    changes = verdict.groupBy("host", "key").agg(F.bool_and("kept").alias("kept")).join(
+        frequent, ["host", "key"], "left").where("not kept or frequent is not null")
+    changes = stage(changes, "quality-changes")
     names = docs.columns
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
         whole_text().alias("text")).select("row", "host", text_key().alias("key"))
-    kept = keyed.join(passed.join(frequent, ["host", "key"], "left"), ["host", "key"])
+    kept = keyed.join(changes, ["host", "key"], "left").where(F.coalesce("kept", F.lit(True)))
     text = F.col("row.text")
     lines = F.arrays_zip(F.split(text, "\n").alias("raw"),
                          normalised_lines(text).alias("plain"))
