@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,12 +23,15 @@ from keepwatt.session import stage
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 BLOCK_CHARS = 32_000_000   # texts of a block share one dictionary of words
-BLOCK_WORDS = 1_000_000
 LONG_TEXT = 4_000_000      # longer texts are split word by word, without a list of all words
-ROWS = 20_000
+GROUP_WORDS = 300_000      # words of the texts in one row
 
-SPLIT = "block long, kind int, pos long, doc_id long, codes binary, word string"
-ENCODED = "block long, kind int, pos long, doc_id long, codes binary"
+# kind 0 is a part of a block's dictionary: a codes, b words or ids, c their lengths;
+# kind 1 is a group of its texts: a codes by place, b words of each text.
+ROWS = "block long, kind int, part int, a binary, b binary, c binary, doc_ids array<long>"
+SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()),
+                    ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()),
+                    ("doc_ids", pa.list_(pa.int64()))])
 
 
 @lru_cache(2)
@@ -53,8 +57,8 @@ class _Codes(dict):
 
 def _pack(values: np.ndarray) -> bytes:
     """The bytes of 32-bit numbers, all lowest bytes first, compressed."""
-    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(planes.tobytes(), 3)
+    planes = np.asarray(values).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(planes.tobytes(), 6)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -62,65 +66,79 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _row(*values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([v], f.type) for v, f in zip(values, SCHEMA, strict=True)], schema=SCHEMA)
+
+
+def _block_rows(block: int, buckets: int, codes: dict[str, int], doc_ids: list, texts: list):
+    """A block's dictionary, dealt into buckets by hash, and its texts as codes. Codes are
+    changed to ranks by frequency, which take fewer bytes."""
+    places = np.concatenate([np.frombuffer(t, np.uint32) for t in texts])
+    by_rank = np.argsort(-np.bincount(places, minlength=len(codes)), kind="stable")
+    rank = np.empty(len(codes), np.uint32)
+    rank[by_rank] = np.arange(len(codes))
+    places = rank[places]
+    words = np.array([w.encode() for w in codes], object)[by_rank]
+    bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
+    order = np.argsort(bucket, kind="stable")
+    filled, cuts = np.unique(bucket[order], return_index=True)
+    for k, low, high in zip(filled.tolist(), cuts, [*cuts[1:], len(order)], strict=True):
+        mine = order[low:high]
+        yield _row(block, 0, k, _pack(np.diff(mine, prepend=0)),
+                   zstandard.compress(b"".join(words[mine]), 6),
+                   _pack([len(w) for w in words[mine]]), None)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(lengths)
+    groups = (ends - lengths) // GROUP_WORDS
+    starts = np.flatnonzero(np.diff(groups, prepend=-1))
+    for k, (low, high) in enumerate(zip(starts, [*starts[1:], len(texts)], strict=True)):
+        yield _row(block, 1, k, _pack(places[ends[low] - lengths[low]:ends[high - 1]]),
+                   _pack(lengths[low:high]), None, doc_ids[low:high])
+
+
+def _split(buckets: int):
     """Texts to words: per block the distinct words, per text the codes of its words by place."""
-    find = regex.compile(public_tokenizers.PATTERN)
-    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("pos", pa.int64()),
-                        ("doc_id", pa.int64()), ("codes", pa.binary()), ("word", pa.string())])
-    block, codes, chars, pos = TaskContext.get().partitionId() << 32, _Codes(), 0, 0
-
-    def rows(kind, places, doc_ids=None, packed=None, words=None):
-        n = len(places)
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, block)), pa.array(np.full(n, kind, np.int32)), pa.array(places),
-            pa.array(doc_ids or [None] * n, pa.int64()),
-            pa.array(packed or [None] * n, pa.binary()),
-            pa.array(words or [None] * n, pa.string())], schema=schema)
-
-    def dictionary():
-        words = list(codes)
-        for start in range(0, len(words), ROWS):
-            part = words[start:start + ROWS]
-            yield rows(0, np.arange(start, start + len(part)), words=part)
-
-    for batch in batches:
-        packed, doc_ids = [], []
-        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-            text = text.as_py()
-            if len(text) > LONG_TEXT:
-                words = (m.group() for m in find.finditer(text))
-            else:
-                words = find.findall(text)
-            places = array("I", map(codes.__getitem__, words))
-            packed.append(_pack(np.frombuffer(places, np.uint32)))
-            doc_ids.append(doc_id.as_py())
-            chars += len(text)
-            if chars >= BLOCK_CHARS or len(codes) >= BLOCK_WORDS:
-                yield rows(1, np.arange(pos, pos + len(packed)), doc_ids, packed)
-                yield from dictionary()
-                packed, doc_ids = [], []
-                block, codes, chars, pos = block + 1, _Codes(), 0, 0
-        if packed:
-            yield rows(1, np.arange(pos, pos + len(packed)), doc_ids, packed)
-            pos += len(packed)
-    yield from dictionary()
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(public_tokenizers.PATTERN)
+        block, codes, chars = TaskContext.get().partitionId() << 32, _Codes(), 0
+        doc_ids, texts = [], []
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py()
+                if len(text) > LONG_TEXT:
+                    words = (m.group() for m in find.finditer(text))
+                else:
+                    words = find.findall(text)
+                texts.append(array("I", map(codes.__getitem__, words)))
+                doc_ids.append(doc_id.as_py())
+                chars += len(text)
+                if chars >= BLOCK_CHARS:
+                    yield from _block_rows(block, buckets, codes, doc_ids, texts)
+                    block, codes, chars, doc_ids, texts = block + 1, _Codes(), 0, [], []
+        if texts:
+            yield from _block_rows(block, buckets, codes, doc_ids, texts)
+    return of_batches
 
 
 def _encode_words(path: str):
-    """Sorted words to ids: a run of one word is encoded once."""
-    def of_batches(batches):
-        ids_of, last, ids = encoding(path).encode_ordinary, None, b""
+    """Dictionary parts, sorted by bucket: a word of a bucket is encoded once for all blocks."""
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_word, bucket, known = encoding(path).encode_ordinary, None, {}
         for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(ids_of(word), "<u4").tobytes()
-                out.append(ids)
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(np.zeros(n, np.int32)), batch.column(1),
-                pa.nulls(n, pa.int64()), pa.array(out, pa.binary())],
-                ["block", "kind", "pos", "doc_id", "codes"])
+            for row in batch.to_pylist():
+                if row["part"] != bucket:
+                    bucket, known = row["part"], {}
+                ends = np.cumsum(_unpack(row["c"])).tolist()
+                blob, ids = zstandard.decompress(row["b"]), []
+                for low, high in zip([0, *ends], ends, strict=False):
+                    word = blob[low:high]
+                    if word not in known:
+                        known[word] = encode_word(word.decode())
+                    ids.append(known[word])
+                flat = np.array([i for word in ids for i in word], np.uint32)
+                yield _row(row["block"], 0, bucket, row["a"], _pack(flat),
+                           _pack([len(w) for w in ids]), None)
     return of_batches
 
 
@@ -134,53 +152,53 @@ def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block first its words' ids, then its texts, whose ids are put together by place."""
-    words, pool, starts, lengths, at = [], None, None, None, None
+    at, parts, pool, starts, lengths = None, [], None, None, None
     for batch in batches:
-        block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        codes, doc_id = batch.column(4), batch.column(3)
-        cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
-        for low, high in zip([0, *cuts], [*cuts, len(block)], strict=True):
-            if low == high:
-                continue
-            if block[low] != at:
-                at, words, pool = block[low], [], None
-            part = codes.slice(low, high - low).to_pylist()
-            if kind[low] == 0:
-                words += part
+        for row in batch.to_pylist():
+            if row["block"] != at:
+                at, parts, pool = row["block"], [], None
+            if row["kind"] == 0:
+                parts.append((np.cumsum(_unpack(row["a"])), _unpack(row["b"]),
+                              _unpack(row["c"])))
                 continue
             if pool is None:
-                lengths = np.array([len(w) // 4 for w in words], np.int64)
-                starts = np.cumsum(lengths) - lengths
-                pool, words = np.frombuffer(b"".join(words), "<u4").astype(np.int32), []
-            ids = []
-            for packed in part:
-                places = _unpack(packed)
-                ids.append(_gather(pool, starts[places], lengths[places]))
-            ends = np.cumsum([0, *map(len, ids)])
+                pool = np.concatenate([np.zeros(0, np.uint32), *[p[1] for p in parts]]).astype(
+                    np.int32)
+                own = np.concatenate([np.zeros(0, np.uint32), *[p[2] for p in parts]]).astype(
+                    np.int64)
+                codes = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]])
+                lengths, starts = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+                codes = codes.astype(np.int64)
+                lengths[codes], starts[codes] = own, np.cumsum(own) - own
+                parts = []
+            places, words = _unpack(row["a"]), _unpack(row["b"]).astype(np.int64)
+            sizes = lengths[places]
+            ids = _gather(pool, starts[places], sizes)
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(words)])]
             yield pa.RecordBatch.from_arrays([
-                doc_id.slice(low, high - low),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(
-                    np.concatenate(ids)))], ["doc_id", "ids"])
+                pa.array(row["doc_ids"], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
+                ["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>): one row per row of ``docs``; a missing text has no ids.
 
-    The texts are split once. The distinct words of each block of texts are shuffled by word,
+    The texts are split once. The distinct words of each block of texts are shuffled by hash,
     so that equal words of all blocks meet and are encoded once, and the ids go back to the
-    blocks, where the texts are put together by place. A frequent word is one row per block.
+    blocks, where the texts are put together by place. A frequent word goes once per block.
+    Rows hold many words or texts, compressed, so the shuffles are smaller than the texts.
     The split is a written table, so a lost task sees the same blocks again. Repeated rows and
     missing doc_ids stay as they are; other columns are not read.
     """
     path = path or public_tokenizers.path(RANKS)
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    split = stage(given.mapInArrow(_split, SPLIT), "bpe-split")
-    words = split.where("kind = 0").select("block", "pos", "word")
-    by_word = words.repartition("word").sortWithinPartitions("word")
-    encoded = by_word.mapInArrow(_encode_words(path), ENCODED)
-    texts = split.where("kind = 1").select("block", "kind", "pos", "doc_id", "codes")
-    return (encoded.union(texts).repartition("block")
-            .sortWithinPartitions("block", "kind", "pos")
+    split = stage(given.mapInArrow(_split(buckets), ROWS), "bpe-split")
+    parts = split.where("kind = 0").repartition(buckets, "part").sortWithinPartitions("part")
+    encoded = parts.mapInArrow(_encode_words(path), ROWS)
+    return (encoded.union(split.where("kind = 1")).repartition("block")
+            .sortWithinPartitions("block", "kind", "part")
             .mapInArrow(_assemble, "doc_id long, ids array<int>"))
 
 
