@@ -20,6 +20,8 @@ from keepwatt.session import stage
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+BETWEEN = "\x01"
 BLOCK_IDS = 1 << 20
 BLOCKS = "part int, block int, n_ids long, doc_ids array<long>, lengths array<int>, payload binary"
 
@@ -28,32 +30,43 @@ class ChunkIds:
     """Ids of texts by the tokenizer, remembered for chunks between blanks and line breaks.
 
     The tokenizer drops white space and none of its pieces crosses it, so chunks are encoded
-    alone. Trailing full stops and commas after an ASCII letter are pieces of their own, too.
+    alone. It lowers letters, and marks after an ASCII letter or digit are a piece of their own,
+    so chunks that differ by those share what is learned.
     At most ``limit`` chunks are remembered.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {"": b""}
         self.vocab = self.tokenizer.get_vocab_size()
+        (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self.known) + len(chunks) > self.limit:
             self.known = {"": b""}
         parts = {c: self._parts(c) for c in chunks}
         new = list({p for pair in parts.values() for p in pair if p not in self.known})
-        for start in range(0, len(new), 10_000):
-            some = new[start:start + 10_000]
-            for part, coded in zip(some, self.tokenizer.encode_batch(
-                    some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(coded.ids, "<u4").tobytes()
+        for start in range(0, len(new), 2000):
+            some = new[start:start + 2000]
+            if any(BETWEEN in part for part in some):
+                coded = [c.ids for c in self.tokenizer.encode_batch_fast(
+                    some, add_special_tokens=False)]
+            else:  # one call for all of them, cut at an id that none of them has
+                ids = np.array(self.tokenizer.encode(
+                    f" {BETWEEN} ".join(some), add_special_tokens=False).ids, "<u4")
+                cuts = np.flatnonzero(ids == self.between)
+                coded = [ids[low:high] for low, high in zip(
+                    [0, *(cuts + 1)], [*cuts, len(ids)], strict=True)]
+            for part, its_ids in zip(some, coded, strict=True):
+                self.known[part] = np.array(its_ids, "<u4").tobytes()
         for chunk, (word, tail) in parts.items():
             self.known[chunk] = self.known[word] + self.known[tail]
 
     @staticmethod
     def _parts(chunk: str) -> tuple[str, str]:
-        word = chunk.rstrip(".,")
-        return (word, chunk[len(word):]) if word[-1:].isascii() and word[-1:].isalnum() else (
-            chunk, "")
+        if not chunk.isascii() or "<" in chunk or "'" in chunk:
+            return chunk, ""
+        word = chunk.lower().rstrip(MARKS)
+        return (word, chunk[len(word):]) if word[-1:].isalnum() else (chunk, "")
 
     def __call__(self, text: str) -> np.ndarray:
         chunks = text.replace("\n", " ").split(" ")

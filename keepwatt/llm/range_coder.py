@@ -114,10 +114,19 @@ def _lanes(ids: np.ndarray, none: int):
     return grid, before2, before1
 
 
-def _settled(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes whose leading word is fixed, and lanes whose width has to be cut."""
+def _shifted(low: np.ndarray, width: np.ndarray):
+    """Move lanes on by a word as long as their leading word is fixed, or their width is so
+    small that it has to be cut. Gives the lanes and their leading words, round by round."""
     fixed = (low ^ (low + width)) < TOP
-    return fixed, ~fixed & (width < BOTTOM)
+    out = np.flatnonzero(fixed | (width < BOTTOM))
+    while len(out):
+        some, wide = low[out], width[out]
+        fixed = (some ^ (some + wide)) < TOP
+        wide = np.where(fixed, wide, (~some + np.uint64(1)) & (BOTTOM - np.uint64(1))) << WORD
+        yield out, some >> np.uint64(32)
+        some = some << WORD & MASK
+        low[out], width[out] = some, wide
+        out = out[((some ^ (some + wide)) < TOP) | (wide < BOTTOM)]
 
 
 def _encode_frame(model: Model, ids: np.ndarray) -> bytes:
@@ -138,16 +147,9 @@ def _encode_frame(model: Model, ids: np.ndarray) -> bytes:
         width >>= shift
         low += starts[step] * width
         width *= sizes[step]
-        while True:
-            fixed, thin = _settled(low, width)
-            out = np.flatnonzero(fixed | thin)
-            if not len(out):
-                break
-            width[thin] = (~low[thin] + np.uint64(1)) & (BOTTOM - np.uint64(1))
-            words[out, used[out]] = low[out] >> np.uint64(32)
+        for out, word in _shifted(low, width):
+            words[out, used[out]] = word
             used[out] += 1
-            low[out] = low[out] << WORD & MASK
-            width[out] <<= WORD
     for k in (32, 16, 0):
         words[np.arange(lanes), used] = low >> np.uint64(k) & np.uint64(0xFFFF)
         used += 1
@@ -166,6 +168,7 @@ def _decode_frame(model: Model, n: int, data: memoryview) -> tuple[np.ndarray, i
     for _ in range(3):
         code = code << WORD | stream[at_word].astype(np.uint64)
         at_word += 1
+    below = model.below
     id_at = np.repeat(np.arange(model.vocab), np.diff(model.below))
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, MASK)
     before1 = np.full(lanes, model.none, np.int64)
@@ -178,29 +181,27 @@ def _decode_frame(model: Model, n: int, data: memoryview) -> tuple[np.ndarray, i
         width >>= shift
         target = np.minimum(((code - low & MASK) // width).astype(np.int64), most)
         second, first = np.maximum(at.second, 0), np.maximum(at.first, 0)
-        plain = (target - at.share2 * (target >= model.start(at, second + 1))
-                 - at.share1 * (target >= model.start(at, first + 1)))
+        # where the two guesses begin and end
+        begin2 = (below[second] * at.rest >> FREQ_BITS) + at.share1 * (first < second)
+        end2 = ((below[second + 1] * at.rest >> FREQ_BITS) + at.share2
+                + at.share1 * (first <= second))
+        begin1 = (below[first] * at.rest >> FREQ_BITS) + at.share2 * (second < first)
+        end1 = ((below[first + 1] * at.rest >> FREQ_BITS) + at.share1
+                + at.share2 * (second <= first))
+        past2, past1 = target >= end2, target >= end1
+        plain = target - at.share2 * past2 - at.share1 * past1
         found = id_at[np.clip(((plain + 1 << FREQ_BITS) - 1) // at.rest, 0, (1 << FREQ_BITS) - 1)]
-        for guess in (first, second):
-            begin = model.start(at, guess)
-            found = np.where((target >= begin) & (target < model.start(at, guess + 1)),
-                             guess, found)
+        found = np.where((target >= begin1) & ~past1, first, found)
+        found = np.where((target >= begin2) & ~past2, second, found)
         begin = model.start(at, found)
         size = model.start(at, found + 1) - begin
         if step >= last:
             begin[-1], size[-1], found[-1] = 0, 1 << TOTAL_BITS, 0
         low += begin.astype(np.uint64) * width
         width *= size.astype(np.uint64)
-        while True:
-            fixed, thin = _settled(low, width)
-            out = np.flatnonzero(fixed | thin)
-            if not len(out):
-                break
-            width[thin] = (~low[thin] + np.uint64(1)) & (BOTTOM - np.uint64(1))
+        for out, _ in _shifted(low, width):
             code[out] = (code[out] << WORD | stream[at_word[out]].astype(np.uint64)) & MASK
             at_word[out] += 1
-            low[out] = low[out] << WORD & MASK
-            width[out] <<= WORD
         grid[step] = found
         before2, before1 = before1, found
     ids = np.ascontiguousarray(grid.T).ravel()[:n]
