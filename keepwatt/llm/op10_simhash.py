@@ -194,11 +194,11 @@ def text_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         "similar-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = stage(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    sets = stage(texts.join(wanted.hint("merge"), "key", "left_semi").dropDuplicates(["key"])
                  .mapInArrow(_shingle_sets, "key long, shingles binary"), "similar-shingles")
     of_a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a"))
     of_b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b")
+    both = pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b").select("a", "b", "of_a", "of_b")
     return components(both.mapInArrow(_similar(least), "a long, b long"), "similar").select(
         F.col("node").alias("key"), "root")
 
@@ -218,7 +218,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("id").isNull().alias("missing"), "id", "key")
     best = classed.groupBy("root").agg(F.min_by(F.struct("id", "key", "n"), order).alias("best"))
     best = stage(best.select("best.*"), "similar-best")
-    kept = keyed.join(best.withColumnRenamed("id", "best_id"), "key").where(
+    # tables that grow with the corpus are never broadcast
+    kept = keyed.join(best.withColumnRenamed("id", "best_id").hint("merge"), "key").where(
         F.col("id").eqNullSafe(F.col("best_id")))
     single = kept.where("n = 1").select("row")
     repeated = kept.where("n > 1").dropDuplicates(["id", "key"]).select("row")

@@ -180,7 +180,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     new_text = F.aggregate(in_order, begin, step, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     new_text = F.when(F.col("spans").isNull(), text).otherwise(new_text)
-    joined = keyed.join(spans, "key", "left").select("row", "spans", new_text.alias("new"))
+    # the spans grow with the corpus, so they are never broadcast
+    joined = keyed.join(spans.hint("merge"), "key", "left").select("row", "spans", new_text.alias("new"))
     out = {c: F.col(f"row.`{c}`") for c in names} | {"text": F.col("new")}
     if "n_chars" in names:
         out["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(

@@ -135,7 +135,9 @@ def cleaned(docs: DataFrame) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
         whole_text().alias("text")).select("row", "host", text_key().alias("key"))
-    kept = keyed.join(changes, ["host", "key"], "left").where(F.coalesce("kept", F.lit(True)))
+    # the changes grow with the corpus, so they are never broadcast
+    kept = keyed.join(changes.hint("merge"), ["host", "key"], "left").where(
+        F.coalesce("kept", F.lit(True)))
     text = F.col("row.text")
     lines = F.arrays_zip(F.split(text, "\n").alias("raw"),
                          normalised_lines(text).alias("plain"))
