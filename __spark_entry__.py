@@ -50,8 +50,8 @@ from keepwatt.sources.models import ModelRegistry, load_model, save_model  # noq
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
-# Small forests, so that the registered model queries finish quickly.
-FOREST = ForestParams(n_estimators=20, max_depth=6)
+FOREST = ForestParams()
+# A part of the search space: all of it takes 250 fits, see README.md.
 SEARCH = SearchSpace(n_estimators=(8, 12), max_depth=(3, 4))
 
 
@@ -243,6 +243,15 @@ def feature_table_roundtrip(spark, sf_dir):
     return read_features(spark, f"{folder}/parquet")
 
 
+def csv_text_roundtrip(spark, sf_dir):
+    """Texts with quotes, line breaks and blanks to CSV and back."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        "conv_id", "turn", "role", "text")
+    folder = _work_folder(spark, "texts")
+    write_csv(talks, f"{folder}/csv")
+    return load_table(spark, f"{folder}/csv", talks.schema, missing=[""])
+
+
 def model_roundtrip(spark, sf_dir):
     """Predictions for all clients by a model that was saved with its scaler and loaded."""
     encoded = _encoded(spark, sf_dir)
@@ -264,7 +273,7 @@ REGISTERED = [
     churn_kde, churn_kde_all, column_ranges, schema_report, feature_preview,
     channel_dummies, train_test_split, stratified_folds, scaled_features, class_weights,
     evaluate_predictions, forest_scores, forest_importance, forest_parameters, forest_tuned, tuned_vs_custom,
-    feature_table_roundtrip, model_roundtrip,
+    feature_table_roundtrip, csv_text_roundtrip, model_roundtrip,
 ]
 
 

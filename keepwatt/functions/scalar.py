@@ -15,12 +15,19 @@ def cast_float(c: Column, strict: bool = True) -> Column:
     return c.cast("double") if strict else c.try_cast("double")
 
 
-def cast_int(c: Column, strict: bool = True) -> Column:
-    """To BIGINT, truncating toward zero. Strict: bad text and missing values are errors."""
+def cast_int(c: Column, strict: bool = True, missing_is_error: bool = True) -> Column:
+    """To BIGINT, truncating toward zero, also from text like '3.0'. Strict: bad text is an
+    error, and so are missing values unless ``missing_is_error`` is off."""
+    text = c.cast("string")
+    digits = text.rlike(r"^\s*[+-]?[0-9]+\s*$")
     if not strict:
-        return c.try_cast("bigint")
+        return F.when(digits, text.try_cast("bigint")).otherwise(
+            text.try_cast("double").try_cast("bigint"))
+    number = F.when(digits, text.cast("bigint")).otherwise(text.cast("double").cast("bigint"))
+    if not missing_is_error:
+        return number
     missing = F.raise_error(F.lit("cannot convert a missing value to an integer"))
-    return F.when(c.isNotNull(), c.cast("bigint")).otherwise(missing.cast("bigint"))
+    return F.when(c.isNotNull(), number).otherwise(missing.cast("bigint"))
 
 
 def cast_text(c: Column) -> Column:

@@ -11,9 +11,6 @@ from keepwatt.functions import (
     cast_boolean_flag, cast_float, cast_int, cast_text, cast_timestamp,
 )
 
-BROADCAST_ROWS = 100_000
-HOT_KEYS = 100
-
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per non-missing value of ``column``, as (column, n)."""
@@ -36,34 +33,16 @@ def channel_codes(df: DataFrame, column: str = "channel_sales",
     return frequent.join(ranks, "n").select(column, "n", "code")
 
 
-def join_lookup(df: DataFrame, lookup: DataFrame, key: str,
-                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join of a large ``df`` with a lookup table (unique ``key``, row count ``n``).
+def clean_channel_sales(df: DataFrame, column: str = "channel_sales",
+                        min_count: int = 20) -> DataFrame:
+    """Keep rows whose channel has more than ``min_count`` rows and replace the channel name
+    by its frequency rank. Rows without a channel are removed.
 
-    The lookup is counted (no further than the limit) and broadcast if it is small. Beyond
-    that, keys that hold more than 1% of the rows, of which there are at most 100, are
-    broadcast, and only rows with other keys are shuffled. Both ways give the same rows.
+    One lazy join; adaptive execution broadcasts the codes if they turn out small. Otherwise
+    the rebalanced codes are shuffled on their own, so that a hot channel's rows can be split.
     """
-    size = lookup.limit(broadcast_rows + 1).count()
-    plain = lookup.drop("n")
-    if size <= broadcast_rows:
-        return df.join(F.broadcast(plain), key, "inner")
-    total = lookup.agg(F.sum("n")).first()[0]
-    is_hot = F.col("n") * HOT_KEYS > total
-    hot = F.broadcast(lookup.where(is_hot).drop("n"))
-    hot_rows = df.join(hot, key, "inner")
-    other_rows = df.join(hot, key, "left_anti").join(lookup.where(~is_hot).drop("n"), key, "inner")
-    return hot_rows.unionByName(other_rows)
-
-
-def clean_channel_sales(df: DataFrame, column: str = "channel_sales", min_count: int = 20,
-                        broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Keep rows whose channel has more than ``min_count`` rows and replace the channel name
-    by its frequency rank. Rows without a channel are removed."""
-    # the codes are read for the size check and again by the join
-    codes = channel_codes(df, column, min_count).persist()
-    joined = join_lookup(df, codes, column, broadcast_rows)
-    return joined.withColumn(column, F.col("code")).select(*df.columns)
+    codes = channel_codes(df, column, min_count).drop("n").hint("rebalance")
+    return df.join(codes, column).withColumn(column, F.col("code")).select(*df.columns)
 
 
 def clean_datatypes(df: DataFrame, float_columns: Sequence[str] | None = None,

@@ -83,7 +83,8 @@ def price_sensitivity_features(price: DataFrame, client: DataFrame,
     map-side partial aggregation that folds a hot id into one row per task, and the join sees
     one price row per id.
     """
-    return (price_statistics(price)
+    # off its own exchange, the small side lets adaptive execution split a hot id
+    return (price_statistics(price).hint("rebalance")
             .join(client_statistics(client, as_of), "id", "inner")
             .select(*FEATURE_COLUMNS))
 

@@ -138,9 +138,8 @@ def feature_importance(spark: SparkSession, model: PipelineModel,
         "importance", "feature")
 
 
-def model_parameters(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """The forest's settings as one row, as Spark applied them."""
-    forest = forest_of(model)
+def model_parameters(spark: SparkSession, params: ForestParams) -> DataFrame:
+    """The forest's four settings as one row."""
+    values = params.as_dict()
     return spark.createDataFrame(
-        [(forest.getNumTrees, forest.getMaxDepth(), forest.getMinInstancesPerNode())],
-        "n_estimators int, max_depth int, min_instances_per_node int")
+        [tuple(values.values())], ", ".join(f"{name} int" for name in values))

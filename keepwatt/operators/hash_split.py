@@ -38,7 +38,8 @@ def _cut_positions(df: DataFrame, keys: Sequence[str], seed: int,
     the buckets hit, each 1/65536 of all keys. Copies of a key are counted before either total,
     so they cannot pile up in one task.
     """
-    group = F.col(label) if label else F.lit(0)
+    # in a struct missing labels are equal, so they are a label like others
+    group = F.struct((F.col(label) if label else F.lit(0)).alias("value"))
     rows = df.select(group.alias("label"), _order_key(keys, seed).alias("key")).withColumn(
         "bucket", F.shiftright(F.col("key.h"), HASH_BITS - BUCKET_BITS))
     in_label = Window.partitionBy("label")
@@ -99,7 +100,7 @@ def stratified_folds(df: DataFrame, label: str, keys: Sequence[str] = ("id",), f
     placed = df.withColumn("order_key", _order_key(keys, seed))
     fold = F.lit(0)
     for cut in cuts:
-        beyond = ((F.col(label) == F.lit(cut["label"]))
+        beyond = (F.col(label).eqNullSafe(F.lit(cut["label"]["value"]))
                   & (F.col("order_key") > _bound(df, keys, cut)))
         fold = fold + F.when(beyond, 1).otherwise(0)
     return placed.withColumn("fold", fold.cast("int")).drop("order_key")

@@ -15,16 +15,17 @@ from keepwatt.operators.hash_split import train_test_split
 MAX_CLASSES = 100
 
 
-def category_values(df: DataFrame, column: str, max_categories: int = 200) -> list:
-    """Sorted distinct values of a column; more than ``max_categories`` is an error."""
-    found = (df.select(column).where(F.col(column).isNotNull()).distinct()
-             .limit(max_categories + 1).collect())
-    if len(found) > max_categories:
+def category_values(df: DataFrame, column: str, max_categories: int | None = None) -> list:
+    """Sorted distinct values of a column. They become column names, so the caller decides
+    whether there may be any number; more than ``max_categories`` is an error."""
+    values = df.select(F.col(f"`{column}`")).where(F.col(f"`{column}`").isNotNull()).distinct()
+    found = (values if max_categories is None else values.limit(max_categories + 1)).collect()
+    if max_categories is not None and len(found) > max_categories:
         raise ValueError(f"{column!r} has more than {max_categories} categories")
     return sorted(row[0] for row in found)
 
 
-def dummies(df: DataFrame, columns: Sequence[str], max_categories: int = 200,
+def dummies(df: DataFrame, columns: Sequence[str], max_categories: int | None = None,
             categories: Mapping[str, Sequence] | None = None) -> DataFrame:
     """Replace each column by 0/1 columns ``name_value``, appended in value order.
 
@@ -35,7 +36,7 @@ def dummies(df: DataFrame, columns: Sequence[str], max_categories: int = 200,
         known = (categories or {}).get(name)
         values = known if known is not None else category_values(df, name, max_categories)
         df = df.withColumns({
-            f"{name}_{value}": F.when(F.col(name) == F.lit(value), 1).otherwise(0)
+            f"{name}_{value}": F.when(F.col(f"`{name}`") == F.lit(value), 1).otherwise(0)
             for value in values
         }).drop(name)
     return df
@@ -156,6 +157,7 @@ def prepare_data(df: DataFrame, drop_columns: Sequence[str] = ("id",), target: s
     """
     chosen = feature_names(df, target, drop_columns, features)
     kept = [k for k in dict.fromkeys(keys) if k not in chosen]
-    split = train_test_split(df, keys, test_size, seed).select(*kept, target, "split", *chosen)
+    split = train_test_split(df, keys, test_size, seed).select(
+        *[F.col(f"`{c}`") for c in [*kept, target, "split", *chosen]])
     scaler = fit_scaler(split.where(F.col("split") == "train"), chosen, fill_missing)
     return PreparedData(scaler.transform(split), scaler, chosen, target)

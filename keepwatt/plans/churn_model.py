@@ -25,6 +25,7 @@ class ChurnModel:
 
     model: PipelineModel
     prepared: PreparedData
+    params: ForestParams
 
     def scores(self) -> DataFrame:
         return evaluate_model(self.model, self.prepared.test, self.prepared.target)
@@ -34,7 +35,7 @@ class ChurnModel:
                                   self.prepared.features)
 
     def parameters(self) -> DataFrame:
-        return model_parameters(self.prepared.data.sparkSession, self.model)
+        return model_parameters(self.prepared.data.sparkSession, self.params)
 
 
 def encoded_features(features: DataFrame) -> DataFrame:
@@ -60,11 +61,13 @@ def custom_model(encoded: DataFrame, chosen: Sequence[str] | None = None,
 
     if registry is None:
         prepared, model = build()
+    elif not data_version:
+        raise ValueError("a registry needs the version of the data")
     else:
         features = chosen or selectable_features(encoded)
         key = registry.key(features, params, data_version, seed)
         prepared, model = registry.fit_or_load(key, build)
-    return ChurnModel(model, prepared)
+    return ChurnModel(model, prepared, params)
 
 
 def tuned_model(encoded: DataFrame, n_trials: int = 50, folds: int = 5,
@@ -74,4 +77,4 @@ def tuned_model(encoded: DataFrame, n_trials: int = 50, folds: int = 5,
     prepared = prepare_and_stage(encoded, seed=seed)
     result = train_random_forest_tuned(prepared, n_trials, folds, space, seed,
                                        parallelism=parallelism)
-    return ChurnModel(result.model, prepared), result
+    return ChurnModel(result.model, prepared, result.best), result

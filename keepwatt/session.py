@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,20 +57,10 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "keepw
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own; on a cluster a
-    missing setting is an error, since a machine-local folder would lose data.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="keepwatt-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``;
+    without that setting, one in the session's warehouse. The session is not changed."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared").rstrip("/")
 
 
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keepwatt.functions import cast_int
+
 # Texts that count as missing in a CSV field.
 MISSING_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -16,15 +18,18 @@ MISSING_TEXTS = [
 
 
 def load_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
-               missing: Sequence[str] = tuple(MISSING_TEXTS), multi_line: bool = False,
-               mode: str = "PERMISSIVE") -> DataFrame:
+               missing: Sequence[str] = tuple(MISSING_TEXTS), multi_line: bool = True,
+               mode: str = "FAILFAST") -> DataFrame:
     """Read CSV files with a header line. Only the header is read up front: all fields come as
     text, missing texts become NULL, and fields named in ``schema`` are cast by name, so bad
     values are errors and the column order of the file does not matter. Fields outside the
-    schema stay text. ``multi_line`` allows line breaks in quotes but makes files unsplittable.
+    schema stay text. Lines with other numbers of fields than the header, and files whose
+    headers differ, are errors. Quoted line breaks are part of their field; turning
+    ``multi_line`` off makes files splittable, for data that is known to have none.
     """
     raw = (spark.read.option("header", True).option("escape", '"')
-           .option("multiLine", multi_line).option("mode", mode).csv(path))
+           .option("multiLine", multi_line).option("mode", mode)
+           .option("enforceSchema", False).option("columnPruning", False).csv(path))
     kinds = {f.name: f.dataType for f in schema} if schema else {}
     absent = [name for name in kinds if name not in raw.columns]
     if absent:
@@ -33,14 +38,19 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     def field(name: str):
         c = F.col(f"`{name}`")
         present = F.when(~c.isin(list(missing)), c)
-        return present.cast(kinds.get(name, T.StringType())).alias(name)
+        kind = kinds.get(name, T.StringType())
+        if isinstance(kind, T.IntegralType):
+            return cast_int(present, missing_is_error=False).cast(kind).alias(name)
+        return present.cast(kind).alias(name)
 
     return raw.select(*[field(name) for name in raw.columns])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a directory of CSV part files with headers. Missing values become empty fields."""
+    """Write a directory of CSV part files with headers. Missing values become empty fields,
+    blanks around texts stay."""
     (df.write.mode(mode).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
 
 

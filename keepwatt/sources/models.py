@@ -54,9 +54,11 @@ class ModelRegistry:
         self.folder = folder.rstrip("/")
 
     def key(self, features: Sequence[str], params: ForestParams, data_version: str,
-            seed: int = 0) -> str:
+            seed: int = 0, target: str = "churn", test_size: float = 0.2,
+            fill_missing: float | None = 0.0) -> str:
         content = {"features": sorted(features), "params": params.as_dict(),
-                   "data": data_version, "seed": seed}
+                   "data": data_version, "seed": seed, "target": target,
+                   "test_size": test_size, "fill_missing": fill_missing}
         return hashlib.sha256(json.dumps(content, sort_keys=True).encode()).hexdigest()[:32]
 
     def path(self, key: str) -> str:

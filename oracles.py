@@ -241,6 +241,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "price_sensitivity_features": feature_rows,
         "feature_table_roundtrip": feature_rows,
+        "csv_text_roundtrip": "SELECT conv_id, turn, role, nullif(text, '') AS text FROM conversations",
+        "forest_parameters": """SELECT CAST(100 AS INTEGER) AS n_estimators,
+            CAST(20 AS INTEGER) AS max_depth, CAST(2 AS INTEGER) AS min_samples_split,
+            CAST(1 AS INTEGER) AS min_samples_leaf""",
         "price_changes": price_changes(),
         "client_consumption_distinct":
             "SELECT o_custkey, o_orderpriority FROM orders GROUP BY o_custkey, o_orderpriority",

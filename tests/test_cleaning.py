@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from keepwatt.operators.cleaning import (
-    channel_codes, clean_channel_sales, clean_datatypes, join_lookup,
+    channel_codes, clean_channel_sales, clean_datatypes,
 )
 
 
@@ -29,19 +29,23 @@ def test_other_threshold_and_column(spark):
     assert rows(clean_channel_sales(df, "kind", min_count=2).select("kind").distinct()) == [(0,)]
 
 
-def test_lookup_beyond_the_broadcast_limit_gives_the_same_rows(spark):
+def test_codes_joined_by_broadcast_and_by_shuffle_give_the_same_rows(spark):
     counts = {f"k{i}": 5 + i for i in range(30)} | {"hot": 400}
     df = channels(spark, **counts)
-    small = clean_channel_sales(df, min_count=10)
-    large = clean_channel_sales(df, min_count=10, broadcast_rows=3)
-    assert rows(large, "channel_sales", "n_row") == rows(small, "channel_sales", "n_row")
-
-
-def test_lookup_splits_off_hot_keys_only_beyond_the_limit(spark):
-    df = channels(spark, a=300, b=2, c=1)
-    lookup = channel_codes(df, min_count=0)
-    assert rows(join_lookup(df, lookup, "channel_sales", 1).groupBy("code").count(), "code") == [
-        (0, 300), (1, 2), (2, 1)]
+    small = rows(clean_channel_sales(df, min_count=10), "channel_sales", "n_row")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(clean_channel_sales(df, min_count=10), "channel_sales", "n_row") == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_integers_written_as_floats(spark):
+    df = spark.createDataFrame([("3.0",), (" 7 ",), ("-2.9",), ("9007199254740993",)], "n string")
+    assert rows(clean_datatypes(df, int_columns=["n"])) == [(3,), (7,), (-2,), (9007199254740993,)]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        clean_datatypes(df.limit(0).union(df.selectExpr("'x'")), int_columns=["n"]).collect()
 
 
 def test_boolean_text(spark):

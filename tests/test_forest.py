@@ -71,8 +71,8 @@ def test_scores_without_positives(spark):
     assert [v for _, v in rows(evaluate_predictions(df.limit(0)))] == [0.0, 0.0, 0.0]
 
 
-def test_parameters(spark, model):
-    assert rows(model_parameters(spark, model)) == [(10, 4, 1)]
+def test_parameters(spark):
+    assert rows(model_parameters(spark, ForestParams(10, 4, 5, 2))) == [(10, 4, 5, 2)]
     assert ForestParams(min_samples_split=5, min_samples_leaf=2).min_instances == 3
     assert ForestParams(min_samples_split=2, min_samples_leaf=3).min_instances == 3
     assert ForestParams() == ForestParams(100, 20, 2, 1)

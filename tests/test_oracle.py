@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as registered
 
-TABLES = ["customer", "orders", "lineitem", "part"]
+TABLES = ["customer", "orders", "lineitem", "part", "documents", "benchmark", "conversations"]
 ORACLES = registered.oracle_sql()
 QUERIES = registered.queries()
 

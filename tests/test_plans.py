@@ -14,7 +14,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - ML))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - ML - set(registered.LLM_QUERIES)))
 def test_no_python_and_no_pair_building(spark, small, name):
     plan = plan_of(QUERIES[name](spark, small))
     for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct",
