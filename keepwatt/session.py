@@ -13,6 +13,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # rows that hold whole texts: smaller batches keep Python workers small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
