@@ -40,9 +40,12 @@ from keepwatt.plans.churn_model import (  # noqa: E402
 from keepwatt.plans.clean_tables import (  # noqa: E402
     build_client_table, build_price_table,
 )
+from keepwatt.plans.feature_table import register_views  # noqa: E402
 from keepwatt.schemas import NUMERIC_FEATURES, PRICE_COLUMNS  # noqa: E402
 from keepwatt.session import configure, shared_dir, stage  # noqa: E402
-from keepwatt.sources.catalog import read_features, write_features  # noqa: E402
+from keepwatt.sources.catalog import (  # noqa: E402
+    read_features, register_tables, write_features,
+)
 from keepwatt.sources.csv_tables import (  # noqa: E402
     load_table, preview, schema_report as report_of, write_csv,
 )
@@ -193,6 +196,25 @@ def scaled_features(spark, sf_dir):
     return rounded(prepared.data, prepared.features)
 
 
+def scaled_chosen_features(spark, sf_dir):
+    """Model input for features that a user picked."""
+    chosen = ["yearly_consumption", "net_margin", "avg_price_peak_var"]
+    prepared = prepare_data(numeric_input(spark, sf_dir), features=chosen, fill_missing=0.0)
+    return rounded(prepared.data, prepared.features)
+
+
+def price_changes_by_channel(spark, sf_dir):
+    """The client and price tables through their SQL views."""
+    register_tables(client_data=roles.client_role(spark, sf_dir),
+                    price_data=roles.price_role(spark, sf_dir))
+    register_views(spark, as_of=roles.AS_OF)
+    return spark.sql("""
+        WITH counted AS (SELECT id, count(price_peak_var_change) AS n
+                         FROM price_change GROUP BY id)
+        SELECT channel_sales, churn, count(*) AS clients, sum(n) AS changes
+        FROM describe_price JOIN counted USING (id) GROUP BY channel_sales, churn""")
+
+
 def class_weights(spark, sf_dir):
     labels = stage(roles.feature_role(spark, sf_dir).select("id", "churn"), "labels")
     split = split_of(labels, ["id"], 0.2, seed=0)
@@ -271,7 +293,8 @@ REGISTERED = [
     clean_channel_sales, channel_codes, clean_datatypes, clean_client_table, clean_price_table,
     churn_share, churn_share_channel, churn_histogram, churn_histogram_all,
     churn_kde, churn_kde_all, column_ranges, schema_report, feature_preview,
-    channel_dummies, train_test_split, stratified_folds, scaled_features, class_weights,
+    channel_dummies, train_test_split, stratified_folds, scaled_features,
+    scaled_chosen_features, price_changes_by_channel, class_weights,
     evaluate_predictions, forest_scores, forest_importance, forest_parameters, forest_tuned, tuned_vs_custom,
     feature_table_roundtrip, csv_text_roundtrip, model_roundtrip,
 ]

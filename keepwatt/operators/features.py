@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keepwatt.functions import whole_months
 from keepwatt.schemas import FEATURE_COLUMNS, MONTH_FEATURES, PRICE_COLUMNS
+from keepwatt.session import stage
 
 DEFAULT_AS_OF = "2016-01-01"
 
@@ -89,97 +90,60 @@ def price_sensitivity_features(price: DataFrame, client: DataFrame,
             .select(*FEATURE_COLUMNS))
 
 
-# An id is hot when it holds more than 1/1000 of the rows (and more than the floor below):
-# there can be at most 1000 of those, so facts about them are small whatever the data size.
-HOT_SHARE = 1000
-HOT_FLOOR = 200_000
+GROUP_ROWS = 1_000_000  # of one window group, whatever the size of the table
 
 
-def _hot_ids(df: DataFrame, key: str, share: int, floor: int) -> DataFrame | None:
-    """Hot values of ``key`` (as ``hot_id``) and the number of pieces to cut each one into."""
-    counts = df.groupBy(F.col(key).alias("hot_id")).agg(F.count(F.lit(1)).alias("n"))
+def _pieces(df: DataFrame, key: str, group_rows: int) -> int | None:
+    """The number of ranges to cut the rows into, if a key has more than ``group_rows`` rows."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     top = counts.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
-    limit = max(floor, (top["rows"] or 0) // share)
-    if (top["largest"] or 0) <= limit:
+    if (top["largest"] or 0) <= group_rows:
         return None
-    hot = (counts.where(F.col("n") > limit)
-           .select("hot_id", F.ceil(F.col("n") / limit).cast("int").alias("pieces")))
-    return df.sparkSession.createDataFrame(hot.collect(), hot.schema)
-
-
-def _time_cuts(df: DataFrame, hot: DataFrame, key: str, micros: Column) -> DataFrame:
-    """Per hot id, the ascending order values at which its history is cut into pieces."""
-    finest = hot.agg(F.max("pieces")).first()[0]
-    quantiles = [i / finest for i in range(1, finest)]
-    accuracy = max(10_000, 10 * finest)
-    cuts = (df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("hot_id")))
-            .groupBy("hot_id", "pieces")
-            .agg(F.percentile_approx(micros, quantiles, accuracy).alias("all_cuts")))
-    # of the finest cut list, keep one cut per piece this id needs
-    thin = (f"filter(all_cuts, (c, i) -> "
-            f"((i + 1) * pieces) div {finest} > (i * pieces) div {finest})")
-    return cuts.select("hot_id", F.array_distinct(F.expr(thin)).alias("cuts"))
+    return -(-top["rows"] // group_rows)
 
 
 def price_changes(price: DataFrame, columns: list[str] | None = None, key: str = "id",
-                  order: str = "price_date", hot_share: int = HOT_SHARE,
-                  hot_floor: int = HOT_FLOOR) -> DataFrame:
+                  order: str = "price_date", group_rows: int = GROUP_ROWS) -> DataFrame:
     """Change of each price against the client's previous price date; NULL on the first one.
 
     ``(key, order)`` should be unique, otherwise "previous" is not defined within a tie (see
-    ``require_unique``). All lags share one shuffle and one sort. A counting pass first looks
-    for ids too large for one window group; only if there are any, their history is cut along
-    time, each piece is a window group of its own, and the first row of a piece takes its
-    predecessor from the last row of the piece before.
+    ``require_unique``); the order column may have any type that Spark can sort. All lags share
+    one shuffle and one sort. A counting pass first looks for an id with more than
+    ``group_rows`` rows, too many for one window group; if there is one, the rows are cut into
+    ranges of (key, order) of about that size instead, see ``_lag_in_pieces``.
     """
     columns = columns or PRICE_COLUMNS
     base = price.select(key, order, *columns)
-    hot = _hot_ids(base, key, hot_share, hot_floor)
-    if hot is None:
+    pieces = _pieces(base, key, group_rows)
+    if pieces is None:
         window = Window.partitionBy(key).orderBy(order)
         lagged = base.withColumns({f"{c}_prev": F.lag(c).over(window) for c in columns})
     else:
-        lagged = _lag_in_pieces(base, hot, columns, key, order)
+        lagged = _lag_in_pieces(base, pieces, columns, key, order)
     return lagged.select(
         key, order,
         *[(F.col(c) - F.col(f"{c}_prev")).alias(f"{c}_change") for c in columns],
     )
 
 
-def _lag_in_pieces(base: DataFrame, hot: DataFrame, columns: list[str], key: str,
+def _lag_in_pieces(base: DataFrame, pieces: int, columns: list[str], key: str,
                    order: str) -> DataFrame:
-    # missing order values sort first, so they belong to the first piece
-    micros = F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(-2**63))
-    # at most 1000 ids and 2000 cuts in total, so this broadcast is bounded
-    cuts = F.broadcast(_time_cuts(base, hot, key, micros))
-    cut = (base.join(cuts, F.col(key).eqNullSafe(F.col("hot_id")), "left")
-           .withColumn("is_hot", F.col("cuts").isNotNull())
-           .withColumn("piece", F.when(F.col("is_hot"),
-                                       F.size(F.filter("cuts", lambda c: c <= micros)))
-                       .otherwise(F.lit(0)))
-           .drop("hot_id", "cuts"))
-
-    window = Window.partitionBy(key, "piece").orderBy(order)
-    lagged = cut.withColumns({
-        "is_first": F.row_number().over(window) == 1,
-        **{f"{c}_prev": F.lag(c).over(window) for c in columns},
-    })
-
-    last_row = F.max_by(F.struct(*columns), micros)
-    by_piece = Window.partitionBy("hot_id").orderBy("hot_piece")
-    # one row per piece of a hot id, so bounded like the cuts
-    carried = (cut.where("is_hot")
-               .groupBy(F.col(key).alias("hot_id"), F.col("piece").alias("hot_piece"))
-               .agg(last_row.alias("last"))
-               .select("hot_id", "hot_piece", F.lag("last").over(by_piece).alias("carry")))
-    same_piece = (F.col(key).eqNullSafe(F.col("hot_id"))
-                  & (F.col("piece") == F.col("hot_piece")) & F.col("is_hot"))
-    joined = lagged.join(F.broadcast(carried), same_piece, "left")
-    return joined.withColumns({
-        f"{c}_prev": F.when(F.col("is_first") & F.col("is_hot"), F.col(f"carry.{c}"))
-        .otherwise(F.col(f"{c}_prev"))
-        for c in columns
-    })
+    """Previous values within ranges of (key, order). Ranges are cut by sampled positions, so
+    they are of similar size whatever the keys. The last row of a range is also put into the
+    next one, where it sorts first and serves as the predecessor of the first row."""
+    ranged = stage(base.repartitionByRange(pieces, key, order)
+                   .withColumn("piece", F.spark_partition_id()), "price-ranges")
+    # one row per piece, also for the window without a partition
+    last = ranged.groupBy("piece").agg(
+        F.max_by(F.struct(*base.columns), F.struct(key, order)).alias("last"))
+    carried = last.select("last.*", F.lead("piece").over(Window.orderBy("piece")).alias("piece"))
+    rows = ranged.withColumn("carried", F.lit(False)).unionByName(
+        carried.where("piece IS NOT NULL").withColumn("carried", F.lit(True)))
+    window = Window.partitionBy("piece").orderBy(key, order)
+    before = rows.withColumn("before", F.lag(F.struct(key, *columns)).over(window))
+    same_key = F.col("before").isNotNull() & F.col(f"before.{key}").eqNullSafe(F.col(key))
+    return before.where("NOT carried").withColumns({
+        f"{c}_prev": F.when(same_key, F.col(f"before.{c}")) for c in columns})
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:

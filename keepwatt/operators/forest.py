@@ -11,9 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwatt.operators.preparation import (
-    PreparedData, balanced_weights, class_counts, weight_column,
-)
+from keepwatt.operators.preparation import PreparedData, weight_table
 
 MAX_DEPTH = 30
 VECTOR = "feature_vector"
@@ -78,9 +76,7 @@ def train_random_forest(prepared: PreparedData, params: ForestParams = ForestPar
     """
     vectors = assembler(prepared.features)
     train = assemble(prepared.train, prepared.features, prepared.target)
-    counts = class_counts(train, prepared.target)
-    weighted = train.withColumn(
-        WEIGHT, weight_column(balanced_weights(counts), prepared.target))
+    weighted = train.join(weight_table(train, prepared.target, WEIGHT), prepared.target)
     forest = classifier(params, prepared.target, seed).fit(weighted)
     return PipelineModel([vectors, forest])
 

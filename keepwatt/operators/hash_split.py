@@ -12,11 +12,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from keepwatt.session import stage
+
 HASH_BITS = 32
 # 2^16 buckets: a counting task sends at most 65,536 rows, and a bucket of 10^11 keys holds
 # about 1.5 million of them
 BUCKET_BITS = 16
-MAX_CUTS = 10_000
 
 
 def hash_order(keys: Sequence[str], seed: int = 0) -> Column:
@@ -30,11 +31,12 @@ def _order_key(keys: Sequence[str], seed: int) -> Column:
 
 
 def _cut_positions(df: DataFrame, keys: Sequence[str], seed: int,
-                   ranks: Callable[[Column], Column], label: str | None) -> list[Row]:
-    """Order positions (h, keys) of the rows with the given ranks within each label.
+                   ranks: Callable[[Column], Column], label: str | None) -> DataFrame:
+    """(label, rank, key): order positions (h, keys) of the rows with the given ranks within
+    each label.
 
-    ``ranks`` turns a label's row count into an array of ranks. Only one row per label and
-    rank comes back. The running totals are over 2^16 hash buckets, and then over the keys of
+    ``ranks`` turns a label's row count into an array of ranks. The result has one row per
+    label and rank, and there may be any number of labels. The running totals are over 2^16 hash buckets, and then over the keys of
     the buckets hit, each 1/65536 of all keys. Copies of a key are counted before either total,
     so they cannot pile up in one task.
     """
@@ -48,22 +50,20 @@ def _cut_positions(df: DataFrame, keys: Sequence[str], seed: int,
                .withColumn("total", F.sum("n").over(in_label)))
     inside = F.filter(ranks(F.col("total")),
                       lambda r: (r > F.col("upto") - F.col("n")) & (r <= F.col("upto")))
-    hits = buckets.select("label", "bucket", (F.col("upto") - F.col("n")).alias("before"),
-                          F.explode(inside).alias("rank"))
-    found = hits.limit(MAX_CUTS + 1).collect()
-    if len(found) > MAX_CUTS:
-        raise ValueError(f"{label!r} has too many different labels")
-    targets = df.sparkSession.createDataFrame(found, hits.schema)
+    # written, so that its size is known where it is joined
+    targets = stage(
+        buckets.select("label", "bucket", (F.col("upto") - F.col("n")).alias("before"),
+                       F.explode(inside).alias("rank")), "split-ranks")
 
     in_bucket = Window.partitionBy("label", "bucket").orderBy("key")
-    spots = F.broadcast(targets.select("label", "bucket").distinct())
+    spots = targets.select("label", "bucket").distinct()
     ordered = (rows.join(spots, ["label", "bucket"], "left_semi")
                .groupBy("label", "bucket", "key").agg(F.count(F.lit(1)).alias("n"))
                .withColumn("upto", F.sum("n").over(in_bucket)))
     position = F.col("before") + F.col("upto")
-    return (ordered.join(F.broadcast(targets), ["label", "bucket"])
+    return (ordered.join(targets, ["label", "bucket"])
             .where((F.col("rank") <= position) & (F.col("rank") > position - F.col("n")))
-            .select("label", "rank", "key").collect())
+            .select("label", "rank", "key"))
 
 
 def _bound(df: DataFrame, keys: Sequence[str], cut: Row) -> Column:
@@ -82,10 +82,10 @@ def train_test_split(df: DataFrame, keys: Sequence[str] = ("id",), test_size: fl
     def rank(total: Column) -> Column:
         return F.array(F.ceil(total * F.lit(float(test_size))))
 
-    cuts = _cut_positions(df, keys, seed, rank, None)
-    if not cuts:
+    cut = _cut_positions(df, keys, seed, rank, None).first()
+    if cut is None:
         return df.withColumn("split", F.lit("train"))
-    is_test = _order_key(keys, seed) <= _bound(df, keys, cuts[0])
+    is_test = _order_key(keys, seed) <= _bound(df, keys, cut)
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
@@ -95,12 +95,12 @@ def stratified_folds(df: DataFrame, label: str, keys: Sequence[str] = ("id",), f
     def ranks(total: Column) -> Column:
         return F.array(*[F.ceil(total * i / F.lit(float(folds))) for i in range(1, folds)])
 
-    cuts = _cut_positions(df, keys, seed, ranks, label)
-    # hashed once per row, then compared with each cut of the row's label
-    placed = df.withColumn("order_key", _order_key(keys, seed))
-    fold = F.lit(0)
-    for cut in cuts:
-        beyond = (F.col(label).eqNullSafe(F.lit(cut["label"]["value"]))
-                  & (F.col("order_key") > _bound(df, keys, cut)))
-        fold = fold + F.when(beyond, 1).otherwise(0)
-    return placed.withColumn("fold", fold.cast("int")).drop("order_key")
+    # one row per label: a table like others, joined as its size asks for
+    cuts = stage(_cut_positions(df, keys, seed, ranks, label).groupBy("label").agg(
+        F.collect_list("key").alias("fold_cuts")), "fold-cuts")
+    placed = df.withColumns({"order_key": _order_key(keys, seed),
+                             "fold_label": F.struct(F.col(label).alias("value"))})
+    beyond = F.filter("fold_cuts", lambda cut: F.col("order_key") > cut)
+    return (placed.join(cuts.withColumnRenamed("label", "fold_label"), "fold_label", "left")
+            .withColumn("fold", F.coalesce(F.size(beyond), F.lit(0)))
+            .select(*[F.col(f"`{c}`") for c in df.columns], "fold"))

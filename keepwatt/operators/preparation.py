@@ -6,13 +6,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwatt.operators.hash_split import train_test_split
-
-
-MAX_CLASSES = 100
+from keepwatt.session import stage
 
 
 def category_values(df: DataFrame, column: str, max_categories: int | None = None) -> list:
@@ -107,25 +105,11 @@ def class_weights(df: DataFrame, label: str = "churn") -> DataFrame:
         (totals.getField("rows") / (totals.getField("classes") * F.col("n"))).alias("weight"))
 
 
-def weight_column(weights: Mapping, label: str) -> Column:
-    """The weight of a row's class, from a {class: weight} mapping."""
-    column = F.lit(None).cast("double")
-    for value, weight in weights.items():
-        column = F.when(F.col(label) == F.lit(value), F.lit(float(weight))).otherwise(column)
-    return column
-
-
-def balanced_weights(counts: Mapping) -> dict:
-    total = sum(counts.values())
-    return {value: total / (len(counts) * n) for value, n in counts.items()}
-
-
-def class_counts(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> dict:
-    rows = (df.where(F.col(label).isNotNull()).groupBy(label)
-            .agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect())
-    if len(rows) > max_classes:
-        raise ValueError(f"{label!r} has more than {max_classes} classes")
-    return {row[0]: row["n"] for row in rows}
+def weight_table(df: DataFrame, label: str, name: str) -> DataFrame:
+    """(label, ``name``): the balanced weight of each class, written, so that its size is known
+    where it is joined. There may be any number of classes."""
+    weights = class_weights(df, label).select(label, F.col("weight").alias(name))
+    return stage(weights, "class-weights")
 
 
 @dataclass

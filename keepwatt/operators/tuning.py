@@ -17,9 +17,7 @@ from keepwatt.operators.forest import (
     WEIGHT, ForestParams, assemble, classifier, evaluate_model, train_random_forest,
 )
 from keepwatt.operators.hash_split import stratified_folds
-from keepwatt.operators.preparation import (
-    MAX_CLASSES, PreparedData, balanced_weights, weight_column,
-)
+from keepwatt.operators.preparation import PreparedData, weight_table
 from keepwatt.session import stage
 
 
@@ -76,22 +74,12 @@ def cross_validate(folded: DataFrame, settings: Sequence[ForestParams], target:
     Class weights are those of the training folds. Up to ``parallelism`` fits run at a time;
     each of them is itself a distributed job.
     """
-    counted = (folded.groupBy("fold", target).agg(F.count(F.lit(1)).alias("n"))
-               .limit(MAX_CLASSES * folds + 1).collect())
-    if len(counted) > MAX_CLASSES * folds:
-        raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes")
-
-    def weights_without(fold: int) -> dict:
-        counts: dict = {}
-        for row in counted:
-            if row["fold"] != fold:
-                counts[row[target]] = counts.get(row[target], 0) + row["n"]
-        return balanced_weights(counts)
+    weights = [weight_table(folded.where(F.col("fold") != fold), target, WEIGHT)
+               for fold in range(folds)]
 
     def score(job: tuple[ForestParams, int]) -> float:
         params, fold = job
-        train = folded.where(F.col("fold") != fold).withColumn(
-            WEIGHT, weight_column(weights_without(fold), target))
+        train = folded.where(F.col("fold") != fold).join(weights[fold], target)
         model = classifier(params, target, seed).fit(train)
         return _recall(model.transform(folded.where(F.col("fold") == fold)), target)
 

@@ -188,9 +188,8 @@ split AS (
 )"""
 
 
-def scaled_features() -> str:
-    """Numeric features without channel: fill with 0, scale by the training rows."""
-    columns = ["tenure_years", *NUMERIC_FEATURES]
+def scaled_features(columns: list[str]) -> str:
+    """The given features: fill with 0, scale by the training rows."""
     fills = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in columns)
     stats = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN min({c}) = max({c}) THEN 1.0 "
                       f"ELSE stddev_pop({c}) END AS s_{c}" for c in columns)
@@ -308,7 +307,16 @@ ranked AS (
          count(*) OVER (PARTITION BY churn) AS n
   FROM labelled)
 SELECT id, churn, CAST({folds} AS INTEGER) AS fold FROM ranked""",
-        "scaled_features": scaled_features(),
+        "scaled_features": scaled_features(["tenure_years", *NUMERIC_FEATURES]),
+        "scaled_chosen_features": scaled_features(
+            ["yearly_consumption", "net_margin", "avg_price_peak_var"]),
+        "price_changes_by_channel": f"""
+WITH {FEATURES},
+changed AS (SELECT id, price_peak_var - lag(price_peak_var)
+                         OVER (PARTITION BY id ORDER BY price_date) AS change FROM price),
+counted AS (SELECT id, count(change) AS n FROM changed GROUP BY id)
+SELECT channel_sales, churn, count(*) AS clients, CAST(sum(n) AS BIGINT) AS changes
+FROM features JOIN counted USING (id) GROUP BY channel_sales, churn""",
         "class_weights": f"""
 WITH {FEATURES}, {SPLIT},
 counted AS (SELECT churn, count(*) AS n FROM split

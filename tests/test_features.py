@@ -160,23 +160,34 @@ def skewed_history(spark, n=1500):
     return spark.createDataFrame(list({(r[0], r[1]): r for r in data}.values()), schema)
 
 
-@pytest.mark.parametrize("floor", [20, 60, 200])
-def test_cutting_hot_histories_changes_nothing(spark, floor):
+@pytest.mark.parametrize("group_rows", [1, 20, 60, 200])
+def test_cutting_hot_histories_changes_nothing(spark, group_rows):
     price = skewed_history(spark).repartition(5).persist()
     expected = plain_changes(price)
-    result = price_changes(price, hot_floor=floor)
+    result = price_changes(price, group_rows=group_rows)
     plan = result._jdf.queryExecution().executedPlan().toString()
-    assert "piece" in plan and "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+    assert "piece" in plan and "Join" not in plan
     assert rows(result, "id", "price_date") == rows(expected, "id", "price_date")
 
 
-def test_hot_histories_are_really_cut(spark):
+@pytest.mark.parametrize("order", [
+    "string(price_date)", "unix_micros(price_date)", "struct('p', price_date)"])
+def test_any_order_that_sorts_works_with_and_without_hot_ids(spark, order):
+    price = skewed_history(spark, 400).withColumn("price_date", F.expr(order))
+    plain = rows(price_changes(price).drop("price_date"), *[f"{c}_change" for c in PRICE_COLUMNS])
+    cut = rows(price_changes(price, group_rows=50).drop("price_date"),
+               *[f"{c}_change" for c in PRICE_COLUMNS])
+    assert plain == cut and len(cut) == price.count()
+
+
+def test_no_window_group_grows_with_the_hot_history(spark):
     from keepwatt.operators import features as f
     price = skewed_history(spark)
-    hot = f._hot_ids(price, "id", f.HOT_SHARE, 100)
-    assert {r["hot_id"] for r in hot.collect()} == {"hot", None}
-    cuts = f._time_cuts(price, hot, "id", F.unix_micros("price_date")).collect()
-    assert all(3 <= len(r["cuts"]) + 1 <= 8 for r in cuts)
+    pieces = f._pieces(price, "id", 100)
+    assert pieces == -(-price.count() // 100) and f._pieces(price, "id", 1000) is None
+    sizes = (price.repartitionByRange(pieces, "id", "price_date")
+             .groupBy(F.spark_partition_id()).count())
+    assert sizes.agg(F.max("count")).first()[0] <= 200
 
 
 def test_ordinary_histories_take_one_shuffle_and_sort(spark):

@@ -88,6 +88,17 @@ def test_folds_are_stratified(spark):
     assert rows(folded, "id") == rows(again, "id")
 
 
+def test_folds_of_many_labels_and_missing_ones(spark):
+    df = spark.range(6000).select("id", F.expr("nullif(id % 3000, 0)").alias("churn"))
+    df = df.union(spark.range(6000, 6100).selectExpr("id", "CAST(NULL AS BIGINT)"))
+    folded = stratified_folds(df, "churn", ["id"], 5)
+    missing = folded.where("churn IS NULL").groupBy("fold").count().collect()
+    assert folded.count() == 6100 and folded.columns == ["id", "churn", "fold"]
+    assert len(missing) == 5 and {r["count"] for r in missing} <= {20, 21}
+    pairs = folded.where("churn IS NOT NULL").groupBy("churn").agg(F.count_distinct("fold").alias("n"))
+    assert pairs.where("n <> 2").count() == 0
+
+
 def test_scaler_uses_population_spread(spark):
     values = [1.0, 2.0, 4.0] + [9.0] * 10
     df = spark.createDataFrame([(v, 5.0, None) for v in values], "x double, c double, e double")
