@@ -71,8 +71,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def links(fps: DataFrame, name: str = "simhash") -> DataFrame:
-    """(view, a, b): links that connect all fingerprints (view, fp) of a view at 2 or fewer
-    differing bits.
+    """(a, b): links between the nodes of fingerprints (view, fp, node) that connect all those
+    of a view at 2 or fewer differing bits. Nodes that several views link are linked once.
 
     Distinct fingerprints meet in seven tables by their bits under a covering mask. Where a
     bucket holds several, each one gives itself and its copies with one bit outside the mask
@@ -81,23 +81,23 @@ def links(fps: DataFrame, name: str = "simhash") -> DataFrame:
     size of the bucket, and it is linked as a star; no pairs of a bucket are made.
     """
     masks = covering_masks()
-    distinct = stage(fps.select("view", "fp").distinct(), f"{name}-distinct")
+    distinct = stage(fps.select("view", "fp", "node").distinct(), f"{name}-distinct")
     keys = F.array(*[F.struct(F.lit(t).alias("at"), F.col("fp").bitwiseAND(
         F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-    buckets = distinct.select("view", "fp", F.explode(keys).alias("k")).select(
-        "view", "fp", "k.at", "k.key")
+    buckets = distinct.select("view", "fp", "node", F.explode(keys).alias("k")).select(
+        "view", "fp", "node", "k.at", "k.key")
     bucket = ["view", "at", "key"]
     crowded = stage(buckets.groupBy(*bucket).agg(F.min("fp").alias("low"),
                                                  F.max("fp").alias("high"))
                     .where("low <> high").select(*bucket), f"{name}-buckets")
     flips = F.array(*[F.array(F.lit(0).cast("long"), *[
         F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in masks])
-    variants = buckets.join(crowded, bucket).select("view", "at", "fp", F.explode(
+    variants = buckets.join(crowded, bucket).select("view", "at", "node", F.explode(
         F.transform(F.element_at(flips, F.col("at") + 1),
                     lambda bit: F.col("fp").bitwiseXOR(bit))).alias("variant"))
-    stars = variants.groupBy("view", "at", "variant").agg(F.collect_set("fp").alias("members"))
+    stars = variants.groupBy("view", "at", "variant").agg(F.collect_set("node").alias("members"))
     return (stars.where(F.size("members") > 1)
-            .select("view", F.array_min("members").alias("a"), F.explode("members").alias("b"))
+            .select(F.array_min("members").alias("a"), F.explode("members").alias("b"))
             .where("a <> b").distinct())
 
 
@@ -110,7 +110,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     fps = stage(fingerprints(docs, shingle), "simhash-fps")
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(fps.withColumn("view", F.lit(0))), "simhash")
+    roots = components(links(fps.select(F.lit(0).alias("view"), "fp", F.col("fp").alias("node"))),
+                       "simhash")
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = stage(rooted, "simhash-classes")
@@ -182,17 +183,11 @@ def text_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     views = stage(texts.mapInArrow(_views, "key long, fps array<long>")
                   .dropDuplicates(["key"]), "similar-fps")
     fps = views.select("key", F.posexplode("fps").alias("view", "fp"))
-    first = stage(fps.groupBy("view", "fp").agg(F.min("key").alias("first")), "similar-first")
-    same = fps.join(first, ["view", "fp"]).where("key <> first").select(
-        F.col("first").alias("a"), F.col("key").alias("b"))
-    close = links(first, "similar")
-    for end in ("a", "b"):
-        named = first.select("view", F.col("fp").alias(end), F.col("first").alias(f"text_{end}"))
-        close = close.join(named, ["view", end])
-    close = close.select(F.col("text_a").alias("a"), F.col("text_b").alias("b"))
-    pairs = stage(same.union(close).where("a <> b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-        "similar-pairs")
+    first = stage(fps.groupBy("view", "fp").agg(F.min("key").alias("node")), "similar-first")
+    same = fps.join(first, ["view", "fp"]).where("key <> node").select(
+        F.col("node").alias("a"), F.col("key").alias("b"))
+    # the smaller one of a link comes first in both
+    pairs = stage(same.union(links(first, "similar")).distinct(), "similar-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     sets = stage(texts.join(wanted.hint("merge"), "key", "left_semi").dropDuplicates(["key"])
                  .mapInArrow(_shingle_sets, "key long, shingles binary"), "similar-shingles")

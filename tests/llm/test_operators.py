@@ -299,7 +299,8 @@ def test_covering_masks_and_links(spark):
     prints = {b ^ sum(1 << int(i) for i in numbers.choice(64, k, replace=False))
               for b in base for k in (0, 1, 2, 3, 4) for _ in range(12)}
     signed = [(0, op10_simhash._signed(p)) for p in prints]
-    found = op10_simhash.links(spark.createDataFrame(signed, "view int, fp long")).collect()
+    found = op10_simhash.links(spark.createDataFrame(
+        [(*s, s[1]) for s in signed], "view int, fp long, node long")).collect()
     root = {p: p for _, p in signed}
 
     def merge(links):
