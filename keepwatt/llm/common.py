@@ -71,26 +71,40 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` (a, b) can reach.
-
-    Each round takes the smallest root among the neighbours and then that root's own root, so
-    the rounds grow with the logarithm of the longest path. Every round is a written table;
-    both sides of the join on a hub are plain shuffles, which adaptive execution splits.
+    """(node, root): for each node of ``edges`` (a, b) one node that stands for all it can reach.
+
+    Each round points every node to the smallest of itself and its neighbours, moves the links
+    to where their ends point, and goes on with those that still link two nodes. The first two
+    rounds compare the nodes themselves, which ends stars around their smallest node; later ones
+    compare hashes that change every two rounds, so that no order of nodes makes long paths
+    slow. Links are held once, in one direction, and rounds get smaller and smaller. Every round
+    is a written table. Repeated links and an empty table are fine; a node that is only linked
+    to itself is not returned.
     """
-    forward = edges.select("a", "b")
-    both = stage(forward.union(forward.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges")
-    roots = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-                  .select("node", F.least("node", "root").alias("root"),
-                          F.lit(True).alias("changed")), f"{name}-roots")
-    while roots.where("changed").limit(1).count():
-        of_neighbour = roots.select(F.col("node").alias("b"), F.col("root").alias("reached"))
-        nearer = (both.join(of_neighbour, "b").groupBy(F.col("a").alias("node"))
-                  .agg(F.min("reached").alias("reached")))
-        stepped = roots.join(nearer, "node").select(
-            "node", "root", F.least("root", "reached").alias("reached"))
-        of_root = roots.select(F.col("node").alias("reached"), F.col("root").alias("jumped"))
-        new_root = F.least("reached", "jumped")
-        roots = stage(stepped.join(of_root, "reached").select(
-            "node", new_root.alias("root"), (new_root != F.col("root")).alias("changed")),
-            f"{name}-roots")
-    return roots.select("node", "root")
+    def links_of(some: DataFrame) -> DataFrame:
+        once = some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return stage(once.where("a <> b").distinct(), f"{name}-links")
+
+    def moves_of(left: DataFrame, step: int) -> DataFrame:
+        def rank(node: str):
+            return F.col(node) if step < 2 else F.xxhash64(F.lit(step // 2), node)
+
+        sides = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(
+            left.select("b", "a"))
+        lowest = sides.groupBy("node").agg(F.min_by("other", rank("other")).alias("other"))
+        stays = rank("node") <= rank("other")
+        return stage(lowest.select("node", F.when(stays, F.col("node")).otherwise(
+            F.col("other")).alias("root")), f"{name}-moves")
+
+    left, moves = links_of(edges), []
+    while left.limit(1).count():
+        moves.append(moves_of(left, len(moves)))
+        of_a, of_b = moves[-1].toDF("a", "to_a"), moves[-1].toDF("b", "to_b")
+        left = links_of(left.join(of_a, "a").join(of_b, "b").select(
+            F.col("to_a").alias("a"), F.col("to_b").alias("b")))
+    roots = moves.pop() if moves else left.toDF("node", "root")
+    for move in reversed(moves):
+        on = roots.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        roots = stage(move.join(on, "root", "left").select(
+            "node", F.coalesce("last", "root").alias("root")), f"{name}-roots")
+    return roots

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from keepwatt.llm import (
-    op1_bpe, op2_personal_data, op3_token_files, op4_language_model, op5_decontamination,
+    common, op1_bpe, op2_personal_data, op3_token_files, op4_language_model, op5_decontamination,
     op6_line_quality, op7_licenses, op8_hilbert, op9_separators, op10_simhash, range_coder,
 )
 
@@ -290,6 +290,25 @@ def test_simhash_components_equal_brute_force(docs, nothing):
     assert op10_simhash.near_duplicates(nothing).count() == 0
 
 
+def test_components_of_paths_stars_and_random_links(spark):
+    numbers = np.random.default_rng(5)
+    shuffled = numbers.permutation(300).tolist()
+    links = [(k, k + 1) for k in range(1000, 1300)]  # a path in the order of its nodes
+    links += [(2000 + a, 2000 + b) for a, b in itertools.pairwise(shuffled)]
+    links += [(3150, 3000 + k) for k in range(300)] + [(4000, 4001), (4001, 4000), (4000, 4001)]
+    links += [(5000 + a, 5000 + b) for a, b in numbers.integers(0, 400, (250, 2)).tolist()]
+    root = {n: n for link in links for n in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = dict(common.components(spark.createDataFrame(links, "a long, b long"), "test").collect())
+    assert set(got) == {n for a, b in links if a != b for n in (a, b)}
+    # one root for each brute-force class and one class for each root
+    classes = {(r, root[n]) for n, r in got.items()}
+    assert len(classes) == len({r for r, _ in classes}) == len({r for _, r in classes})
+    assert common.components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
 def test_covering_masks_and_links(spark):
     masks = op10_simhash.covering_masks()
     for pair in itertools.combinations(range(64), 2):
