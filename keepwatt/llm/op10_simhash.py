@@ -11,16 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwatt.llm.common import (
-    HASH_SEED, WordHashes, components, read_documents, shingle_hashes, whole_text, word_lists,
+    HALF, HASH_SEED, MIX, WordHashes, components, read_documents, shingle_hashes, whole_text,
+    word_lists,
 )
 from keepwatt.session import stage
 
 BITS = 64
 RADIUS = 2
-VIEWS = 8
-VIEW_FACTORS = np.random.default_rng(10).integers(
-    1, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-VIEW_MIX = np.uint64(0xC4CEB9FE1A85EC53)
+BANDS, BAND_ROWS = 32, 4  # a pair at 0.8 shares no band with a chance of (1 - 0.8**4)**32
+FACTORS = np.random.default_rng(10).integers(
+    1, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PIECE = 4096  # shingles hashed at once
 
 
 def _signed(bits: int) -> int:
@@ -120,36 +121,49 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of a text's distinct words under several hash functions."""
+def _shingle_set(text: bytes, of_word: WordHashes) -> np.ndarray:
+    """Sorted distinct hashes of five-word shingles."""
+    words = np.array([of_word[w] for some in word_lists(text) for w in some], np.uint64)
+    return np.unique(shingle_hashes(words))
+
+
+def band_hashes(shingles: np.ndarray) -> np.ndarray:
+    """One number per band, from the least values of its hash functions over the shingles."""
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for k in range(0, len(shingles), PIECE):
+        mixed = shingles[None, k:k + PIECE] * FACTORS
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= MIX
+        np.minimum(least, mixed.min(axis=1), out=least)
+    hashes = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        hashes = (hashes ^ row) * MIX
+        hashes ^= hashes >> HALF
+    return hashes
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of shingles and band hashes of each text; a text without words has no bands."""
     of_word = WordHashes()
     for batch in batches:
-        fps = []
+        sizes, bands, offsets = [], [], [0]
         for text in batch.column(1):
-            words = {w for some in word_lists(text.as_py()) for w in some}
-            hashes = np.array([of_word[w] for w in words], np.uint64)
-            mixed = hashes[None, :] * VIEW_FACTORS[:, None]
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= VIEW_MIX
-            ones = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(
-                VIEWS, len(hashes), 8), axis=2).sum(axis=1, dtype=np.int64)
-            fps.append(np.packbits(2 * ones > len(hashes), axis=1).view(">i8").ravel())
-        flat = np.concatenate(fps).astype(np.int64) if fps else np.zeros(0, np.int64)
-        offsets = np.arange(0, len(flat) + 1, VIEWS, dtype=np.int32)
+            shingles = _shingle_set(text.as_py(), of_word)
+            sizes.append(len(shingles))
+            if len(shingles):
+                bands.append(band_hashes(shingles).view(np.int64))
+            offsets.append(BANDS * len(bands))
+        flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-            ["key", "fps"])
+            [batch.column(0), pa.array(sizes, pa.int64()),
+             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
+            ["key", "size", "bands"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted distinct hashes of five-word shingles."""
     of_word = WordHashes()
     for batch in batches:
-        sets = []
-        for text in batch.column(1):
-            words = np.array([of_word[w] for some in word_lists(text.as_py()) for w in some],
-                             np.uint64)
-            sets.append(np.unique(shingle_hashes(words)).astype("<u8").tobytes())
+        sets = [_shingle_set(t.as_py(), of_word).astype("<u8").tobytes() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sets, pa.binary())], ["key", "shingles"])
 
@@ -167,34 +181,49 @@ def _similar(least: float):
     return of_batches
 
 
+def buckets(texts: DataFrame) -> DataFrame:
+    """(band, hash, key, size): distinct texts (key, text) that share a band hash with others.
+    Of buckets with the same members, known by two hashes over them, one stays."""
+    views = stage(texts.mapInArrow(_bands, "key long, size long, bands array<long>")
+                  .dropDuplicates(["key"]), "similar-bands")
+    rows = views.select("key", "size", F.posexplode("bands").alias("band", "hash"))
+    groups = rows.groupBy("band", "hash").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")).where("n > 1")
+    chosen = stage(groups.groupBy("n", "x", "y").agg(F.min(F.struct("band", "hash")).alias("at"))
+                   .select("at.band", "at.hash"), "similar-buckets")
+    return stage(rows.join(chosen.hint("merge"), ["band", "hash"])
+                 .select("band", "hash", "key", "size"), "similar-members")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingles have a Jaccard similarity of at least ``least``."""
+    of_a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a"))
+    of_b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b"))
+    both = pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b").select(
+        "a", "b", "of_a", "of_b")
+    return both.mapInArrow(_similar(least), "a long, b long")
+
+
 def text_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(key, root): classes of similar texts, for texts similar to another one. A key is the
     XXH64 of a text.
 
-    Near copies in the sense of five-word shingles at a similarity of 0.8 differ by several
-    bits in a SimHash of shingles, but by few in one of their words. So each text has eight
-    fingerprints of its distinct words, under different hash functions, and texts within two
-    bits in any of them are candidates, through one representative per fingerprint. What
-    counts is the exact Jaccard similarity of their five-word shingles. A pair at 0.8 is found
-    with a chance of about 0.8, one at 0.9 with 0.99; equal texts have one key.
+    Similar are texts with an exact Jaccard similarity of ``least`` of their five-word shingles.
+    Candidates share one of 32 keys, each of four minimum hashes of these shingles, so the
+    chance to find a pair depends on its similarity alone, whatever its kind of edit: at 0.8 a
+    pair shares no key with a chance of 5e-8. Equal texts have one key.
     """
     texts = docs.select(whole_text().alias("text")).select(
         F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
-    views = stage(texts.mapInArrow(_views, "key long, fps array<long>")
-                  .dropDuplicates(["key"]), "similar-fps")
-    fps = views.select("key", F.posexplode("fps").alias("view", "fp"))
-    first = stage(fps.groupBy("view", "fp").agg(F.min("key").alias("node")), "similar-first")
-    same = fps.join(first, ["view", "fp"]).where("key <> node").select(
-        F.col("node").alias("a"), F.col("key").alias("b"))
-    # the smaller one of a link comes first in both
-    pairs = stage(same.union(links(first, "similar")).distinct(), "similar-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = stage(texts.join(wanted.hint("merge"), "key", "left_semi").dropDuplicates(["key"])
+    members = buckets(texts)
+    sets = stage(texts.join(members.select("key").distinct().hint("merge"), "key", "left_semi")
+                 .dropDuplicates(["key"])
                  .mapInArrow(_shingle_sets, "key long, shingles binary"), "similar-shingles")
-    of_a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a"))
-    of_b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b").select("a", "b", "of_a", "of_b")
-    return components(both.mapInArrow(_similar(least), "a long, b long"), "similar").select(
+    centres = members.groupBy("band", "hash").agg(F.min("key").alias("a"))
+    pairs = members.join(centres, ["band", "hash"]).where("a <> key").select(
+        "a", F.col("key").alias("b")).distinct()
+    return components(verified(pairs, sets, least), "similar").select(
         F.col("node").alias("key"), "root")
 
 

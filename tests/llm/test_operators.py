@@ -343,6 +343,41 @@ def test_deduplication_keeps_one_of_each_class(docs):
     assert kept.where("coalesce(text, '') = ''").count() == 1
 
 
+def jaccard(a, b):
+    return len(a & b) / max(len(a | b), 1)
+
+
+def plain_classes(texts):
+    """Sets of texts connected by a five-word Jaccard of at least 0.8, of two texts or more."""
+    sets, root = [five(t) for t in texts], list(range(len(texts)))
+    near = [(a, b) for a, b in itertools.combinations(root, 2) if jaccard(sets[a], sets[b]) >= 0.8]
+    for _ in root:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    classes = [frozenset(t for t, r in zip(texts, root, strict=True) if r == k) for k in set(root)]
+    return {c for c in classes if len(c) > 1}
+
+
+def found_classes(spark, texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r["key"]: r["text"] for r in table.select(F.xxhash64("text").alias("key"), "text").collect()}
+    classes = {}
+    for r in op10_simhash.text_classes(table).collect():
+        classes.setdefault(r["root"], set()).add(keys[r["key"]])
+    return {frozenset(c) for c in classes.values()}
+
+
+def test_near_copies_by_block_edits_are_found(spark):
+    texts = []
+    for k in range(40):
+        words = [f"b{k}w{j}" for j in range(100 + 20 * k)]
+        block = [f"c{k}x{j}" for j in range(int(len(words) * (0.05 + 0.15 * (k // 4) / 10)))]
+        texts += [" ".join(words), " ".join([words + block, block + words, words[len(block):],
+                                             words[:50] + block + words[50:]][k % 4])]
+    want = plain_classes(texts)
+    assert len(want) > 25 and found_classes(spark, texts) == want
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     folder = str(tmp_path)
     body = [" ".join(f"q{k}z{j}" for j in range(80)) for k in range(4)]
