@@ -22,6 +22,8 @@ BANDS, BAND_ROWS = 32, 4  # a pair at 0.8 shares no band with a chance of (1 - 0
 FACTORS = np.random.default_rng(10).integers(
     1, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PIECE = 4096  # shingles hashed at once
+STAR_ROUNDS = 6  # before all pairs that are left are compared, however many
+BLOCK = 64  # members of a bucket that meet in one group when all pairs are made
 
 
 def _signed(bits: int) -> int:
@@ -205,6 +207,54 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(_similar(least), "a long, b long")
 
 
+def unconnected(members: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int, int]:
+    """The members of the buckets that hold several classes, with their class and the number of
+    members of the bucket; the number of pairs of different classes in them, and of rows."""
+    plain = members.select("band", "hash", "key", "size")
+    if roots is None:
+        rooted = plain.withColumn("root", F.col("key"))
+    else:
+        rooted = plain.join(roots.hint("merge"), "key", "left").withColumn(
+            "root", F.coalesce("root", "key"))
+    parts = rooted.groupBy("band", "hash", "root").agg(F.count("*").alias("c"))
+    several = stage(parts.groupBy("band", "hash").agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        .where("n * n > same"), "similar-several")
+    total = several.agg(F.sum(F.expr("(n * n - same) div 2")), F.sum("n")).first()
+    left = rooted.join(several.select("band", "hash", "n").hint("merge"), ["band", "hash"])
+    return stage(left, "similar-left"), total[0] or 0, total[1] or 0
+
+
+def stars(left: DataFrame, turn: int) -> DataFrame:
+    """(a, b): one member of each bucket, by a hash that changes with ``turn``, and each member
+    of another class."""
+    centres = left.groupBy("band", "hash").agg(F.min_by(
+        F.struct("key", "root"), F.xxhash64(F.lit(turn), "key")).alias("centre"))
+    return left.join(centres, ["band", "hash"]).where("root <> centre.root").select(
+        F.least("key", "centre.key").alias("a"), F.greatest("key", "centre.key").alias("b")
+    ).distinct()
+
+
+def all_pairs(left: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of different classes in a bucket whose sizes allow the similarity.
+    Members are dealt out to blocks, and each two blocks of a bucket meet in a group of their
+    own, so no group is larger than about two blocks."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = left.withColumn("blocks", blocks).withColumn(
+        "block", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
+    low = dealt.select("band", "hash", F.col("key").alias("a"), F.col("root").alias("root_a"),
+                       F.col("size").alias("size_a"), F.col("block").alias("low"), F.explode(
+                           F.sequence("block", F.col("blocks") - 1)).alias("high"))
+    high = dealt.select("band", "hash", F.col("key").alias("b"), F.col("root").alias("root_b"),
+                        F.col("size").alias("size_b"), F.col("block").alias("high"), F.explode(
+                            F.sequence(F.lit(0), "block")).alias("low"))
+    met = low.join(high, ["band", "hash", "low", "high"]).where(
+        (F.col("root_a") != F.col("root_b")) & ((F.col("low") < F.col("high")) | (
+            F.col("a") < F.col("b"))) & (F.least("size_a", "size_b") >= least * F.greatest(
+                "size_a", "size_b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def text_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(key, root): classes of similar texts, for texts similar to another one. A key is the
     XXH64 of a text.
@@ -213,6 +263,11 @@ def text_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     Candidates share one of 32 keys, each of four minimum hashes of these shingles, so the
     chance to find a pair depends on its similarity alone, whatever its kind of edit: at 0.8 a
     pair shares no key with a chance of 5e-8. Equal texts have one key.
+
+    In each round a bucket's members are compared with one of them, another one each round, and
+    what is similar becomes one class. Buckets of one class are done. When few pairs of different
+    classes are left in the others, or after some rounds, all of those are compared, so a pair
+    in a bucket is either verified or connected by others that are.
     """
     texts = docs.select(whole_text().alias("text")).select(
         F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
@@ -220,11 +275,20 @@ def text_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     sets = stage(texts.join(members.select("key").distinct().hint("merge"), "key", "left_semi")
                  .dropDuplicates(["key"])
                  .mapInArrow(_shingle_sets, "key long, shingles binary"), "similar-shingles")
-    centres = members.groupBy("band", "hash").agg(F.min("key").alias("a"))
-    pairs = members.join(centres, ["band", "hash"]).where("a <> key").select(
-        "a", F.col("key").alias("b")).distinct()
-    return components(verified(pairs, sets, least), "similar").select(
-        F.col("node").alias("key"), "root")
+    found, left, roots, turn = None, members, None, 0
+    while True:
+        left, pairs_left, rows_left = unconnected(left, roots)
+        if not pairs_left:
+            break
+        last = turn == STAR_ROUNDS or pairs_left <= 2 * rows_left
+        pairs = all_pairs(left, least) if last else stars(left, turn)
+        near = stage(verified(stage(pairs, "similar-pairs"), sets, least), "similar-near")
+        found = found.union(near) if found else near
+        roots = components(found, "similar").select(F.col("node").alias("key"), "root")
+        if last:
+            break
+        turn += 1
+    return docs.sparkSession.createDataFrame([], "key long, root long") if roots is None else roots
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -378,6 +378,25 @@ def test_near_copies_by_block_edits_are_found(spark):
     assert len(want) > 25 and found_classes(spark, texts) == want
 
 
+def test_members_that_differ_from_the_centre_are_compared_with_each_other(spark, monkeypatch):
+    numbers = np.random.default_rng(11)
+    base = [f"t{j}" for j in range(400)]
+    texts = [" ".join(base)]
+    for k in range(30):  # copies of copies, of which far ones are not similar
+        words = texts[int(numbers.integers(0, len(texts)))].split()
+        for at in numbers.choice(len(words), 6, replace=False):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    for k in range(12):  # two copies each of texts that are 0.6 to 0.75 similar
+        words = base[:330] + [f"own{k}n{j}" for j in range(70)]
+        texts += [" ".join(words), " ".join([*words[:-9], f"more{k}"])]
+    want = plain_classes(texts)
+    assert len(want) > 12 and found_classes(spark, texts) == want
+    monkeypatch.setattr(op10_simhash, "BLOCK", 4)
+    monkeypatch.setattr(op10_simhash, "STAR_ROUNDS", 0)
+    assert found_classes(spark, texts) == want
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     folder = str(tmp_path)
     body = [" ".join(f"q{k}z{j}" for j in range(80)) for k in range(4)]
