@@ -3,141 +3,158 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwatt.llm.common import WordHashes, read_documents, whole_text, word_lists
+from keepwatt.session import stage
 
-WORD_SLOTS, PAIR_SLOTS = 1 << 20, 1 << 22  # the shared vocabulary: words by hash
-SLICE = 1 << 15
 PAIR_SHARE = 0.7  # share of the bigram in the mixture with single words
-START = 0x9E3779B97F4A7C15
-MIX = np.uint64(0xFF51AFD7ED558CCD)
+START = np.int64(0x1E3779B97F4A7C15)  # stands before the first word of a text
+HELD = 1 << 20  # words whose pairs a task counts together
+MODELS = ("background", "target")
 
 
-def slots(hashes: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word its slot, the slot of the word before it, and the slot of the pair."""
-    previous = np.concatenate([np.array([before], np.uint64), hashes[:-1]])
-    pair = (previous * MIX ^ hashes) * MIX
-    return ((hashes >> np.uint64(40)).astype(np.int64) & WORD_SLOTS - 1,
-            (previous >> np.uint64(40)).astype(np.int64) & WORD_SLOTS - 1,
-            (pair >> np.uint64(36)).astype(np.int64) & PAIR_SLOTS - 1)
-
-
-def _hash_lists(text: bytes, of_word: WordHashes):
-    """Hashes of the words of a text in pieces, each with the hash of the word before it."""
+def _pairs_of(text: bytes, of_word: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words of a text in pieces, after those of the words before them."""
     before = START
     for words in word_lists(text):
         if words:
-            hashes = np.array([of_word[w] for w in words], np.uint64)
-            yield hashes, before
-            before = int(hashes[-1])
+            hashes = np.array([of_word[w] for w in words], np.uint64).view(np.int64)
+            yield np.concatenate([[before], hashes[:-1]]), hashes
+            before = hashes[-1]
+
+
+def _counted(previous: np.ndarray, word: np.ndarray, *numbers: np.ndarray) -> list[np.ndarray]:
+    """Distinct pairs and, for each of them, the sums of ``numbers``."""
+    if not len(word):
+        return [previous, word, *numbers]
+    order = np.lexsort((word, previous))
+    previous, word = previous[order], word[order]
+    first = np.flatnonzero(np.concatenate(
+        [[True], (previous[1:] != previous[:-1]) | (word[1:] != word[:-1])]))
+    return [previous[first], word[first], *(np.add.reduceat(n[order], first) for n in numbers)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and pairs in this task's texts, in slices of the two tables."""
-    counts = {good: (np.zeros(WORD_SLOTS, np.int32), np.zeros(PAIR_SLOTS, np.int32))
-              for good in (False, True)}
-    of_word = WordHashes()
+    """Pairs with their counts in background and target, added up over many texts."""
+    of_word, held, n = WordHashes(), [], 0
+
+    def batch_of_held() -> pa.RecordBatch:
+        columns = _counted(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in columns], ["previous", "word", *MODELS])
+
     for batch in batches:
         for text, good in zip(batch.column(0), batch.column(1), strict=True):
-            words, pairs = counts[good.as_py()]
-            for hashes, before in _hash_lists(text.as_py(), of_word):
-                word, _, pair = slots(hashes, before)
-                np.add.at(words, word, 1)
-                np.add.at(pairs, pair, 1)
-    for good, tables in counts.items():
-        for kind, table in enumerate(tables):
-            for k in range(0, len(table), SLICE):
-                part = table[k:k + SLICE]
-                if part.any():
-                    planes = part.view(np.uint8).reshape(-1, 4).T.tobytes()
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([(kind * 2 + good) << 32 | k // SLICE]),
-                        pa.array([zstandard.compress(planes, 1)], pa.binary())],
-                        ["slice", "counts"])
-
-
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of equal slices; those of a task are few, their pieces stream through it."""
-    sums: dict[int, np.ndarray] = {}
+            for previous, word in _pairs_of(text.as_py(), of_word):
+                target = np.full(len(word), int(good.as_py()), np.int64)
+                held.append((previous, word, 1 - target, target))
+                n += len(word)
+                if n >= HELD:
+                    yield batch_of_held()
+                    held, n = [], 0
+    if held:
+        yield batch_of_held()
+
+
+def _pairs_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct pairs of each text with their counts."""
+    of_word = WordHashes()
     for batch in batches:
-        for key, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            planes = np.frombuffer(zstandard.decompress(packed.as_py()), np.uint8)
-            part = np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
-            if key in sums:
-                sums[key] += part
-            else:
-                sums[key] = part.astype(np.int64)
-    for key, total in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([key]), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+        for x, m, text in zip(*batch.columns, strict=True):
+            for previous, word in _pairs_of(text.as_py(), of_word):
+                columns = _counted(previous, word, np.ones(len(word), np.int64))
+                n = len(columns[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, x.as_py(), np.int64)),
+                     pa.array(np.full(n, m.as_py(), np.int32)), *map(pa.array, columns)],
+                    ["x", "m", "previous", "word", "n"])
 
 
+@dataclass
 class Models:
-    """Logarithmic likelihood ratios of target and background; counts are plain arrays."""
+    """Counts of all pairs (previous, word, background, target), and words of both models."""
 
-    def __init__(self, word_counts: np.ndarray, pair_counts: np.ndarray):
-        self.words, self.pairs = word_counts.astype(np.float32), pair_counts.astype(np.float32)
-        self.totals = word_counts.sum(axis=1).astype(np.float64)
+    docs: DataFrame
+    pairs: DataFrame
+    totals: np.ndarray
 
-    def losses(self, word: np.ndarray, previous: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Loss under the target model less loss under the background model, per word."""
-        logs = []
-        for k in (0, 1):  # background, target
-            single = (self.words[k][word] + 1.0) / (self.totals[k] + WORD_SLOTS)
-            follows = self.pairs[k][pair] / np.maximum(self.words[k][previous], 1.0)
-            logs.append(np.log(PAIR_SHARE * np.minimum(follows, 1.0) + (1 - PAIR_SHARE) * single))
-        return logs[0] - logs[1]
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, the text and two hashes of different kind that stand for it."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")
+                       ).select("doc_id", F.xxhash64("text").alias("x"), F.hash("text").alias("m"),
+                                F.col("text").cast("binary").alias("text"))
+
+
+def _sums() -> list[Column]:
+    return [F.sum(k).alias(k) for k in MODELS]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Models:
-    """Count words and pairs of all texts: target are rows whose doc_id has quality 1 in
-    ``labels``, background are all others. Both models count in the same slots, their
-    number is fixed, and so is what reaches the driver: 5 million counts for each model."""
+    """Count word pairs of all texts: target are rows whose doc_id has quality 1 in ``labels``,
+    background are all others. The counts are a table that grows with the corpus; words are
+    told apart by 64 bits each."""
     good = labels.where("quality = 1").select(
         F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                        whole_text().cast("binary").alias("text"))
-    marked = texts.join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)))
-    schema = "slice long, counts binary"
-    sums = marked.mapInArrow(_count, schema).repartition("slice").mapInArrow(_sum, schema)
-    words = np.zeros((2, WORD_SLOTS), np.int64)
-    pairs = np.zeros((2, PAIR_SLOTS), np.int64)
-    for row in sums.toLocalIterator():
-        kind, good_one, k = row["slice"] >> 33, row["slice"] >> 32 & 1, row["slice"] & 0xFFFFFFFF
-        (pairs if kind else words)[good_one, k * SLICE:(k + 1) * SLICE] = np.frombuffer(
-            row["counts"], np.int64)
-    return Models(words, pairs)
+    marked = _keyed(docs).join(good, "doc_id", "left").select(
+        "text", F.coalesce("good", F.lit(False)))
+    counts = marked.mapInArrow(_count, "previous long, word long, background long, target long")
+    pairs = stage(counts.groupBy("previous", "word").agg(*_sums()), "language-pairs")
+    totals = pairs.agg(*_sums()).first()
+    return Models(docs, pairs, np.array([totals[k] or 0 for k in MODELS]))
+
+
+def losses(pairs: DataFrame, totals: np.ndarray) -> DataFrame:
+    """(previous, word, loss): loss under the target model less loss under the background
+    model. A pair's share of what follows its first word is mixed with the word's share of
+    all words, where each distinct word counts once more."""
+    def counts_of(side: str) -> DataFrame:
+        return stage(pairs.groupBy(side).agg(*[F.sum(k).alias(f"{k}_{side}") for k in MODELS]),
+                     f"language-{side}")
+
+    words, contexts = counts_of("word"), counts_of("previous")
+    n_words = words.count() + 1
+
+    def log_share(k: int) -> Column:
+        name = MODELS[k]
+        single = (F.col(f"{name}_word") + 1.0) / float(totals[k] + n_words)
+        follows = F.col(name) / F.greatest(f"{name}_previous", F.lit(1)).cast("double")
+        return F.log(PAIR_SHARE * follows + (1 - PAIR_SHARE) * single)
+
+    # tables that grow with the corpus are never broadcast
+    both = pairs.join(words.hint("merge"), "word").join(contexts.hint("merge"), "previous")
+    return both.select("previous", "word", (log_share(0) - log_share(1)).alias("loss"))
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, n_tokens, score): the mean loss difference over a text's words, lower is closer
     to the target; 0 for a text without words. Missing texts count as empty, repeated rows and
-    missing doc_ids stay. The broadcast tables have a fixed size (about 42 MB)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_word, model = WordHashes(), shared.value
-        for batch in batches:
-            tokens, means = [], []
-            for text in batch.column(1):
-                n, total = 0, 0.0
-                for hashes, before in _hash_lists(text.as_py(), of_word):
-                    total += float(model.losses(*slots(hashes, before)).sum(dtype=np.float64))
-                    n += len(hashes)
-                tokens.append(n)
-                means.append(total / n if n else 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(tokens, pa.int64()), pa.array(means, pa.float64())],
-                ["doc_id", "n_tokens", "score"])
-
-    texts = docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"))
-    return texts.mapInArrow(of_batches, "doc_id long, n_tokens long, score double")
+    missing doc_ids stay."""
+    keyed, pairs = _keyed(docs), models.pairs
+    of_texts = keyed.select("x", "m", "text").mapInArrow(
+        _pairs_of_texts, "x long, m int, previous long, word long, n long")
+    if docs is not models.docs:  # pairs that the models have not seen
+        unseen = of_texts.select("previous", "word").distinct().withColumns(
+            {k: F.lit(0).cast("long") for k in MODELS})
+        pairs = stage(pairs.union(unseen).groupBy("previous", "word").agg(*_sums()),
+                      "language-unseen")
+    known = losses(pairs, models.totals)
+    # copies of a text add to both sums alike
+    sums = of_texts.join(known.hint("merge"), ["previous", "word"]).groupBy("x", "m").agg(
+        F.sum(F.col("n") * F.col("loss")).alias("loss"), F.sum("n").alias("n"))
+    copies = keyed.groupBy("x", "m").agg(F.count("*").alias("copies"))
+    of_text = stage(copies.join(sums.hint("merge"), ["x", "m"]).select(
+        "x", "m", F.expr("n div copies").alias("n_tokens"),
+        (F.col("loss") / F.col("n")).alias("score")), "language-scores")
+    return keyed.select("doc_id", "x", "m").join(of_text.hint("merge"), ["x", "m"], "left").select(
+        "doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"),
+        F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

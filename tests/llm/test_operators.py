@@ -155,6 +155,30 @@ def test_language_model_prefers_its_target(spark, docs, nothing):
     assert op4_language_model.score(nothing, empty).count() == 0
 
 
+def test_language_model_equals_counts_of_real_words(spark):
+    numbers = np.random.default_rng(4)
+    rows = [(k, " ".join(f"w{j}" for j in numbers.zipf(1.3, 3000) % 500_000), int(k % 3 == 0))
+            for k in range(24)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    pairs, contexts, words = ([Counter(), Counter()] for _ in range(3))
+    for _, t, good in rows:
+        w = t.split()
+        pairs[good].update(zip(["", *w], w))
+        contexts[good].update(["", *w[:-1]])
+        words[good].update(w)
+    vocabulary = len(words[0] | words[1]) + 1
+    want = {}
+    for i, t, _ in rows:
+        w = t.split()
+        logs = [[np.log(0.7 * pairs[k][p, x] / max(contexts[k][p], 1)
+                        + 0.3 * (words[k][x] + 1) / (words[k].total() + vocabulary))
+                 for p, x in zip(["", *w], w)] for k in (0, 1)]
+        want[i] = np.mean(logs[0]) - np.mean(logs[1])
+    models = op4_language_model.fit(table, table.select("doc_id", "quality"))
+    got = {r["doc_id"]: r["score"] for r in op4_language_model.score(table, models).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 def five(text):
     words = text.encode().lower().split()
     return {tuple(words[k:k + 5]) for k in range(max(len(words) - 4, 1))} if words else set()
