@@ -13,8 +13,7 @@ RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
-LINE_SHARE = 0.1        # of a host's distinct texts: a line in more of them is removed
-LINE_TEXTS = 20         # a line in no more than this many texts is never removed
+LINE_TEXTS = 20         # a line in more of a host's distinct texts is removed, however many it has
 DEPLETED_PERCENT = 80   # a document that loses more than this share of its letters is rejected
 
 
@@ -92,27 +91,23 @@ def measured(docs: DataFrame) -> DataFrame:
     return _repeated_words(figures).withColumn("base_failed", failed)
 
 
-def judged(docs: DataFrame, share: float = LINE_SHARE, texts: int = LINE_TEXTS,
+def judged(docs: DataFrame, texts: int = LINE_TEXTS,
            depleted_percent: int = DEPLETED_PERCENT) -> tuple[DataFrame, DataFrame]:
     """One row per row of ``docs`` with figures and verdict, and the frequent lines of texts.
 
-    Hosts are sources. A line is frequent on a host if more than ``texts`` different texts and
-    more than a ``share`` of the host's different texts have it; exact copies count once. A
-    document is rejected by the rules, or if its frequent lines hold more than
-    ``depleted_percent`` of its letters. Missing texts are empty, missing sources one host;
+    Hosts are sources. A line is frequent on a host if more than ``texts`` different texts have
+    it, however large the host; exact copies count once. A document is rejected by the rules, or
+    if its frequent lines hold more than ``depleted_percent`` of its letters. Missing texts are empty, missing sources one host;
     repeated rows stay and share a verdict. The second table is (host, key, frequent): the
     hashes of the frequent lines of each text that has some.
     """
     rows = stage(measured(docs), "quality-figures")
     distinct = stage(rows.select("host", "key", "lines").dropDuplicates(["host", "key"]),
                      "quality-texts")
-    hosts = distinct.groupBy("host").agg(F.count("*").alias("texts_of_host"))
     counts = (distinct.select("host", F.explode(F.array_distinct(F.col("lines.line")))
                               .alias("line"))
               .groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > texts))
-    frequent = stage(counts.join(hosts, "host")
-                     .where(F.col("n") > share * F.col("texts_of_host"))
-                     .select("host", "line"), "quality-lines")
+    frequent = stage(counts.select("host", "line"), "quality-lines")
     lost = (distinct.select("host", "key", F.explode("lines").alias("l"))
             .select("host", "key", "l.line", "l.letters")
             .join(frequent, ["host", "line"]).groupBy("host", "key")

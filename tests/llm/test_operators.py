@@ -238,6 +238,18 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert kept[3]["text"] == body(3) and kept[3]["n_chars"] == len(body(3))
 
 
+def test_frequent_lines_do_not_depend_on_the_size_of_the_host(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+
+    def body(k):
+        return "\n".join(" ".join(f"u{k}x{j}y{i}" for i in range(20)) for j in range(4)).translate(letters)
+    rows = [(k, body(k) + "\nBig banner" * (k < 25) + "\nseen often enough to stay" * (k < 20), "big", 0)
+            for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    kept = {r["doc_id"]: r["text"] for r in op6_line_quality.cleaned(docs).collect()}
+    assert kept == {i: t.replace("\nBig banner", "") for i, t, _, _ in rows}
+
+
 def test_licenses(docs, nothing):
     got = {r["doc_id"]: r for r in op7_licenses.scan_licenses(docs).collect()}
     row = got[12]
