@@ -13,7 +13,11 @@ from keepwatt.llm.op7_licenses import op7_licenses
 from keepwatt.llm.op8_hilbert import op8_hilbert
 from keepwatt.llm.op9_separators import op9_separators
 from keepwatt.llm.op10_simhash import op10_simhash
+from keepwatt.llm.op11_language import op11_language
+from keepwatt.llm.op12_periodic_runs import op12_periodic_runs
+from keepwatt.llm.op13_spelling_groups import op13_spelling_groups
 
 REGISTERED = [op1_bpe, op2_personal_data, op3_token_files, op4_language_model, op5_decontamination,
-              op6_line_quality, op7_licenses, op8_hilbert, op9_separators, op10_simhash]
+              op6_line_quality, op7_licenses, op8_hilbert, op9_separators, op10_simhash, op11_language,
+              op12_periodic_runs, op13_spelling_groups]
 ORACLE_SQL = {"op5_decontamination": leaks.ORACLE_SQL}
