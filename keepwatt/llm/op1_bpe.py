@@ -82,8 +82,8 @@ def _block_rows(block: int, buckets: int, codes: dict[str, int], doc_ids: list,
     words = np.array([w.encode() for w in codes], object)[by_rank]
     bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
     order = np.argsort(bucket, kind="stable")
-    filled, cuts = np.unique(bucket[order], return_index=True)
-    for k, low, high in zip(filled.tolist(), cuts, [*cuts[1:], len(order)], strict=True):
+    filled, cuts = np.unique(bucket[order], return_index=True)  # none without words
+    for k, low, high in zip(filled.tolist(), cuts, np.append(cuts, len(order))[1:], strict=True):
         mine = order[low:high]
         yield _row(block, 0, k, _pack(np.diff(mine, prepend=0)),
                    zstandard.compress(b"".join(words[mine]), 6),

@@ -67,7 +67,16 @@ def test_bpe_equals_library_and_round_trips(docs, nothing):
     assert op1_bpe.encode(nothing).count() == 0
 
 
-def test_bpe_of_long_texts_and_many_blocks(docs, monkeypatch):
+def test_bpe_of_texts_without_words(spark):
+    rows = [(1, ""), (2, None)] + [(k, "") for k in range(3, 40)]
+    for empty in (rows[:2], rows):
+        docs = spark.createDataFrame(empty, "doc_id long, text string").repartition(3)
+        got = op1_bpe.decode(op1_bpe.encode(docs)).collect()
+        assert sorted((r[0], list(r[1]), bytes(r[2])) for r in got) == [
+            (k, [], b"") for k, _ in empty]
+
+
+def test_bpe_of_long_texts_and_many_blocks(docs):
     whole = listed(op1_bpe.encode(docs))
     again = docs.select("doc_id", F.concat("text", F.lit("")).alias("text")).repartition(7)
     assert listed(op1_bpe.encode(again)) == whole
