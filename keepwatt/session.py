@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,11 +61,57 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "keepw
     return configure(spark)
 
 
+def _on_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def shared_folder(master: str, named: str | None, warehouse: str) -> str:
+    """The folder for written tables: ``named``, or one in the warehouse. Without a name, a
+    warehouse on the disk of each machine is an error unless all of Spark runs on one machine:
+    tasks would write to their own disks and later reads would miss those files."""
+    if named:
+        return named.rstrip("/")
+    scheme = warehouse.split(":", 1)[0] if "://" in warehouse or warehouse.startswith(
+        "file:") else "file"
+    if scheme == "file" and not _on_one_machine(master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach; "
+                         f"the warehouse {warehouse} is a folder of each machine")
+    return f"{warehouse.rstrip('/')}/shared"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``;
     without that setting, one in the session's warehouse. The session is not changed."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return shared_folder(spark.sparkContext.master, named,
+                         spark.conf.get("spark.sql.warehouse.dir"))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared folder; ``staging`` removes it."""
+    path = f"{shared_dir(spark)}/keepwatt/{name}-{uuid.uuid4().hex}"
+    if (written := _STAGED.get()) is not None:
+        written.append(path)
+    return path
+
+
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove at the end what ``stage`` and ``new_folder`` wrote inside. Results that are still
+    lazy have to be stored elsewhere before. Yields the list of the folders."""
+    written: list[str] = []
+    token = _STAGED.set(written)
+    try:
+        yield written
+    finally:
+        _STAGED.reset(token)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for folder in written:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -70,9 +119,10 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
 
     Used where several passes follow (split, scaler, forest, profiles): the lineage is cut,
     later scans are columnar and pruned, and a lost executor costs a re-read only. Filters on
-    ``partition_by`` columns skip whole folders; use columns with few values.
+    ``partition_by`` columns skip whole folders; use columns with few values. Inside ``staging``
+    the table is removed when that ends, otherwise it stays.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/keepwatt/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

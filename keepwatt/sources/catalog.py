@@ -30,22 +30,24 @@ def largest_share(df: DataFrame, key: str) -> float:
 
 
 def save_clustered(df: DataFrame, table: str, buckets: int, key: str = "id",
-                   sort_by: Sequence[str] = (), path: str | None = None) -> bool:
-    """Store ``df`` as a table bucketed by ``key``, and say whether it was bucketed.
+                   sort_by: Sequence[str] = (), path: str | None = None) -> None:
+    """Store ``df`` as a table bucketed by ``key``.
 
     Grouping, windows and joins by ``key`` on such a table need no shuffle. But a bucket is
-    read by one task, so a table whose most frequent key would fill more than an average
-    bucket is stored without buckets and keeps being shuffled after partial aggregation.
+    read by one task, so a key that would fill more than an average bucket, as
+    ``largest_share(df, key) * buckets > 1`` tells, calls for ``save_plain``.
     """
-    spread = largest_share(df, key) * buckets <= 1
     # a task then holds whole buckets and writes one file for each
-    writer = (df.repartition(buckets, key) if spread else df).write.mode("overwrite")
-    if spread:
-        writer = writer.bucketBy(buckets, key).sortBy(key, *sort_by)
-    if path:
-        writer = writer.option("path", path)
-    writer.format("parquet").saveAsTable(table)
-    return spread
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+    writer = writer.bucketBy(buckets, key).sortBy(key, *sort_by)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def save_plain(df: DataFrame, table: str, path: str | None = None) -> None:
+    """Store ``df`` as a table without buckets, whose rows are shuffled after partial
+    aggregation; the way for tables with hot keys."""
+    writer = df.write.mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def read_database_table(spark: SparkSession, url: str, table: str, partition_column: str,

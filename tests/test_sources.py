@@ -14,7 +14,7 @@ from keepwatt.plans.feature_table import (
 from keepwatt.schemas import CLIENT_SCHEMA, FEATURE_COLUMNS, PRICE_SCHEMA
 from keepwatt.session import configure, shared_dir, stage
 from keepwatt.sources.catalog import (
-    largest_share, read_table, register_tables, save_clustered, use_database,
+    largest_share, read_table, register_tables, save_clustered, save_plain, use_database,
 )
 from keepwatt.sources.csv_tables import load_table, preview, schema_report, write_csv
 
@@ -112,13 +112,15 @@ def stored_prices(spark, small, tmp_path, buckets, hot=0):
         price = price.unionByName(price.where("id % 10 = 1").withColumn("id", F.lit(1)
                                                                        .cast("bigint")))
     table = f"stored_{buckets}_{hot}"
-    return save_clustered(price, table, buckets, sort_by=["price_date"],
-                          path=str(tmp_path / table)), spark.table(table), price
+    if hot:
+        save_plain(price, table, path=str(tmp_path / table))
+    else:
+        save_clustered(price, table, buckets, sort_by=["price_date"], path=str(tmp_path / table))
+    return spark.table(table), price
 
 
 def test_clustered_table_needs_no_shuffle(spark, small, tmp_path):
-    bucketed, stored, price = stored_prices(spark, small, tmp_path, 4)
-    assert bucketed
+    stored, price = stored_prices(spark, small, tmp_path, 4)
     stats, changes = price_statistics(stored), price_changes(stored)
     for df in (stats, changes):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
@@ -126,11 +128,11 @@ def test_clustered_table_needs_no_shuffle(spark, small, tmp_path):
     assert rows(changes, "id", "price_date") == rows(price_changes(price), "id", "price_date")
 
 
-def test_table_with_a_hot_key_is_not_clustered(spark, small, tmp_path):
-    bucketed, stored, price = stored_prices(spark, small, tmp_path, 4, hot=2)
-    assert largest_share(price, "id") < 0.25 or not bucketed
-    bucketed, stored, price = stored_prices(spark, small, tmp_path, 64, hot=2)
-    assert not bucketed and stored.count() == price.count()
+def test_hot_keys_are_told_and_stored_without_buckets(spark, small, tmp_path):
+    stored, price = stored_prices(spark, small, tmp_path, 64, hot=2)
+    assert largest_share(price, "id") * 64 > 1
+    assert stored.count() == price.count()
+    assert "Exchange" in price_statistics(stored)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_shuffle_partitions_follow_the_data(spark):
