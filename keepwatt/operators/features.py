@@ -22,7 +22,12 @@ def _mean(name: str) -> Column:
     return F.avg(F.col(name).cast("double"))
 
 
-def price_statistics(price: DataFrame) -> DataFrame:
+def _same_id(collation: str | None) -> Column:
+    """The id that rows are grouped and joined by."""
+    return F.col("id") if collation is None else F.collate(F.col("id"), collation).alias("id")
+
+
+def price_statistics(price: DataFrame, collation: str | None = None) -> DataFrame:
     """Level, ratio, spread and range of each price band, one row per client id.
 
     A zero off-peak price makes that row's ratio NULL, so the mean skips it. The spread is
@@ -41,7 +46,7 @@ def price_statistics(price: DataFrame) -> DataFrame:
         c = F.col(name).cast("double")
         return F.round(F.max(c) - F.min(c), 3).alias(f"range_{name}")
 
-    return price.where(F.col("id").isNotNull()).groupBy("id").agg(
+    return price.where(F.col("id").isNotNull()).groupBy(_same_id(collation)).agg(
         *[level(name) for name in (off_peak, peak, mid_peak)],
         F.round(F.avg(ratio), 3).alias("price_peak_off_peak_ratio_var"),
         *[spread(name) for name in (off_peak, peak, mid_peak)],
@@ -49,7 +54,8 @@ def price_statistics(price: DataFrame) -> DataFrame:
     )
 
 
-def client_statistics(client: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
+def client_statistics(client: DataFrame, as_of: str = DEFAULT_AS_OF,
+                      collation: str | None = None) -> DataFrame:
     """Tenure, contract timing, consumption and margins, one row per client, channel and
     the three month counts. Missing dates give missing month counts and keep their group."""
     anchor = F.lit(as_of).cast("timestamp")
@@ -58,7 +64,8 @@ def client_statistics(client: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFram
         "months_since_modified": whole_months(F.col("date_modif_prod"), anchor),
         "months_since_renewed": whole_months(F.col("date_renewal"), anchor),
     })
-    return dated.groupBy("id", "channel_sales", *MONTH_FEATURES).agg(
+    return dated.groupBy(_same_id(collation), "channel_sales", *MONTH_FEATURES).agg(
+        *([] if collation is None else [F.min("id").alias("first_id")]),
         F.floor(_mean("num_years_antig")).alias("tenure_years"),
         F.round(_mean("cons_12m")).alias("yearly_consumption"),
         F.floor(_mean("cons_last_month")).alias("monthly_consumption"),
@@ -74,7 +81,8 @@ def client_statistics(client: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFram
 
 
 def price_sensitivity_features(price: DataFrame, client: DataFrame,
-                               as_of: str = DEFAULT_AS_OF) -> DataFrame:
+                               as_of: str = DEFAULT_AS_OF,
+                               collation: str | None = None) -> DataFrame:
     """The 26-column feature table.
 
     Stated on the joined rows, every measure is an average, population spread, minimum or
@@ -83,67 +91,86 @@ def price_sensitivity_features(price: DataFrame, client: DataFrame,
     when all rows are repeated equally often. So both tables are aggregated first, each with
     map-side partial aggregation that folds a hot id into one row per task, and the join sees
     one price row per id.
+
+    Ids are compared byte by byte. With a ``collation`` such as UTF8_LCASE or UNICODE_CI_AI,
+    ids that it takes for equal are one client, shown as the first of them.
     """
     # off its own exchange, the small side lets adaptive execution split a hot id
-    return (price_statistics(price).hint("rebalance")
-            .join(client_statistics(client, as_of), "id", "inner")
-            .select(*FEATURE_COLUMNS))
-
-
-GROUP_ROWS = 1_000_000  # of one window group, whatever the size of the table
-
-
-def _pieces(df: DataFrame, key: str, group_rows: int) -> int | None:
-    """The number of ranges to cut the rows into, if a key has more than ``group_rows`` rows."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
-    if (top["largest"] or 0) <= group_rows:
-        return None
-    return -(-top["rows"] // group_rows)
+    joined = price_statistics(price, collation).hint("rebalance").join(
+        client_statistics(client, as_of, collation), "id", "inner")
+    if collation is not None:
+        joined = joined.withColumn("id", F.col("first_id"))
+    return joined.select(*FEATURE_COLUMNS)
 
 
 def price_changes(price: DataFrame, columns: list[str] | None = None, key: str = "id",
-                  order: str = "price_date", group_rows: int = GROUP_ROWS) -> DataFrame:
+                  order: str = "price_date", pieces: int | None = None) -> DataFrame:
     """Change of each price against the client's previous price date; NULL on the first one.
 
-    ``(key, order)`` should be unique, otherwise "previous" is not defined within a tie (see
-    ``require_unique``); the order column may have any type that Spark can sort. All lags share
-    one shuffle and one sort. A counting pass first looks for an id with more than
-    ``group_rows`` rows, too many for one window group; if there is one, the rows are cut into
-    ranges of (key, order) of about that size instead, see ``_lag_in_pieces``.
+    Rows of one client and date are peers: all of them are compared with the previous date that
+    differs, and where that one has several rows, with the last of these by the values of
+    ``columns`` in their order. So the result does not depend on how rows are dealt out. The
+    order column may have any type that Spark can sort; missing dates come first, as peers.
+
+    All lags share one shuffle and one sort by client. A client with too many rows for one task
+    is cut up if the caller asks for ``pieces``, see ``lags_in_pieces`` and ``history_pieces``.
     """
     columns = columns or PRICE_COLUMNS
     base = price.select(key, order, *columns)
-    pieces = _pieces(base, key, group_rows)
     if pieces is None:
-        window = Window.partitionBy(key).orderBy(order)
-        lagged = base.withColumns({f"{c}_prev": F.lag(c).over(window) for c in columns})
+        in_order = Window.partitionBy(key).orderBy(order, *columns)
+        row = F.struct(F.col(order).alias("at"), F.struct(*columns).alias("last"))
+        before = base.withColumn("before", F.lag(row).over(in_order))
+        # the first of its peers has the row before them at hand, the others look back to it
+        first = F.col("before").isNull() | ~F.col("before.at").eqNullSafe(F.col(order))
+        held = F.last(F.when(first, F.struct("before.last")), True).over(
+            in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        lagged = before.withColumn("last", held.getField("last"))
     else:
-        lagged = _lag_in_pieces(base, pieces, columns, key, order)
+        lagged = lags_in_pieces(base, pieces, columns, key, order)
     return lagged.select(
         key, order,
-        *[(F.col(c) - F.col(f"{c}_prev")).alias(f"{c}_change") for c in columns],
+        *[(F.col(c) - F.col(f"last.{c}")).alias(f"{c}_change") for c in columns],
     )
 
 
-def _lag_in_pieces(base: DataFrame, pieces: int, columns: list[str], key: str,
+def history_pieces(price: DataFrame, key: str = "id", group_rows: int = 1_000_000) -> int | None:
+    """How many pieces ``price_changes`` should be asked for: about one for each ``group_rows``
+    rows if a client has more than that many, else None. Counts the rows."""
+    counts = price.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
+    if (top["largest"] or 0) <= group_rows:
+        return None
+    return -(-top["rows"] // group_rows)
+
+
+def lags_in_pieces(base: DataFrame, pieces: int, columns: list[str], key: str,
                    order: str) -> DataFrame:
-    """Previous values within ranges of (key, order). Ranges are cut by sampled positions, so
-    they are of similar size whatever the keys. The last row of a range is also put into the
-    next one, where it sorts first and serves as the predecessor of the first row."""
-    ranged = stage(base.repartitionByRange(pieces, key, order)
+    """``base`` with ``last``, the previous values, found within ranges of (key, order).
+
+    Peers are folded into their last row first, by partial aggregation. Ranges are cut by sampled
+    positions, so they are of similar size whatever the keys; the last row of a range is also put
+    into the next one, where it sorts first and serves as the predecessor of the first row. Rows
+    meet the result by key and date, where adaptive execution can split many peers. The ranges
+    are written, so this runs a job.
+    """
+    folded = base.groupBy(key, order).agg(F.max(F.struct(*columns)).alias("own"))
+    ranged = stage(folded.repartitionByRange(pieces, key, order)
                    .withColumn("piece", F.spark_partition_id()), "price-ranges")
     # one row per piece, also for the window without a partition
-    last = ranged.groupBy("piece").agg(
-        F.max_by(F.struct(*base.columns), F.struct(key, order)).alias("last"))
-    carried = last.select("last.*", F.lead("piece").over(Window.orderBy("piece")).alias("piece"))
+    ends = ranged.groupBy("piece").agg(
+        F.max_by(F.struct(key, order, "own"), F.struct(key, order)).alias("end"))
+    carried = ends.select("end.*", F.lead("piece").over(Window.orderBy("piece")).alias("piece"))
     rows = ranged.withColumn("carried", F.lit(False)).unionByName(
         carried.where("piece IS NOT NULL").withColumn("carried", F.lit(True)))
     window = Window.partitionBy("piece").orderBy(key, order)
-    before = rows.withColumn("before", F.lag(F.struct(key, *columns)).over(window))
+    before = rows.withColumn("before", F.lag(F.struct(key, "own")).over(window))
     same_key = F.col("before").isNotNull() & F.col(f"before.{key}").eqNullSafe(F.col(key))
-    return before.where("NOT carried").withColumns({
-        f"{c}_prev": F.when(same_key, F.col(f"before.{c}")) for c in columns})
+    lags = before.where("NOT carried").select(
+        F.col(key).alias("lag_key"), F.col(order).alias("lag_order"),
+        F.when(same_key, F.col("before.own")).alias("last"))
+    return base.join(lags, F.col(key).eqNullSafe(F.col("lag_key"))
+                     & F.col(order).eqNullSafe(F.col("lag_order")))
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -22,14 +22,15 @@ def build_feature_table(spark: SparkSession, path: str, client_table: str = "cli
     return read_features(spark, path)
 
 
-def price_change_table(spark: SparkSession, price_table: str = "price_data") -> DataFrame:
-    return price_changes(read_table(spark, price_table))
+def price_change_table(spark: SparkSession, price_table: str = "price_data",
+                       pieces: int | None = None) -> DataFrame:
+    return price_changes(read_table(spark, price_table), pieces=pieces)
 
 
 def register_views(spark: SparkSession, client_table: str = "client_data",
                    price_table: str = "price_data", as_of: str = DEFAULT_AS_OF) -> None:
     """Views for ``spark.sql``: ``describe_price`` (the features), ``price_change`` and
-    ``client_consumption``. They are computed when queried; only the look for hot ids runs now."""
+    ``client_consumption``. They are computed when queried; no job runs now."""
     client, price = read_table(spark, client_table), read_table(spark, price_table)
     register_tables(
         describe_price=price_sensitivity_features(price, client, as_of),

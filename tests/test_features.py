@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import rows
+from keepwatt import roles
 from keepwatt.functions import whole_months
 from keepwatt.operators.features import (
-    client_consumption_distinct, price_changes, price_sensitivity_features, price_statistics,
+    client_consumption_distinct, history_pieces, price_changes, price_sensitivity_features,
+    price_statistics,
     repeated_keys, require_unique,
 )
 from keepwatt.schemas import CLIENT_SCHEMA, FEATURE_COLUMNS, PRICE_COLUMNS, PRICE_SCHEMA
@@ -160,13 +162,11 @@ def skewed_history(spark, n=1500):
     return spark.createDataFrame(list({(r[0], r[1]): r for r in data}.values()), schema)
 
 
-@pytest.mark.parametrize("group_rows", [1, 20, 60, 200])
-def test_cutting_hot_histories_changes_nothing(spark, group_rows):
+@pytest.mark.parametrize("pieces", [None, 2, 7, 40])
+def test_cutting_hot_histories_changes_nothing(spark, pieces):
     price = skewed_history(spark).repartition(5).persist()
     expected = plain_changes(price)
-    result = price_changes(price, group_rows=group_rows)
-    plan = result._jdf.queryExecution().executedPlan().toString()
-    assert "piece" in plan and "Join" not in plan
+    result = price_changes(price, pieces=pieces)
     assert rows(result, "id", "price_date") == rows(expected, "id", "price_date")
 
 
@@ -174,17 +174,43 @@ def test_cutting_hot_histories_changes_nothing(spark, group_rows):
     "string(price_date)", "unix_micros(price_date)", "struct('p', price_date)"])
 def test_any_order_that_sorts_works_with_and_without_hot_ids(spark, order):
     price = skewed_history(spark, 400).withColumn("price_date", F.expr(order))
-    plain = rows(price_changes(price).drop("price_date"), *[f"{c}_change" for c in PRICE_COLUMNS])
-    cut = rows(price_changes(price, group_rows=50).drop("price_date"),
-               *[f"{c}_change" for c in PRICE_COLUMNS])
+    plain, cut = (sorted(map(tuple, price_changes(price, pieces=p).drop("price_date").collect()),
+                         key=repr) for p in (None, 8))
     assert plain == cut and len(cut) == price.count()
 
 
+def peers_by_hand(data):
+    """(id, day, change) with the last value of the previous different day."""
+    lowest = (0, 0.0)
+    by_id = {}
+    for id_, day, value in data:
+        by_id.setdefault(id_, {}).setdefault(day, []).append(value)
+    for id_, days in by_id.items():
+        before = None
+        for day in sorted(days, key=lambda d: (d is not None, d or 0)):
+            for value in days[day]:
+                known = before is not None and value is not None
+                yield id_, day, value - before if known else None
+            before = max(days[day], key=lambda v: lowest if v is None else (1, v))
+
+
+@pytest.mark.parametrize("pieces", [None, 3, 20])
+def test_rows_of_one_date_are_peers(spark, pieces):
+    draw = random.Random(8)
+    data = [(draw.choice(["hot", "hot", "a", "b", None]), draw.choice([None, *range(12)]),
+             draw.choice([None, *map(float, range(9))])) for _ in range(600)]
+    data += [("one", 1, 5.0), ("none", None, 2.0), ("none", None, 3.0), ("gap", 1, None), ("gap", 2, 1.0)]
+    frame = spark.createDataFrame(data, "id string, day int, price double")
+    want = sorted(peers_by_hand(data), key=repr)
+    for parts in (1, 7):
+        got = price_changes(frame.repartition(parts), ["price"], order="day", pieces=pieces)
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
 def test_no_window_group_grows_with_the_hot_history(spark):
-    from keepwatt.operators import features as f
     price = skewed_history(spark)
-    pieces = f._pieces(price, "id", 100)
-    assert pieces == -(-price.count() // 100) and f._pieces(price, "id", 1000) is None
+    pieces = history_pieces(price, group_rows=100)
+    assert pieces == -(-price.count() // 100) and history_pieces(price, group_rows=1000) is None
     sizes = (price.repartitionByRange(pieces, "id", "price_date")
              .groupBy(F.spark_partition_id()).count())
     assert sizes.agg(F.max("count")).first()[0] <= 200
@@ -193,7 +219,20 @@ def test_no_window_group_grows_with_the_hot_history(spark):
 def test_ordinary_histories_take_one_shuffle_and_sort(spark):
     price = skewed_history(spark)
     plan = price_changes(price)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and plan.count("Window ") == 1
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and plan.count("Window ") == 2
+
+
+@pytest.mark.parametrize("collation", ["UTF8_LCASE", "UNICODE_CI_AI"])
+def test_ids_that_differ_in_case_meet(spark, small, collation):
+    price, client = roles.price_role(spark, small), roles.client_role(spark, small)
+    named = F.concat(F.lit("Ab"), F.col("id"))
+    plain = price_sensitivity_features(price.withColumn("id", named), client.withColumn("id", named))
+    upper = F.when(F.month("price_date") % 2 == 0, F.upper(named)).otherwise(F.lower(named))
+    mixed = price_sensitivity_features(price.withColumn("id", upper),
+                                       client.withColumn("id", named), collation=collation)
+    assert rows(mixed, "id") == rows(plain, "id")
+    apart = price_sensitivity_features(price.withColumn("id", upper), client.withColumn("id", named))
+    assert apart.count() == 0
 
 
 def test_unique_key_check(spark):
