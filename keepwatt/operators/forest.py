@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
+import itertools
 from dataclasses import asdict, dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwatt.operators.preparation import PreparedData, weight_table
+from keepwatt.operators.trees import with_min_split
 
 MAX_DEPTH = 30
 VECTOR = "feature_vector"
@@ -20,12 +21,8 @@ WEIGHT = "class_weight"
 
 @dataclass(frozen=True)
 class ForestParams:
-    """Forest settings.
-
-    Spark has no minimum size for splitting a node, only one for the two children. A minimum
-    of ceil(min_samples_split / 2) rows per child never splits a node that is too small, but
-    it also rules out some lopsided splits of larger nodes.
-    """
+    """Forest settings. Spark has no minimum size for splitting a node, only one for the two
+    children; smaller splits are undone in the fitted trees."""
 
     n_estimators: int = 100
     max_depth: int = 20
@@ -37,8 +34,9 @@ class ForestParams:
             raise ValueError(f"max_depth {self.max_depth} is above Spark's limit of {MAX_DEPTH}")
 
     @property
-    def min_instances(self) -> int:
-        return max(self.min_samples_leaf, math.ceil(self.min_samples_split / 2))
+    def undoes_splits(self) -> bool:
+        """Whether a split that leaves enough rows on both sides may still be too small."""
+        return self.min_samples_split > 2 * self.min_samples_leaf
 
     def as_dict(self) -> dict[str, int]:
         return asdict(self)
@@ -49,7 +47,7 @@ def classifier(params: ForestParams, target: str, seed: int = 0,
     return RandomForestClassifier(
         featuresCol=VECTOR, labelCol=target, weightCol=WEIGHT,
         numTrees=params.n_estimators, maxDepth=params.max_depth,
-        minInstancesPerNode=params.min_instances,
+        minInstancesPerNode=params.min_samples_leaf,
         featureSubsetStrategy="sqrt", maxBins=max_bins, seed=seed,
         # fewer passes over the data per tree level, and row-to-node ids instead of whole
         # trees sent to the tasks once trees get deep
@@ -57,13 +55,21 @@ def classifier(params: ForestParams, target: str, seed: int = 0,
     )
 
 
-def assembler(features: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=features, outputCol=VECTOR, handleInvalid="error")
+def assembler(features: list[str]) -> PipelineModel:
+    """Features to one vector. The assembler takes a dot in a name for a field of a struct, so
+    such columns go in under other names."""
+    inputs = {c: f"{VECTOR}_{k}" if set(c) & set(".`") else c for k, c in enumerate(features)}
+    renamed = ", ".join(f"`{c.replace('`', '``')}` AS {new}"
+                        for c, new in inputs.items() if c != new)
+    vectors = VectorAssembler(inputCols=list(inputs.values()), outputCol=VECTOR,
+                              handleInvalid="error")
+    rename = [SQLTransformer(statement=f"SELECT *, {renamed} FROM __THIS__")] if renamed else []
+    return PipelineModel([*rename, vectors])
 
 
 def assemble(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Numeric label and feature vector; the separate feature columns are left behind."""
-    rest = [c for c in df.columns if c not in features and c != target]
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in features and c != target]
     return assembler(features).transform(df).select(
         *rest, F.col(target).cast("double").alias(target), VECTOR)
 
@@ -78,7 +84,9 @@ def train_random_forest(prepared: PreparedData, params: ForestParams = ForestPar
     train = assemble(prepared.train, prepared.features, prepared.target)
     weighted = train.join(weight_table(train, prepared.target, WEIGHT), prepared.target)
     forest = classifier(params, prepared.target, seed).fit(weighted)
-    return PipelineModel([vectors, forest])
+    if params.undoes_splits:
+        forest = with_min_split(forest, params.min_samples_split, train.sparkSession)
+    return PipelineModel([*vectors.stages, forest])
 
 
 def with_scaler(prepared: PreparedData, model: PipelineModel) -> PipelineModel:
@@ -91,7 +99,9 @@ def forest_of(model: PipelineModel) -> RandomForestClassificationModel:
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).drop(VECTOR, "rawPrediction", "probability")
+    out = model.transform(df)
+    made = [c for c in out.columns if c.startswith(VECTOR)]
+    return out.drop(*made, "rawPrediction", "probability")
 
 
 def evaluate_predictions(df: DataFrame, label: str = "churn",
@@ -122,16 +132,37 @@ def evaluate_model(model: PipelineModel, test: DataFrame, target: str = "churn")
     return evaluate_predictions(predict(model, test), target)
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel,
-                       features: list[str]) -> DataFrame:
-    """(feature, importance) in ascending order; the importances sum to 1."""
-    raw = forest_of(model).featureImportances.toArray()
-    total = raw.sum()
-    rows = [(name, float(value / total) if total else 0.0)
-            for name, value in zip(features, raw, strict=True)]
-    table = spark.createDataFrame(rows, "feature string, importance double")
-    return table.select("feature", F.round("importance", 4).alias("importance")).orderBy(
-        "importance", "feature")
+def feature_importance(spark: SparkSession, model: PipelineModel, features: list[str],
+                       names: DataFrame | None = None) -> DataFrame:
+    """(feature, importance) in ascending order; the importances sum to 1. Where features are
+    vectors, ``names`` (column, position, value) has the values that their places stand for."""
+    raw = forest_of(model).featureImportances
+    total = float(raw.toArray().sum()) or 1.0
+    found = [(int(i), float(v) / total) for i, v in zip(raw.indices, raw.values, strict=True)]
+    sizes = {} if names is None else {r["column"]: r["count"] for r in names.groupBy(
+        "column").count().collect()}
+    starts = dict(zip(features, itertools.accumulate(
+        (sizes.get(c, 1) for c in features), initial=0), strict=False))
+    places = spark.createDataFrame([(starts[c], c) for c in features if c not in sizes],
+                                   "at int, feature string")
+    if sizes:
+        start = F.create_map(*[F.lit(x) for c in sizes for x in (c, starts[c])])
+        places = places.unionByName(names.select(
+            (start[F.col("column")] + F.col("position")).alias("at"),
+            F.concat_ws("_", "column", "value").alias("feature")))
+    table = places.join(spark.createDataFrame(found, "at int, importance double"), "at", "left")
+    return table.select("feature", F.round(F.coalesce("importance", F.lit(0.0)), 4).alias(
+        "importance")).orderBy("importance", "feature")
+
+
+def fitted_parameters(spark: SparkSession, model: PipelineModel,
+                      params: ForestParams) -> DataFrame:
+    """The settings of a fitted or loaded model as one row, as its forest holds them. Spark does
+    not know a minimum split size; that one comes from ``params``."""
+    forest = forest_of(model)
+    return model_parameters(spark, ForestParams(
+        forest.getNumTrees, forest.getOrDefault("maxDepth"), params.min_samples_split,
+        forest.getOrDefault("minInstancesPerNode")))
 
 
 def model_parameters(spark: SparkSession, params: ForestParams) -> DataFrame:

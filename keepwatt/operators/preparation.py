@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,37 @@ def dummies(df: DataFrame, columns: Sequence[str], max_categories: int | None =
     return df
 
 
+def dummy_vectors(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Replace each column by one sparse 0/1 vector of its name, and (column, position, value):
+    what the places of the vectors stand for, values in text order.
+
+    For columns with too many values to be columns of their own. A missing value gives a vector
+    of zeros. The values are held by the driver while they are numbered.
+    """
+    indexes = [f"{c}__index" for c in columns]
+    text = df.withColumns({i: F.col(f"`{c}`").cast("string")
+                           for i, c in zip(indexes, columns, strict=True)})
+    numbered = StringIndexer(inputCols=indexes, outputCols=[f"{i}_number" for i in indexes],
+                             stringOrderType="alphabetAsc", handleInvalid="keep").fit(text)
+    # missing values have the last number, which has no place in the vector
+    encoder = OneHotEncoder(inputCols=[f"{i}_number" for i in indexes],
+                            outputCols=[f"{i}_vector" for i in indexes], dropLast=True)
+    rows = numbered.transform(text)
+    encoded = encoder.fit(rows).transform(rows)
+    labels = dict(zip(columns, numbered.labelsArray, strict=True))
+    vectors = [F.col(f"{i}_vector").alias(c, metadata={"ml_attr": {"num_attrs": len(labels[c])}})
+               for i, c in zip(indexes, columns, strict=True)]
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    names = df.sparkSession.createDataFrame(
+        [(c, k, value) for c in columns for k, value in enumerate(labels[c])],
+        "column string, position int, value string")
+    return encoded.select(*kept, *vectors), names
+
+
+def _is_vector(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, VectorUDT)
+
+
 def feature_names(df: DataFrame, target: str, drop_columns: Sequence[str] = (),
                   features: Sequence[str] | None = None) -> list[str]:
     """All columns but the target and the dropped ones, or the checked user selection."""
@@ -70,9 +102,13 @@ def fit_scaler(train: DataFrame, features: Sequence[str],
                fill_missing: float | None = None) -> SQLTransformer:
     """Standard scaler fitted on ``train`` in one aggregate: (x - mean) / population spread.
 
-    A constant column is only centred. The result is a Spark ML transformer that replaces the
-    feature columns by their scaled values, so it can be saved in a pipeline with a model.
+    A constant column is only centred, vectors of dummies stay as they are. The result is a
+    Spark ML transformer that replaces the feature columns by their scaled values, so it can be
+    saved in a pipeline with a model.
     """
+    features = [c for c in features if not _is_vector(train, c)]
+    if not features:
+        return SQLTransformer(statement="SELECT * FROM __THIS__")
     wide = []
     for c in features:
         value = _as_double(c, fill_missing)

@@ -5,12 +5,15 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Sequence
+from contextvars import copy_context
 from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwatt.operators.forest import (
@@ -18,6 +21,7 @@ from keepwatt.operators.forest import (
 )
 from keepwatt.operators.hash_split import stratified_folds
 from keepwatt.operators.preparation import PreparedData, weight_table
+from keepwatt.operators.trees import nested_margins, store_forest, stored_nodes
 from keepwatt.session import stage
 
 
@@ -30,19 +34,15 @@ class SearchSpace:
     min_samples_split: tuple[int, int] = (2, 5)
     min_samples_leaf: tuple[int, int] = (1, 3)
 
-    def distinct_settings(self) -> list[ForestParams]:
-        """All settings that differ to Spark; of equal ones the first is kept."""
+    def settings(self) -> list[ForestParams]:
+        """All settings, the last range running fastest."""
         ranges = [range(lo, hi + 1) for lo, hi in (
             self.n_estimators, self.max_depth, self.min_samples_split, self.min_samples_leaf)]
-        seen = {}
-        for values in itertools.product(*ranges):
-            params = ForestParams(*values)
-            seen.setdefault((params.n_estimators, params.max_depth, params.min_instances), params)
-        return list(seen.values())
+        return [ForestParams(*values) for values in itertools.product(*ranges)]
 
     def sample(self, n_trials: int, seed: int = 0) -> list[ForestParams]:
         """``n_trials`` different settings; all of them if there are not more."""
-        settings = self.distinct_settings()
+        settings = self.settings()
         if n_trials >= len(settings):
             return settings
         return random.Random(seed).sample(settings, n_trials)
@@ -58,42 +58,76 @@ class TuningResult:
         rows = [(*params.as_dict().values(), score) for params, score in self.trials]
         names = [f"{name} int" for name in ForestParams().as_dict()]
         return spark.createDataFrame(rows, ", ".join([*names, "recall double"])).orderBy(
-            F.desc("recall"), "n_estimators", "max_depth", "min_samples_leaf")
-
-
-def _recall(predictions: DataFrame, target: str) -> float:
-    counts = predictions.where(F.col(target) == 1).agg(
-        F.count_if(F.col("prediction") == 1).alias("hits"), F.count(F.lit(1)).alias("n")).first()
-    return counts["hits"] / counts["n"] if counts["n"] else 0.0
+            F.desc("recall"), *ForestParams().as_dict())
 
 
 def cross_validate(folded: DataFrame, settings: Sequence[ForestParams], target: str,
                    folds: int, seed: int = 0, parallelism: int = 2) -> list[float]:
     """Mean recall over the folds for each setting, on rows with a ``fold`` column.
 
+    Settings are nested: the first trees of a forest are a smaller forest, the top of a tree is
+    a less deep one, and a tree whose small splits are undone is one with a larger minimum
+    split size. So one fit per fold and minimum leaf size, with the most trees and the greatest
+    depth asked for, has all settings in it; trees are drawn once and shared by the settings.
+    The rows of class 1 are sent down these trees, and what every setting says of them is
+    counted in one pass, whatever the number of settings.
+
     Class weights are those of the training folds. Up to ``parallelism`` fits run at a time;
     each of them is itself a distributed job.
     """
+    spark = folded.sparkSession
+    trees, depth = (max(getattr(s, name) for s in settings)
+                    for name in ("n_estimators", "max_depth"))
+    leaf_sizes = sorted({s.min_samples_leaf for s in settings})
+    variants = sorted({(s.max_depth, s.min_samples_split) for s in settings})
     weights = [weight_table(folded.where(F.col("fold") != fold), target, WEIGHT)
                for fold in range(folds)]
+    positives = {row["fold"]: row["n"] for row in folded.where(F.col(target) == 1).groupBy(
+        "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def score(job: tuple[ForestParams, int]) -> float:
-        params, fold = job
+    def grow(job: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+        fold, leaf_size = job
+        name = F.lit(fold * len(leaf_sizes) + leaf_sizes.index(leaf_size)).alias("model")
+        largest = ForestParams(trees, depth, 2, leaf_size)
         train = folded.where(F.col("fold") != fold).join(weights[fold], target)
-        model = classifier(params, target, seed).fit(train)
-        return _recall(model.transform(folded.where(F.col("fold") == fold)), target)
-
-    jobs = [(params, fold) for params in settings for fold in range(folds)]
+        forest = classifier(largest, target, seed).fit(train).setLeafCol("leaves")
+        held = forest.transform(folded.where((F.col("fold") == fold) & (F.col(target) == 1)))
+        numbered = held.select(name, F.monotonically_increasing_id().alias("row"), "leaves")
+        reached = numbered.select("model", "row", F.posexplode(
+            vector_to_array("leaves")).alias("tree", "leaf"))
+        reached = stage(reached.withColumn("leaf", F.col("leaf").cast("long")), "leaves")
+        return reached, stored_nodes(spark, store_forest(forest, spark)).select(
+            name, "treeID", "id", "impurityStats", "rawCount", "leftChild", "rightChild")
+
+    jobs = [(copy_context(), job) for job in itertools.product(range(folds), leaf_sizes)]
+    run = inheritable_thread_target(spark)(lambda job: job[0].run(grow, job[1]))
     with ThreadPool(max(1, parallelism)) as pool:
-        scores = pool.map(inheritable_thread_target(folded.sparkSession)(score), jobs,
-                          chunksize=1)
-    return [sum(scores[i * folds:(i + 1) * folds]) / folds for i in range(len(settings))]
+        grown = pool.map(run, jobs, chunksize=1)
+    reached, nodes = (reduce(DataFrame.unionByName, some) for some in zip(*grown, strict=True))
+    margins = nested_margins(nodes, variants, depth)
+    # the votes of the first trees, up to each one
+    upto = Window.partitionBy("model", "row").orderBy("tree")
+    votes = reached.join(margins, ["model", "tree", "leaf"]).select("model", "tree", *[
+        F.sum(f"m{v}").over(upto).alias(f"m{v}") for v in range(len(variants))])
+    counts = sorted({s.n_estimators - 1 for s in settings})
+    hits = {(row["model"], row["tree"]): row for row in votes.where(
+        F.col("tree").isin(counts)).groupBy("model", "tree").agg(*[
+            F.count_if(F.col(f"m{v}") > 0).alias(f"m{v}") for v in range(len(variants))]).collect()}
+
+    def recall(params: ForestParams, fold: int) -> float:
+        model = fold * len(leaf_sizes) + leaf_sizes.index(params.min_samples_leaf)
+        variant = variants.index((params.max_depth, params.min_samples_split))
+        if not positives.get(fold):
+            return 0.0
+        return hits[model, params.n_estimators - 1][f"m{variant}"] / positives[fold]
+
+    return [sum(recall(params, fold) for fold in range(folds)) / folds for params in settings]
 
 
 def train_random_forest_tuned(prepared: PreparedData, n_trials: int = 50, folds: int = 5,
                               space: SearchSpace = SearchSpace(), seed: int = 0,
                               keys: Sequence[str] = ("id",),
-                              parallelism: int = 2) -> TuningResult:
+                              parallelism: int = 4) -> TuningResult:
     """Try ``n_trials`` settings, keep the one with the best mean recall and refit it on all
     training rows. The sample of settings is seeded, so the search can be repeated.
 
@@ -115,7 +149,4 @@ def compare_models(models: dict[str, tuple[PipelineModel, PreparedData]]) -> Dat
         .select(F.lit(name).alias("model"), "metric", "value")
         for name, (model, prepared) in models.items()
     ]
-    result = tables[0]
-    for table in tables[1:]:
-        result = result.unionByName(table)
-    return result
+    return reduce(DataFrame.unionByName, tables)

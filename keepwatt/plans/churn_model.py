@@ -7,16 +7,19 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from keepwatt.operators.forest import (
-    ForestParams, evaluate_model, feature_importance, model_parameters, train_random_forest,
+    ForestParams, evaluate_model, feature_importance, fitted_parameters, forest_of,
+    train_random_forest,
 )
 from keepwatt.operators.preparation import (
     PreparedData, dummies, prepare_data, selectable_features,
 )
+from keepwatt.operators.trees import importances, store_forest, stored_nodes
 from keepwatt.operators.tuning import SearchSpace, TuningResult, train_random_forest_tuned
 from keepwatt.session import stage
-from keepwatt.sources.models import ModelRegistry
+from keepwatt.sources.models import ModelRegistry, data_version
 
 
 @dataclass
@@ -34,8 +37,14 @@ class ChurnModel:
         return feature_importance(self.prepared.data.sparkSession, self.model,
                                   self.prepared.features)
 
+    def importance_of_nodes(self) -> DataFrame:
+        """The same importances, added up from the stored trees."""
+        spark = self.prepared.data.sparkSession
+        nodes = stored_nodes(spark, store_forest(forest_of(self.model), spark))
+        return importances(nodes, self.prepared.features)
+
     def parameters(self) -> DataFrame:
-        return model_parameters(self.prepared.data.sparkSession, self.params)
+        return fitted_parameters(self.prepared.data.sparkSession, self.model, self.params)
 
 
 def encoded_features(features: DataFrame) -> DataFrame:
@@ -52,29 +61,30 @@ def prepare_and_stage(encoded: DataFrame, chosen: Sequence[str] | None = None,
 
 def custom_model(encoded: DataFrame, chosen: Sequence[str] | None = None,
                  params: ForestParams = ForestParams(), registry: ModelRegistry | None = None,
-                 data_version: str = "", seed: int = 0) -> ChurnModel:
+                 version: str | None = None, seed: int = 0) -> ChurnModel:
     """A forest on the chosen features (default: all of them). With a registry, stored data
-    and model are used unless features, settings, seed or data version changed."""
+    and model are used unless features, settings, seed or the data changed. The version of the
+    data is a digest of the ids, the features and the label, unless the caller knows one."""
     def build() -> tuple[PreparedData, PipelineModel]:
         prepared = prepare_and_stage(encoded, chosen, seed=seed)
         return prepared, train_random_forest(prepared, params, seed)
 
     if registry is None:
         prepared, model = build()
-    elif not data_version:
-        raise ValueError("a registry needs the version of the data")
     else:
         features = chosen or selectable_features(encoded)
-        key = registry.key(features, params, data_version, seed)
-        prepared, model = registry.fit_or_load(key, build)
+        used = encoded.select(*[F.col(f"`{c}`") for c in ("id", "churn", *features)])
+        key = registry.key(features, params, version or data_version(used), seed)
+        prepared, model = registry.fit_or_load(key, build, params)
+        params = registry.settings(key)
     return ChurnModel(model, prepared, params)
 
 
 def tuned_model(encoded: DataFrame, n_trials: int = 50, folds: int = 5,
-                space: SearchSpace = SearchSpace(), seed: int = 0,
-                parallelism: int = 2) -> tuple[ChurnModel, TuningResult]:
-    """The forest with the best cross-validated recall, on all features."""
-    prepared = prepare_and_stage(encoded, seed=seed)
+                space: SearchSpace = SearchSpace(), seed: int = 0, parallelism: int = 4,
+                chosen: Sequence[str] | None = None) -> tuple[ChurnModel, TuningResult]:
+    """The forest with the best cross-validated recall, on the chosen features (default: all)."""
+    prepared = prepare_and_stage(encoded, chosen, seed=seed)
     result = train_random_forest_tuned(prepared, n_trials, folds, space, seed,
                                        parallelism=parallelism)
     return ChurnModel(result.model, prepared, result.best), result

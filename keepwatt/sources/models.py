@@ -9,7 +9,8 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keepwatt.operators.forest import ForestParams
 from keepwatt.operators.preparation import PreparedData
@@ -40,6 +41,21 @@ def load_prepared(spark: SparkSession, path: str) -> PreparedData:
                         roles["features"], roles["target"])
 
 
+def data_version(df: DataFrame) -> str:
+    """A digest of a table's columns, types and rows, from one aggregate.
+
+    Two sums of row hashes do not depend on the order of the rows or on how they are dealt out,
+    but on every cell, on missing values and on how often a row occurs. The order of the columns
+    does not count.
+    """
+    fields = sorted(df.schema, key=lambda f: f.name)
+    cells = [c for f in fields for c in (F.col(f"`{f.name}`").isNull(), F.col(f"`{f.name}`"))]
+    sums = [F.sum(F.xxhash64(F.lit(turn), *cells).cast("decimal(20,0)")) for turn in (0, 1)]
+    row = df.agg(F.count(F.lit(1)), *sums).first()
+    content = [[f.name, f.dataType.simpleString()] for f in fields] + [str(v) for v in row]
+    return hashlib.sha256(json.dumps(content).encode()).hexdigest()[:32]
+
+
 class ModelRegistry:
     """Models with their train/test data under one folder, each keyed by features, settings,
     seed and data version.
@@ -73,16 +89,22 @@ class ModelRegistry:
                 return False
             raise
 
+    def settings(self, key: str) -> ForestParams:
+        """The settings a stored model was trained with."""
+        ready = self.spark.read.schema("settings string").parquet(f"{self.path(key)}/ready")
+        return ForestParams(**json.loads(ready.first()[0]))
+
     def load(self, key: str) -> tuple[PreparedData, PipelineModel]:
         path = self.path(key)
         return load_prepared(self.spark, f"{path}/prepared"), load_model(f"{path}/model")
 
-    def fit_or_load(self, key: str, build: Callable[[], tuple[PreparedData, PipelineModel]]
-                    ) -> tuple[PreparedData, PipelineModel]:
+    def fit_or_load(self, key: str, build: Callable[[], tuple[PreparedData, PipelineModel]],
+                    params: ForestParams = ForestParams()) -> tuple[PreparedData, PipelineModel]:
         if not self.has(key):
             prepared, model = build()
             save_prepared(prepared, f"{self.path(key)}/prepared")
             save_model(model, f"{self.path(key)}/model")
-            (self.spark.createDataFrame([(key,)], "key string").coalesce(1)
+            ready = [(key, json.dumps(params.as_dict()))]
+            (self.spark.createDataFrame(ready, "key string, settings string").coalesce(1)
              .write.mode("overwrite").parquet(f"{self.path(key)}/ready"))
         return self.load(key)

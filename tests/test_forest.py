@@ -10,7 +10,7 @@ from keepwatt.operators.preparation import prepare_data
 from keepwatt.operators.tuning import SearchSpace, compare_models, train_random_forest_tuned
 from keepwatt.plans.churn_model import custom_model, tuned_model
 from keepwatt.sources.models import (
-    ModelRegistry, load_model, load_prepared, save_model, save_prepared,
+    ModelRegistry, data_version, load_model, load_prepared, save_model, save_prepared,
 )
 
 SMALL = ForestParams(n_estimators=10, max_depth=4)
@@ -73,8 +73,8 @@ def test_scores_without_positives(spark):
 
 def test_parameters(spark):
     assert rows(model_parameters(spark, ForestParams(10, 4, 5, 2))) == [(10, 4, 5, 2)]
-    assert ForestParams(min_samples_split=5, min_samples_leaf=2).min_instances == 3
-    assert ForestParams(min_samples_split=2, min_samples_leaf=3).min_instances == 3
+    assert ForestParams(min_samples_split=5, min_samples_leaf=2).undoes_splits
+    assert not ForestParams(min_samples_split=4, min_samples_leaf=2).undoes_splits
     assert ForestParams() == ForestParams(100, 20, 2, 1)
     with pytest.raises(ValueError, match="limit of 30"):
         ForestParams(max_depth=31)
@@ -116,6 +116,34 @@ def test_registry_trains_only_on_change(spark, planted, tmp_path):
     assert len(others | {key}) == 5
 
 
+def test_changed_data_trains_again(spark, planted, tmp_path):
+    registry = ModelRegistry(spark, str(tmp_path))
+    data = planted.limit(400).persist()
+
+    def stored(df):
+        custom_model(df, ["signal"], SMALL, registry)
+        return len([p for p in tmp_path.iterdir() if p.is_dir()])
+
+    assert stored(data) == 1
+    assert stored(data.orderBy("signal").repartition(3).select("churn", "signal", "id")) == 1
+    other = F.when(F.col("id") == data.first()["id"], F.col("noise") + 1).otherwise(F.col("noise"))
+    assert stored(data.withColumn("noise", other)) == 1, "not a feature of this model"
+    assert stored(data.withColumn("signal", F.when(
+        F.col("id") == data.first()["id"], F.col("signal") + 1e-9).otherwise(F.col("signal")))) == 2
+
+
+def test_data_version(spark):
+    schema = "a int, b string, c double"
+    base = [(1, "x", 1.0), (2, None, 2.0), (None, "y", None), (1, "x", 1.0)]
+    version = data_version(spark.createDataFrame(base, schema))
+    assert version == data_version(spark.createDataFrame(base[::-1], schema).repartition(3))
+    assert version == data_version(spark.createDataFrame(base, schema).select("c", "b", "a"))
+    others = [base[:3], base + base[:1], [(1, "x", 1.5), *base[1:]], [*base[:1], (2, "", 2.0), *base[2:]],
+              [(1, "x", 1.0), (None, "y", 2.0), (2, None, None), (1, "x", 1.0)], []]
+    assert len({data_version(spark.createDataFrame(o, schema)) for o in others} | {version}) == 7
+    assert version != data_version(spark.createDataFrame(base, "a long, b string, c double"))
+
+
 def test_half_stored_model_does_not_count(spark, prepared, model, tmp_path):
     registry = ModelRegistry(spark, str(tmp_path))
     save_model(model, f"{registry.path('half')}/model")
@@ -124,9 +152,9 @@ def test_half_stored_model_does_not_count(spark, prepared, model, tmp_path):
 
 def test_search_space():
     space = SearchSpace()
-    assert len(space.distinct_settings()) == 189
-    assert len(space.sample(50)) == 50 and space.sample(50) == space.sample(50)
-    assert len(space.sample(1000)) == 189
+    assert len(set(space.settings())) == 756
+    assert len(set(space.sample(50))) == 50 and space.sample(50) == space.sample(50)
+    assert space.sample(1000) == space.settings()
 
 
 def test_tuning(spark, prepared):
@@ -143,6 +171,7 @@ def test_model_plans(spark, planted, tmp_path):
     custom = custom_model(planted, ["signal"], SMALL, registry, "v1")
     again = custom_model(planted, ["signal"], SMALL, registry, "v1")
     assert rows(custom.scores()) == rows(again.scores())
+    assert rows(again.parameters()) == [(10, 4, 2, 1)]
     assert rows(custom.importance()) == [("signal", 1.0)]
     tuned, _ = tuned_model(planted, 1, 2, SearchSpace((4, 4), (3, 3)))
     assert rows(tuned.parameters())[0][:2] == (4, 3)
