@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -28,7 +27,7 @@ from keepwatt.operators.hash_split import (  # noqa: E402
     stratified_folds as folds_of, train_test_split as split_of,
 )
 from keepwatt.operators.preparation import (  # noqa: E402
-    class_weights as weights_of, dummies, prepare_data,
+    class_weights as weights_of, dummies, prepare_data, selectable_features,
 )
 from keepwatt.operators.profiling import (  # noqa: E402
     churn_histogram as histogram, churn_share as share, column_ranges as ranges_of,
@@ -42,20 +41,21 @@ from keepwatt.plans.clean_tables import (  # noqa: E402
 )
 from keepwatt.plans.feature_table import register_views  # noqa: E402
 from keepwatt.schemas import NUMERIC_FEATURES, PRICE_COLUMNS  # noqa: E402
-from keepwatt.session import configure, shared_dir, stage  # noqa: E402
+from keepwatt.session import configure, new_folder, stage  # noqa: E402
 from keepwatt.sources.catalog import (  # noqa: E402
     read_features, register_tables, write_features,
 )
 from keepwatt.sources.csv_tables import (  # noqa: E402
     load_table, preview, schema_report as report_of, write_csv,
 )
-from keepwatt.sources.models import ModelRegistry, load_model, save_model  # noqa: E402
+from keepwatt.sources.models import (  # noqa: E402
+    ModelRegistry, load_model, load_prepared, save_model, save_prepared,
+)
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 FOREST = ForestParams()
-# A part of the search space: all of it takes 250 fits, see README.md.
-SEARCH = SearchSpace(n_estimators=(8, 12), max_depth=(3, 4))
+DENSITY_RANGES = {"avg_price_mid_peak_var": (0.1, 0.2), "avg_price_peak_var": (0.0, 12.0)}
 
 
 def staged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,13 @@ def price_changes(spark, sf_dir):
     return rounded(changes, [f"{c}_change" for c in PRICE_COLUMNS])
 
 
+def price_changes_repeated(spark, sf_dir):
+    """Changes between the months of order lines, several of which share a client and month."""
+    names = PRICE_COLUMNS[:3]
+    changes = changes_of(roles.price_line_role(spark, sf_dir), names)
+    return rounded(changes, [f"{c}_change" for c in names])
+
+
 def client_consumption_distinct(spark, sf_dir):
     return distinct_pairs(roles.read(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
 
@@ -106,7 +113,7 @@ def clean_datatypes(spark, sf_dir):
 
 def _work_folder(spark, name):
     """A new folder for one run of a query that writes files."""
-    return f"{shared_dir(spark)}/keepwatt/{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, name)
 
 
 def clean_client_table(spark, sf_dir):
@@ -160,6 +167,11 @@ def churn_kde_all(spark, sf_dir):
                                {c: None for c in NUMERIC_FEATURES}))
 
 
+def churn_kde_ranges(spark, sf_dir):
+    """Densities on grids that a user gave."""
+    return _scaled_density(kde(staged_features(spark, sf_dir), DENSITY_RANGES))
+
+
 def column_ranges(spark, sf_dir):
     return ranges_of(roles.feature_role(spark, sf_dir))
 
@@ -238,24 +250,93 @@ def forest_importance(spark, sf_dir):
     return custom_model(_encoded(spark, sf_dir), params=FOREST).importance()
 
 
+def importance_of_nodes(spark, sf_dir):
+    """Whether importances added up from the stored trees are those of the model, by feature."""
+    model = custom_model(_encoded(spark, sf_dir), params=FOREST)
+    own = model.importance().withColumnRenamed("importance", "own")
+    both = stage(model.importance_of_nodes().join(own, "feature"), "importances")
+    close = F.abs(F.col("importance") - F.col("own")) < 0.00015
+    total = both.agg(F.round(F.sum("importance"), 1)).scalar()
+    return both.select("feature", close.alias("as_in_model"), total.alias("sum_of_all"))
+
+
 def forest_parameters(spark, sf_dir):
-    return custom_model(_encoded(spark, sf_dir), params=FOREST).parameters()
+    """The settings of a stored and loaded model."""
+    registry = ModelRegistry(spark, _work_folder(spark, "models"))
+    return custom_model(_encoded(spark, sf_dir), params=FOREST, registry=registry).parameters()
 
 
 def forest_tuned(spark, sf_dir):
-    _, result = tuned_model(_encoded(spark, sf_dir), n_trials=2, folds=3, space=SEARCH,
-                            parallelism=4)
+    """The whole search: 50 settings of the default space in 5 folds."""
+    _, result = tuned_model(_encoded(spark, sf_dir), n_trials=50, folds=5)
     return result.trial_table(spark)
 
 
-def tuned_vs_custom(spark, sf_dir):
-    encoded = _encoded(spark, sf_dir)
-    custom = custom_model(encoded, params=FOREST)
-    tuned, _ = tuned_model(encoded, n_trials=2, folds=2, space=SEARCH, parallelism=4)
+def _compared(encoded, chosen=None, n_trials=50):
+    custom = custom_model(encoded, chosen, params=FOREST)
+    tuned, _ = tuned_model(encoded, n_trials=n_trials, folds=5, chosen=chosen)
     return compare_models({"custom": (custom.model, custom.prepared),
                            "tuned": (tuned.model, tuned.prepared)})
 
 
+def tuned_vs_custom(spark, sf_dir):
+    return _compared(_encoded(spark, sf_dir))
+
+
+def _ruled(spark, sf_dir):
+    """Clients whose label is a noisy rule on the channel, and the features that show it. What a
+    forest should say of them can be stated in SQL."""
+    encoded = encoded_features(stage(roles.rule_role(spark, sf_dir), "features"))
+    return encoded, [c for c in encoded.columns if c.startswith("channel_sales_")]
+
+
+def rule_forest_scores(spark, sf_dir):
+    encoded, chosen = _ruled(spark, sf_dir)
+    return custom_model(encoded, chosen, params=FOREST).scores()
+
+
+def rule_tuned_vs_custom(spark, sf_dir):
+    return _compared(*_ruled(spark, sf_dir))
+
+
+def rule_forest_tuned(spark, sf_dir):
+    """All 756 settings of the default space in 5 folds."""
+    encoded, chosen = _ruled(spark, sf_dir)
+    space = SearchSpace()
+    _, result = tuned_model(encoded, n_trials=len(space.settings()), folds=5, space=space,
+                            chosen=chosen)
+    best = F.lit(True)
+    for name, value in result.best.as_dict().items():
+        best = best & (F.col(name) == value)
+    return rounded(result.trial_table(spark).withColumn("best", best), ["recall"])
+
+
+def rule_model_roundtrip(spark, sf_dir):
+    """Predictions for unscaled clients by a model that was stored with its scaler and loaded."""
+    encoded, chosen = _ruled(spark, sf_dir)
+    registry = ModelRegistry(spark, _work_folder(spark, "models"))
+    trained = custom_model(encoded, chosen, params=FOREST, registry=registry)
+    path = f"{registry.folder}/with-scaler"
+    save_model(with_scaler(trained.prepared, trained.model), path)
+    return predict(load_model(path), encoded).select("id", "churn", "prediction")
+
+
+def prepared_split_roundtrip(spark, sf_dir):
+    """Train and test rows, stored with their scaler and loaded."""
+    chosen = ["yearly_consumption", "net_margin"]
+    prepared = prepare_data(numeric_input(spark, sf_dir), features=chosen, fill_missing=0.0)
+    path = _work_folder(spark, "prepared")
+    save_prepared(prepared, path)
+    loaded = load_prepared(spark, path)
+    return rounded(loaded.data, loaded.features)
+
+
+def selectable_columns(spark, sf_dir):
+    """The columns that a user may pick as features, by name."""
+    names = selectable_features(_encoded(spark, sf_dir))
+    return spark.createDataFrame(list(enumerate(names)), "position int, feature string")
+
+
 def feature_table_roundtrip(spark, sf_dir):
     """Feature table to Parquet, from there to CSV, and back with the same types."""
     features = staged_features(spark, sf_dir)
@@ -278,7 +359,7 @@ def model_roundtrip(spark, sf_dir):
     """Predictions for all clients by a model that was saved with its scaler and loaded."""
     encoded = _encoded(spark, sf_dir)
     registry = ModelRegistry(spark, _work_folder(spark, "models"))
-    trained = custom_model(encoded, params=FOREST, registry=registry, data_version=sf_dir)
+    trained = custom_model(encoded, params=FOREST, registry=registry)
     path = f"{registry.folder}/with-scaler"
     save_model(with_scaler(trained.prepared, trained.model), path)
     return predict(load_model(path), encoded).select("id", "churn", "prediction")
@@ -295,24 +376,32 @@ REGISTERED = [
     churn_kde, churn_kde_all, column_ranges, schema_report, feature_preview,
     channel_dummies, train_test_split, stratified_folds, scaled_features,
     scaled_chosen_features, price_changes_by_channel, class_weights,
-    evaluate_predictions, forest_scores, forest_importance, forest_parameters, forest_tuned, tuned_vs_custom,
-    feature_table_roundtrip, csv_text_roundtrip, model_roundtrip,
+    evaluate_predictions, forest_scores, forest_importance, forest_parameters, forest_tuned,
+    tuned_vs_custom, feature_table_roundtrip, csv_text_roundtrip, model_roundtrip,
+    price_changes_repeated, churn_kde_ranges, selectable_columns, importance_of_nodes,
+    rule_forest_scores, rule_tuned_vs_custom, rule_forest_tuned, rule_model_roundtrip,
+    prepared_split_roundtrip,
 ]
 
 
-try:  # the subpackage for training data and its pipeline may be left out
-    import corpus_pipeline
+LLM_QUERIES, LLM_SQL = {}, {}
+try:  # the subpackage for training data may be left out
     from keepwatt.llm import queries as llm
 except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "keepwatt.llm"):
+    if missing.name != "keepwatt.llm":
         raise
-    LLM_QUERIES, LLM_SQL = {}, {}
 else:
-    LLM_QUERIES = {query.__name__: query for query in llm.REGISTERED}
-    LLM_QUERIES["pipeline"] = corpus_pipeline.run
-    LLM_SQL = dict(llm.ORACLE_SQL)
-    if corpus_pipeline.ORACLE_SQL:
-        LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+    LLM_QUERIES |= {query.__name__: query for query in llm.REGISTERED}
+    LLM_SQL |= llm.ORACLE_SQL
+    try:  # and so may its pipeline
+        import corpus_pipeline
+    except ModuleNotFoundError as missing:
+        if missing.name != "corpus_pipeline":
+            raise
+    else:
+        LLM_QUERIES["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def _configured(query: Callable) -> Callable[[SparkSession, str], DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwatt.operators.features import price_sensitivity_features
+from keepwatt.operators.hash_split import hash_order
 
 AS_OF = "1998-01-01"
 
@@ -98,6 +99,26 @@ def feature_role(spark: SparkSession, folder: str) -> DataFrame:
                                       as_of=AS_OF)
 
 
+def price_line_role(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per order line, with the client and the month: dates of a client repeat."""
+    unit = F.ln(F.col("l_extendedprice") / F.col("l_quantity"))
+    owners = read(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("id"))
+    lines = read(spark, folder, "lineitem").withColumn("o_orderkey", F.col("l_orderkey"))
+    return lines.join(owners, "o_orderkey").select(
+        "id", F.date_trunc("month", "l_shipdate").alias("price_date"),
+        F.ln("l_extendedprice").alias("price_peak_var"),
+        (F.col("l_tax") * unit).alias("price_off_peak_var"),
+        (F.col("l_discount") * unit).alias("price_mid_peak_var"))
+
+
+def rule_role(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature table with a label that a forest can learn: a rule on the channel, turned
+    over for one client in ten, chosen by a hash."""
+    rule = F.col("channel_sales").isin("BUILDING", "MACHINERY").cast("bigint")
+    return feature_role(spark, folder).withColumn(
+        "churn", F.when(hash_order(["id"], 7) % 10 == 0, 1 - rule).otherwise(rule))
+
+
 def channel_role(spark: SparkSession, folder: str) -> DataFrame:
     """Parts with a channel made of brand and size class: many channels, with equal counts."""
     return read(spark, folder, "part").select(

@@ -6,7 +6,19 @@ per row and grid point; a rank over all rows), not the shape of the Spark jobs.
 
 from __future__ import annotations
 
-from keepwatt.schemas import FEATURE_COLUMNS, NUMERIC_FEATURES, PRICE_COLUMNS
+# The columns of the results, on their own here so that a wrong list is seen.
+NUMERIC_FEATURES = """
+months_to_end months_since_modified months_since_renewed
+yearly_consumption monthly_consumption yearly_gas_consumption yearly_forecast_consumption
+yearly_forecast_meter_rent paid_consumption net_margin_electricity net_margin_power net_margin
+avg_price_off_peak_var avg_price_peak_var avg_price_mid_peak_var price_peak_off_peak_ratio_var
+std_price_off_peak_var std_price_peak_var std_price_mid_peak_var
+range_price_peak_var range_price_off_peak_var range_price_mid_peak_var""".split()
+FEATURE_COLUMNS = ["id", "channel_sales", "tenure_years", *NUMERIC_FEATURES, "churn"]
+PRICE_COLUMNS = """
+price_peak_var price_off_peak_var price_mid_peak_var
+price_peak_fix price_off_peak_fix price_mid_peak_fix""".split()
+CHANNELS_SOLD = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 AS_OF = "TIMESTAMP '1998-01-01 00:00:00'"
 
@@ -147,12 +159,19 @@ SELECT "column", bin, (e0 + e1) / 2 AS bin_center, churn_count, no_churn_count,
 FROM counted"""
 
 
-def kde(source: str, points: int = 1000) -> str:
-    """One kernel value per row and grid point."""
+def kde(source: str, points: int = 1000, ranges: dict[str, tuple[float, float]] | None = None
+        ) -> str:
+    """One kernel value per row and grid point. Grids span a column's values, or ``ranges``."""
+    lengths = "SELECT \"column\", min(v) AS lo, max(v) AS hi FROM long GROUP BY 1"
+    if ranges:
+        source = f"{source}, long AS (SELECT * FROM every WHERE \"column\" IN ({', '.join(repr(c) for c in ranges)}))"
+        lengths = " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", CAST({lo} AS DOUBLE) AS lo, CAST({hi} AS DOUBLE) AS hi"
+            for c, (lo, hi) in ranges.items())
     return f"""
 WITH {source},
 cls AS (SELECT "column", churn, count(v) AS n, stddev_samp(v) AS s FROM long GROUP BY 1, 2),
-rng AS (SELECT "column", min(v) AS lo, max(v) AS hi FROM long GROUP BY 1),
+rng AS ({lengths}),
 grid AS (
   SELECT "column", hi - lo AS length, CAST(i AS INTEGER) AS point,
          CASE WHEN i = {points - 1} THEN hi ELSE lo + i * ((hi - lo) / {points - 1}) END AS x
@@ -188,6 +207,51 @@ split AS (
 )"""
 
 
+# The label is a rule on the channel, turned over for one client in ten.
+RULED = f"""
+{FEATURES.replace("features AS (", "measured AS (")},
+ruled AS (SELECT *, CASE WHEN channel_sales IN ('BUILDING', 'MACHINERY') THEN 1 ELSE 0 END AS rule
+          FROM measured),
+features AS (SELECT * REPLACE (CASE WHEN {hash_of('id', 7)} % 10 = 0 THEN 1 - rule ELSE rule END
+                               AS churn) FROM ruled)"""
+
+
+def metrics(of: str, name: str = "") -> str:
+    """Recall, precision and accuracy of the rule, as (metric, value) rows."""
+    first = f"'{name}' AS model, " if name else ""
+    rows = {"Recall": ("churn = 1 AND rule = 1", "churn = 1"),
+            "Precision": ("churn = 1 AND rule = 1", "rule = 1"),
+            "Accuracy": ("churn = rule", "true")}
+    return " UNION ALL ".join(
+        f"SELECT {first}'{metric}' AS metric, round(coalesce(count(*) FILTER (WHERE {part}) "
+        f"/ nullif(count(*) FILTER (WHERE {whole}), 0), 0.0), 2) AS value FROM {of}"
+        for metric, (part, whole) in rows.items())
+
+
+def rule_test_rows() -> str:
+    return f"WITH {RULED}, {SPLIT}, tested AS (SELECT * FROM split WHERE split = 'test')"
+
+
+def rule_search(folds: int = 5) -> str:
+    """Every setting of the search space; the rule's recall is that of each of them."""
+    fold = " + ".join(
+        f"(CASE WHEN rn > ceil(CAST(n * {i} AS DOUBLE) / {folds}) THEN 1 ELSE 0 END)"
+        for i in range(1, folds))
+    return f"""
+WITH {RULED}, {SPLIT},
+ranked AS (SELECT churn, rule, count(*) OVER (PARTITION BY churn) AS n,
+                  row_number() OVER (PARTITION BY churn ORDER BY {hash_of('id')}, id) AS rn
+           FROM split WHERE split = 'train'),
+of_fold AS (SELECT {fold} AS fold, sum(rule) / count(*) AS recall
+            FROM ranked WHERE churn = 1 GROUP BY 1),
+mean AS (SELECT round(sum(recall) / {folds}, 6) AS recall FROM of_fold)
+SELECT CAST(a AS INTEGER) AS n_estimators, CAST(b AS INTEGER) AS max_depth,
+       CAST(c AS INTEGER) AS min_samples_split, CAST(d AS INTEGER) AS min_samples_leaf, recall,
+       a = 90 AND b = 10 AND c = 2 AND d = 1 AS best
+FROM mean, range(90, 111) AS r1(a), range(10, 13) AS r2(b), range(2, 6) AS r3(c),
+     range(1, 4) AS r4(d)"""
+
+
 def scaled_features(columns: list[str]) -> str:
     """The given features: fill with 0, scale by the training rows."""
     fills = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in columns)
@@ -229,6 +293,30 @@ SELECT id, price_date, {changes} FROM price
 WINDOW w AS (PARTITION BY id ORDER BY price_date NULLS FIRST)"""
 
 
+def price_changes_repeated() -> str:
+    """Order lines of a client and month are peers; the last of them by its prices counts."""
+    names = PRICE_COLUMNS[:3]
+    last = ", ".join(f"{c} DESC NULLS LAST" for c in names)
+    changes = ", ".join(
+        f"round(o.{c} - l.p_{c}, 6) + 0.0 AS {c}_change" for c in names)
+    return f"""
+WITH lines AS (
+  SELECT o_custkey AS id, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS price_date,
+         ln(l_extendedprice) AS price_peak_var,
+         l_tax * ln(l_extendedprice / l_quantity) AS price_off_peak_var,
+         l_discount * ln(l_extendedprice / l_quantity) AS price_mid_peak_var
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ends AS (SELECT *, row_number() OVER (PARTITION BY id, price_date ORDER BY {last}) AS rn
+         FROM lines),
+lags AS (SELECT id, price_date, {", ".join(f"lag({c}) OVER w AS p_{c}" for c in names)}
+         FROM ends WHERE rn = 1 WINDOW w AS (PARTITION BY id ORDER BY price_date NULLS FIRST))
+SELECT o.id, o.price_date, {changes}
+FROM lines o JOIN lags l ON o.id = l.id AND o.price_date IS NOT DISTINCT FROM l.price_date"""
+
+
+DENSITY_RANGES = {"avg_price_mid_peak_var": (0.1, 0.2), "avg_price_peak_var": (0.0, 12.0)}
+
+
 def oracle_sql() -> dict[str, str]:
     feature_rows = f"WITH {FEATURES} SELECT {', '.join(FEATURE_COLUMNS)} FROM features"
     folds = " + ".join(
@@ -236,7 +324,7 @@ def oracle_sql() -> dict[str, str]:
         for i in range(1, 5))
     dummy_columns = ", ".join(
         f"CASE WHEN c_mktsegment = '{v}' THEN 1 ELSE 0 END AS channel_sales_{v}"
-        for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))
+        for v in CHANNELS_SOLD)
     return {
         "price_sensitivity_features": feature_rows,
         "feature_table_roundtrip": feature_rows,
@@ -245,6 +333,26 @@ def oracle_sql() -> dict[str, str]:
             CAST(20 AS INTEGER) AS max_depth, CAST(2 AS INTEGER) AS min_samples_split,
             CAST(1 AS INTEGER) AS min_samples_leaf""",
         "price_changes": price_changes(),
+        "price_changes_repeated": price_changes_repeated(),
+        "churn_kde_ranges": kde(f"{FEATURES}, {LONG_FEATURES.replace('long AS', 'every AS', 1)}",
+                                ranges=DENSITY_RANGES),
+        "selectable_columns": f"""
+SELECT CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS position, feature
+FROM (SELECT unnest({["tenure_years", *NUMERIC_FEATURES]}) AS feature
+      UNION ALL SELECT DISTINCT concat('channel_sales_', c_mktsegment)
+      FROM customer JOIN orders ON c_custkey = o_custkey)""",
+        "rule_forest_scores": f"{rule_test_rows()} {metrics('tested')}",
+        "rule_tuned_vs_custom":
+            f"{rule_test_rows()} {metrics('tested', 'custom')} UNION ALL {metrics('tested', 'tuned')}",
+        "rule_forest_tuned": rule_search(),
+        "rule_model_roundtrip": f"""
+WITH {RULED} SELECT id, CAST(churn AS BIGINT) AS churn, CAST(rule AS DOUBLE) AS prediction
+FROM features""",
+        "importance_of_nodes": f"""
+SELECT unnest({["tenure_years", *NUMERIC_FEATURES,
+                *(f"channel_sales_{c}" for c in CHANNELS_SOLD)]}) AS feature,
+       true AS as_in_model, CAST(1 AS DOUBLE) AS sum_of_all""",
+        "prepared_split_roundtrip": scaled_features(["yearly_consumption", "net_margin"]),
         "client_consumption_distinct":
             "SELECT o_custkey, o_orderpriority FROM orders GROUP BY o_custkey, o_orderpriority",
         "clean_channel_sales": f"""
