@@ -10,20 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwatt.llm.common import (
-    HALF, HASH_SEED, MIX, WordHashes, components, read_documents, shingle_hashes, whole_text,
-    word_lists,
-)
+from keepwatt.llm.common import HASH_SEED, components, read_documents, whole_text, word_lists
 from keepwatt.session import stage
 
 BITS = 64
 RADIUS = 2
-BANDS, BAND_ROWS = 32, 4  # a pair at 0.8 shares no band with a chance of (1 - 0.8**4)**32
-FACTORS = np.random.default_rng(10).integers(
-    1, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PIECE = 4096  # shingles hashed at once
-STAR_ROUNDS = 6  # before all pairs that are left are compared, however many
-BLOCK = 64  # members of a bucket that meet in one group when all pairs are made
 
 
 def _signed(bits: int) -> int:
@@ -60,17 +51,24 @@ def fingerprint(text: bytes, shingle: int) -> bytes:
     return np.packbits(2 * ones > total).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; a missing text counts as empty."""
+def _fingerprinted(rows: DataFrame, shingle: int) -> DataFrame:
+    """``rows`` with the fingerprint fp in place of their last column, text as bytes."""
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = b"".join(fingerprint(t.as_py(), shingle) for t in batch.column(1))
+            *kept, texts = batch.columns
+            fps = b"".join(fingerprint(t.as_py(), shingle) for t in texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))],
-                ["doc_id", "fp"])
+                [*kept, pa.array(np.frombuffer(fps, ">i8").astype(np.int64))],
+                [*batch.schema.names[:-1], "fp"])
+
+    *kept, _ = (f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(of_batches, ", ".join([*kept, "fp long"]))
 
-    given = docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"))
-    return given.mapInArrow(of_batches, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp): one row per row of ``docs``; a missing text counts as empty."""
+    return _fingerprinted(docs.select(
+        F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text")), shingle)
 
 
 def links(fps: DataFrame, name: str = "simhash") -> DataFrame:
@@ -104,6 +102,16 @@ def links(fps: DataFrame, name: str = "simhash") -> DataFrame:
             .where("a <> b").distinct())
 
 
+def classes(fps: DataFrame) -> DataFrame:
+    """(fp, root): for each different fingerprint of ``fps`` one that stands for all that links
+    lead to."""
+    distinct = fps.select("fp").distinct()
+    roots = components(links(distinct.select(
+        F.lit(0).alias("view"), "fp", F.col("fp").alias("node"))), "simhash")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (smallest doc_id reachable).
 
@@ -113,204 +121,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     fps = stage(fingerprints(docs, shingle), "simhash-fps")
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(fps.select(F.lit(0).alias("view"), "fp", F.col("fp").alias("node"))),
-                       "simhash")
-    rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = stage(rooted, "simhash-classes")
+    rooted = stage(first.join(classes(fps), "fp").select("fp", "first", "root"),
+                   "simhash-classes")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stage(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-members")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def _shingle_set(text: bytes, of_word: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of five-word shingles."""
-    words = np.array([of_word[w] for some in word_lists(text) for w in some], np.uint64)
-    return np.unique(shingle_hashes(words))
-
-
-def band_hashes(shingles: np.ndarray) -> np.ndarray:
-    """One number per band, from the least values of its hash functions over the shingles."""
-    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
-    for k in range(0, len(shingles), PIECE):
-        mixed = shingles[None, k:k + PIECE] * FACTORS
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= MIX
-        np.minimum(least, mixed.min(axis=1), out=least)
-    hashes = np.zeros(BANDS, np.uint64)
-    for row in least.reshape(BANDS, BAND_ROWS).T:
-        hashes = (hashes ^ row) * MIX
-        hashes ^= hashes >> HALF
-    return hashes
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of shingles and band hashes of each text; a text without words has no bands."""
-    of_word = WordHashes()
-    for batch in batches:
-        sizes, bands, offsets = [], [], [0]
-        for text in batch.column(1):
-            shingles = _shingle_set(text.as_py(), of_word)
-            sizes.append(len(shingles))
-            if len(shingles):
-                bands.append(band_hashes(shingles).view(np.int64))
-            offsets.append(BANDS * len(bands))
-        flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()),
-             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-            ["key", "size", "bands"])
-
-
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    of_word = WordHashes()
-    for batch in batches:
-        sets = [_shingle_set(t.as_py(), of_word).astype("<u8").tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sets, pa.binary())], ["key", "shingles"])
-
-
-def _similar(least: float):
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for one, other in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(s.as_py(), "<u8") for s in (one, other))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * max(len(x) + len(y) - both, 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return of_batches
-
-
-def buckets(texts: DataFrame) -> DataFrame:
-    """(band, hash, key, size): distinct texts (key, text) that share a band hash with others.
-    Of buckets with the same members, known by two hashes over them, one stays."""
-    views = stage(texts.mapInArrow(_bands, "key long, size long, bands array<long>")
-                  .dropDuplicates(["key"]), "similar-bands")
-    rows = views.select("key", "size", F.posexplode("bands").alias("band", "hash"))
-    groups = rows.groupBy("band", "hash").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"),
-        F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")).where("n > 1")
-    chosen = stage(groups.groupBy("n", "x", "y").agg(F.min(F.struct("band", "hash")).alias("at"))
-                   .select("at.band", "at.hash"), "similar-buckets")
-    return stage(rows.join(chosen.hint("merge"), ["band", "hash"])
-                 .select("band", "hash", "key", "size"), "similar-members")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingles have a Jaccard similarity of at least ``least``."""
-    of_a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a"))
-    of_b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b").select(
-        "a", "b", "of_a", "of_b")
-    return both.mapInArrow(_similar(least), "a long, b long")
-
-
-def unconnected(members: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int, int]:
-    """The members of the buckets that hold several classes, with their class and the number of
-    members of the bucket; the number of pairs of different classes in them, and of rows."""
-    plain = members.select("band", "hash", "key", "size")
-    if roots is None:
-        rooted = plain.withColumn("root", F.col("key"))
-    else:
-        rooted = plain.join(roots.hint("merge"), "key", "left").withColumn(
-            "root", F.coalesce("root", "key"))
-    parts = rooted.groupBy("band", "hash", "root").agg(F.count("*").alias("c"))
-    several = stage(parts.groupBy("band", "hash").agg(
-        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        .where("n * n > same"), "similar-several")
-    total = several.agg(F.sum(F.expr("(n * n - same) div 2")), F.sum("n")).first()
-    left = rooted.join(several.select("band", "hash", "n").hint("merge"), ["band", "hash"])
-    return stage(left, "similar-left"), total[0] or 0, total[1] or 0
-
-
-def stars(left: DataFrame, turn: int) -> DataFrame:
-    """(a, b): one member of each bucket, by a hash that changes with ``turn``, and each member
-    of another class."""
-    centres = left.groupBy("band", "hash").agg(F.min_by(
-        F.struct("key", "root"), F.xxhash64(F.lit(turn), "key")).alias("centre"))
-    return left.join(centres, ["band", "hash"]).where("root <> centre.root").select(
-        F.least("key", "centre.key").alias("a"), F.greatest("key", "centre.key").alias("b")
-    ).distinct()
-
-
-def all_pairs(left: DataFrame, least: float) -> DataFrame:
-    """(a, b): all pairs of different classes in a bucket whose sizes allow the similarity.
-    Members are dealt out to blocks, and each two blocks of a bucket meet in a group of their
-    own, so no group is larger than about two blocks."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = left.withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
-    low = dealt.select("band", "hash", F.col("key").alias("a"), F.col("root").alias("root_a"),
-                       F.col("size").alias("size_a"), F.col("block").alias("low"), F.explode(
-                           F.sequence("block", F.col("blocks") - 1)).alias("high"))
-    high = dealt.select("band", "hash", F.col("key").alias("b"), F.col("root").alias("root_b"),
-                        F.col("size").alias("size_b"), F.col("block").alias("high"), F.explode(
-                            F.sequence(F.lit(0), "block")).alias("low"))
-    met = low.join(high, ["band", "hash", "low", "high"]).where(
-        (F.col("root_a") != F.col("root_b")) & ((F.col("low") < F.col("high")) | (
-            F.col("a") < F.col("b"))) & (F.least("size_a", "size_b") >= least * F.greatest(
-                "size_a", "size_b")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def text_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(key, root): classes of similar texts, for texts similar to another one. A key is the
-    XXH64 of a text.
-
-    Similar are texts with an exact Jaccard similarity of ``least`` of their five-word shingles.
-    Candidates share one of 32 keys, each of four minimum hashes of these shingles, so the
-    chance to find a pair depends on its similarity alone, whatever its kind of edit: at 0.8 a
-    pair shares no key with a chance of 5e-8. Equal texts have one key.
-
-    In each round a bucket's members are compared with one of them, another one each round, and
-    what is similar becomes one class. Buckets of one class are done. When few pairs of different
-    classes are left in the others, or after some rounds, all of those are compared, so a pair
-    in a bucket is either verified or connected by others that are.
-    """
-    texts = docs.select(whole_text().alias("text")).select(
-        F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
-    members = buckets(texts)
-    sets = stage(texts.join(members.select("key").distinct().hint("merge"), "key", "left_semi")
-                 .dropDuplicates(["key"])
-                 .mapInArrow(_shingle_sets, "key long, shingles binary"), "similar-shingles")
-    found, left, roots, turn = None, members, None, 0
-    while True:
-        left, pairs_left, rows_left = unconnected(left, roots)
-        if not pairs_left:
-            break
-        last = turn == STAR_ROUNDS or pairs_left <= 2 * rows_left
-        pairs = all_pairs(left, least) if last else stars(left, turn)
-        near = stage(verified(stage(pairs, "similar-pairs"), sets, least), "similar-near")
-        found = found.union(near) if found else near
-        roots = components(found, "similar").select(F.col("node").alias("key"), "root")
-        if last:
-            break
-        turn += 1
-    return docs.sparkSession.createDataFrame([], "key long, root long") if roots is None else roots
+    members = stage(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-members")
+    return fps.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each class of similar texts, the one with the smallest doc_id, with all
-    columns. Rows with missing doc_ids come after others, ties are broken by the text's hash;
+def deduplicated(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One row of each component of near duplicates, the one with the smallest doc_id, with all
+    columns. Rows with missing doc_ids come after others, ties are broken by hashes of the text;
     repeated rows become one. Missing texts are empty texts, which are equal."""
-    roots = text_classes(docs)
     names = docs.columns
-    keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-        F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).select(
-        "row", "id", F.xxhash64("text").alias("key"))
-    rows = stage(keyed.groupBy("id", "key").agg(F.count("*").alias("n")), "similar-rows")
-    classed = rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    order = F.struct(F.col("id").isNull().alias("missing"), "id", "key")
-    best = classed.groupBy("root").agg(F.min_by(F.struct("id", "key", "n"), order).alias("best"))
-    best = stage(best.select("best.*"), "similar-best")
+    text = whole_text()
+    # 96 bits stand for a text, since rows are dropped by them
+    key = {"id": F.col("doc_id").cast("long"), "x": F.xxhash64(text), "m": F.hash(text)}
+    own = [c.alias(k) for k, c in key.items()]
+    fps = stage(_fingerprinted(docs.select(*own, text.cast("binary").alias("text")), shingle),
+                "simhash-fps")
+    rows = fps.groupBy(*key, "fp").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("id").isNull().alias("missing"), *key)
+    best = rows.join(classes(fps), "fp").groupBy("root").agg(
+        F.min_by(F.struct(*key, "n"), order).alias("best"))
+    best = stage(best.select(F.col("best.id").alias("best_id"), "best.x", "best.m", "best.n"),
+                 "simhash-best")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *own)
     # tables that grow with the corpus are never broadcast
-    kept = keyed.join(best.withColumnRenamed("id", "best_id").hint("merge"), "key").where(
+    kept = keyed.join(best.hint("merge"), ["x", "m"]).where(
         F.col("id").eqNullSafe(F.col("best_id")))
     single = kept.where("n = 1").select("row")
-    repeated = kept.where("n > 1").dropDuplicates(["id", "key"]).select("row")
+    repeated = kept.where("n > 1").dropDuplicates([*key]).select("row")
     return single.union(repeated).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
 
 

@@ -380,66 +380,30 @@ def test_covering_masks_and_links(spark):
     assert all(((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 2 for r in found)
 
 
-def test_deduplication_keeps_one_of_each_class(docs):
+def test_deduplication_keeps_one_of_each_component(docs, nothing):
+    body = [f"{' '.join(f'own{k}w{j}' for j in range(90))}" for k in range(5)]
+    more = [(500 + k, body[k % 5], "en", "s", 0, 1, "x") for k in range(15)]
+    more += [(None, body[0], "en", "s", 0, 1, "x"), (None, "alone text", "en", "s", 0, 1, "x"),
+             (None, "alone text", "en", "s", 0, 1, "x")]
+    table = docs.union(docs.sparkSession.createDataFrame(more, SCHEMA)).repartition(5)
+    kept = op10_simhash.deduplicated(table)
+    assert kept.columns == table.columns
+    components = {(r["doc_id"], r["fp"]): r["component_id"]
+                  for r in op10_simhash.near_duplicates(table).collect()}
+    want = sorted({c for c in components.values() if c is not None})
+    rows = kept.collect()
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == want
+    assert sorted(r["text"] for r in rows if r["doc_id"] is None) == ["alone text", "no id"]
+    assert {500, 501, 502, 503, 504} <= set(want) and not set(range(505, 515)) & set(want)
+    assert op10_simhash.deduplicated(nothing).count() == 0
+
+
+def test_one_of_each_component_of_registered_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    found = op10_simhash.near_duplicates(docs).select("component_id").distinct().collect()
     kept = op10_simhash.deduplicated(docs)
-    assert kept.columns == docs.columns
-    # 0 and its copies and its near copy are one; empty and missing texts are one, 5 is another
-    assert [r["doc_id"] for r in kept.collect() if r["text"] and r["text"].startswith("word0")] == [0]
-    assert kept.where("coalesce(text, '') = ''").count() == 1
-
-
-def jaccard(a, b):
-    return len(a & b) / max(len(a | b), 1)
-
-
-def plain_classes(texts):
-    """Sets of texts connected by a five-word Jaccard of at least 0.8, of two texts or more."""
-    sets, root = [five(t) for t in texts], list(range(len(texts)))
-    near = [(a, b) for a, b in itertools.combinations(root, 2) if jaccard(sets[a], sets[b]) >= 0.8]
-    for _ in root:
-        for a, b in near:
-            root[a] = root[b] = min(root[a], root[b])
-    classes = [frozenset(t for t, r in zip(texts, root, strict=True) if r == k) for k in set(root)]
-    return {c for c in classes if len(c) > 1}
-
-
-def found_classes(spark, texts):
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    keys = {r["key"]: r["text"] for r in table.select(F.xxhash64("text").alias("key"), "text").collect()}
-    classes = {}
-    for r in op10_simhash.text_classes(table).collect():
-        classes.setdefault(r["root"], set()).add(keys[r["key"]])
-    return {frozenset(c) for c in classes.values()}
-
-
-def test_near_copies_by_block_edits_are_found(spark):
-    texts = []
-    for k in range(40):
-        words = [f"b{k}w{j}" for j in range(100 + 20 * k)]
-        block = [f"c{k}x{j}" for j in range(int(len(words) * (0.05 + 0.15 * (k // 4) / 10)))]
-        texts += [" ".join(words), " ".join([words + block, block + words, words[len(block):],
-                                             words[:50] + block + words[50:]][k % 4])]
-    want = plain_classes(texts)
-    assert len(want) > 25 and found_classes(spark, texts) == want
-
-
-def test_members_that_differ_from_the_centre_are_compared_with_each_other(spark, monkeypatch):
-    numbers = np.random.default_rng(11)
-    base = [f"t{j}" for j in range(400)]
-    texts = [" ".join(base)]
-    for k in range(30):  # copies of copies, of which far ones are not similar
-        words = texts[int(numbers.integers(0, len(texts)))].split()
-        for at in numbers.choice(len(words), 6, replace=False):
-            words[at] = f"e{k}x{at}"
-        texts.append(" ".join(words))
-    for k in range(12):  # two copies each of texts that are 0.6 to 0.75 similar
-        words = base[:330] + [f"own{k}n{j}" for j in range(70)]
-        texts += [" ".join(words), " ".join([*words[:-9], f"more{k}"])]
-    want = plain_classes(texts)
-    assert len(want) > 12 and found_classes(spark, texts) == want
-    monkeypatch.setattr(op10_simhash, "BLOCK", 4)
-    monkeypatch.setattr(op10_simhash, "STAR_ROUNDS", 0)
-    assert found_classes(spark, texts) == want
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in found)
+    assert kept.exceptAll(docs).count() == 0
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
