@@ -1,162 +1,311 @@
-"""Cross-entropy difference of two bigram models, one of good texts and one of all others."""
+"""Cross-entropy difference of two matched bigram models, without a text's own counts.
+
+Blocks of texts hold a dictionary of their distinct words and word pairs with counts in both
+models. The dictionaries are cut into ranges of hashes; equal ranges of all blocks meet, are
+added up, and the sums go back to the blocks, where each text is scored in place. So a word or
+pair is moved once per block, and the models are never in one place.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwatt.llm.common import WordHashes, read_documents, whole_text, word_lists
+from keepwatt.llm.common import HALF, MIX, WordHashes, read_documents, whole_text, word_lists
 from keepwatt.session import stage
 
-PAIR_SHARE = 0.7  # share of the bigram in the mixture with single words
-START = np.int64(0x1E3779B97F4A7C15)  # stands before the first word of a text
-HELD = 1 << 20  # words whose pairs a task counts together
 MODELS = ("background", "target")
-
-
-def _pairs_of(text: bytes, of_word: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of the words of a text in pieces, after those of the words before them."""
-    before = START
-    for words in word_lists(text):
-        if words:
-            hashes = np.array([of_word[w] for w in words], np.uint64).view(np.int64)
-            yield np.concatenate([[before], hashes[:-1]]), hashes
-            before = hashes[-1]
-
-
-def _counted(previous: np.ndarray, word: np.ndarray, *numbers: np.ndarray) -> list[np.ndarray]:
-    """Distinct pairs and, for each of them, the sums of ``numbers``."""
-    if not len(word):
-        return [previous, word, *numbers]
-    order = np.lexsort((word, previous))
-    previous, word = previous[order], word[order]
-    first = np.flatnonzero(np.concatenate(
-        [[True], (previous[1:] != previous[:-1]) | (word[1:] != word[:-1])]))
-    return [previous[first], word[first], *(np.add.reduceat(n[order], first) for n in numbers)]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with their counts in background and target, added up over many texts."""
-    of_word, held, n = WordHashes(), [], 0
-
-    def batch_of_held() -> pa.RecordBatch:
-        columns = _counted(*(np.concatenate(c) for c in zip(*held, strict=True)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in columns], ["previous", "word", *MODELS])
-
+PRIOR = 2.0                  # weight of the single words in what follows a word, in words
+BLOCK_BYTES = 16_000_000     # of texts that share a dictionary
+RANGE_BYTES = 8_000_000      # of texts for each range of hashes
+START, END = np.uint64(0x1E3779B97F4A7C15), np.uint64(0x3C6EF372FE94F82B)
+NOT_LEARNED = -1
+
+# kind 0 and 1 are ranges of a block's words and pairs: keys, their counts in both models, and
+# marks in words;
+# kind 2 is a group of its texts: keys are x and m of each text, one and two its role and length,
+# words its words by their place among the block's words; kind 3 are sums over a range of words.
+ROWS = ("block long, kind int, part int, keys binary, one binary, two binary, words binary")
+SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()),
+                    *((name, pa.binary()) for name in ("keys", "one", "two", "words"))])
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """The bytes of numbers, all lowest bytes first, compressed."""
+    if not len(values):
+        return zstandard.compress(b"")
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return zstandard.compress(planes.tobytes(), 3)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
+
+
+def _row(block: int, kind: int, part: int, *data: bytes | None) -> pa.RecordBatch:
+    values = [block, kind, part, *data, *[None] * (4 - len(data))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([v], f.type) for v, f in zip(values, SCHEMA, strict=True)], schema=SCHEMA)
+
+
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of pairs from the hashes of their words."""
+    keys = (before * MIX) ^ words
+    keys ^= keys >> HALF
+    keys *= MIX
+    return keys ^ (keys >> HALF)
+
+
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of 64-bit hashes ends in sorted keys."""
+    edges = [(1 << 64) * k // parts for k in range(1, parts)]
+    return np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
+
+
+def _dictionary(block: int, kind: int, parts: int, keys: np.ndarray, roles: np.ndarray):
+    """Rows of a block's distinct keys, with how often learned texts of each role have them, and
+    marks for those that other texts ask for."""
+    found, at = np.unique(keys, return_inverse=True)
+    counts = [np.bincount(at[roles == role], minlength=len(found)).astype("<u4")
+              for role in (*range(len(MODELS)), NOT_LEARNED)]
+    counts[-1] = (counts[-1] > 0).astype(np.uint8)
+    low = 0
+    for part, high in enumerate(_cuts(found, parts).tolist()):
+        if low < high:
+            yield _row(block, kind, part, _packed(found[low:high]),
+                       *(_packed(c[low:high]) for c in counts))
+        low = high
+    return found, at
+
+
+def _block_rows(block: int, parts: int, texts: list, hashes: list[np.ndarray]):
+    """A block's dictionaries and its texts. The end of a text counts as a word that follows
+    its last one, so every word has as many successors as places."""
+    lengths = np.array([len(h) for h in hashes], np.int64)
+    words = np.concatenate([np.append(h, END) for h in hashes])
+    ends = np.cumsum(lengths + 1)
+    before = np.concatenate([[START], words[:-1]])
+    before[ends[:-1]] = START
+    roles = np.repeat(np.array([t[2] for t in texts], np.int64), lengths + 1)
+    yield from _dictionary(block, 1, parts, pair_keys(before, words), roles)
+    _, at = yield from _dictionary(block, 0, parts, words, roles)
+    sizes, low = np.cumsum(lengths + 1), 0
+    groups = (sizes - lengths - 1) // 300_000
+    for k, high in enumerate(np.append(np.flatnonzero(np.diff(groups)) + 1, len(texts)).tolist()):
+        some = texts[low:high]
+        keys = np.array([t[:2] for t in some], "<i8")
+        first = int(sizes[low] - lengths[low] - 1)
+        yield _row(block, 2, k, _packed(keys.ravel()), _packed(np.array([t[2] for t in some], "<i4")),
+                   _packed(lengths[low:high].astype("<u4")),
+                   _packed(at[first:int(sizes[high - 1])].astype("<u4")))
+        low = high
+
+
+def _split(parts: int):
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_word, size = WordHashes(), 0
+        block, texts, hashes = TaskContext.get().partitionId() << 32, [], []
+        for batch in batches:
+            for x, m, role, text in zip(*batch.columns, strict=True):
+                text = text.as_py()
+                texts.append((x.as_py(), m.as_py(), role.as_py()))
+                hashes.append(np.concatenate([np.zeros(0, np.uint64), *[
+                    np.array([of_word[w] for w in words], np.uint64)
+                    for words in word_lists(text)]]))
+                size += len(text)
+                if size >= BLOCK_BYTES:
+                    yield from _block_rows(block, parts, texts, hashes)
+                    block, texts, hashes, size = block + 1, [], [], 0
+        if texts:
+            yield from _block_rows(block, parts, texts, hashes)
+    return of_batches
+
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by kind and part: one range of all blocks is added up at a time. A pair that
+    only one place has does not go back there, since that text is scored without its own."""
+    def sums_of(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        keys = [_unpacked(r["keys"], "<u8") for r in rows]
+        counts = [[_unpacked(r[c], "<u4") for r in rows] for c in ("one", "two")]
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = [np.bincount(at, np.concatenate(c), len(found)).astype("<u4") for c in counts]
+        ends = np.cumsum([len(k) for k in keys])
+        kind, part = rows[0]["kind"], rows[0]["part"]
+        for row, own, end in zip(rows, keys, ends.tolist(), strict=True):
+            mine = at[end - len(own):end]
+            if kind == 1:
+                here, asked = sum(_unpacked(row[c], "<u4") for c in ("one", "two")), _unpacked(
+                    row["words"], "u1")
+                mine = mine[(totals[0] + totals[1])[mine].astype(bool) & (
+                    ((totals[0] + totals[1])[mine] > 1) | (here == 0) | (asked > 0))]
+            yield _row(row["block"], kind, part, _packed(found[mine]),
+                       *(_packed(t[mine]) for t in totals))
+        if kind == 0:
+            learned = totals[0] + totals[1] > 0
+            yield _row(-1, 3, part, None, None, None, np.array(
+                [learned.sum(), *(t.sum(dtype=np.int64) for t in totals)], "<i8").tobytes())
+
+    held: list[dict] = []
     for batch in batches:
-        for text, good in zip(batch.column(0), batch.column(1), strict=True):
-            for previous, word in _pairs_of(text.as_py(), of_word):
-                target = np.full(len(word), int(good.as_py()), np.int64)
-                held.append((previous, word, 1 - target, target))
-                n += len(word)
-                if n >= HELD:
-                    yield batch_of_held()
-                    held, n = [], 0
+        for row in batch.to_pylist():
+            if held and (held[0]["kind"], held[0]["part"]) != (row["kind"], row["part"]):
+                yield from sums_of(held)
+                held = []
+            held.append(row)
     if held:
-        yield batch_of_held()
-
-
-def _pairs_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of each text with their counts."""
-    of_word = WordHashes()
-    for batch in batches:
-        for x, m, text in zip(*batch.columns, strict=True):
-            for previous, word in _pairs_of(text.as_py(), of_word):
-                columns = _counted(previous, word, np.ones(len(word), np.int64))
-                n = len(columns[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, x.as_py(), np.int64)),
-                     pa.array(np.full(n, m.as_py(), np.int32)), *map(pa.array, columns)],
-                    ["x", "m", "previous", "word", "n"])
-
-
-@dataclass
-class Models:
-    """Counts of all pairs (previous, word, background, target), and words of both models."""
-
-    docs: DataFrame
-    pairs: DataFrame
-    totals: np.ndarray
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, the text and two hashes of different kind that stand for it."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")
-                       ).select("doc_id", F.xxhash64("text").alias("x"), F.hash("text").alias("m"),
-                                F.col("text").cast("binary").alias("text"))
-
-
-def _sums() -> list[Column]:
-    return [F.sum(k).alias(k) for k in MODELS]
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Models:
-    """Count word pairs of all texts: target are rows whose doc_id has quality 1 in ``labels``,
-    background are all others. The counts are a table that grows with the corpus; words are
-    told apart by 64 bits each."""
+        yield from sums_of(held)
+
+
+class _Counts:
+    """Sorted keys with their counts in both models; other keys have none."""
+
+    def __init__(self, rows: list[dict]):
+        rows = sorted(rows, key=lambda r: r["part"])
+        self.keys, *self.counts = (
+            np.concatenate([np.zeros(0, kind), *[_unpacked(r[c], kind) for r in rows]])
+            for c, kind in (("keys", "<u8"), ("one", "<u4"), ("two", "<u4")))
+
+    def of(self, keys: np.ndarray, model: int) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[model][at], 0).astype(float)
+
+
+def _own(values: np.ndarray) -> np.ndarray:
+    """How often each value stands among the values."""
+    _, at, counts = np.unique(values, return_inverse=True, return_counts=True)
+    return counts[at]
+
+
+def text_loss(word: np.ndarray, pair: np.ndarray, before: np.ndarray, own: list[np.ndarray],
+              total: int, vocabulary: int, scale: float) -> np.ndarray:
+    """Losses of words given the counts of each word, its pair and the word before it, in a
+    model of ``total`` words, and how often the text itself has them (``own``, else zeros)."""
+    single = np.maximum(word - own[0], 0) * scale + 1
+    single /= max(total - own[3], 0) * scale + vocabulary
+    follows = np.maximum(pair - own[1], 0) * scale + PRIOR * single
+    return -np.log(follows / (np.maximum(before - own[2], 0) * scale + PRIOR))
+
+
+def _scored(totals: list[int], vocabulary: int):
+    """Per block first its summed dictionaries, then its texts, scored one by one."""
+    # both models count as many words as the smaller one
+    scales = [min(totals) / total if total else 1.0 for total in totals]
+
+    def scores_of(row: dict, words: _Counts, pairs: _Counts) -> pa.RecordBatch:
+        keys = _unpacked(row["keys"], "<i8").reshape(-1, 2)
+        roles, lengths = _unpacked(row["one"], "<i4"), _unpacked(row["two"], "<u4").astype(int)
+        at = _unpacked(row["words"], "<u4")
+        word = words.keys[at]
+        ends = np.cumsum(lengths + 1)
+        before = np.concatenate([[START], word[:-1]])
+        starts = ends - lengths - 1
+        before[starts] = START
+        pair = pair_keys(before, word)
+        counts = [(words.counts[k][at].astype(float), pairs.of(pair, k), np.where(
+            before == START, 0, np.concatenate([[0], words.counts[k][at[:-1]]])).astype(float))
+            for k in range(len(MODELS))]
+        for k, started in enumerate(words.started):
+            counts[k][2][starts] = started
+        found = np.zeros(len(lengths))
+        for t, (role, start, n) in enumerate(zip(roles.tolist(), starts.tolist(), lengths.tolist(),
+                                                 strict=True)):
+            if not n:
+                continue
+            span, whole = slice(start, start + n), slice(start, start + n + 1)
+            none = [0, 0, 0, 0]
+            if role != NOT_LEARNED:
+                of_word = _own(at[whole])
+                own = [of_word[:-1], _own(pair[whole])[:-1],
+                       np.concatenate([[1], of_word[:-2]]), n + 1]
+            loss = [text_loss(*(c[span] for c in counts[k]), own if role == k else none, totals[k],
+                              vocabulary, scales[k]) for k in range(len(MODELS))]
+            found[t] = (loss[1] - loss[0]).mean()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys[:, 0]), pa.array(keys[:, 1].astype(np.int32)),
+             pa.array(lengths.astype(np.int64)), pa.array(found)], ["x", "m", "n_tokens", "score"])
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, words, pairs = None, {}, None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] != block:
+                    block, parts, words = row["block"], {0: [], 1: []}, None
+                if row["kind"] < 2:
+                    parts[row["kind"]].append(row)
+                    continue
+                if words is None:
+                    words, pairs = _Counts(parts[0]), _Counts(parts[1])
+                    # as many texts start as end
+                    words.started = [words.of(np.array([END]), k)[0] for k in range(len(MODELS))]
+                    parts = {}
+                yield scores_of(row, words, pairs)
+    return of_batches
+
+
+def distinct_texts(docs: DataFrame, labels: DataFrame, learn: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, x, m) of all rows, and (x, m, role, text) of all different texts. A text is
+    target if one of its copies has quality 1, and learned from if ``learn`` holds for one."""
+    text = whole_text()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("x"),
+                       F.hash(text).alias("m"), F.coalesce(F.expr(learn), F.lit(False)).alias("learn"),
+                       text.cast("binary").alias("text"))
     good = labels.where("quality = 1").select(
-        F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
-    marked = _keyed(docs).join(good, "doc_id", "left").select(
-        "text", F.coalesce("good", F.lit(False)))
-    counts = marked.mapInArrow(_count, "previous long, word long, background long, target long")
-    pairs = stage(counts.groupBy("previous", "word").agg(*_sums()), "language-pairs")
-    totals = pairs.agg(*_sums()).first()
-    return Models(docs, pairs, np.array([totals[k] or 0 for k in MODELS]))
-
-
-def losses(pairs: DataFrame, totals: np.ndarray) -> DataFrame:
-    """(previous, word, loss): loss under the target model less loss under the background
-    model. A pair's share of what follows its first word is mixed with the word's share of
-    all words, where each distinct word counts once more."""
-    def counts_of(side: str) -> DataFrame:
-        return stage(pairs.groupBy(side).agg(*[F.sum(k).alias(f"{k}_{side}") for k in MODELS]),
-                     f"language-{side}")
-
-    words, contexts = counts_of("word"), counts_of("previous")
-    n_words = words.count() + 1
-
-    def log_share(k: int) -> Column:
-        name = MODELS[k]
-        single = (F.col(f"{name}_word") + 1.0) / float(totals[k] + n_words)
-        follows = F.col(name) / F.greatest(f"{name}_previous", F.lit(1)).cast("double")
-        return F.log(PAIR_SHARE * follows + (1 - PAIR_SHARE) * single)
-
-    # tables that grow with the corpus are never broadcast
-    both = pairs.join(words.hint("merge"), "word").join(contexts.hint("merge"), "previous")
-    return both.select("previous", "word", (log_share(0) - log_share(1)).alias("loss"))
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """(doc_id, n_tokens, score): the mean loss difference over a text's words, lower is closer
-    to the target; 0 for a text without words. Missing texts count as empty, repeated rows and
-    missing doc_ids stay."""
-    keyed, pairs = _keyed(docs), models.pairs
-    of_texts = keyed.select("x", "m", "text").mapInArrow(
-        _pairs_of_texts, "x long, m int, previous long, word long, n long")
-    if docs is not models.docs:  # pairs that the models have not seen
-        unseen = of_texts.select("previous", "word").distinct().withColumns(
-            {k: F.lit(0).cast("long") for k in MODELS})
-        pairs = stage(pairs.union(unseen).groupBy("previous", "word").agg(*_sums()),
-                      "language-unseen")
-    known = losses(pairs, models.totals)
-    # copies of a text add to both sums alike
-    sums = of_texts.join(known.hint("merge"), ["previous", "word"]).groupBy("x", "m").agg(
-        F.sum(F.col("n") * F.col("loss")).alias("loss"), F.sum("n").alias("n"))
-    copies = keyed.groupBy("x", "m").agg(F.count("*").alias("copies"))
-    of_text = stage(copies.join(sums.hint("merge"), ["x", "m"]).select(
-        "x", "m", F.expr("n div copies").alias("n_tokens"),
-        (F.col("loss") / F.col("n")).alias("score")), "language-scores")
-    return keyed.select("doc_id", "x", "m").join(of_text.hint("merge"), ["x", "m"], "left").select(
-        "doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"),
-        F.coalesce("score", F.lit(0.0)).alias("score"))
+        F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("good")).distinct()
+    targets = rows.select("doc_id", "x", "m").join(good, "doc_id").select("x", "m", "good").distinct()
+    texts = rows.groupBy("x", "m").agg(F.max("learn").alias("learn"),
+                                       F.any_value("text").alias("text"))
+    # both sides grow with the corpus
+    marked = texts.join(targets.hint("merge"), ["x", "m"], "left")
+    role = F.when(F.col("learn"), F.coalesce("good", F.lit(0))).otherwise(NOT_LEARNED)
+    return rows.select("doc_id", "x", "m"), marked.select("x", "m", role.alias("role"), "text")
+
+
+def score(docs: DataFrame, labels: DataFrame, learn: str = "true") -> DataFrame:
+    """(doc_id, n_tokens, score): the mean over a text's words of the loss under the target
+    model less that under the background model; lower is closer to the target.
+
+    The target model learns from the texts that ``labels`` (doc_id, quality) gives quality 1, the
+    background model from all others, each different text once. ``learn`` is a condition on
+    ``docs``; other texts are scored only. The models share one vocabulary of words, told apart
+    by 64 bits, and are matched: the counts of the larger one are scaled to the number of words
+    of the smaller one. A word's loss comes from the pair with the word before it, smoothed by
+    the single word. A text that was learned from is scored without its own counts, so its score
+    says nothing of its own label.
+
+    A text without words has the score 0. Missing texts are empty ones, copies have equal scores,
+    repeated rows and missing doc_ids stay, other columns are not read. Without any learned text
+    all scores are 0.
+    """
+    spark = docs.sparkSession
+    keys, texts = distinct_texts(docs, labels, learn)
+    sizes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sizes // RANGE_BYTES))
+    split = stage(texts.mapInArrow(_split(parts), ROWS), "language-split")
+    dealt = split.where("kind < 2").repartition(parts, "kind", "part").sortWithinPartitions(
+        "kind", "part")
+    summed = stage(dealt.mapInArrow(_added_up, ROWS), "language-sums")
+    totals = np.zeros(1 + len(MODELS), np.int64)
+    # one small row per range
+    for row in summed.where("kind = 3").select("words").toLocalIterator():
+        totals += np.frombuffer(row["words"], "<i8")
+    vocabulary, *words = (int(v) for v in totals)
+    scores = (summed.where("kind < 2").union(split.where("kind = 2")).repartition("block")
+              .sortWithinPartitions("block", "kind", "part")
+              .mapInArrow(_scored(words, vocabulary + 1),
+                          "x long, m int, n_tokens long, score double"))
+    of_texts = stage(scores, "language-scores")
+    return keys.join(of_texts.hint("merge"), ["x", "m"]).select("doc_id", "n_tokens", "score")
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_documents(spark, sf_dir)
-    return score(docs, fit(docs, read_documents(spark, sf_dir, "labels")))
+    return score(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"))

@@ -112,6 +112,44 @@ def test_contexts_of_known_data_find_more(spark):
     assert spans == ["zx-778-k9"]
 
 
+def spans_found(docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    return {(r["doc_id"], texts[r["doc_id"]][s["start"]:s["end"]])
+            for r in op2_personal_data.personal_data(docs).collect()
+            for s in r["spans"] if s["kind"] == 4}
+
+
+def test_contexts_are_scored_by_all_their_places(spark):
+    """Planted contexts are learned, the stop words around them are not, however many known
+    things they stand before; chains of patterns go on until nothing changes."""
+    draw = np.random.default_rng(9)
+    filler = "the of and water light house tree".split()
+
+    def prose(n):
+        return " ".join(draw.choice(filler, n))
+
+    texts = [f"{prose(9)} write to the member no: m{k}@mail.org today {prose(9)}" for k in range(30)]
+    texts += [f"{prose(5)} of the u{k}@mail.org {prose(5)} and the +1 743 555 38{k}0 {prose(5)}"
+              for k in range(10, 25)]
+    texts += [f"{prose(8)} the {71234560 + k} {prose(3)} of {8000000 + k}, {prose(4)}" for k in range(40)]
+    texts += [f"{prose(4)} Member No: ZX-{7000 + k}. {prose(4)} staff badge ZX-{7000 + k} " for k in range(4)]
+    texts += [f"{prose(3)} staff badge QQ{9000 + k}-A {prose(6)}" for k in (0, 1)]
+    texts += ["ZX-7001 stands at the start, 55 QQ9001-A after a number", "QQ9000-A", prose(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = {(k, m) for k, t in enumerate(texts) for m in re.findall(r"ZX-700\d|QQ900\d-A", t)}
+    assert len(want) == 9 and spans_found(docs) == want
+    # the last link of the chain is only reached through the one before
+    assert {w for k, w in want if w.startswith("QQ")} == {"QQ9000-A", "QQ9001-A"}
+
+
+def test_long_identifiers_and_words_before_them(spark):
+    long_id, long_word = "k9" * 400, "w" * 3000
+    texts = [f"{long_word}\n\n-- :: {k}a@b.org" for k in range(5)]
+    texts += [f"x {long_word} {long_id} y", f"{long_id}", "1" + "-" * 5000 + "é", "7." * 4000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert spans_found(docs) == {(5, long_id), (6, long_id)}
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "hi a@b.cd and +1 (743) 555-3824!", 30), (2, "clean", 5),
                                   (3, None, 0)], "doc_id long, text string, n_chars int")
@@ -150,47 +188,111 @@ def test_range_coder_sees_damage():
         range_coder.decode_block(bytes(data))
 
 
-def test_language_model_prefers_its_target(spark, docs, nothing):
-    good = [(k, f"the quick fox number {k % 5} runs home", 1) for k in range(60)]
-    bad = [(100 + k, f"buy cheap pills {k % 5} now now", 0) for k in range(60)]
-    table = spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
-    models = op4_language_model.fit(table, table.select("doc_id", "quality"))
-    assert models.totals.tolist() == [60 * 6, 60 * 7]
-    scores = {r["doc_id"]: r["score"] for r in op4_language_model.score(table, models).collect()}
-    assert max(scores[k] for k, _, _ in good) < min(scores[k] for k, _, _ in bad)
-    odd = op4_language_model.score(docs, models).collect()
+LABELLED = "doc_id long, text string, quality int, learn boolean"
+
+
+def plain_scores(rows):
+    """Mean loss differences by counting real words, each text without its own counts."""
+    texts = {}
+    for i, text, quality, learn in rows:
+        old = texts.get(text or "", (0, False))
+        texts[text or ""] = (max(old[0], quality or 0), old[1] or bool(learn))
+    split = {t: t.lower().split() for t in texts}
+
+    def counts_of(some):
+        pairs, words, texts_ = Counter(), Counter(), 0
+        for t in some:
+            pairs.update(zip([0, *split[t]], [*split[t], 1]))
+            words.update([*split[t], 1])
+            texts_ += 1
+        words[0] = texts_
+        return pairs, words
+
+    models = [counts_of(t for t, (good, learn) in texts.items() if learn and good == k)
+              for k in (0, 1)]
+    totals = [words.total() - words[0] for _, words in models]
+    vocabulary = len({w for _, c in models for w, n in c.items() if w != 0 and n}) + 1
+
+    def loss(t, k):
+        pairs, words = models[k]
+        own = counts_of([t]) if texts[t][1] and texts[t][0] == k else (Counter(), Counter())
+        scale = min(totals) / totals[k] if totals[k] else 1.0
+        total = totals[k] - (own[1].total() - own[1][0])
+        for p, w in zip([0, *split[t]], split[t]):
+            single = ((words[w] - own[1][w]) * scale + 1) / (total * scale + vocabulary)
+            yield -np.log(((pairs[p, w] - own[0][p, w]) * scale + 2 * single)
+                          / ((words[p] - own[1][p]) * scale + 2))
+
+    for i, text, _, _ in rows:
+        t = text or ""
+        n = len(split[t])
+        yield i, n, np.mean(list(loss(t, 1))) - np.mean(list(loss(t, 0))) if n else 0.0
+
+
+def labelled_rows(seed, n=60):
+    numbers = np.random.default_rng(seed)
+    rows = [(k, " ".join(f"w{j}" for j in numbers.zipf(1.4, numbers.integers(1, 200)) % 400),
+             int(k % 4 == 0), bool(k % 7)) for k in range(n)]
+    rows += [(n, rows[0][1], 0, False), (n + 1, rows[1][1], 1, True), (n + 2, "", 1, True),
+             (n + 3, None, None, None), (n + 4, "W1 w1\tw2  W1", 0, True), (n + 5, " \n", 0, True)]
+    return [*rows, rows[3], rows[3]]
+
+
+@pytest.mark.parametrize("parts,block", [(4, 16_000_000), (4, 3000), (40, 500)])
+def test_language_model_equals_counts_without_own_ones(spark, monkeypatch, parts, block):
+    monkeypatch.setattr(op4_language_model, "RANGE_BYTES", 20_000 // parts)
+    rows = labelled_rows(parts)
+    table = spark.createDataFrame(rows, LABELLED).repartition(3)
+    small_blocks = op4_language_model._split
+    if block < 1_000_000:
+        monkeypatch.setattr(op4_language_model, "_split", lambda p: blocks_of(small_blocks, p, block))
+    got = op4_language_model.score(table, table.select("doc_id", "quality"), "learn").collect()
+    want = sorted(plain_scores(rows))
+    got = sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in got)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-9)
+
+
+def blocks_of(split, parts, size):
+    """The split with smaller blocks; workers do not see what a test has replaced."""
+    def of_batches(batches):
+        op4_language_model.BLOCK_BYTES = size
+        yield from split(parts)(batches)
+    return of_batches
+
+
+def test_language_model_of_odd_tables(spark, docs, nothing):
+    labels = spark.createDataFrame([(0, 1), (9, 1), (None, 1)], "doc_id long, quality int")
+    odd = op4_language_model.score(docs, labels).collect()
     assert len(odd) == docs.count() and all(r["score"] == 0 for r in odd if not r["n_tokens"])
-    empty = op4_language_model.fit(nothing, table.select("doc_id", "quality"))
-    assert op4_language_model.score(nothing, empty).count() == 0
-
-
-def test_language_model_equals_counts_of_real_words(spark):
-    numbers = np.random.default_rng(4)
-    rows = [(k, " ".join(f"w{j}" for j in numbers.zipf(1.3, 3000) % 500_000), int(k % 3 == 0))
-            for k in range(24)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    pairs, contexts, words = ([Counter(), Counter()] for _ in range(3))
-    for _, t, good in rows:
-        w = t.split()
-        pairs[good].update(zip(["", *w], w))
-        contexts[good].update(["", *w[:-1]])
-        words[good].update(w)
-    vocabulary = len(words[0] | words[1]) + 1
-    want = {}
-    for i, t, _ in rows:
-        w = t.split()
-        logs = [[np.log(0.7 * pairs[k][p, x] / max(contexts[k][p], 1)
-                        + 0.3 * (words[k][x] + 1) / (words[k].total() + vocabulary))
-                 for p, x in zip(["", *w], w)] for k in (0, 1)]
-        want[i] = np.mean(logs[0]) - np.mean(logs[1])
-    models = op4_language_model.fit(table, table.select("doc_id", "quality"))
-    got = {r["doc_id"]: r["score"] for r in op4_language_model.score(table, models).collect()}
-    assert got == pytest.approx(want, abs=1e-9)
-
-
-def five(text):
-    words = text.encode().lower().split()
-    return {tuple(words[k:k + 5]) for k in range(max(len(words) - 4, 1))} if words else set()
+    assert op4_language_model.score(nothing, labels).count() == 0
+    for some, learn in ((labels.limit(0), "true"), (labels, "false")):
+        scores = op4_language_model.score(docs, some, learn).collect()
+        assert len(scores) == len(odd) and all(abs(r["score"]) < 1e-9 for r in scores)
+
+
+def area_under_curve(scores):
+    """Chance that a good text has a lower score than another one."""
+    ranked = sorted(scores)
+    places = {True: [], False: []}
+    for k, (_, good) in enumerate(ranked):
+        places[good].append(k)
+    good, bad = len(places[True]), len(places[False])
+    return 1 - (sum(places[True]) - good * (good - 1) / 2) / (good * bad)
+
+
+def test_language_model_scores_as_if_it_had_not_seen_a_text(spark, medium):
+    """Quality 1 against 0 as registered is as hard as on texts that are not learned from."""
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    labels = spark.read.parquet(f"{medium}/labels.parquet")
+
+    def area(scores, where="true"):
+        rows = scores.join(labels, "doc_id").where(where).select("score", "quality").collect()
+        return area_under_curve([(r[0], r[1] == 1) for r in rows])
+
+    everything = area(op4_language_model.score(docs, labels))
+    held = area(op4_language_model.score(docs, labels, "doc_id % 5 <> 0"), "doc_id % 5 = 0")
+    assert 0.6 < everything < 0.99 and abs(everything - held) < 0.15
 
 
 def test_decontamination_equals_brute_force(spark, docs, nothing):
@@ -412,13 +514,16 @@ def test_pipeline_stages(spark, docs, tmp_path):
     leak = " ".join(f"leak{j}" for j in range(30))
     rows = [(300 + k, b, "en", "s", 0, 1, "x") for k, b in enumerate(body)]
     rows += [(310, body[0], "en", "s", 0, 1, "x"), (311, f"{body[1]} {leak}", "en", "s", 0, 1, "x"),
-             (312, f"{body[2]} mail me@you.org now", "en", "s", 0, 1, "x")]
+             (312, f"{body[2]} mail me@you.org now", "en", "s", 0, 1, "x"),
+             (313, body[3].upper() + "\n", "en", "s", 0, 1, "x")]
     docs.union(spark.createDataFrame(rows, SCHEMA)).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(
         f"{folder}/benchmark.parquet")
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
-    assert {300, 301, 303} <= set(got) and not {310, 311} & set(got)
-    assert (302 in got) != (312 in got) and 3 not in got and 0 in got
+    assert {300, 301, 303} <= set(got) and not {310, 311, 313} & set(got)
+    two = [int.from_bytes(op10_simhash.fingerprint(r[1].encode(), 3)) for r in (rows[2], rows[6])]
+    far = (two[0] ^ two[1]).bit_count() > 2
+    assert 302 in got and (312 in got) == far and 3 not in got and 0 in got
     text = op1_bpe.encoding(public_tokenizers.path(op1_bpe.RANKS)).decode(got[300]["ids"])
     assert text == body[0]
     assert hashlib.sha256(text.encode()).hexdigest()
