@@ -18,29 +18,37 @@ CARD = (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}"
         r"(?![\x20-]?[0-9])")
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Letters, digits and inner marks with a digit among them, not part of anything longer.
-SHAPE = (r"(?<![\p{L}0-9._@+-])(?=[A-Za-z._@+-]{0,63}[0-9])[A-Za-z0-9._@+-]{6,64}"
-         r"(?![\p{L}0-9._@+-])")
-CONTEXT = r"([\p{L}_]+[^\p{L}0-9]{1,4})$"
-CONTEXT_CHARS = 40
-ROUNDS = 3
-CONFIDENT = 0.8
-SUPPORT = 3  # different known identifiers that a pattern has to have
+SHAPE = (r"(?<![\p{L}0-9._@+-])(?=[A-Za-z._@+-]*+[0-9])[A-Za-z0-9._@+-]{5,}[A-Za-z0-9]"
+         r"(?![._@+-]*+[\p{L}0-9])")
+WORD = r"(?<![\p{L}_])[\p{L}_]++"
+JOINT = r"[^\p{L}0-9_]"
+# Patterns: the last word, the last two words and the next word, with only marks between.
+LEFT = rf"({WORD}){JOINT}*+$"
+LEFT_TWO = rf"({WORD}{JOINT}++[\p{{L}}_]++){JOINT}*+$"
+RIGHT = rf"^{JOINT}*+([\p{{L}}_]++)"
+CONFIDENT = 0.8  # share of a pattern's places in the corpus that known identifiers stand at
+SUPPORT = 3      # different known identifiers that a pattern has to have
+SPAN = "array<struct<start:int,end:int,hit:string,left:string,right:string>>"
 
 
 def found(text: Column, pattern: str, wanted) -> Column:
-    """Spans (start, end in code points, hit) of the matches for which ``wanted(hit)`` holds.
+    """Spans (start, end in code points, hit, and the text from the match before to the match
+    after it) of the matches for which ``wanted(hit)`` holds.
 
     The text is cut at the matches; the lengths of the pieces up to one give its place.
     """
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
-                          F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"))
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    gaps = F.split(text, pattern, -1)
+    pieces = F.arrays_zip(gaps.alias("gap"),
+                          F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"),
+                          F.slice(gaps, F.lit(2), F.size(gaps)).alias("after"))
+    empty = F.array().cast(SPAN)
     begin = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
     def step(acc: Column, piece: Column) -> Column:
         start = acc["at"] + F.length(piece["gap"])
         end = start + F.coalesce(F.length(piece["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("hit"))
+        span = F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("hit"),
+                        piece["gap"].alias("left"), piece["after"].alias("right"))
         keep = piece["hit"].isNotNull() & wanted(piece["hit"])
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span)))
                         .otherwise(acc["spans"]).alias("spans"))
@@ -55,7 +63,7 @@ def digits_of(hit: Column) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """The spans of each fixed kind; a cheap test spares most texts the search."""
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    empty = F.array().cast(SPAN)
     rules = {
         "email": (F.contains(text, F.lit("@")), EMAIL, lambda h: F.lit(True)),
         "ip": (F.contains(text, F.lit(".")), IP,
@@ -68,10 +76,14 @@ def base_spans(text: Column) -> dict[str, Column]:
             for kind, (test, pattern, wanted) in rules.items()}
 
 
-def context(text: Column, start: Column) -> Column:
-    """The last word before a place with what joins it to the place, lowered; else empty."""
-    size = F.least(start, F.lit(CONTEXT_CHARS))
-    return F.regexp_extract(F.lower(F.substring(text, start - size + 1, size)), CONTEXT, 1)
+def patterns_around(span: Column) -> Column:
+    """The patterns that a span stands in: 'l word', 'l word word' and 'r word'."""
+    left, right = F.lower(span["left"]), F.lower(span["right"])
+    two = F.regexp_replace(F.regexp_extract(left, LEFT_TWO, 1), rf"{JOINT}+", " ")
+    sides = [("l ", F.regexp_extract(left, LEFT, 1)), ("l ", two),
+             ("r ", F.regexp_extract(right, RIGHT, 1))]
+    return F.filter(F.array(*[F.when(word != "", F.concat(F.lit(side), word))
+                              for side, word in sides]), lambda p: p.isNotNull())
 
 
 def text_key() -> Column:
@@ -89,8 +101,8 @@ def _count(number: int) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, text key, base spans, and seen: everything of an identifier's shape with its
-    context; known tells those that are base spans."""
+    """doc_id, text key, base spans, and seen: everything of an identifier's shape with the
+    patterns it stands in; known tells those that are base spans."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         whole_text().alias("text"))
     text = F.col("text")
@@ -102,47 +114,76 @@ def scanned(docs: DataFrame) -> DataFrame:
     def seen(spans: str, known: bool) -> Column:
         return F.transform(spans, lambda s: F.struct(
             s["start"].alias("start"), s["end"].alias("end"),
-            F.xxhash64(F.lower(s["hit"])).alias("what"), context(text, s["start"])
-            .alias("pattern"), F.lit(known).alias("known")))
+            F.xxhash64(F.lower(s["hit"])).alias("what"), patterns_around(s).alias("patterns"),
+            F.lit(known).alias("known")))
 
     apart = F.filter("shaped", lambda s: ~F.exists("base", lambda b: (
         s["start"] < b["end"]) & (b["start"] < s["end"])))
     both = based.withColumn("apart", apart)
-    return both.select("doc_id", text_key().alias("key"), "base", F.filter(
-        F.concat(*[seen(k, True) for k in KINDS[:-1]], seen("apart", False)),
-        lambda s: s["pattern"] != "").alias("seen"))
+    return both.select("doc_id", text_key().alias("key"), "base", F.concat(
+        *[seen(k, True) for k in KINDS[:-1]], seen("apart", False)).alias("seen"))
 
 
-def discovered(rows: DataFrame) -> DataFrame:
+def _word_key(words: Column) -> Column:
+    """What stands for a word, or for two words in a row, where places are counted."""
+    hashes = F.transform(F.split(words, " "), lambda w: F.xxhash64(w))
+    return F.when(F.size(hashes) == 1, F.element_at(hashes, 1)).otherwise(
+        F.xxhash64(F.element_at(hashes, 1), F.element_at(hashes, 2)))
+
+
+def places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, places): how often the words of each of ``patterns`` stand in all texts."""
+    asked = patterns.select("pattern", _word_key(F.substring("pattern", F.lit(3), F.length(
+        "pattern"))).alias("word"))
+    words = F.transform(F.regexp_extract_all(F.lower(whole_text()), F.lit(r"[\p{L}_]+"), 0),
+                        lambda w: F.xxhash64(w))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))),
+                       F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.xxhash64(a, b))
+    every = docs.select(words.alias("w")).select(F.explode(F.concat("w", pairs)).alias("word"))
+    counts = every.join(asked.select("word").distinct(), "word").groupBy("word").agg(
+        F.count(F.lit(1)).alias("places"))
+    return asked.join(counts, "word").select("pattern", "places")
+
+
+def scored_patterns(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(pattern, places, taken, support): for patterns with enough different known identifiers,
+    the places that these take of all."""
+    return edges.join(known, "what").groupBy("pattern", "places").agg(
+        F.sum("n").alias("taken"), F.count(F.lit(1)).alias("support")).where(
+        F.col("support") >= SUPPORT)
+
+
+def discovered(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(key, more): spans of identifiers that confident patterns reach, by text.
 
-    Patterns and what they surround are a graph. Base spans are known; a pattern's score is
-    the mean score of its different surrounded things, if enough of them are known; anything
-    else scores as its best pattern. A few rounds spread the scores. Only different pairs of
-    pattern and thing count, so copies of a text add nothing.
+    Patterns and what they surround are a graph. Base spans are the first known identifiers. A
+    pattern's score is the share of known identifiers in all places of its words in the corpus,
+    so a frequent word in front of a few of them says nothing. Something of an identifier's
+    shape that stands in a pattern becomes known if the pattern is confident without that
+    thing's own places. What is new makes other patterns confident; this goes on until nothing
+    changes. All places of a found identifier count, those without a pattern, too.
     """
     at = rows.select("key", F.explode("seen").alias("s")).select("key", "s.*")
-    edges = stage(at.groupBy("pattern", "what").agg(F.max("known").alias("known")), "pii-edges")
-    scores = edges.select("pattern", "what", "known",
-                          F.col("known").cast("double").alias("score"))
-    for _ in range(ROUNDS):
-        patterns = stage(
-            scores.groupBy("pattern").agg(
-                F.avg("score").alias("of_pattern"),
-                F.sum((F.col("score") >= CONFIDENT).cast("int")).alias("support"))
-            .where((F.col("support") >= SUPPORT) & (F.col("of_pattern") > 0))
-            .select("pattern", "of_pattern"), "pii-patterns")
-        reached = (edges.join(patterns, "pattern").groupBy("what")
-                   .agg(F.max("of_pattern").alias("reached")))
-        reached = stage(reached, "pii-reached")
-        score = F.when(F.col("known"), 1.0).otherwise(F.coalesce("reached", F.lit(0.0)))
-        scores = stage(edges.join(reached, "what", "left").select(
-            "pattern", "what", "known", score.alias("score")), "pii-scores")
-    sure = stage(scores.where((~F.col("known")) & (F.col("score") >= CONFIDENT))
-                 .select("what").distinct(), "pii-found")
-    new = at.where("not known").join(sure, "what").select("key", F.struct(
+    stands = at.select("what", "known", F.explode("patterns").alias("pattern")).groupBy(
+        "pattern", "what").agg(F.count(F.lit(1)).alias("n"), F.max("known").alias("known"))
+    stands = stage(stands, "pii-stands")
+    useful = stage(stands.groupBy("pattern").agg(F.count(F.lit(1)).alias("things")).where(
+        F.col("things") >= SUPPORT).select("pattern"), "pii-useful")
+    edges = stage(stands.join(places(docs, useful), "pattern"), "pii-edges")
+    known = stage(edges.where("known").select("what").distinct(), "pii-known")
+    sure = known.limit(0)
+    while True:
+        others = edges.join(known, "what", "left_anti")
+        score = F.try_divide(F.col("taken"), F.col("places") - F.col("n"))
+        new = others.join(scored_patterns(edges, known).drop("places"), "pattern").where(
+            score >= CONFIDENT).select("what").distinct()
+        new = stage(new, "pii-new")
+        if not new.limit(1).count():
+            break
+        known, sure = stage(known.union(new), "pii-known"), sure.union(new)
+    found_ones = at.where("not known").join(sure, "what").select("key", F.struct(
         F.lit(len(KINDS) - 1).alias("kind"), "start", "end").alias("span"))
-    return new.groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("more"))
+    return found_ones.groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("more"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -151,7 +192,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     too. Missing texts are empty; repeated rows and missing doc_ids stay; equal texts have
     equal spans. Other columns are not read."""
     rows = stage(scanned(docs), "pii-rows")
-    more = stage(discovered(rows), "pii-more")
+    more = stage(discovered(docs, rows), "pii-more")
     nothing = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return rows.select("doc_id", "key", "base").join(more, "key", "left").select(
         "doc_id", "key", "base", F.concat("base", F.coalesce("more", nothing)).alias("spans"))
