@@ -14,6 +14,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
 LINE_TEXTS = 20         # a line in more of a host's distinct texts is removed, however many it has
+LINE_PERCENT = 50       # and, in a host of no more texts than that, in more than this share
+SMALL_TEXTS = 5         # and in so many at least
 DEPLETED_PERCENT = 80   # a document that loses more than this share of its letters is rejected
 
 
@@ -38,32 +40,27 @@ def text_key() -> Column:
 def _repeated_words(docs: DataFrame) -> DataFrame:
     """n_repeat_words: words covered by runs of three words that occur twice or more.
 
-    Each run is a number: its hash above, its place in the lower ``bits``. Sorted, equal runs
-    are neighbours, and their places tell which words they cover. ``bits`` is as small as the
-    text allows, so at least 40 bits of hash are left for texts of 16 million words.
+    Each run is the 64-bit hash of its words and its place. Sorted, equal runs are neighbours,
+    and their places tell which words they cover.
     """
     n = F.size("words")
     ends = F.arrays_zip("words", F.slice("words", 2, F.greatest(n, F.lit(1))).alias("second"),
                         F.slice("words", 3, F.greatest(n, F.lit(1))).alias("third"))
-    bits = F.ceil(F.log2(n + 2)).cast("int")
-    mask = F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1,
-                      F.lit(0).cast("long"))
-    runs = docs.withColumn("mask", F.when(n >= 3, mask).otherwise(F.lit(0).cast("long"))).select(
-        "*", F.when(n >= 3, F.slice(ends, 1, n - 2)).otherwise(F.slice(ends, 1, 0)).alias("runs"))
-    numbered = runs.select("*", F.sort_array(F.transform("runs", lambda r, k: F.coalesce(
-        F.xxhash64(r["words"], r["second"], r["third"]).bitwiseAND(F.bitwise_not("mask"))
-        .bitwiseOR(k.cast("long")), F.lit(0).cast("long")))).alias("sorted")).drop("runs")
+    runs = docs.select("*", F.when(n >= 3, F.slice(ends, 1, n - 2)).otherwise(
+        F.slice(ends, 1, 0)).alias("runs"))
+    numbered = runs.select("*", F.sort_array(F.transform("runs", lambda r, k: F.struct(
+        F.xxhash64(r["words"], r["second"], r["third"]).alias("run"), k.alias("at")))
+    ).alias("sorted")).drop("runs")
     beside = F.arrays_zip("sorted", F.slice("sorted", 2, F.greatest(
         F.size("sorted"), F.lit(1))).alias("next"))
-    equal = numbered.select("*", F.filter(beside, lambda z: z["sorted"].bitwiseXOR(
-        z["next"]).between(F.lit(0).cast("long"), F.col("mask"))).alias("equal")).drop("sorted")
-    at = equal.select("*", F.array_union(
-        F.transform("equal", lambda z: z["sorted"].bitwiseAND(F.col("mask"))),
-        F.transform("equal", lambda z: z["next"].bitwiseAND(F.col("mask")))).alias("at"))
+    equal = numbered.select("*", F.filter(beside, lambda z: F.coalesce(
+        z["sorted"]["run"] == z["next"]["run"], F.lit(False))).alias("equal")).drop("sorted")
+    at = equal.select("*", F.array_union(F.transform("equal", lambda z: z["sorted"]["at"]),
+                                         F.transform("equal", lambda z: z["next"]["at"])).alias("at"))
     covered = F.array_union(F.array_union("at", F.transform("at", lambda p: p + 1)),
                             F.transform("at", lambda p: p + 2))
     return at.withColumn("n_repeat_words", F.size(covered).cast("long")).drop(
-        "equal", "at", "mask", "words")
+        "equal", "at", "words")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -96,9 +93,10 @@ def judged(docs: DataFrame, texts: int = LINE_TEXTS,
     """One row per row of ``docs`` with figures and verdict, and the frequent lines of texts.
 
     Hosts are sources. A line is frequent on a host if more than ``texts`` different texts have
-    it, however large the host; exact copies count once. A document is rejected by the rules, or
-    if its frequent lines hold more than ``depleted_percent`` of its letters. Missing texts are empty, missing sources one host;
-    repeated rows stay and share a verdict. The second table is (host, key, frequent): the
+    it, however large the host; if the host itself has no more texts than that, more than half of
+    them, five at least. Exact copies count once, otherwise a document would lose all its lines to its own copies. A document is rejected
+    by the rules, or if its frequent lines hold more than ``depleted_percent`` of its letters.
+    Missing texts are empty, missing sources one host; repeated rows stay and share a verdict. The second table is (host, key, frequent): the
     hashes of the frequent lines of each text that has some.
     """
     rows = stage(measured(docs), "quality-figures")
@@ -106,8 +104,13 @@ def judged(docs: DataFrame, texts: int = LINE_TEXTS,
                      "quality-texts")
     counts = (distinct.select("host", F.explode(F.array_distinct(F.col("lines.line")))
                               .alias("line"))
-              .groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > texts))
-    frequent = stage(counts.select("host", "line"), "quality-lines")
+              .groupBy("host", "line").agg(F.count("*").alias("n"))
+              .where(F.col("n") >= min(SMALL_TEXTS, texts)))
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("of_host"))
+    often = (F.col("n") > texts) | ((F.col("n") >= SMALL_TEXTS) & (F.col("of_host") <= texts) & (
+        100 * F.col("n") > LINE_PERCENT * F.col("of_host")))
+    frequent = stage(counts.join(hosts, "host").where(often).select("host", "line"),
+                     "quality-lines")
     lost = (distinct.select("host", "key", F.explode("lines").alias("l"))
             .select("host", "key", "l.line", "l.letters")
             .join(frequent, ["host", "line"]).groupBy("host", "key")

@@ -361,6 +361,60 @@ def test_frequent_lines_do_not_depend_on_the_size_of_the_host(spark):
     assert kept == {i: t.replace("\nBig banner", "") for i, t, _, _ in rows}
 
 
+def plain_kept(rows):
+    """Verdicts by counting lines of different texts of a host."""
+    texts, lines_of = {}, {}
+    for _, t, source in rows:
+        texts.setdefault(source or "", set()).add(t or "")
+    plain = lambda x: re.sub("[1-9]", "0", x.strip(" \t\n\x0b\f\r").translate(
+        str.maketrans(common.UPPER, common.LOWER)))
+    letters = lambda x: len(re.sub("[ \t\n\x0b\f\r]", "", x))
+    for host, some in texts.items():
+        counts = Counter(x for t in some for x in {plain(x) for x in t.split("\n")})
+        lines_of[host] = {x for x, n in counts.items() if letters(x) and (
+            n > 20 or len(some) <= 20 and n >= 5 and 2 * n > len(some))}
+    for i, t, source in rows:
+        t = t or ""
+        lost = sum(letters(x) for x in t.split("\n") if plain(x) in lines_of[source or ""])
+        yield i, not figures(t)[-1] and 100 * lost <= 80 * letters(t)
+
+
+def test_verdicts_equal_plain_counts(spark, small):
+    draw = np.random.default_rng(12)
+    word = lambda: "".join(draw.choice(list("abcdefgh"), 5))
+    pool = [" ".join(word() for _ in range(draw.integers(2, 60))) + f" {k % 3}" for k in range(30)]
+    rows = []
+    for k in range(400):
+        own = "\n".join(" ".join(word() for _ in range(draw.integers(1, 25)))
+                        for _ in range(draw.integers(1, 6)))
+        shared = "\n".join(draw.choice(pool, draw.integers(0, 9)))
+        rows.append((k, f"{own}\n{shared}", ["big", "mid", "s1", "s2", "s3", None][
+            0 if k % 2 else 1 if k % 3 else 2 + k % 4]))
+    rows += [(1000 + k, rows[7][1], "big") for k in range(40)] + [(2000, None, None), (2001, "", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    verdict, _ = op6_line_quality.judged(docs)
+    got = sorted(map(tuple, verdict.select("doc_id", "kept").collect()))
+    want = sorted(plain_kept(rows))
+    assert got == want and 20 < sum(k for _, k in want) < len(want) - 20
+    registered = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source")
+    want = sorted(plain_kept([tuple(r) for r in registered.collect()]))
+    verdict, _ = op6_line_quality.judged(registered)
+    assert sorted(map(tuple, verdict.select("doc_id", "kept").collect())) == want
+
+
+def test_small_hosts_lose_lines_that_most_of_their_texts_have(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+
+    def body(k):
+        return "\n".join(" ".join(f"u{k}x{j}y{i}" for i in range(20)) for j in range(4)).translate(letters)
+    rows = [(10 * h + k, body(10 * h + k) + "\nMenu of the site" * (k < share), f"h{h}", 0)
+            for h, (size, share) in enumerate([(6, 5), (10, 5), (4, 4)]) for k in range(size)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    kept = {r["doc_id"]: r["text"] for r in op6_line_quality.cleaned(docs).collect()}
+    assert len(kept) == len(rows)
+    assert {i for i, t in kept.items() if "Menu" in t} == {*range(10, 15), *range(20, 24)}
+
+
 def test_licenses(docs, nothing):
     got = {r["doc_id"]: r for r in op7_licenses.scan_licenses(docs).collect()}
     row = got[12]
