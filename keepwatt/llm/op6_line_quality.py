@@ -15,7 +15,7 @@ MIN_WORDS = 50
 REPEATED_PERCENT = 50
 LINE_TEXTS = 20         # a line in more of a host's distinct texts is removed, however many it has
 LINE_PERCENT = 50       # and, in a host of no more texts than that, in more than this share
-SMALL_TEXTS = 5         # and in so many at least
+SMALL_TEXTS = 10        # and in so many at least
 DEPLETED_PERCENT = 80   # a document that loses more than this share of its letters is rejected
 
 
@@ -94,7 +94,7 @@ def judged(docs: DataFrame, texts: int = LINE_TEXTS,
 
     Hosts are sources. A line is frequent on a host if more than ``texts`` different texts have
     it, however large the host; if the host itself has no more texts than that, more than half of
-    them, five at least. Exact copies count once, otherwise a document would lose all its lines to its own copies. A document is rejected
+    them, ten at least. Exact copies count once, otherwise a document would lose all its lines to its own copies. A document is rejected
     by the rules, or if its frequent lines hold more than ``depleted_percent`` of its letters.
     Missing texts are empty, missing sources one host; repeated rows stay and share a verdict. The second table is (host, key, frequent): the
     hashes of the frequent lines of each text that has some.
