@@ -17,7 +17,7 @@ from keepwatt.session import stage
 
 CONTAINED = 0.8
 PERMUTATIONS = 40
-FILTER_BITS = 1 << 24
+FILTER_BITS = 24, 28    # logarithm of the filter's bits: at least, and at most (32 MB)
 _numbers = np.random.default_rng(7)
 FACTORS = _numbers.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 HALF = np.uint64(32)
@@ -56,8 +56,14 @@ def _item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["item", "key"])
 
 
-def _filter_places(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * MIX) >> np.uint64(64 - 24)).astype(np.int64)
+def filter_bits(keys: int) -> int:
+    """The logarithm of the filter's size: sixteen bits a key, so that one in sixteen others
+    passes; where that is more than the bound, more pass, and the join drops them."""
+    return min(max(FILTER_BITS[0], (16 * max(keys, 1) - 1).bit_length()), FILTER_BITS[1])
+
+
+def _filter_places(keys: np.ndarray, log_bits: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * MIX) >> np.uint64(64 - log_bits)).astype(np.int64)
 
 
 def _window_keys(classes: list[int], bits: np.ndarray):
@@ -67,7 +73,7 @@ def _window_keys(classes: list[int], bits: np.ndarray):
     passage of that size is whole in one of them. Minima of short stretches are taken once and
     joined two by two for the longer classes.
     """
-    least = min(classes)
+    least, log_bits = min(classes), len(bits).bit_length() - 1
 
     def of_text(words: np.ndarray) -> np.ndarray:
         hashes = shingle_hashes(words)
@@ -82,7 +88,7 @@ def _window_keys(classes: list[int], bits: np.ndarray):
             windows = np.minimum(minima[:, :-1], minima[:, 1:]) if minima.shape[1] > 1 else minima
             if c in classes:
                 keys = key_of(c, np.arange(PERMUTATIONS)[:, None], windows).ravel()
-                found.append(np.unique(keys[bits[_filter_places(keys)]]))
+                found.append(np.unique(keys[bits[_filter_places(keys, log_bits)]]))
             if minima.shape[1] % 2 and minima.shape[1] > 1:
                 minima = np.concatenate([minima, minima[:, -1:]], axis=1)
             if minima.shape[1] > 1:
@@ -105,26 +111,33 @@ def contaminations(docs: DataFrame, items: DataFrame, contained: float = CONTAIN
     An item's class is its size. Its MinHash values meet those of document windows of its
     class; a shared value makes a candidate, and of a passage that holds 0.8 of an item's
     shingles at least one of the 40 values is shared with a chance of 0.9998 or more. A filter
-    of 2 MB, made of the items' values, travels to the tasks; only what passes it is shuffled.
-    Candidates are verified on whole texts: the share of the item's distinct shingles that the
-    document has. Items or texts without words have no match; an item of fewer than five words
-    is one shingle. Missing texts are empty. Rows that share a doc_id are taken together, as
-    are repeated items; rows without an id take part under a missing id.
+    of 2 to 32 MB, made of the items' values, travels to the tasks; only what passes it is
+    shuffled. Candidates are verified on whole texts: the share of the item's distinct shingles
+    that the document has. Items or texts without words have no match; an item of fewer than
+    five words is one shingle. Missing texts are empty. Rows that share a doc_id are taken
+    together, as are repeated items; rows without an id take part under a missing id.
     """
+    return _contaminations(docs.withColumn("doc_id", F.col("doc_id").cast("long")), items,
+                           contained)
+
+
+def _contaminations(docs: DataFrame, items: DataFrame, contained: float) -> DataFrame:
+    """The same for doc_ids of any type."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                        whole_text().cast("binary").alias("text"))
+    texts = docs.select("doc_id", whole_text().cast("binary").alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
     item_texts = items.select(F.col("item_id").cast("long").alias("item_id"),
                               whole_text().cast("binary").alias("text"))
     item_keys = stage(item_texts.mapInArrow(_item_keys, "item long, key long"), "leak-items")
     classes = sorted(r[0] for r in item_keys.select(
         F.shiftright("key", 40)).distinct().collect())  # at most 32
     if not classes:
-        return spark.createDataFrame([], "doc_id long, item_id long, containment double")
-    places = item_keys.mapInArrow(_places, "place int").groupBy(
+        return spark.createDataFrame([], f"doc_id {kind}, item_id long, containment double")
+    log_bits = filter_bits(item_keys.count())
+    places = item_keys.mapInArrow(_places(log_bits), "place int").groupBy(
         F.shiftright("place", 6).alias("word")).agg(F.expr(
-            "bit_or(shiftleft(1L, place & 63))").alias("bits"))  # at most 2**18 rows
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+            "bit_or(shiftleft(1L, place & 63))").alias("bits"))  # one row for 64 bits
+    bits = np.zeros((1 << log_bits) // 64, np.uint64)
     for row in places.toLocalIterator():
         bits[row["word"]] = np.uint64(row["bits"] & 0xFFFFFFFFFFFFFFFF)
     shared = spark.sparkContext.broadcast(bits)
@@ -146,16 +159,18 @@ def contaminations(docs: DataFrame, items: DataFrame, contained: float = CONTAIN
                     [batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(keys))],
                     ["doc", "key"])
 
-    met = texts.mapInArrow(of_batches, "doc long, key long").join(item_keys, "key")
+    met = texts.mapInArrow(of_batches, f"doc {kind}, key long").join(item_keys, "key")
     pairs = stage(met.select("doc", "item").distinct(), "leak-candidates")
     return verified(texts, item_texts, pairs, contained)
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = batch.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(_filter_places(keys).astype(np.int32))], ["place"])
+def _places(log_bits: int):
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_filter_places(keys, log_bits).astype(np.int32))], ["place"])
+    return of_batches
 
 
 def shingle_rows(texts: DataFrame, key: str) -> DataFrame:
@@ -172,29 +187,32 @@ def verified(texts: DataFrame, item_texts: DataFrame, pairs: DataFrame,
              contained: float) -> DataFrame:
     """Candidates whose containment, counted on exact shingles, is high enough.
 
-    The shingles of candidate documents meet those of candidate items; both joins are by
-    shingle and document, so neither a frequent item nor a large document is gathered.
+    Each candidate pair asks for its item's shingles, and these meet the document's shingles by
+    document and shingle. So a phrase of many items and many documents makes rows for candidate
+    pairs only, and neither a frequent item nor a large document is gathered.
     """
     wanted = pairs.select(F.col("doc").alias("doc_id")).distinct()
     same_doc = texts["doc_id"].eqNullSafe(wanted["doc_id"])
     doc_shingles = shingle_rows(texts.join(wanted, same_doc, "left_semi"), "doc_id")
     item_shingles = stage(shingle_rows(item_texts, "item_id"), "leak-shingles")
     sizes = item_shingles.groupBy("item_id").agg(F.count("*").alias("size"))
-    shared = (doc_shingles.join(item_shingles, "shingle").groupBy("doc_id", "item_id")
-              .agg(F.count("*").alias("shared")))
-    same_item = shared["item_id"].eqNullSafe(sizes["item_id"])
-    found = shared.join(sizes, same_item).select(
-        shared["doc_id"], shared["item_id"], (F.col("shared") / F.col("size"))
-        .alias("containment")).where(F.col("containment") >= contained)
-    return found.join(pairs, found["doc_id"].eqNullSafe(pairs["doc"])
-                      & found["item_id"].eqNullSafe(pairs["item"]), "left_semi")
+    asked = pairs.join(item_shingles, pairs["item"].eqNullSafe(item_shingles["item_id"])).select(
+        "doc", "item", F.col("shingle").alias("asked"))
+    shared = (asked.join(doc_shingles, F.col("doc").eqNullSafe(F.col("doc_id"))
+                         & (F.col("asked") == F.col("shingle")))
+              .groupBy("doc", "item").agg(F.count("*").alias("shared")))
+    return shared.join(sizes, F.col("item").eqNullSafe(F.col("item_id"))).select(
+        F.col("doc").alias("doc_id"), "item_id",
+        (F.col("shared") / F.col("size")).alias("containment")).where(
+        F.col("containment") >= contained)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose text holds no item; texts are told apart by
-    their XXH64."""
-    key = F.xxhash64(whole_text())
-    leaks = contaminations(docs.select(key.alias("doc_id"), "text"), items)
+    """The rows of ``docs``, with all columns, whose text holds no item; 96 bits tell texts
+    apart."""
+    text = whole_text()
+    key = F.struct(F.xxhash64(text).alias("x"), F.hash(text).alias("m"))
+    leaks = _contaminations(docs.select(key.alias("doc_id"), "text"), items, CONTAINED)
     found = stage(leaks.select("doc_id").distinct(), "leak-texts")
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),

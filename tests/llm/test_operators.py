@@ -295,6 +295,11 @@ def test_language_model_scores_as_if_it_had_not_seen_a_text(spark, medium):
     assert 0.6 < everything < 0.99 and abs(everything - held) < 0.15
 
 
+def five(text):
+    words = text.encode().lower().split()
+    return {tuple(words[k:k + 5]) for k in range(max(len(words) - 4, 1))} if words else set()
+
+
 def test_decontamination_equals_brute_force(spark, docs, nothing):
     words = [f"w{k}" for k in range(2000)]
     items = [(1, " ".join(words[100:120])), (2, " ".join(words[500:560])), (3, "a b"), (4, ""),
@@ -318,6 +323,24 @@ def test_decontamination_equals_brute_force(spark, docs, nothing):
     assert op5_decontamination.contaminations(table, benchmark.limit(0)).count() == 0
 
 
+def test_texts_without_items_stay_whole(spark, docs):
+    leak = " ".join(f"leak{j}" for j in range(30))
+    rows = [(k, f"{leak if k % 3 else 'fine'} tail {k}", "en", 1, "w", 5) for k in range(12)]
+    table = docs.select("doc_id", "text", "lang", "block", F.lit("w").alias("word"), F.lit(5).cast(
+        "long").alias("n")).union(spark.createDataFrame(rows, "doc_id long, text string, lang string,"
+                                                        "block int, word string, n long"))
+    items = spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string")
+    kept = op5_decontamination.decontaminated(table, items)
+    assert kept.columns == table.columns
+    assert listed(kept) == listed(table.where(~F.contains(F.coalesce("text", F.lit("")), F.lit(leak))))
+    assert op5_decontamination.decontaminated(table.limit(0), items).count() == 0
+
+
+def test_filter_grows_with_the_keys():
+    assert [op5_decontamination.filter_bits(n) for n in (0, 1, 1 << 20, (1 << 20) + 1, 1 << 23, 1 << 40)
+            ] == [24, 24, 24, 25, 27, 28]
+
+
 def figures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen = Counter(zip(words, words[1:], words[2:], strict=False))
@@ -372,7 +395,7 @@ def plain_kept(rows):
     for host, some in texts.items():
         counts = Counter(x for t in some for x in {plain(x) for x in t.split("\n")})
         lines_of[host] = {x for x, n in counts.items() if letters(x) and (
-            n > 20 or len(some) <= 20 and n >= 5 and 2 * n > len(some))}
+            n > 20 or len(some) <= 20 and n >= 10 and 2 * n > len(some))}
     for i, t, source in rows:
         t = t or ""
         lost = sum(letters(x) for x in t.split("\n") if plain(x) in lines_of[source or ""])
@@ -407,12 +430,12 @@ def test_small_hosts_lose_lines_that_most_of_their_texts_have(spark):
 
     def body(k):
         return "\n".join(" ".join(f"u{k}x{j}y{i}" for i in range(20)) for j in range(4)).translate(letters)
-    rows = [(10 * h + k, body(10 * h + k) + "\nMenu of the site" * (k < share), f"h{h}", 0)
-            for h, (size, share) in enumerate([(6, 5), (10, 5), (4, 4)]) for k in range(size)]
+    rows = [(100 * h + k, body(100 * h + k) + "\nMenu of the site" * (k < share), f"h{h}", 0)
+            for h, (size, share) in enumerate([(12, 10), (20, 10), (9, 9)]) for k in range(size)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
     kept = {r["doc_id"]: r["text"] for r in op6_line_quality.cleaned(docs).collect()}
     assert len(kept) == len(rows)
-    assert {i for i, t in kept.items() if "Menu" in t} == {*range(10, 15), *range(20, 24)}
+    assert {i for i, t in kept.items() if "Menu" in t} == {*range(100, 110), *range(200, 209)}
 
 
 def test_licenses(docs, nothing):
