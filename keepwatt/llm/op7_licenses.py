@@ -37,6 +37,17 @@ NOTICES = {
     "creative commons attribution 4 0 international": "cc-by",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "eclipse public license": "epl",
+    "boost software license version 1 0": "bsl-1",
+    "the artistic license 2 0": "artistic-2",
+    "european union public licence": "eupl",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "this software is provided as is without any express or implied warranty": "zlib",
+    "common development and distribution license": "cddl",
+    "sil open font license version 1 1": "ofl",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons zero universal public domain dedication": "cc0",
+    "open data commons open database license": "odbl",
+    "community data license agreement permissive": "cdla",
 }
 LETTERS_PER_EDIT = 10  # one edit is allowed for each ten letters of a notice
 # Everything that is not part of a word becomes a blank; A-Z become a-z.
@@ -125,9 +136,12 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None,
                   short_notices: dict[str, str] | None = None) -> DataFrame:
     """One row per row of ``docs`` with words, exact phrases, labels, score and fuzzy spans.
 
-    Spans of fuzzy notices count words. The score is 1 with an exact phrase, else the best
-    share of a notice's letters that is not edited, 0 without any find. Missing texts count as
-    empty; repeated rows and missing doc_ids stay; other columns are not read.
+    Spans of fuzzy notices count words. A notice that stands somewhere within its number of
+    edits is always found; of its finds that overlap, the best around the first seed is one
+    span, and equally good ones are taken from the left. Spans of different notices may overlap.
+    The score is 1 with an exact phrase, else the best share of a notice's letters that is not
+    edited, 0 without any find. Missing texts count as empty; repeated rows and missing doc_ids
+    stay; other columns are not read.
     """
     phrases = {k.encode(): v for k, v in (phrases or PHRASES).items()}
     given = tuple((short_notices or NOTICES).items())
