@@ -453,6 +453,57 @@ def test_licenses(docs, nothing):
     assert op7_licenses.scan_licenses(nothing).count() == 0
 
 
+def edited(draw, text, edits):
+    """The text with so many letters changed, dropped or added, numbers left as they are."""
+    letters = list(text)
+    for _ in range(edits):
+        at = int(draw.choice([k for k, c in enumerate(letters) if len(c) == 1 and c.isalpha()]))
+        letters[at] = draw.choice(["", "q", letters[at] + "x"])
+    return "".join(letters)
+
+
+def test_all_fuzzy_finds_and_base_places(spark):
+    """Labels are those of searching every notice in the whole text, without seeds; places are
+    those of comparing words."""
+    draw = np.random.default_rng(21)
+    given = list(op7_licenses.NOTICES.items())
+    filler = "this work is under the public license of and mit cc by nc version software free".split()
+    texts = []
+    for k in range(150):
+        notice, _ = given[k % len(given)]
+        allowed = len(notice.replace(" ", "")) // op7_licenses.LETTERS_PER_EDIT
+        parts = [" ".join(draw.choice(filler, draw.integers(0, 12))),
+                 edited(draw, notice, int(draw.integers(0, allowed + 3))),
+                 " ".join(draw.choice(filler, draw.integers(0, 12)))]
+        if k % 3 == 0:
+            parts.append(edited(draw, given[int(draw.integers(len(given)))][0], 1))
+        texts.append(draw.choice([" ", ", ", "-\n"]).join(parts).title() if k % 2 else " ".join(parts))
+    texts += ["under the mit license " * 5 + "Apache License, Version 2.0", "cc-by-nc under the MIT license",
+              ("x " * 600_000) + "released under teh mit license " + "y" * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in op7_licenses.scan_licenses(docs).collect()}
+    notices, _ = op7_licenses.notices(tuple(given))
+    for i, text in enumerate(texts):
+        words = text.encode().translate(op7_licenses.WORDS_ONLY).split()
+        joined = b" %b " % b" ".join(words)
+        places, base = [], set()
+        for phrase, label in op7_licenses.PHRASES.items():
+            p = phrase.encode().split()
+            at = [k for k in range(len(words)) if words[k:k + len(p)] == p]
+            places += at
+            base |= {label} if at else set()
+        row = got[i]
+        assert (row["n_base"], row["first_word"], row["last_word"]) == (
+            len(places), min(places, default=None), max(places, default=None))
+        assert row["base_labels"] == ",".join(sorted(base))
+        if len(text) < 10_000:
+            found = {n.label for n, pattern in notices
+                     if (m := pattern.search(joined)) and sum(m.fuzzy_counts) <= n.edits}
+            assert row["labels"] == ",".join(sorted(base | found)), (i, text)
+    assert got[152]["labels"] == "mit" and got[152]["spans"][0]["first_word"] == 600_000
+    assert sum(bool(r["labels"]) for r in got.values()) > 100
+
+
 def test_hilbert_neighbours_and_even_shards(docs, nothing):
     points = np.array(list(itertools.product(range(8), repeat=3)))
     index = op8_hilbert.hilbert_index(points, 3)
@@ -471,6 +522,51 @@ def test_hilbert_neighbours_and_even_shards(docs, nothing):
     assert op8_hilbert.hilbert_shards(nothing).count() == 0
 
 
+def test_shards_follow_the_curve(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = sorted(op8_hilbert.hilbert_shards(docs, 7).collect(), key=lambda r: (r["shard"], r["slot"]))
+    cells = [r["cell"] for r in got]
+    assert cells == sorted(cells) and len(set(cells)) > 100
+    by_id = {r["doc_id"]: r for r in docs.collect()}
+    low, high = min(by_id), max(by_id)
+    places = {r["doc_id"]: r for r in docs.select(
+        "doc_id", op8_hilbert.place_of(F.col("source")).alias("s"),
+        op8_hilbert.place_of(F.col("lang")).alias("l")).collect()}
+    raw = {r["doc_id"]: [places[r["doc_id"]]["s"], places[r["doc_id"]]["l"],
+                         min(255, int(16 * (np.log2(r["size"]) - 4))),
+                         min(255, (r["doc_id"] - low) * 256 // (high - low + 1))] for r in got}
+    axes = np.array([raw[r["doc_id"]] for r in got])
+    stretched = np.array([[int(((a < v).sum() + (a == v).sum() / 2) * 256 / len(a)) for v in a]
+                          for a in axes.T]).T
+    assert op8_hilbert.hilbert_index(stretched).tolist() == cells
+
+
+def test_written_shards_are_pruned(spark, medium, docs, tmp_path):
+    table = spark.read.parquet(f"{medium}/documents.parquet")
+    path = str(tmp_path / "shards")
+    op8_hilbert.write_shards(table, path)
+    rows = spark.read.parquet(f"{path}/rows")
+    assert listed(rows.select(table.columns)) == listed(table)
+    places = {(r["doc_id"], r["shard"], r["slot"])
+              for r in op8_hilbert.hilbert_shards(table).collect()}
+    assert {tuple(r) for r in rows.select("doc_id", "shard", "slot").collect()} == places
+    ranges = spark.read.parquet(f"{path}/ranges")
+    assert ranges.agg(F.sum("rows")).first()[0] == table.count() and ranges.count() == 40
+    source = table.first()["source"]
+    filters = {"source": (source, F.col("source") == source), "lang": ("de", F.col("lang") == "de"),
+               "size": ((2000, 2300), (F.octet_length("text") + 16).between(2000, 2300)),
+               "doc_id": ((100, 160), F.col("doc_id").between(100, 160))}
+    for name, (value, condition) in filters.items():
+        read = op8_hilbert.shards_to_read(ranges, **{name: value})
+        holding = {r[0] for r in rows.where(condition).select("shard").distinct().collect()}
+        assert holding <= set(read) and len(read) <= 24, name
+    both = op8_hilbert.shards_to_read(ranges, lang="de", doc_id=(100, 160))
+    assert len(both) < 20
+    odd = str(tmp_path / "odd")
+    op8_hilbert.write_shards(docs, odd, 4)
+    assert listed(spark.read.parquet(f"{odd}/rows").select(docs.columns)) == listed(docs)
+
+
 def test_separators_across_blocks(spark, docs, nothing):
     def block(k, *ids):
         return (0, k, bytes(np.array(ids, "<u2")))
