@@ -22,18 +22,19 @@ from keepwatt.session import stage
 
 MODELS = ("background", "target")
 PRIOR = 2.0                  # weight of the single words in what follows a word, in words
-BLOCK_BYTES = 16_000_000     # of texts that share a dictionary
-RANGE_BYTES = 8_000_000      # of texts for each range of hashes
+BLOCK_BYTES = 4_000_000      # of texts that share a dictionary
+RANGE_BYTES = 32_000_000     # of texts for each range of hashes
 START, END = np.uint64(0x1E3779B97F4A7C15), np.uint64(0x3C6EF372FE94F82B)
 NOT_LEARNED = -1
 
 # kind 0 and 1 are ranges of a block's words and pairs: keys, their counts in both models, and
-# marks in words;
-# kind 2 is a group of its texts: keys are x and m of each text, one and two its role and length,
-# words its words by their place among the block's words; kind 3 are sums over a range of words.
-ROWS = ("block long, kind int, part int, keys binary, one binary, two binary, words binary")
+# marks of those that texts not learned from ask for in words; kind 2 is a block of texts: keys
+# are x and m of each text, one and two its role and length, words its words by their place
+# among hashes; kind 3 are sums over a range of words.
+NAMES = ("keys", "one", "two", "words", "hashes")
+ROWS = "block long, kind int, part int, " + ", ".join(f"{name} binary" for name in NAMES)
 SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()),
-                    *((name, pa.binary()) for name in ("keys", "one", "two", "words"))])
+                    *((name, pa.binary()) for name in NAMES)])
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -51,7 +52,7 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
 
 
 def _row(block: int, kind: int, part: int, *data: bytes | None) -> pa.RecordBatch:
-    values = [block, kind, part, *data, *[None] * (4 - len(data))]
+    values = [block, kind, part, *data, *[None] * (len(NAMES) - len(data))]
     return pa.RecordBatch.from_arrays(
         [pa.array([v], f.type) for v, f in zip(values, SCHEMA, strict=True)], schema=SCHEMA)
 
@@ -70,67 +71,76 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
 
 
-def _dictionary(block: int, kind: int, parts: int, keys: np.ndarray, roles: np.ndarray):
-    """Rows of a block's distinct keys, with how often learned texts of each role have them, and
-    marks for those that other texts ask for."""
-    found, at = np.unique(keys, return_inverse=True)
-    counts = [np.bincount(at[roles == role], minlength=len(found)).astype("<u4")
-              for role in (*range(len(MODELS)), NOT_LEARNED)]
-    counts[-1] = (counts[-1] > 0).astype(np.uint8)
-    low = 0
-    for part, high in enumerate(_cuts(found, parts).tolist()):
-        if low < high:
-            yield _row(block, kind, part, _packed(found[low:high]),
-                       *(_packed(c[low:high]) for c in counts))
-        low = high
-    return found, at
-
-
-def _block_rows(block: int, parts: int, texts: list, hashes: list[np.ndarray]):
-    """A block's dictionaries and its texts. The end of a text counts as a word that follows
-    its last one, so every word has as many successors as places."""
-    lengths = np.array([len(h) for h in hashes], np.int64)
-    words = np.concatenate([np.append(h, END) for h in hashes])
-    ends = np.cumsum(lengths + 1)
-    before = np.concatenate([[START], words[:-1]])
-    before[ends[:-1]] = START
-    roles = np.repeat(np.array([t[2] for t in texts], np.int64), lengths + 1)
-    yield from _dictionary(block, 1, parts, pair_keys(before, words), roles)
-    _, at = yield from _dictionary(block, 0, parts, words, roles)
-    sizes, low = np.cumsum(lengths + 1), 0
-    groups = (sizes - lengths - 1) // 300_000
-    for k, high in enumerate(np.append(np.flatnonzero(np.diff(groups)) + 1, len(texts)).tolist()):
-        some = texts[low:high]
-        keys = np.array([t[:2] for t in some], "<i8")
-        first = int(sizes[low] - lengths[low] - 1)
-        yield _row(block, 2, k, _packed(keys.ravel()), _packed(np.array([t[2] for t in some], "<i4")),
-                   _packed(lengths[low:high].astype("<u4")),
-                   _packed(at[first:int(sizes[high - 1])].astype("<u4")))
-        low = high
-
-
-def _split(parts: int):
+def _block_row(block: int, texts: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
+    """A block's texts, their words numbered by frequency. The end of a text counts as a word
+    that follows its last one, so every word has as many successors as places."""
+    found, at, counts = np.unique(np.concatenate([np.append(h, END) for h in hashes]),
+                                  return_inverse=True, return_counts=True)
+    by_rank = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(found), "<u4")
+    rank[by_rank] = np.arange(len(found))
+    keys = np.array([t[:2] for t in texts], "<i8")
+    return _row(block, 2, 0, _packed(keys.ravel()), _packed(np.array([t[2] for t in texts], "<i4")),
+                _packed(np.array([len(h) for h in hashes], "<u4")), _packed(rank[at]),
+                _packed(found[by_rank]))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of_word, size = WordHashes(), 0
+    block, texts, hashes = TaskContext.get().partitionId() << 32, [], []
+    for batch in batches:
+        for x, m, role, text in zip(*batch.columns, strict=True):
+            text = text.as_py()
+            texts.append((x.as_py(), m.as_py(), role.as_py()))
+            hashes.append(np.concatenate([np.zeros(0, np.uint64), *[
+                np.array([of_word[w] for w in words], np.uint64)
+                for words in word_lists(text)]]))
+            size += len(text)
+            if size >= BLOCK_BYTES:
+                yield _block_row(block, texts, hashes)
+                block, texts, hashes, size = block + 1, [], [], 0
+    if texts:
+        yield _block_row(block, texts, hashes)
+
+
+class _Texts:
+    """A block of texts: role and span of each, and all words after the ones before them."""
+
+    def __init__(self, row: dict):
+        self.keys = _unpacked(row["keys"], "<i8").reshape(-1, 2)
+        self.roles = _unpacked(row["one"], "<i4")
+        self.lengths = _unpacked(row["two"], "<u4").astype(np.int64)
+        self.at, self.hashes = _unpacked(row["words"], "<u4"), _unpacked(row["hashes"], "<u8")
+        self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
+        self.words = self.hashes[self.at]
+        self.before = np.concatenate([[START], self.words[:-1]])
+        self.before[self.starts] = START
+        self.pairs = pair_keys(self.before, self.words)
+
+
+def _dictionaries(kind: int, parts: int):
+    """Ranges of the distinct words (kind 0) or pairs (kind 1) of blocks, with how often learned
+    texts of each role have them."""
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_word, size = WordHashes(), 0
-        block, texts, hashes = TaskContext.get().partitionId() << 32, [], []
         for batch in batches:
-            for x, m, role, text in zip(*batch.columns, strict=True):
-                text = text.as_py()
-                texts.append((x.as_py(), m.as_py(), role.as_py()))
-                hashes.append(np.concatenate([np.zeros(0, np.uint64), *[
-                    np.array([of_word[w] for w in words], np.uint64)
-                    for words in word_lists(text)]]))
-                size += len(text)
-                if size >= BLOCK_BYTES:
-                    yield from _block_rows(block, parts, texts, hashes)
-                    block, texts, hashes, size = block + 1, [], [], 0
-        if texts:
-            yield from _block_rows(block, parts, texts, hashes)
+            for row in batch.to_pylist():
+                texts = _Texts(row)
+                roles = np.repeat(texts.roles, texts.lengths + 1)
+                found, at = np.unique(texts.pairs if kind else texts.words, return_inverse=True)
+                counts = [np.bincount(at[roles == role], minlength=len(found)).astype("<u4")
+                          for role in (*range(len(MODELS)), NOT_LEARNED)]
+                counts[-1] = (counts[-1] > 0).astype(np.uint8)
+                low = 0
+                for part, high in enumerate(_cuts(found, parts).tolist()):
+                    if low < high:
+                        yield _row(row["block"], kind, part, _packed(found[low:high]),
+                                   *(_packed(c[low:high]) for c in counts))
+                    low = high
     return of_batches
 
 
 def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by kind and part: one range of all blocks is added up at a time. A pair that
+    """Rows of one kind, sorted by part: one range of all blocks is added up at a time. A pair that
     only one place has does not go back there, since that text is scored without its own."""
     def sums_of(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         keys = [_unpacked(r["keys"], "<u8") for r in rows]
@@ -146,17 +156,18 @@ def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row["words"], "u1")
                 mine = mine[(totals[0] + totals[1])[mine].astype(bool) & (
                     ((totals[0] + totals[1])[mine] > 1) | (here == 0) | (asked > 0))]
-            yield _row(row["block"], kind, part, _packed(found[mine]),
-                       *(_packed(t[mine]) for t in totals))
+            if len(mine):
+                yield _row(row["block"], kind, part, _packed(found[mine]),
+                           *(_packed(t[mine]) for t in totals))
         if kind == 0:
             learned = totals[0] + totals[1] > 0
-            yield _row(-1, 3, part, None, None, None, np.array(
+            yield _row(-1, 3, part, np.array(
                 [learned.sum(), *(t.sum(dtype=np.int64) for t in totals)], "<i8").tobytes())
 
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and (held[0]["kind"], held[0]["part"]) != (row["kind"], row["part"]):
+            if held and held[0]["part"] != row["part"]:
                 yield from sums_of(held)
                 held = []
             held.append(row)
@@ -201,54 +212,42 @@ def _scored(totals: list[int], vocabulary: int):
     # both models count as many words as the smaller one
     scales = [min(totals) / total if total else 1.0 for total in totals]
 
-    def scores_of(row: dict, words: _Counts, pairs: _Counts) -> pa.RecordBatch:
-        keys = _unpacked(row["keys"], "<i8").reshape(-1, 2)
-        roles, lengths = _unpacked(row["one"], "<i4"), _unpacked(row["two"], "<u4").astype(int)
-        at = _unpacked(row["words"], "<u4")
-        word = words.keys[at]
-        ends = np.cumsum(lengths + 1)
-        before = np.concatenate([[START], word[:-1]])
-        starts = ends - lengths - 1
-        before[starts] = START
-        pair = pair_keys(before, word)
-        counts = [(words.counts[k][at].astype(float), pairs.of(pair, k), np.where(
-            before == START, 0, np.concatenate([[0], words.counts[k][at[:-1]]])).astype(float))
-            for k in range(len(MODELS))]
-        for k, started in enumerate(words.started):
-            counts[k][2][starts] = started
-        found = np.zeros(len(lengths))
-        for t, (role, start, n) in enumerate(zip(roles.tolist(), starts.tolist(), lengths.tolist(),
-                                                 strict=True)):
+    def scores_of(texts: _Texts, words: _Counts, pairs: _Counts) -> pa.RecordBatch:
+        counts = []
+        for k in range(len(MODELS)):
+            of_word = words.of(texts.hashes, k)[texts.at]
+            before = np.concatenate([[0], of_word[:-1]])
+            # as many texts start as end
+            before[texts.starts] = words.of(np.array([END]), k)[0]
+            counts.append((of_word, pairs.of(texts.pairs, k), before))
+        found = np.zeros(len(texts.lengths))
+        for t, (role, start, n) in enumerate(zip(
+                texts.roles.tolist(), texts.starts.tolist(), texts.lengths.tolist(), strict=True)):
             if not n:
                 continue
             span, whole = slice(start, start + n), slice(start, start + n + 1)
             none = [0, 0, 0, 0]
             if role != NOT_LEARNED:
-                of_word = _own(at[whole])
-                own = [of_word[:-1], _own(pair[whole])[:-1],
+                of_word = _own(texts.at[whole])
+                own = [of_word[:-1], _own(texts.pairs[whole])[:-1],
                        np.concatenate([[1], of_word[:-2]]), n + 1]
             loss = [text_loss(*(c[span] for c in counts[k]), own if role == k else none, totals[k],
                               vocabulary, scales[k]) for k in range(len(MODELS))]
             found[t] = (loss[1] - loss[0]).mean()
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys[:, 0]), pa.array(keys[:, 1].astype(np.int32)),
-             pa.array(lengths.astype(np.int64)), pa.array(found)], ["x", "m", "n_tokens", "score"])
+            [pa.array(texts.keys[:, 0]), pa.array(texts.keys[:, 1].astype(np.int32)),
+             pa.array(texts.lengths), pa.array(found)], ["x", "m", "n_tokens", "score"])
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, words, pairs = None, {}, None, None
+        block, parts = None, {}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["block"] != block:
-                    block, parts, words = row["block"], {0: [], 1: []}, None
+                    block, parts = row["block"], {0: [], 1: []}
                 if row["kind"] < 2:
                     parts[row["kind"]].append(row)
-                    continue
-                if words is None:
-                    words, pairs = _Counts(parts[0]), _Counts(parts[1])
-                    # as many texts start as end
-                    words.started = [words.of(np.array([END]), k)[0] for k in range(len(MODELS))]
-                    parts = {}
-                yield scores_of(row, words, pairs)
+                else:
+                    yield scores_of(_Texts(row), _Counts(parts[0]), _Counts(parts[1]))
     return of_batches
 
 
@@ -290,18 +289,23 @@ def score(docs: DataFrame, labels: DataFrame, learn: str = "true") -> DataFrame:
     keys, texts = distinct_texts(docs, labels, learn)
     sizes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sizes // RANGE_BYTES))
-    split = stage(texts.mapInArrow(_split(parts), ROWS), "language-split")
-    dealt = split.where("kind < 2").repartition(parts, "kind", "part").sortWithinPartitions(
-        "kind", "part")
-    summed = stage(dealt.mapInArrow(_added_up, ROWS), "language-sums")
+    blocks = stage(texts.mapInArrow(_blocks, ROWS), "language-blocks")
+
+    def sums_of(kind: int) -> DataFrame:
+        ranges = blocks.mapInArrow(_dictionaries(kind, parts), ROWS)
+        return ranges.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
+            _added_up, ROWS)
+
+    # the sums of words are needed twice, those of pairs go to their blocks at once
+    words = stage(sums_of(0), "language-words")
     totals = np.zeros(1 + len(MODELS), np.int64)
     # one small row per range
-    for row in summed.where("kind = 3").select("words").toLocalIterator():
-        totals += np.frombuffer(row["words"], "<i8")
-    vocabulary, *words = (int(v) for v in totals)
-    scores = (summed.where("kind < 2").union(split.where("kind = 2")).repartition("block")
+    for row in words.where("kind = 3").select("keys").toLocalIterator():
+        totals += np.frombuffer(row["keys"], "<i8")
+    vocabulary, *of_models = (int(v) for v in totals)
+    scores = (words.where("kind = 0").union(sums_of(1)).union(blocks).repartition("block")
               .sortWithinPartitions("block", "kind", "part")
-              .mapInArrow(_scored(words, vocabulary + 1),
+              .mapInArrow(_scored(of_models, vocabulary + 1),
                           "x long, m int, n_tokens long, score double"))
     of_texts = stage(scores, "language-scores")
     return keys.join(of_texts.hint("merge"), ["x", "m"]).select("doc_id", "n_tokens", "score")

@@ -243,9 +243,8 @@ def test_language_model_equals_counts_without_own_ones(spark, monkeypatch, parts
     monkeypatch.setattr(op4_language_model, "RANGE_BYTES", 20_000 // parts)
     rows = labelled_rows(parts)
     table = spark.createDataFrame(rows, LABELLED).repartition(3)
-    small_blocks = op4_language_model._split
     if block < 1_000_000:
-        monkeypatch.setattr(op4_language_model, "_split", lambda p: blocks_of(small_blocks, p, block))
+        monkeypatch.setattr(op4_language_model, "_blocks", blocks_of(op4_language_model._blocks, block))
     got = op4_language_model.score(table, table.select("doc_id", "quality"), "learn").collect()
     want = sorted(plain_scores(rows))
     got = sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in got)
@@ -253,11 +252,11 @@ def test_language_model_equals_counts_without_own_ones(spark, monkeypatch, parts
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-9)
 
 
-def blocks_of(split, parts, size):
+def blocks_of(split, size):
     """The split with smaller blocks; workers do not see what a test has replaced."""
     def of_batches(batches):
         op4_language_model.BLOCK_BYTES = size
-        yield from split(parts)(batches)
+        yield from split(batches)
     return of_batches
 
 
