@@ -95,3 +95,41 @@ def test_hot_orders_are_split_by_the_join(spark, tmp_path):
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     assert found == expected
+
+
+@pytest.mark.parametrize("collation", [None, "UTF8_LCASE"])
+def test_hot_clients_are_split_by_the_feature_join(spark, small, tmp_path, collation):
+    """A third of the client rows has one id; the join has to cut that partition up."""
+    from pyspark.sql import functions as F
+    prices = roles.price_role(spark, small).withColumn("id", F.concat(F.lit("id"), "id"))
+    clients = roles.client_role(spark, small).limit(1).drop("id", "channel_sales").crossJoin(
+        spark.range(60_000, numPartitions=12).select(
+            F.concat(F.lit("id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 150)
+                     ).alias("id"), F.concat(F.lit("channel"), "id").alias("channel_sales")))
+    # values that do not shrink when shuffled
+    clients = clients.withColumns({c: F.rand(k) * 1000 for k, c in enumerate(
+        ["cons_12m", "cons_last_month", "imp_cons", "net_margin"])})
+    clients.write.parquet(f"{tmp_path}/clients")
+    clients = spark.read.parquet(f"{tmp_path}/clients")
+
+    def features():
+        return price_sensitivity_features(prices, clients, roles.AS_OF, collation)
+
+    expected = sorted(map(tuple, features().collect()))
+    tight = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+             "spark.sql.shuffle.partitions": "16"}
+    before = {key: spark.conf.get(key, None) for key in tight}
+    try:
+        for key, value in tight.items():
+            spark.conf.set(key, value)
+        result = features()
+        found = sorted(map(tuple, result.collect()))
+        assert "SortMergeJoin(skew=true)" in plan_of(result)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert found == expected and len(found) == 60_000
