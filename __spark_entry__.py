@@ -41,7 +41,9 @@ from keepwatt.plans.clean_tables import (  # noqa: E402
 )
 from keepwatt.plans.feature_table import register_views  # noqa: E402
 from keepwatt.schemas import NUMERIC_FEATURES, PRICE_COLUMNS  # noqa: E402
-from keepwatt.session import configure, new_folder, stage  # noqa: E402
+from keepwatt.session import (  # noqa: E402
+    SHUFFLE_PARTITION_BYTES, configure, new_folder, stage,
+)
 from keepwatt.sources.catalog import (  # noqa: E402
     read_features, register_tables, write_features,
 )
@@ -404,8 +406,18 @@ else:
             LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
+def sized(spark: SparkSession, folder: str) -> SparkSession:
+    """The session configured for the tables of a folder: more shuffle partitions than it has, if
+    their size asks for them, never fewer."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    stored = files.getContentSummary(path).getLength()
+    enough = int(spark.conf.get("spark.sql.shuffle.partitions")) * SHUFFLE_PARTITION_BYTES
+    return configure(spark, stored if stored > enough else None)
+
+
 def _configured(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: query(configure(spark), sf_dir)
+    return lambda spark, sf_dir: query(sized(spark, sf_dir), sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -39,6 +39,18 @@ def test_both_sides_are_aggregated_before_the_join(spark, small):
     assert sum("Aggregate" in line for line in optimized[join:]) >= 4
 
 
+def test_shuffle_partitions_grow_with_the_tables(spark, small, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        registered.sized(spark, small)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        monkeypatch.setattr(registered, "SHUFFLE_PARTITION_BYTES", 1000)
+        registered.sized(spark, small)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= int(before)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def scans_run(df) -> int:
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
