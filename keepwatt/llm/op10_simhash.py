@@ -139,12 +139,15 @@ def deduplicated(docs: DataFrame, shingle: int = 3) -> DataFrame:
     own = [c.alias(k) for k, c in key.items()]
     fps = stage(_fingerprinted(docs.select(*own, text.cast("binary").alias("text")), shingle),
                 "simhash-fps")
-    rows = fps.groupBy(*key, "fp").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("id").isNull().alias("missing"), *key)
-    best = rows.join(classes(fps), "fp").groupBy("root").agg(
-        F.min_by(F.struct(*key, "n"), order).alias("best"))
-    best = stage(best.select(F.col("best.id").alias("best_id"), "best.x", "best.m", "best.n"),
-                 "simhash-best")
+    # folded by fingerprint before it is a key to join by: copies may be a third of all rows
+    first = fps.groupBy("fp").agg(F.min(order).alias("first"))
+    best = stage(first.join(classes(fps), "fp").groupBy("root").agg(
+        F.min("first").alias("first")).select(F.col("first.id").alias("best_id"), "first.x",
+                                              "first.m"), "simhash-first")
+    times = fps.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    best = stage(best.join(times.hint("merge"), ["x", "m"]).where(
+        F.col("id").eqNullSafe(F.col("best_id"))).drop("id"), "simhash-best")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *own)
     # tables that grow with the corpus are never broadcast
     kept = keyed.join(best.hint("merge"), ["x", "m"]).where(
