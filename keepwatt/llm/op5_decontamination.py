@@ -173,14 +173,17 @@ def _places(log_bits: int):
     return of_batches
 
 
-def shingle_rows(texts: DataFrame, key: str) -> DataFrame:
-    """(key, shingle): the distinct shingles of texts, exact."""
+def shingle_rows(texts: DataFrame, key: str, among: DataFrame | None = None) -> DataFrame:
+    """(key, shingle): the distinct shingles of texts, exact; only those in ``among``, if given."""
     words = words_of(F.col("text").cast("string"))
     runs = F.when(F.size("words") <= SHINGLE, F.array(F.array_join("words", " "))).otherwise(
         F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1),
                     lambda k: F.array_join(F.slice("words", k, SHINGLE), " ")))
-    return (texts.select(key, words.alias("words")).where("words is not null")
-            .select(key, F.explode(runs).alias("shingle")).distinct())
+    rows = texts.select(key, words.alias("words")).where("words is not null").select(
+        key, F.explode(runs).alias("shingle"))
+    if among is not None:
+        rows = rows.join(among, "shingle", "left_semi")
+    return rows.select(key, "shingle").distinct()
 
 
 def verified(texts: DataFrame, item_texts: DataFrame, pairs: DataFrame,
@@ -193,8 +196,9 @@ def verified(texts: DataFrame, item_texts: DataFrame, pairs: DataFrame,
     """
     wanted = pairs.select(F.col("doc").alias("doc_id")).distinct()
     same_doc = texts["doc_id"].eqNullSafe(wanted["doc_id"])
-    doc_shingles = shingle_rows(texts.join(wanted, same_doc, "left_semi"), "doc_id")
     item_shingles = stage(shingle_rows(item_texts, "item_id"), "leak-shingles")
+    doc_shingles = shingle_rows(texts.join(wanted, same_doc, "left_semi"), "doc_id",
+                                item_shingles.select("shingle"))
     sizes = item_shingles.groupBy("item_id").agg(F.count("*").alias("size"))
     asked = pairs.join(item_shingles, pairs["item"].eqNullSafe(item_shingles["item_id"])).select(
         "doc", "item", F.col("shingle").alias("asked"))
