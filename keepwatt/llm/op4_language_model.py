@@ -22,15 +22,15 @@ from keepwatt.session import stage
 
 MODELS = ("background", "target")
 PRIOR = 2.0                  # weight of the single words in what follows a word, in words
-BLOCK_BYTES = 4_000_000      # of texts that share a dictionary
+BLOCK_BYTES = 16_000_000     # of texts that share a dictionary
 RANGE_BYTES = 32_000_000     # of texts for each range of hashes
 START, END = np.uint64(0x1E3779B97F4A7C15), np.uint64(0x3C6EF372FE94F82B)
 NOT_LEARNED = -1
 
-# kind 0 and 1 are ranges of a block's words and pairs: keys, their counts in both models, and
-# marks of those that texts not learned from ask for in words; kind 2 is a block of texts: keys
-# are x and m of each text, one and two its role and length, words its words by their place
-# among hashes; kind 3 are sums over a range of words.
+# kind 0 and 1 are ranges of a block's words and pairs: sorted keys and their counts in both
+# models, on the way back the counts alone; kind 2 is a block of texts: keys are x and m of each
+# text, one and two its role and length, words its words by their place among hashes; kind 3 are
+# sums over a range of words.
 NAMES = ("keys", "one", "two", "words", "hashes")
 ROWS = "block long, kind int, part int, " + ", ".join(f"{name} binary" for name in NAMES)
 SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()),
@@ -128,8 +128,7 @@ def _dictionaries(kind: int, parts: int):
                 roles = np.repeat(texts.roles, texts.lengths + 1)
                 found, at = np.unique(texts.pairs if kind else texts.words, return_inverse=True)
                 counts = [np.bincount(at[roles == role], minlength=len(found)).astype("<u4")
-                          for role in (*range(len(MODELS)), NOT_LEARNED)]
-                counts[-1] = (counts[-1] > 0).astype(np.uint8)
+                          for role in range(len(MODELS))]
                 low = 0
                 for part, high in enumerate(_cuts(found, parts).tolist()):
                     if low < high:
@@ -140,25 +139,18 @@ def _dictionaries(kind: int, parts: int):
 
 
 def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one kind, sorted by part: one range of all blocks is added up at a time. A pair that
-    only one place has does not go back there, since that text is scored without its own."""
+    """Rows of one kind, sorted by part: one range of all blocks is added up at a time. A block
+    gets the sums of its keys in their order, and has the keys itself."""
     def sums_of(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         keys = [_unpacked(r["keys"], "<u8") for r in rows]
-        counts = [[_unpacked(r[c], "<u4") for r in rows] for c in ("one", "two")]
         found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = [np.bincount(at, np.concatenate(c), len(found)).astype("<u4") for c in counts]
+        totals = [np.bincount(at, np.concatenate([_unpacked(r[c], "<u4") for r in rows]),
+                              len(found)).astype("<u4") for c in ("one", "two")]
         ends = np.cumsum([len(k) for k in keys])
         kind, part = rows[0]["kind"], rows[0]["part"]
         for row, own, end in zip(rows, keys, ends.tolist(), strict=True):
             mine = at[end - len(own):end]
-            if kind == 1:
-                here, asked = sum(_unpacked(row[c], "<u4") for c in ("one", "two")), _unpacked(
-                    row["words"], "u1")
-                mine = mine[(totals[0] + totals[1])[mine].astype(bool) & (
-                    ((totals[0] + totals[1])[mine] > 1) | (here == 0) | (asked > 0))]
-            if len(mine):
-                yield _row(row["block"], kind, part, _packed(found[mine]),
-                           *(_packed(t[mine]) for t in totals))
+            yield _row(row["block"], kind, part, None, *(_packed(t[mine]) for t in totals))
         if kind == 0:
             learned = totals[0] + totals[1] > 0
             yield _row(-1, 3, part, np.array(
@@ -176,19 +168,15 @@ def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Counts:
-    """Sorted keys with their counts in both models; other keys have none."""
+    """The counts of a block's words or pairs in both models, from its ranges in order."""
 
-    def __init__(self, rows: list[dict]):
-        rows = sorted(rows, key=lambda r: r["part"])
-        self.keys, *self.counts = (
-            np.concatenate([np.zeros(0, kind), *[_unpacked(r[c], kind) for r in rows]])
-            for c, kind in (("keys", "<u8"), ("one", "<u4"), ("two", "<u4")))
+    def __init__(self, values: np.ndarray, rows: list[dict]):
+        self.keys, self.at = np.unique(values, return_inverse=True)
+        self.counts = [np.concatenate([_unpacked(r[c], "<u4") for r in rows]).astype(float)
+                       for c in ("one", "two")]
 
-    def of(self, keys: np.ndarray, model: int) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[model][at], 0).astype(float)
+    def of_places(self, model: int) -> np.ndarray:
+        return self.counts[model][self.at]
 
 
 def _own(values: np.ndarray) -> np.ndarray:
@@ -215,11 +203,11 @@ def _scored(totals: list[int], vocabulary: int):
     def scores_of(texts: _Texts, words: _Counts, pairs: _Counts) -> pa.RecordBatch:
         counts = []
         for k in range(len(MODELS)):
-            of_word = words.of(texts.hashes, k)[texts.at]
+            of_word = words.of_places(k)
             before = np.concatenate([[0], of_word[:-1]])
             # as many texts start as end
-            before[texts.starts] = words.of(np.array([END]), k)[0]
-            counts.append((of_word, pairs.of(texts.pairs, k), before))
+            before[texts.starts] = words.counts[k][np.searchsorted(words.keys, END)]
+            counts.append((of_word, pairs.of_places(k), before))
         found = np.zeros(len(texts.lengths))
         for t, (role, start, n) in enumerate(zip(
                 texts.roles.tolist(), texts.starts.tolist(), texts.lengths.tolist(), strict=True)):
@@ -247,7 +235,9 @@ def _scored(totals: list[int], vocabulary: int):
                 if row["kind"] < 2:
                     parts[row["kind"]].append(row)
                 else:
-                    yield scores_of(_Texts(row), _Counts(parts[0]), _Counts(parts[1]))
+                    texts = _Texts(row)
+                    yield scores_of(texts, _Counts(texts.words, parts[0]),
+                                    _Counts(texts.pairs, parts[1]))
     return of_batches
 
 
