@@ -25,6 +25,9 @@ from keepwatt.operators.trees import nested_margins, store_forest, stored_nodes
 from keepwatt.session import stage
 
 
+BROADCAST_LEAVES = 50_000  # rows of the table of leaves, some 10 MB
+
+
 @dataclass(frozen=True)
 class SearchSpace:
     """Inclusive ranges of the four forest settings."""
@@ -104,7 +107,11 @@ def cross_validate(folded: DataFrame, settings: Sequence[ForestParams], target:
     with ThreadPool(max(1, parallelism)) as pool:
         grown = pool.map(run, jobs, chunksize=1)
     reached, nodes = (reduce(DataFrame.unionByName, some) for some in zip(*grown, strict=True))
-    margins = nested_margins(nodes, variants, depth)
+    margins = stage(nested_margins(nodes, variants, depth), "margins")
+    # the side of the rows must not be broadcast, whatever its files say: the leaves that rows of
+    # shallow trees reach take hardly any space in Parquet
+    margins = (F.broadcast(margins) if margins.count() <= BROADCAST_LEAVES
+               else margins.hint("merge"))
     # the votes of the first trees, up to each one
     upto = Window.partitionBy("model", "row").orderBy("tree")
     votes = reached.join(margins, ["model", "tree", "leaf"]).select("model", "tree", *[

@@ -122,6 +122,26 @@ def test_nested_settings_equal_walks_down_the_trees(spark, folded, monkeypatch):
     assert got == pytest.approx(list(want.values()))
 
 
+@pytest.mark.parametrize("broadcast_leaves", [50_000, 0])
+def test_rows_of_the_search_are_never_broadcast(spark, folded, monkeypatch, broadcast_leaves):
+    """Their files are small, since rows of shallow trees reach few leaves; the rows are not."""
+    joins = []
+
+    def seen(self, other, on=None, how=None):
+        joined = joined_by(self, other, on, how)
+        if on == ["model", "tree", "leaf"]:
+            joins.append(joined)
+        return joined
+
+    joined_by = type(folded).join
+    monkeypatch.setattr(type(folded), "join", seen)
+    monkeypatch.setattr(tuning, "BROADCAST_LEAVES", broadcast_leaves, raising=False)
+    cross_validate(folded, [ForestParams(3, 2, 2, 1)], "churn", 3)
+    plan = joins[-1]._jdf.queryExecution().executedPlan().toString()
+    assert ("BuildRight" if broadcast_leaves else "SortMergeJoin") in plan
+    assert "BuildLeft" not in plan
+
+
 def test_nested_margins_of_the_whole_tree_are_those_of_the_model(spark, prepared, folded):
     train = folded.join(weight_table(folded, "churn", WEIGHT), "churn")
     forest = classifier(ForestParams(5, 7, 2, 1), "churn").fit(train).setLeafCol("leaves")
