@@ -48,7 +48,7 @@ from keepwatt.sources.catalog import (  # noqa: E402
     read_features, register_tables, write_features,
 )
 from keepwatt.sources.csv_tables import (  # noqa: E402
-    load_table, preview, schema_report as report_of, write_csv,
+    ROWS_PER_GZIP, load_table, preview, schema_report as report_of, write_csv,
 )
 from keepwatt.sources.models import (  # noqa: E402
     ModelRegistry, load_model, load_prepared, save_model, save_prepared,
@@ -122,7 +122,7 @@ def clean_client_table(spark, sf_dir):
     """Raw client CSV to the clean client table."""
     folder = _work_folder(spark, "client")
     raw = roles.client_role(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
-    write_csv(raw, f"{folder}/raw")
+    write_csv(raw, f"{folder}/raw", rows_per_gzip=ROWS_PER_GZIP)
     return build_client_table(spark, f"{folder}/raw", f"{folder}/clean")
 
 
@@ -130,7 +130,7 @@ def clean_price_table(spark, sf_dir):
     """Raw price CSV to the clean price table."""
     folder = _work_folder(spark, "price")
     raw = roles.price_role(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
-    write_csv(raw, f"{folder}/raw")
+    write_csv(raw, f"{folder}/raw", rows_per_gzip=ROWS_PER_GZIP)
     return rounded(build_price_table(spark, f"{folder}/raw", f"{folder}/clean"), PRICE_COLUMNS)
 
 

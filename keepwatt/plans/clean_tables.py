@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keepwatt.operators.cleaning import clean_channel_sales, clean_datatypes
 from keepwatt.schemas import CLIENT_SCHEMA, PRICE_SCHEMA
-from keepwatt.sources.csv_tables import load_table, write_csv
+from keepwatt.sources.csv_tables import ROWS_PER_GZIP, load_table, write_csv
 
 CLIENT_FLOATS = ["cons_12m", "cons_gas_12m", "cons_last_month", "forecast_cons_year"]
 CLIENT_DATES = ["date_activ", "date_end", "date_modif_prod", "date_renewal"]
@@ -27,11 +27,11 @@ def clean_price(df: DataFrame) -> DataFrame:
 def build_client_table(spark: SparkSession, raw: str, clean: str) -> DataFrame:
     """Read, clean and store the client table; returns it as read back from the store."""
     result = clean_client(load_table(spark, raw, CLIENT_SCHEMA))
-    write_csv(result, clean)
+    write_csv(result, clean, rows_per_gzip=ROWS_PER_GZIP)
     return load_table(spark, clean, result.schema)
 
 
 def build_price_table(spark: SparkSession, raw: str, clean: str) -> DataFrame:
     result = clean_price(load_table(spark, raw, PRICE_SCHEMA))
-    write_csv(result, clean)
+    write_csv(result, clean, rows_per_gzip=ROWS_PER_GZIP)
     return load_table(spark, clean, result.schema)

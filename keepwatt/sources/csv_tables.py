@@ -18,6 +18,7 @@ MISSING_TEXTS = [
 ]
 
 BROADCAST_RANGES = 50_000  # rows of the table of byte ranges, some 10 MB
+ROWS_PER_GZIP = 500_000  # rows of one gzipped file, which a single task reads
 
 
 def _odd_quotes(line: Column) -> Column:
@@ -156,10 +157,15 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return raw.select(*[field(name) for name in raw.columns])
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite",
+              rows_per_gzip: int | None = None) -> None:
     """Write a directory of CSV part files with headers. Missing values become empty fields,
-    blanks around texts stay."""
-    (df.write.mode(mode).option("header", True).option("escape", '"')
+    blanks around texts stay. With ``rows_per_gzip`` the files are gzipped, which takes numbers
+    to less than half, and have at most so many rows each, since they cannot be read in ranges."""
+    writer = df.write.mode(mode)
+    if rows_per_gzip:
+        writer = writer.option("compression", "gzip").option("maxRecordsPerFile", rows_per_gzip)
+    (writer.option("header", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
 

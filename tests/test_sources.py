@@ -144,3 +144,24 @@ def test_shuffle_partitions_follow_the_data(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "16"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_price_table_is_stored_gzipped(spark, small, tmp_path):
+    """Plain text of prices takes several times the space, in files that tasks can share."""
+    raw = roles.price_role(spark, small).withColumn("id", F.col("id").cast("string"))
+    write_csv(raw, str(tmp_path / "plain"))
+    write_csv(raw, str(tmp_path / "raw"), rows_per_gzip=1000)
+    build_price_table(spark, str(tmp_path / "raw"), str(tmp_path / "clean"))
+    size = {name: sum(p.stat().st_size for p in (tmp_path / name).glob("part-*"))
+            for name in ("plain", "raw", "clean")}
+    assert size["raw"] < 0.5 * size["plain"] and size["clean"] < 0.5 * size["plain"]
+    assert len(list((tmp_path / "raw").glob("part-*.csv.gz"))) >= raw.count() / 1000
+
+
+def test_gzipped_texts_with_line_breaks(spark, tmp_path):
+    texts = spark.range(50).select("id", F.concat(
+        F.lit('a "b"\n, '), F.col("id").cast("string"), F.lit("\n ")).alias("text"))
+    write_csv(texts.coalesce(1), str(tmp_path / "csv"), rows_per_gzip=7)
+    assert len(list((tmp_path / "csv").glob("part-*.csv.gz"))) == 8
+    loaded = load_table(spark, str(tmp_path / "csv"), texts.schema)
+    assert rows(loaded, "id") == rows(texts, "id")
