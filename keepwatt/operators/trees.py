@@ -7,9 +7,15 @@ ones that follow it, up to some number.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from contextvars import copy_context
+from multiprocessing.pool import ThreadPool
+from threading import Lock
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.util import DefaultParamsWriter
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +29,47 @@ LEAF_COLUMNS = (
     "CAST(array() AS array<double>), 'numCategories', -1) AS split")
 
 
+# Spark's writer holds some 2 KB of the driver's heap for each node of a forest at once.
+NODES_AT_ONCE = 150_000
+ONE_FOREST = Lock()
+TREES_AT_ONCE = 4
+
+
+def save_forest(forest: RandomForestClassificationModel, spark: SparkSession, path: str) -> None:
+    """Write the forest, as Spark does and for Spark's reader. A forest of many nodes is written
+    tree by tree, so that the driver makes rows of a few trees only, not of all of them."""
+    if forest.totalNumNodes <= NODES_AT_ONCE:
+        with ONE_FOREST:
+            forest.write().overwrite().save(path)
+        return
+    parts = new_folder(spark, "trees")
+
+    def save(tree: tuple) -> None:
+        tree[1].write().save(f"{parts}/tree-{tree[0]}")
+
+    run = inheritable_thread_target(spark)(lambda job: job[0].run(save, job[1]))
+    with ThreadPool(TREES_AT_ONCE) as pool:
+        pool.map(run, [(copy_context(), tree) for tree in enumerate(forest.trees)], chunksize=1)
+    tree_id = F.regexp_extract("_metadata.file_path", r"/tree-(\d+)/[^/]+/[^/]+$", 1).cast("int")
+    nodes = spark.read.parquet(f"{parts}/tree-*/data")
+    (nodes.select(tree_id.alias("treeID"), F.struct(*nodes.columns).alias("nodeData"))
+     .write.mode("overwrite").parquet(f"{path}/data"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in forest.treeWeights]), tree_id + 1)
+    (spark.read.text(f"{parts}/tree-*/metadata")
+     .select(tree_id.alias("_1"), F.col("value").alias("_2"), weight.alias("_3"))
+     .write.mode("overwrite").parquet(f"{path}/treesMetadata"))
+    about = json.loads(DefaultParamsWriter._get_metadata_to_save(forest, spark, {
+        "numFeatures": forest.numFeatures, "numClasses": forest.numClasses,
+        "numTrees": forest.getNumTrees}))
+    about["class"] = forest._java_obj.getClass().getName()
+    (spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1)
+     .write.mode("overwrite").text(f"{path}/metadata"))
+
+
 def store_forest(forest: RandomForestClassificationModel, spark: SparkSession) -> str:
     """Write the forest to a new folder and return that."""
     path = new_folder(spark, "forest")
-    forest.write().save(path)
+    save_forest(forest, spark, path)
     return path
 
 

@@ -8,20 +8,26 @@ from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwatt.operators.forest import ForestParams
 from keepwatt.operators.preparation import PreparedData
+from keepwatt.operators.trees import save_forest
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    """The forest, which is the last stage, and the stages before it, in two folders."""
+    *before, forest = model.stages
+    PipelineModel(before).write().overwrite().save(f"{path}/before")
+    save_forest(forest, SparkSession.active(), f"{path}/forest")
 
 
 def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    before = PipelineModel.load(f"{path}/before")
+    return PipelineModel([*before.stages, RandomForestClassificationModel.load(f"{path}/forest")])
 
 
 def save_prepared(prepared: PreparedData, path: str) -> None:
@@ -73,7 +79,7 @@ class ModelRegistry:
             seed: int = 0, target: str = "churn", test_size: float = 0.2,
             fill_missing: float | None = 0.0) -> str:
         content = {"features": sorted(features), "params": params.as_dict(),
-                   "data": data_version, "seed": seed, "target": target,
+                   "data": data_version, "seed": seed, "target": target, "layout": 2,
                    "test_size": test_size, "fill_missing": fill_missing}
         return hashlib.sha256(json.dumps(content, sort_keys=True).encode()).hexdigest()[:32]
 
@@ -107,4 +113,6 @@ class ModelRegistry:
             ready = [(key, json.dumps(params.as_dict()))]
             (self.spark.createDataFrame(ready, "key string, settings string").coalesce(1)
              .write.mode("overwrite").parquet(f"{self.path(key)}/ready"))
+            # the driver need not hold the model twice
+            del prepared, model
         return self.load(key)

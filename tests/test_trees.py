@@ -4,13 +4,14 @@ import itertools
 
 import pytest
 from conftest import rows
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from keepwatt.operators.forest import (
-    VECTOR, WEIGHT, ForestParams, assemble, classifier, feature_importance, forest_of,
-    train_random_forest,
+    VECTOR, WEIGHT, ForestParams, assemble, classifier, feature_importance, forest_of, predict,
+    train_random_forest, with_scaler,
 )
-from keepwatt.operators import tuning
+from keepwatt.operators import trees, tuning
 from keepwatt.operators.hash_split import stratified_folds
 from keepwatt.operators.preparation import prepare_data, weight_table
 from keepwatt.operators.trees import (
@@ -18,7 +19,8 @@ from keepwatt.operators.trees import (
     with_min_split, without_small_splits,
 )
 from keepwatt.operators.tuning import SearchSpace, cross_validate, train_random_forest_tuned
-from keepwatt.session import stage
+from keepwatt.session import shared_dir, stage, staging
+from keepwatt.sources.models import load_model, save_model
 
 
 @pytest.fixture(scope="module")
@@ -153,6 +155,27 @@ def test_nested_margins_of_the_whole_tree_are_those_of_the_model(spark, prepared
         assert sums == pytest.approx(row["rawPrediction"][1] - row["rawPrediction"][0])
 
 
+def test_large_forests_are_written_tree_by_tree(spark, prepared, monkeypatch, tmp_path):
+    """Spark's writer makes rows of all nodes in the driver at once."""
+    model = train_random_forest(prepared, ForestParams(12, 5, 10, 1))
+    forest_of(model).write().save(str(tmp_path / "whole"))
+    want = rows(stored_nodes(spark, str(tmp_path / "whole")), "treeID", "id")
+    monkeypatch.setattr(trees, "NODES_AT_ONCE", 0, raising=False)
+    monkeypatch.setattr(type(forest_of(model)), "write", None)
+    with staging(spark) as written:
+        path = store_forest(forest_of(model), spark)
+        assert rows(stored_nodes(spark, path), "treeID", "id") == want
+        save_model(with_scaler(prepared, model), str(tmp_path / "model"))
+        assert all(folder.startswith(shared_dir(spark)) for folder in written)
+    loaded = load_model(str(tmp_path / "model"))
+    assert forest_of(loaded).treeWeights == forest_of(model).treeWeights
+    assert forest_of(loaded).uid == forest_of(model).uid
+    assert forest_of(loaded).getOrDefault("maxDepth") == 5
+    columns = ["id", "prediction"]
+    assert rows(predict(PipelineModel(loaded.stages[1:]), prepared.data).select(columns), "id") == rows(
+        predict(model, prepared.data).select(columns), "id")
+
+
 def test_importances_of_nodes(spark, prepared):
     model = train_random_forest(prepared, ForestParams(8, 5, 10, 1))
     nodes = stored_nodes(spark, store_forest(forest_of(model), spark))
