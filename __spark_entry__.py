@@ -320,6 +320,7 @@ def rule_model_roundtrip(spark, sf_dir):
     trained = custom_model(encoded, chosen, params=FOREST, registry=registry)
     path = f"{registry.folder}/with-scaler"
     save_model(with_scaler(trained.prepared, trained.model), path)
+    del trained  # the driver need not hold the model twice
     return predict(load_model(path), encoded).select("id", "churn", "prediction")
 
 
@@ -364,6 +365,7 @@ def model_roundtrip(spark, sf_dir):
     trained = custom_model(encoded, params=FOREST, registry=registry)
     path = f"{registry.folder}/with-scaler"
     save_model(with_scaler(trained.prepared, trained.model), path)
+    del trained  # the driver need not hold the model twice
     return predict(load_model(path), encoded).select("id", "churn", "prediction")
 
 
