@@ -8,13 +8,18 @@ from dataclasses import asdict, dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepwatt.operators.growing import grow_forest
 from keepwatt.operators.preparation import PreparedData, weight_table
-from keepwatt.operators.trees import with_min_split
+from keepwatt.operators.trees import forest_with_nodes, store_forest, with_min_split
 
 MAX_DEPTH = 30
+MAX_CLASSES = 100  # Spark's limit
+WIDE = 1000  # features from which on Spark grows the trees: rows of bins would be no smaller
 VECTOR = "feature_vector"
 WEIGHT = "class_weight"
 
@@ -55,6 +60,34 @@ def classifier(params: ForestParams, target: str, seed: int = 0,
     )
 
 
+def fit_forest(weighted: DataFrame, params: ForestParams, target: str, seed: int = 0,
+               max_bins: int = 128) -> RandomForestClassificationModel:
+    """A forest on rows with a vector, a label and the weight of the label's class.
+
+    Its trees are grown by ``grow_forest``, whose cost follows the rows. The model takes its
+    settings and their description from one that Spark fits on a row for each class.
+    """
+    spark = weighted.sparkSession
+    own = classifier(params, target, seed, max_bins)
+    first = weighted.select(F.size(vector_to_array(VECTOR)).alias("width")).first()
+    classes = {r[target]: r for r in weighted.groupBy(target).agg(
+        F.count(F.lit(1)).alias("n"), F.first(WEIGHT).alias(WEIGHT)).limit(
+            MAX_CLASSES + 1).collect()}
+    plain = all(label >= 0 and label == int(label) for label in classes)
+    if not classes or not plain or max(classes) >= MAX_CLASSES or not 0 < first["width"] < WIDE:
+        return own.fit(weighted)
+    width, n_classes = first["width"], int(max(classes)) + 1
+    one_each = spark.createDataFrame(
+        [(float(k), Vectors.dense([float(k)] * width), 1.0) for k in range(n_classes)],
+        [target, VECTOR, WEIGHT])
+    described = store_forest(own.fit(one_each), spark)
+    weights = [float(classes[k][WEIGHT]) if k in classes else 1.0 for k in range(n_classes)]
+    nodes = grow_forest(weighted, VECTOR, target, WEIGHT, weights,
+                        sum(r["n"] for r in classes.values()), width, params.n_estimators,
+                        params.max_depth, params.min_samples_leaf, max_bins, seed)
+    return forest_with_nodes(described, nodes)
+
+
 def assembler(features: list[str]) -> PipelineModel:
     """Features to one vector. The assembler takes a dot in a name for a field of a struct, so
     such columns go in under other names."""
@@ -83,7 +116,7 @@ def train_random_forest(prepared: PreparedData, params: ForestParams = ForestPar
     vectors = assembler(prepared.features)
     train = assemble(prepared.train, prepared.features, prepared.target)
     weighted = train.join(weight_table(train, prepared.target, WEIGHT), prepared.target)
-    forest = classifier(params, prepared.target, seed).fit(weighted)
+    forest = fit_forest(weighted, params, prepared.target, seed)
     if params.undoes_splits:
         forest = with_min_split(forest, params.min_samples_split, train.sparkSession)
     return PipelineModel([*vectors.stages, forest])

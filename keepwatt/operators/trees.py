@@ -66,8 +66,15 @@ def save_forest(forest: RandomForestClassificationModel, spark: SparkSession, pa
      .write.mode("overwrite").text(f"{path}/metadata"))
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def store_forest(forest: RandomForestClassificationModel, spark: SparkSession) -> str:
-    """Write the forest to a new folder and return that."""
+    """Write the forest to a new folder, unless it is stored already, and return its folder."""
+    if (stored := getattr(forest, "stored_at", None)) and _exists(spark, stored):
+        return stored
     path = new_folder(spark, "forest")
     save_forest(forest, spark, path)
     return path
@@ -106,13 +113,21 @@ def with_min_split(forest: RandomForestClassificationModel, min_rows: int,
     """The forest without splits of nodes that have fewer than ``min_rows`` rows. Its node table
     is stored, edited and loaded again."""
     path = store_forest(forest, spark)
+    return forest_with_nodes(path, without_small_splits(stored_nodes(spark, path), min_rows))
+
+
+def forest_with_nodes(path: str, nodes: DataFrame) -> RandomForestClassificationModel:
+    """The forest stored at ``path`` with other nodes. Where it is stored is remembered, which
+    saves making rows of its nodes in the driver again."""
+    spark = nodes.sparkSession
     edited = new_folder(spark, "forest")
-    nodes = without_small_splits(stored_nodes(spark, path), min_rows)
     columns = spark.read.parquet(f"{path}/data").schema["nodeData"].dataType.names
     nodes.select("treeID", F.struct(*columns).alias("nodeData")).write.parquet(f"{edited}/data")
     spark.read.parquet(f"{path}/treesMetadata").write.parquet(f"{edited}/treesMetadata")
     spark.read.text(f"{path}/metadata").coalesce(1).write.text(f"{edited}/metadata")
-    return RandomForestClassificationModel.load(edited)
+    forest = RandomForestClassificationModel.load(edited)
+    forest.stored_at = edited
+    return forest
 
 
 def with_depth(nodes: DataFrame, max_depth: int) -> DataFrame:
