@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwatt.operators.forest import (
-    WEIGHT, ForestParams, assemble, classifier, evaluate_model, train_random_forest,
+    WEIGHT, ForestParams, assemble, evaluate_model, fit_forest, train_random_forest,
 )
 from keepwatt.operators.hash_split import stratified_folds
 from keepwatt.operators.preparation import PreparedData, weight_table
@@ -93,7 +93,7 @@ def cross_validate(folded: DataFrame, settings: Sequence[ForestParams], target:
         name = F.lit(fold * len(leaf_sizes) + leaf_sizes.index(leaf_size)).alias("model")
         largest = ForestParams(trees, depth, 2, leaf_size)
         train = folded.where(F.col("fold") != fold).join(weights[fold], target)
-        forest = classifier(largest, target, seed).fit(train).setLeafCol("leaves")
+        forest = fit_forest(train, largest, target, seed).setLeafCol("leaves")
         held = forest.transform(folded.where((F.col("fold") == fold) & (F.col(target) == 1)))
         numbered = held.select(name, F.monotonically_increasing_id().alias("row"), "leaves")
         reached = numbered.select("model", "row", F.posexplode(
