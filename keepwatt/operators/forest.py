@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from dataclasses import asdict, dataclass
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -13,9 +14,11 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwatt.operators.growing import grow_forest
+from keepwatt.operators.growing import grow_forests
 from keepwatt.operators.preparation import PreparedData, weight_table
-from keepwatt.operators.trees import forest_with_nodes, store_forest, with_min_split
+from keepwatt.operators.trees import (
+    load_forest, store_forest, store_with_nodes, with_min_split,
+)
 
 MAX_DEPTH = 30
 MAX_CLASSES = 100  # Spark's limit
@@ -62,30 +65,38 @@ def classifier(params: ForestParams, target: str, seed: int = 0,
 
 def fit_forest(weighted: DataFrame, params: ForestParams, target: str, seed: int = 0,
                max_bins: int = 128) -> RandomForestClassificationModel:
-    """A forest on rows with a vector, a label and the weight of the label's class.
+    """A forest on rows with a vector, a label and the weight of the label's class."""
+    return load_forest(stored_forests(
+        weighted, params, [params.min_samples_leaf], target, seed, max_bins)[0])
 
-    Its trees are grown by ``grow_forest``, whose cost follows the rows. The model takes its
-    settings and their description from one that Spark fits on a row for each class.
+
+def stored_forests(weighted: DataFrame, params: ForestParams, leaf_sizes: Sequence[int],
+                   target: str, seed: int = 0, max_bins: int = 128) -> list[str]:
+    """The folders of forests on the same rows, one for each minimum leaf size.
+
+    Their trees are grown by ``grow_forests``, whose cost follows the rows. The models take their
+    settings and their description from ones that Spark fits on a row for each class.
     """
     spark = weighted.sparkSession
-    own = classifier(params, target, seed, max_bins)
+    own = [classifier(replace(params, min_samples_leaf=size), target, seed, max_bins)
+           for size in leaf_sizes]
     first = weighted.select(F.size(vector_to_array(VECTOR)).alias("width")).first()
     classes = {r[target]: r for r in weighted.groupBy(target).agg(
         F.count(F.lit(1)).alias("n"), F.first(WEIGHT).alias(WEIGHT)).limit(
             MAX_CLASSES + 1).collect()}
     plain = all(label >= 0 and label == int(label) for label in classes)
     if not classes or not plain or max(classes) >= MAX_CLASSES or not 0 < first["width"] < WIDE:
-        return own.fit(weighted)
+        return [store_forest(each.fit(weighted), spark) for each in own]
     width, n_classes = first["width"], int(max(classes)) + 1
     one_each = spark.createDataFrame(
         [(float(k), Vectors.dense([float(k)] * width), 1.0) for k in range(n_classes)],
-        [target, VECTOR, WEIGHT])
-    described = store_forest(own.fit(one_each), spark)
+        [target, VECTOR, WEIGHT]).coalesce(1)
     weights = [float(classes[k][WEIGHT]) if k in classes else 1.0 for k in range(n_classes)]
-    nodes = grow_forest(weighted, VECTOR, target, WEIGHT, weights,
-                        sum(r["n"] for r in classes.values()), width, params.n_estimators,
-                        params.max_depth, params.min_samples_leaf, max_bins, seed)
-    return forest_with_nodes(described, nodes)
+    forests = grow_forests(weighted, VECTOR, target, WEIGHT, weights,
+                           sum(r["n"] for r in classes.values()), width, params.n_estimators,
+                           params.max_depth, leaf_sizes, max_bins, seed)
+    return [store_with_nodes(store_forest(each.fit(one_each), spark), nodes)
+            for each, nodes in zip(own, forests, strict=True)]
 
 
 def assembler(features: list[str]) -> PipelineModel:

@@ -13,8 +13,8 @@ result is stored in Spark's layout and loaded as Spark's model.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from keepwatt.session import stage
 
-GROUP_ROWS, GROUP_BYTES = 250_000, 8 << 20  # most of a node that one task grows further
+GROUP_ROWS, GROUP_BYTES = 1_000_000, 32 << 20  # most of a node that one task grows further
 HISTOGRAM_BYTES = 64 << 20  # statistics of larger nodes that a task holds at once
 BLOCK_ROWS = 1 << 16
 LEAST_GAIN = 1e-12  # less is rounding
@@ -33,7 +33,7 @@ BLOCKS = "part int, block int, labels binary, bins binary"
 PIECES = "node int, labels binary, drawn binary, bins binary"
 HISTOGRAMS = "node int, cells binary"
 SPLITS = "node int, gain double, feature int, cut int, below array<long>, total array<long>"
-GROWN = ("node int, id int, size int, prediction double, impurity double, "
+GROWN = ("least int, node int, id int, size int, prediction double, impurity double, "
          "impurityStats array<double>, rawCount long, gain double, leftChild int, rightChild int, "
          "featureIndex int, threshold double")
 
@@ -144,30 +144,37 @@ def write_blocks(rows: DataFrame, thresholds: list[np.ndarray]) -> DataFrame:
     return stage(rows.select("label", "values").mapInArrow(of_batches, BLOCKS), "binned")
 
 
-def _drawn_rows(batches: Iterator[pa.RecordBatch], growth: Growth, top: tuple):
-    """(labels, bins, drawn rows, how often each, node of each), for every block and tree. The
-    draws depend on seed, block and tree only, so every pass over the blocks has the same."""
+def _drawn_rows(batches: Iterator[pa.RecordBatch], growth: Growth, top: tuple,
+                wanted: np.ndarray, tree_of: np.ndarray):
+    """(labels, bins, how often each row is drawn, node, its drawn rows), for every block and
+    wanted node. Trees without such nodes are left out. The draws depend on seed, block and tree
+    only, so every pass over the blocks has the same."""
+    trees = np.unique(tree_of[wanted]).tolist()
     for batch in batches:
         for row in batch.to_pylist():
             labels = np.frombuffer(row["labels"], np.uint8)
             bins = np.frombuffer(row["bins"], np.uint8).reshape(-1, len(labels))
-            for tree in range(growth.n_trees):
+            for tree in trees:
                 draw = np.random.default_rng([growth.seed, row["part"], row["block"], tree])
                 drawn = np.minimum(draw.poisson(1.0, len(labels)), 255).astype(np.uint8)
-                rows = np.flatnonzero(drawn)
-                if len(rows):
-                    yield labels, bins, rows, drawn[rows], _walk(top, tree, bins, rows)
+                for node, rows in _walk(top, tree, bins, np.flatnonzero(drawn)):
+                    if wanted[node]:
+                        yield labels, bins, drawn, node, rows
 
 
-def _walk(top: tuple, tree: int, bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _walk(top: tuple, tree: int, bins: np.ndarray, rows: np.ndarray):
+    """(node, its rows) where the rows end. They go down together, a node at a time."""
     feature, cut, left = top
-    at = np.full(len(rows), tree)
-    moving = np.arange(len(rows) if feature[tree] >= 0 else 0)
-    while len(moving):
-        here = at[moving]
-        at[moving] = left[here] + (bins[feature[here], rows[moving]] > cut[here])
-        moving = moving[feature[at[moving]] >= 0]
-    return at
+    going = [(tree, rows)]
+    while going:
+        node, rows = going.pop()
+        if not len(rows):
+            continue
+        if feature[node] < 0:
+            yield node, rows
+            continue
+        right = bins[feature[node]].take(rows) > cut[node]
+        going += [(left[node], rows[~right]), (left[node] + 1, rows[right])]
 
 
 def _purity(counts: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
@@ -221,31 +228,44 @@ def _best_splits(bins: np.ndarray, rows: np.ndarray, at: np.ndarray, labels: np.
     cut, below = np.zeros(nodes, np.int64), np.zeros_like(total)
     flat, class_bits = bins.reshape(-1), max(classes - 1, 1).bit_length()
     few = classes * nodes * growth.bins <= 4 * len(rows)
-    base = at * growth.bins
+    base, starts = at * growth.bins, features * bins.shape[1]
     if few:
         base += labels.astype(np.int64) * (nodes * growth.bins)
+        times = drawn.astype(float)
     else:
-        tail = (labels.astype(np.int64) << 8) | drawn
+        base = (base << 8 + class_bits) | (labels.astype(np.int64) << 8) | drawn
     for slot in range(growth.subset):
         tried = features[:, slot]
-        cell = base + flat[tried[at] * bins.shape[1] + rows]
+        place = starts[:, slot].take(at)
+        place += rows
+        value = flat.take(place)
         if few:
-            cells = np.bincount(cell, drawn, classes * nodes * growth.bins)
+            cells = np.bincount(base + value, times, classes * nodes * growth.bins)
             found = _dense(cells.reshape(classes, nodes, -1), total, growth)
         else:
-            found = _sorted((cell << 8 + class_bits) | tail, class_bits, total, growth)
+            found = _sorted(base + (value.astype(np.int64) << 8 + class_bits), class_bits, total,
+                            growth)
         better = found[0] > best
         best[better], cut[better] = found[0][better], found[1][better]
         feature[better], below[:, better] = tried[better], found[2][:, better]
     return best, feature, cut, below
 
 
+def _kept(nodes: np.ndarray, rows: np.ndarray, at: np.ndarray, *others: np.ndarray):
+    """The rows of some nodes, which are numbered anew, and what belongs to the rows."""
+    if nodes.all():
+        return rows, at, *others
+    kept = np.flatnonzero(nodes.take(at))
+    return (rows.take(kept), (nodes.cumsum() - 1).take(at.take(kept)),
+            *(some.take(kept) for some in others))
+
+
 def grow(bins: np.ndarray, labels: np.ndarray, drawn: np.ndarray, depth: int, growth: Growth,
          draw) -> dict[str, np.ndarray]:
     """The tree below a node of ``depth`` as columns, numbered in pre-order from 0."""
     rows, at = np.arange(len(labels)), np.zeros(len(labels), np.int64)
     counts = np.bincount(labels, drawn, len(growth.weights)).astype(np.int64)[:, None]
-    levels = []
+    flat, levels = bins.reshape(-1), []
     while True:
         nodes = counts.shape[1]
         level = {"counts": counts, "feature": np.full(nodes, -1), "cut": np.zeros(nodes, np.int64),
@@ -254,9 +274,7 @@ def grow(bins: np.ndarray, labels: np.ndarray, drawn: np.ndarray, depth: int, gr
         going = ((counts > 0).sum(0) > 1) & (counts.sum(0) >= 2 * growth.least)
         if depth + len(levels) > growth.max_depth or not going.any():
             break
-        kept = going[at]
-        rows, at, labels, drawn = rows[kept], at[kept], labels[kept], drawn[kept]
-        at = (going.cumsum() - 1)[at]
+        rows, at, labels, drawn = _kept(going, rows, at, labels, drawn)
         total = counts[:, going]
         gain, feature, cut, below = _best_splits(bins, rows, at, labels, drawn, total, growth, draw)
         good = gain > LEAST_GAIN
@@ -265,10 +283,10 @@ def grow(bins: np.ndarray, labels: np.ndarray, drawn: np.ndarray, depth: int, gr
         ids = np.flatnonzero(going)[good]
         level["feature"][ids], level["cut"][ids] = feature[good], cut[good]
         level["gain"][ids], level["left"][ids] = gain[good], 2 * np.arange(len(ids))
-        kept = good[at]
-        rows, at, labels, drawn = rows[kept], at[kept], labels[kept], drawn[kept]
-        right = bins[feature[at], rows] > cut[at]
-        at = 2 * (good.cumsum() - 1)[at] + right
+        rows, at, labels, drawn = _kept(good, rows, at, labels, drawn)
+        place = (feature[good] * bins.shape[1]).take(at)
+        place += rows
+        at = 2 * at + (flat.take(place) > cut[good].astype(np.uint8).take(at))
         counts = np.empty((len(counts), 2 * len(ids)), np.int64)
         counts[:, 0::2], counts[:, 1::2] = below[:, good], (total - below)[:, good]
     return _numbered(levels, growth)
@@ -318,6 +336,7 @@ def _table(node: int, grown: dict[str, np.ndarray], growth: Growth) -> pa.Table:
     at = np.where(split, starts[grown["feature"]] + grown["cut"], 0)
     n, wide = len(split), len(stats)
     return pa.table({
+        "least": pa.array(np.full(n, growth.least, np.int32)),
         "node": pa.array(np.full(n, node, np.int32)), "id": pa.array(grown["id"], pa.int32()),
         "size": pa.array(grown["size"], pa.int32()),
         "prediction": pa.array(grown["prediction"].astype(float)),
@@ -341,21 +360,17 @@ def _split_large(blocks: DataFrame, top: Top, nodes: list[int], growth: Growth)
     place = np.full(len(top.tree), -1)
     place[nodes] = np.arange(len(nodes))
     shape = (len(nodes), growth.subset, classes, growth.bins)
+    tree_of = np.array(top.tree)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(shape, np.int64).reshape(-1)
-        for labels, bins, rows, drawn, at in _drawn_rows(batches, growth, paths):
-            kept = place[at] >= 0
-            rows, drawn, here = rows[kept], drawn[kept], place[at[kept]]
-            if not len(rows):  # other trees have the large nodes
-                continue
-            low = here.min()  # the nodes of one tree are near each other
-            size = (here.max() + 1 - low) * classes * growth.bins
-            within = ((here - low) * classes + labels[rows]) * growth.bins
-            view = cells.reshape(shape)[low:here.max() + 1]
-            for slot in range(growth.subset):
-                some = np.bincount(within + bins[tried[here, slot], rows], drawn, size)
-                view[:, slot] += some.astype(np.int64).reshape(-1, classes, growth.bins)
+        for labels, bins, drawn, node, rows in _drawn_rows(
+                batches, growth, paths, place >= 0, tree_of):
+            within = labels.take(rows).astype(np.int64) * growth.bins
+            times, view = drawn.take(rows).astype(float), cells.reshape(shape)[place[node]]
+            for slot, feature in enumerate(tried[place[node]]):
+                some = np.bincount(within + bins[feature].take(rows), times, classes * growth.bins)
+                view[slot] += some.astype(np.int64).reshape(classes, growth.bins)
         for k, one in zip(nodes, cells.reshape(len(nodes), -1), strict=True):
             if one.any():
                 yield pa.RecordBatch.from_pydict({
@@ -409,23 +424,21 @@ def _grow_top(blocks: DataFrame, n_rows: int, growth: Growth) -> tuple[Top, list
     return top, small
 
 
-def _grow_small(blocks: DataFrame, top: Top, nodes: list[int], growth: Growth) -> DataFrame:
-    """The trees below ``nodes``; the rows of each are gathered in one task."""
+def _grow_small(blocks: DataFrame, top: Top, nodes: list[int],
+                growths: Sequence[Growth]) -> DataFrame:
+    """The trees below ``nodes``; the rows of each are gathered in one task, once for all
+    ``growths``, which differ in the least size of a leaf."""
+    growth = growths[0]
     paths, depth = top.paths(), np.array(top.depth)
-    wanted = np.zeros(len(top.tree), bool)
+    wanted, tree_of = np.zeros(len(top.tree), bool), np.array(top.tree)
     wanted[nodes] = True
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for labels, bins, rows, drawn, at in _drawn_rows(batches, growth, paths):
-            order = np.argsort(at, kind="stable")
-            found, starts = np.unique(at[order], return_index=True)
-            for node, some in zip(found, np.split(order, starts[1:]), strict=True):
-                if wanted[node]:
-                    yield pa.RecordBatch.from_pydict({
-                        "node": pa.array([node], pa.int32()),
-                        "labels": [labels[rows[some]].tobytes()],
-                        "drawn": [drawn[some].tobytes()],
-                        "bins": [bins[:, rows[some]].tobytes()]})
+        for labels, bins, drawn, node, rows in _drawn_rows(batches, growth, paths, wanted, tree_of):
+            yield pa.RecordBatch.from_pydict({
+                "node": pa.array([node], pa.int32()), "labels": [labels.take(rows).tobytes()],
+                "drawn": [drawn.take(rows).tobytes()],
+                "bins": [bins.take(rows, axis=1).tobytes()]})
 
     def below(key, table):
         node = key[0].as_py()
@@ -433,8 +446,9 @@ def _grow_small(blocks: DataFrame, top: Top, nodes: list[int], growth: Growth) -
                          for c in ("labels", "drawn"))
         bins = np.concatenate([np.frombuffer(b, np.uint8).reshape(len(growth.thresholds), -1)
                                for b in table.column("bins").to_pylist()], axis=1)
-        draw = np.random.default_rng([growth.seed, node, 2])
-        return _table(node, grow(bins, labels, drawn, int(depth[node]), growth, draw), growth)
+        return pa.concat_tables([_table(node, grow(
+            bins, labels, drawn, int(depth[node]), each,
+            np.random.default_rng([each.seed, node, 2])), each) for each in growths])
 
     parts = min(2 * len(nodes), 1000)
     pieces = blocks.mapInArrow(dealt, PIECES).repartition(parts, "node")
@@ -490,17 +504,29 @@ def _joined(spark: SparkSession, top: Top, small: list[int], grown: DataFrame,
     return nodes.unionByName(spark.createDataFrame(own, nodes.schema)) if own else nodes
 
 
-def grow_forest(vectors: DataFrame, vector: str, label: str, weight: str, class_weights: list[float],
-                n_rows: int, width: int, n_trees: int, max_depth: int, min_leaf: int,
-                max_bins: int, seed: int) -> DataFrame:
-    """The nodes of a forest on ``n_rows`` rows of ``width`` features, labels from 0 on and a
-    weight for each class, as ``stored_nodes`` has them."""
+def grow_forests(vectors: DataFrame, vector: str, label: str, weight: str,
+                 class_weights: list[float], n_rows: int, width: int, n_trees: int, max_depth: int,
+                 min_leaves: Sequence[int], max_bins: int, seed: int) -> list[DataFrame]:
+    """The nodes of a forest for each minimum leaf size, as ``stored_nodes`` has them, on
+    ``n_rows`` rows of ``width`` features, labels from 0 on and a weight for each class.
+
+    The forests have the same bins and draws. As long as no node is too large for a task, the
+    rows of a tree are gathered once for all of them.
+    """
     rows = vectors.select(F.col(label).cast("int").alias("label"), F.col(weight).alias("weight"),
                           vector_to_array(vector).alias("values"))
     thresholds = find_thresholds(rows, n_rows, width, max_bins, seed)
-    growth = Growth(n_trees, max_depth, max(min_leaf, 1), math.ceil(math.sqrt(width)), max_bins,
-                    seed % (1 << 63), tuple(class_weights), thresholds)
+    first = Growth(n_trees, max_depth, 1, math.ceil(math.sqrt(width)), max_bins,
+                   seed % (1 << 63), tuple(class_weights), thresholds)
+    leasts = [max(least, 1) for least in min_leaves]
+    growths = {least: replace(first, least=least) for least in leasts}
     blocks = write_blocks(rows, thresholds)
-    top, small = _grow_top(blocks, n_rows, growth)
-    grown = _grow_small(blocks, top, small, growth)
-    return _joined(vectors.sparkSession, top, small, grown, growth)
+    tops = {least: _grow_top(blocks, n_rows, growth) for least, growth in growths.items()}
+    if all(len(top.tree) == n_trees and len(small) == n_trees for top, small in tops.values()):
+        once = _grow_small(blocks, *tops[leasts[0]], list(growths.values()))
+        grown = {least: once.where(F.col("least") == least) for least in growths}
+    else:
+        grown = {least: _grow_small(blocks, *tops[least], [growth])
+                 for least, growth in growths.items()}
+    return [_joined(vectors.sparkSession, *tops[least], grown[least], growths[least])
+            for least in leasts]

@@ -117,17 +117,27 @@ def with_min_split(forest: RandomForestClassificationModel, min_rows: int,
 
 
 def forest_with_nodes(path: str, nodes: DataFrame) -> RandomForestClassificationModel:
-    """The forest stored at ``path`` with other nodes. Where it is stored is remembered, which
-    saves making rows of its nodes in the driver again."""
+    """The forest stored at ``path`` with other nodes."""
+    return load_forest(store_with_nodes(path, nodes))
+
+
+def load_forest(path: str) -> RandomForestClassificationModel:
+    """Where the forest is stored is remembered, which saves making rows of its nodes in the
+    driver again."""
+    forest = RandomForestClassificationModel.load(path)
+    forest.stored_at = path
+    return forest
+
+
+def store_with_nodes(path: str, nodes: DataFrame) -> str:
+    """The folder of the forest stored at ``path`` with other nodes."""
     spark = nodes.sparkSession
     edited = new_folder(spark, "forest")
     columns = spark.read.parquet(f"{path}/data").schema["nodeData"].dataType.names
     nodes.select("treeID", F.struct(*columns).alias("nodeData")).write.parquet(f"{edited}/data")
     spark.read.parquet(f"{path}/treesMetadata").write.parquet(f"{edited}/treesMetadata")
     spark.read.text(f"{path}/metadata").coalesce(1).write.text(f"{edited}/metadata")
-    forest = RandomForestClassificationModel.load(edited)
-    forest.stored_at = edited
-    return forest
+    return edited
 
 
 def with_depth(nodes: DataFrame, max_depth: int) -> DataFrame:

@@ -76,6 +76,33 @@ def test_rows_with_one_label_or_no_depth_are_a_leaf():
         assert tree["id"].tolist() == [0] and tree["feature"].tolist() == [-1]
 
 
+def test_rows_of_one_task_need_no_pass_over_all_rows():
+    """The size of the training rows of 60 times sf0.1."""
+    top, small = growing._grow_top(None, 720_000, growth_of(28, 2))
+    assert small == [0] and top.feature == [-1]
+
+
+def test_passes_draw_only_for_trees_with_wanted_nodes(monkeypatch):
+    import pyarrow as pa
+    bins, labels, _ = made(500, 3, 2)
+    growth = Growth(4, 9, 1, 2, 16, 0, (1.0, 1.0), [np.arange(15) + 0.5] * 3)
+    block = pa.RecordBatch.from_pydict({
+        "part": [0], "block": [0], "labels": [labels.tobytes()], "bins": [bins.tobytes()]})
+    # node 2, the root of the third tree, is split in 4 and 5, and 5 in 6 and 7
+    feature, cut, left = np.array([-1, -1, 1, -1, -1, 0, -1, -1]), np.zeros(8, int) + 7, \
+        np.array([-1, -1, 4, -1, -1, 6, -1, -1])
+    tree_of = np.array([0, 1, 2, 3, 2, 2, 2, 2])
+    seeds, make = [], np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda seed: seeds.append(seed) or make(seed))
+    found = {node: rows for _, _, _, node, rows in growing._drawn_rows(
+        [block], growth, (feature, cut, left), np.isin(np.arange(8), [4, 7]), tree_of)}
+    assert seeds == [[0, 0, 0, 2]]
+    drawn = np.flatnonzero(make([0, 0, 0, 2]).poisson(1.0, 500))
+    assert found[4].tolist() == drawn[bins[1, drawn] <= 7].tolist()
+    assert found[7].tolist() == drawn[(bins[1, drawn] > 7) & (bins[0, drawn] > 7)].tolist()
+    assert set(found) == {4, 7}
+
+
 def checked(spark, forest, leaf=1):
     nodes = {(n["treeID"], n["id"]): n for n in stored_nodes(spark, forest.stored_at).collect()}
     reached = set()
