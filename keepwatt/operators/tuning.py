@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwatt.operators.forest import (
-    WEIGHT, ForestParams, assemble, evaluate_model, fit_forest, train_random_forest,
+    WEIGHT, ForestParams, assemble, evaluate_model, stored_forests, train_random_forest,
 )
 from keepwatt.operators.hash_split import stratified_folds
 from keepwatt.operators.preparation import PreparedData, weight_table
-from keepwatt.operators.trees import nested_margins, store_forest, stored_nodes
+from keepwatt.operators.trees import load_forest, nested_margins, stored_nodes
 from keepwatt.session import stage
 
 
@@ -72,6 +72,7 @@ def cross_validate(folded: DataFrame, settings: Sequence[ForestParams], target:
     a less deep one, and a tree whose small splits are undone is one with a larger minimum
     split size. So one fit per fold and minimum leaf size, with the most trees and the greatest
     depth asked for, has all settings in it; trees are drawn once and shared by the settings.
+    The fits of a fold bin and gather its rows together.
     The rows of class 1 are sent down these trees, and what every setting says of them is
     counted in one pass, whatever the number of settings.
 
@@ -88,25 +89,31 @@ def cross_validate(folded: DataFrame, settings: Sequence[ForestParams], target:
     positives = {row["fold"]: row["n"] for row in folded.where(F.col(target) == 1).groupBy(
         "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def grow(job: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-        fold, leaf_size = job
-        name = F.lit(fold * len(leaf_sizes) + leaf_sizes.index(leaf_size)).alias("model")
-        largest = ForestParams(trees, depth, 2, leaf_size)
+    def grow(fold: int) -> list[str]:
         train = folded.where(F.col("fold") != fold).join(weights[fold], target)
-        forest = fit_forest(train, largest, target, seed).setLeafCol("leaves")
+        return stored_forests(train, ForestParams(trees, depth), leaf_sizes, target, seed)
+
+    def send_down(job: tuple[int, int, str]) -> tuple[DataFrame, DataFrame]:
+        fold, place, path = job
+        name = F.lit(fold * len(leaf_sizes) + place).alias("model")
+        forest = load_forest(path).setLeafCol("leaves")
         held = forest.transform(folded.where((F.col("fold") == fold) & (F.col(target) == 1)))
         numbered = held.select(name, F.monotonically_increasing_id().alias("row"), "leaves")
         reached = numbered.select("model", "row", F.posexplode(
             vector_to_array("leaves")).alias("tree", "leaf"))
         reached = stage(reached.withColumn("leaf", F.col("leaf").cast("long")), "leaves")
-        return reached, stored_nodes(spark, store_forest(forest, spark)).select(
+        return reached, stored_nodes(spark, path).select(
             name, "treeID", "id", "impurityStats", "rawCount", "leftChild", "rightChild")
 
-    jobs = [(copy_context(), job) for job in itertools.product(range(folds), leaf_sizes)]
-    run = inheritable_thread_target(spark)(lambda job: job[0].run(grow, job[1]))
-    with ThreadPool(max(1, parallelism)) as pool:
-        grown = pool.map(run, jobs, chunksize=1)
-    reached, nodes = (reduce(DataFrame.unionByName, some) for some in zip(*grown, strict=True))
+    def at_once(work, jobs: Sequence) -> list:
+        run = inheritable_thread_target(spark)(lambda job: job[0].run(work, job[1]))
+        with ThreadPool(max(1, parallelism)) as pool:
+            return pool.map(run, [(copy_context(), job) for job in jobs], chunksize=1)
+
+    stored = at_once(grow, range(folds))
+    sent = at_once(send_down, [(fold, place, path) for fold, paths in enumerate(stored)
+                               for place, path in enumerate(paths)])
+    reached, nodes = (reduce(DataFrame.unionByName, some) for some in zip(*sent, strict=True))
     margins = stage(nested_margins(nodes, variants, depth), "margins")
     # the side of the rows must not be broadcast, whatever its files say: the leaves that rows of
     # shallow trees reach take hardly any space in Parquet

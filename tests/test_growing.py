@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from keepwatt.operators import growing
 from keepwatt.operators.forest import (
     VECTOR, WEIGHT, ForestParams, assemble, classifier, evaluate_model, fit_forest, forest_of,
-    train_random_forest,
+    stored_forests, train_random_forest,
 )
 from keepwatt.operators.growing import Growth, gains, grow
 from keepwatt.operators.preparation import prepare_data, weight_table
@@ -142,6 +142,24 @@ def test_large_nodes_are_split_over_all_rows(spark, prepared, weighted, monkeypa
                for t in range(5))
 
 
+def test_leaf_sizes_share_bins_and_gathered_rows(spark, weighted, monkeypatch):
+    staged, stage = [], growing.stage
+    monkeypatch.setattr(growing, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    together = stored_forests(weighted, ForestParams(4, 6), [1, 3], "churn")
+    assert staged == ["binned", "grown"]
+    alone = [stored_forests(weighted, ForestParams(4, 6), [size], "churn")[0] for size in (1, 3)]
+    nodes = [rows(stored_nodes(spark, path).select(
+        "treeID", "id", "rawCount", "prediction", "leftChild", "split")) for path in together + alone]
+    assert sorted(nodes[0]) == sorted(nodes[2]) and sorted(nodes[1]) == sorted(nodes[3])
+    assert sorted(nodes[0]) != sorted(nodes[1])
+    staged.clear()
+    monkeypatch.setattr(growing, "GROUP_ROWS", 100)  # now the tops of the trees differ
+    large = stored_forests(weighted, ForestParams(4, 6), [1, 3], "churn")
+    assert staged == ["binned", "grown", "grown"]
+    least = [stored_nodes(spark, path).agg(F.min("rawCount")).scalar() for path in large]
+    assert spark.range(1).select(*least).first()[1] >= 3
+
+
 def test_forest_is_as_good_as_that_of_spark(prepared, weighted):
     params = ForestParams(30, 8, 2, 1)
     spark_own = classifier(params, "churn").fit(weighted)
