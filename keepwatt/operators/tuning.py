@@ -21,7 +21,7 @@ from keepwatt.operators.forest import (
 )
 from keepwatt.operators.hash_split import stratified_folds
 from keepwatt.operators.preparation import PreparedData, weight_table
-from keepwatt.operators.trees import load_forest, nested_margins, stored_nodes
+from keepwatt.operators.trees import load_forest, nested_margins, store_forest, stored_nodes
 from keepwatt.session import stage
 
 
@@ -102,7 +102,7 @@ def cross_validate(folded: DataFrame, settings: Sequence[ForestParams], target:
         reached = numbered.select("model", "row", F.posexplode(
             vector_to_array("leaves")).alias("tree", "leaf"))
         reached = stage(reached.withColumn("leaf", F.col("leaf").cast("long")), "leaves")
-        return reached, stored_nodes(spark, path).select(
+        return reached, stored_nodes(spark, store_forest(forest, spark)).select(
             name, "treeID", "id", "impurityStats", "rawCount", "leftChild", "rightChild")
 
     def at_once(work, jobs: Sequence) -> list:
