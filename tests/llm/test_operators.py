@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -188,6 +189,41 @@ def test_range_coder_sees_damage():
         range_coder.decode_block(bytes(data))
 
 
+ODD = ["É été. ÉTÉ, Été!! ÿ Ÿ ß ẞ ª µ ×÷ ²", "H\u0331 h\u0331 I\u0307 e\u0301, E\u0301. a\u0308.", "",
+       "<|endoftext|>. x<|endoftext|>, <|ENDOFTEXT|> endoftext|>. l'été, l'S, 's. 'S '", "   \n\n ",
+       "a\x00b, a\x00b \x01 x\x01y, \x1f, a\tb. a\tB, İSTANBUL, ǅ ﬁ. 日本, 12, a1. 1a!? ...a. .,",
+       "\u0301 \u0301, \u200d, \xa0a,\xa0b a_b_ (c) [d]~ {e|f} g|h> i>. j`", "été" * 3000 + ". z"]
+
+
+def token_ids(texts, **settings):
+    encoder = op3_token_files.ChunkIds(
+        public_tokenizers.path(op3_token_files.TOKENIZER), **settings)
+    given = pa.array(["not this one", *texts, "nor this"]).slice(1, len(texts))
+    for _ in range(2):  # unknown, then remembered
+        ids, n_ids = encoder(given, 1)
+    return [part.tolist() for part in np.split(ids, n_ids.cumsum()[:-1])]
+
+
+@pytest.mark.parametrize("hashes", ["real", "all the same"])
+def test_token_ids_of_chunks_equal_the_library(hashes, monkeypatch):
+    if hashes != "real":  # chunks with one hash are told apart by their bytes
+        monkeypatch.setattr(op3_token_files, "_hashes",
+                            lambda raw, starts, ends: np.full(len(starts), 7, np.uint64))
+    library = Tokenizer.from_file(public_tokenizers.path(op3_token_files.TOKENIZER))
+    texts = [*ODD, *(t or "" for t in TEXTS)]
+    assert token_ids(texts) == [
+        library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert token_ids(texts, limit=0) == token_ids(texts)
+
+
+def test_words_with_other_capitals_and_marks_are_encoded_once():
+    encoder = op3_token_files.ChunkIds(public_tokenizers.path(op3_token_files.TOKENIZER))
+    asked, by_library = [], encoder._by_library
+    encoder._by_library = lambda words: asked.extend(words.to_pylist()) or by_library(words)
+    encoder(pa.array(["élan Élan élan, ÉLAN!! (élan", "Élan. the The the, élan"]), 1)
+    assert sorted(asked) == sorted(["", "élan", "the", ",", ".", "!!", "(élan"])
+
+
 LABELLED = "doc_id long, text string, quality int, learn boolean"
 
 
