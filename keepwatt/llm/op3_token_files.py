@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,14 +36,14 @@ BLOCKS = "part int, block int, n_ids long, doc_ids array<long>, lengths array<in
 
 
 class Grown:
-    """An array that is appended to; it holds up to twice the room it needs."""
+    """An array that is appended to; it holds up to half more than it needs."""
 
     def __init__(self, kind):
         self.room, self.n = np.empty(1024, kind), 0
 
     def append(self, values: np.ndarray) -> None:
         if self.n + len(values) > len(self.room):
-            room = np.empty(2 * (self.n + len(values)), self.room.dtype)
+            room = np.empty(3 * (self.n + len(values)) // 2, self.room.dtype)
             room[:self.n] = self.room[:self.n]
             self.room = room
         self.room[self.n:self.n + len(values)] = values
@@ -113,8 +114,8 @@ class ChunkIds:
     def _forget(self) -> None:
         self.slots = np.full(1 << 16, -1, np.int32)
         self.hash, self.raw, self.ids = Grown(np.uint64), Grown(np.uint8), Grown(np.uint32)
-        self.raw_from, self.raw_size = Grown(np.int64), Grown(np.int64)
-        self.ids_from, self.n_ids = Grown(np.int64), Grown(np.int64)
+        self.raw_from, self.raw_size = Grown(np.int64), Grown(np.int32)
+        self.ids_from, self.n_ids = Grown(np.int64), Grown(np.int32)
 
     def _slot(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
@@ -205,15 +206,15 @@ class ChunkIds:
 
     def _by_library(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lettered = pc.match_substring_regex(words, LETTERS)
-        plain, others = (words.filter(some).to_pylist() for some in (lettered, pc.invert(lettered)))
+        plain, others = words.filter(lettered), words.filter(pc.invert(lettered)).to_pylist()
         ids, n_ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for start in range(0, len(plain), 5000):
-            some = plain[start:start + 5000]
-            joined = " ".join(some)
+        for start in range(0, len(plain), 20_000):
+            some = plain.slice(start, 20_000).cast(pa.string())
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py()
             for letter, its_bytes in self.letters.items():  # quicker than str.translate
                 joined = joined.replace(letter, its_bytes)
             (coded,) = self.of_words.encode_batch_fast([joined], add_special_tokens=False)
-            ids.append(np.array(coded.ids, np.uint32))
+            ids.append(np.frombuffer(array("I", coded.ids), np.uint32))
             n_ids.append(np.diff(np.flatnonzero(self.ends_word[ids[-1]]), prepend=-1))
             if len(n_ids[-1]) != len(some):
                 raise ValueError("the tokenizer does not end every word with a token of its own")

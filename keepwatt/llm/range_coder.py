@@ -1,6 +1,6 @@
 """An adaptive range coder for token ids that mixes predictions of order 0, 1 and 2.
 
-A block of ids is coded in frames, each up to twice as long as the one before it. Within a frame
+A block of ids is coded in frames, each up to four times as long as the one before it. Within a frame
 the model stands still; after it, encoder and decoder both learn from its ids. So all
 probabilities of a frame come from whole-array operations, and its ids are dealt to lanes of
 ``STEPS`` ids with a coder state each, which advance together. Blocks start from nothing.
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 
 STEPS = 128
-FIRST_FRAME, LARGEST_FRAME = 4096, 1 << 18
+FIRST_FRAME, LARGEST_FRAME = 4096, 1 << 19  # few frames, so few steps with some cost each
 TOTAL_BITS, FREQ_BITS, SLOT_BITS = 24, 20, 18
 WORD_BITS, LEAST_BITS = 24, 28  # of a word, and of the least width of a lane
 WORD, LEAST = 2.0 ** WORD_BITS, 2.0 ** LEAST_BITS
@@ -46,6 +46,13 @@ class Frame:
     state: np.ndarray
 
 
+def _floor(bounds: np.ndarray, ids: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Bounds of ids in masses of which ``rest`` goes by frequency."""
+    masses = bounds.take(ids)
+    masses *= rest
+    return np.floor(masses, out=masses)
+
+
 class Model:
     def __init__(self, vocab: int):
         if vocab > 1 << (FREQ_BITS - 1):
@@ -73,18 +80,22 @@ class Model:
         self.rest = TOTAL - self.share2 - self.share1
 
     def look(self, before2: np.ndarray, before1: np.ndarray) -> Frame:
-        slot = (before2.astype(np.uint32) * np.uint32(0x85EBCA77)
-                + before1.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+        slot = before2.view(np.uint32) * np.uint32(0x85EBCA77)
+        slot += before1.view(np.uint32) * np.uint32(0x9E3779B1)
+        slot >>= np.uint32(32 - SLOT_BITS)
         known2, known1 = self.next2.take(slot), self.next1.take(before1)
         second, first = known2 >> SURE_BITS, known1 >> SURE_BITS
         low = (1 << SURE_BITS) - 1
-        state = ((known2 & low) * (SURE + 1) + (known1 & low)) * 2 + (second == first)
+        state = known2 & low
+        state *= SURE + 1
+        state += known1 & low
+        state += state
+        state += second == first
         return Frame(slot, known2, known1, second, first, state)
 
     def interval(self, at: Frame, ids: np.ndarray, share2, share1, rest):
         """Where the masses of ids start, and the masses."""
-        start = np.floor(self.below.take(ids) * rest)
-        size = np.floor(self.after.take(ids) * rest)
+        start, size = _floor(self.below, ids, rest), _floor(self.after, ids, rest)
         size -= start
         for guess, share in ((at.second, share2), (at.first, share1)):
             start += share * (guess < ids)
@@ -96,7 +107,7 @@ class Model:
         self.seen += np.bincount(at.state, minlength=STATES)
         self.hit2 += np.bincount(at.state[right2], minlength=STATES)
         self.hit1 += np.bincount(at.state[right1 & (at.second != at.first)], minlength=STATES)
-        new, low = (ids << SURE_BITS).astype(np.int32), (1 << SURE_BITS) - 1
+        new, low = ids << SURE_BITS, (1 << SURE_BITS) - 1
         self.next2[at.slot] = new + np.where(right2, np.minimum((at.known2 & low) + 1, SURE), 1)
         self.next1[before1] = new + np.where(right1, np.minimum((at.known1 & low) + 1, SURE), 1)
         self.counts += np.bincount(ids, minlength=self.vocab)
@@ -108,13 +119,13 @@ def frames(n: int):
     low, size = 0, FIRST_FRAME
     while low < n:
         yield low, min(low + size, n)
-        low, size = low + size, min(2 * size, LARGEST_FRAME)
+        low, size = low + size, min(4 * size, LARGEST_FRAME)
 
 
 def _lanes(ids: np.ndarray, none: int):
     """Ids in lanes (rows of STEPS) and the two ids before each within its lane, row by row."""
     lanes = -(-len(ids) // STEPS)
-    grid = np.zeros(lanes * STEPS, np.int64)
+    grid = np.zeros(lanes * STEPS, np.int32)
     grid[:len(ids)] = ids
     before1, before2 = np.empty_like(grid), np.empty_like(grid)
     before1[1:], before2[2:] = grid[:-1], grid[:-2]
@@ -147,9 +158,10 @@ def _encode_frame(model: Model, ids: np.ndarray) -> bytes:
     words = np.zeros((STEPS + 2, lanes), np.int32)
     written = np.zeros((STEPS + 2, lanes), bool)
     for step in range(min(STEPS, len(ids))):
-        unit = np.floor(width * (1 / TOTAL))
+        unit = width * (1 / TOTAL)
+        np.floor(unit, out=unit)
         low += starts[step] * unit
-        width = sizes[step] * unit
+        np.multiply(sizes[step], unit, out=width)
         narrow = np.less(width, LEAST, out=written[step])
         out = np.flatnonzero(narrow)
         some = low[out]
@@ -157,7 +169,7 @@ def _encode_frame(model: Model, ids: np.ndarray) -> bytes:
         words[step, out] = word
         low[out] = (some - word * LEAST) * WORD
         width[out] *= WORD
-    low = np.ceil(low * (WORD / LEAST)) # all but the last four bits
+    low = np.ceil(low * (WORD / LEAST))  # all but the last four bits
     words[-2], words[-1] = np.floor(low / WORD), low % WORD
     written[-2:] = True
     n = len(ids)
@@ -182,28 +194,36 @@ def _decode_frame(model: Model, n: int, data: memoryview) -> tuple[np.ndarray, i
     at_word += 2
     id_at = np.repeat(np.arange(model.vocab, dtype=np.int32), model.frequency)
     width = np.full(lanes, FULL)
-    before1 = np.full(lanes, model.none, np.int64)
+    before1 = np.full(lanes, model.none, np.int32)
     before2 = before1
-    grid = np.zeros((STEPS, lanes), np.int64)
+    grid = np.zeros((STEPS, lanes), np.int32)
     last = n - (lanes - 1) * STEPS
     for step in range(min(STEPS, n)):
         at = model.look(before2, before1)
         share2, share1 = model.share2.take(at.state), model.share1.take(at.state)
         rest = model.rest.take(at.state)
-        unit = np.floor(width * (1 / TOTAL))
-        plain = np.minimum(np.floor(code / unit), TOTAL - 1)
+        unit = width * (1 / TOTAL)
+        plain = code / np.floor(unit, out=unit)
+        np.floor(plain, out=plain)
         # a guess has its share behind its mass by frequency: take out what lies below
-        end = np.floor(model.after.take(at.second) * rest) + share1 * (at.first < at.second)
-        plain -= np.minimum(np.maximum(plain - end + 1, 0), share2)
-        end = np.floor(model.after.take(at.first) * rest)
-        plain -= np.minimum(np.maximum(plain - end + 1, 0), share1)
-        place = (((plain + 1) * FREQ - 1) / rest).astype(np.int64)
-        found = id_at.take(place, mode="clip").astype(np.int64)
+        after2, after1 = (_floor(model.after, guess, rest) for guess in (at.second, at.first))
+        after2 += share1 * (at.first < at.second)
+        for end, share in ((after2, share2), (after1, share1)):
+            np.subtract(plain, end, out=end)
+            end += 1
+            np.maximum(end, 0, out=end)
+            plain -= np.minimum(end, share, out=end)
+        plain *= FREQ
+        plain += FREQ - 1
+        plain /= rest
+        found = id_at.take(plain.astype(np.int32), mode="clip")
         start, size = model.interval(at, found, share2, share1, rest)
         if step >= last:
             start[-1], size[-1], found[-1] = 0, TOTAL, 0
-        code -= start * unit
-        width = size * unit
+        start *= unit
+        code -= start
+        size *= unit
+        width = size
         out = np.flatnonzero(width < LEAST)
         width[out] *= WORD
         some = at_word[out]
@@ -219,7 +239,7 @@ def _decode_frame(model: Model, n: int, data: memoryview) -> tuple[np.ndarray, i
 
 def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     """A block that can be read on its own: head with a CRC-32 of the ids, then the frames."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids)
     if len(ids) and not 0 <= ids.min() <= ids.max() < vocab:
         raise ValueError("ids outside the vocabulary")
     model = Model(vocab)
@@ -232,7 +252,7 @@ def decode_block(data: bytes) -> np.ndarray:
     magic, vocab, n, crc = HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a block of token ids")
-    model, rest, parts = Model(vocab), memoryview(data)[HEAD.size:], [np.zeros(0, np.int64)]
+    model, rest, parts = Model(vocab), memoryview(data)[HEAD.size:], [np.zeros(0, np.int32)]
     with np.errstate(all="ignore"):  # damaged lanes may get any value; the checksum tells
         for low, high in frames(n):
             ids, length = _decode_frame(model, high - low, rest)
