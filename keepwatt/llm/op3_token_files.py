@@ -244,8 +244,8 @@ class ChunkIds:
         raw, bounds = _bytes_of(texts)
         gaps = np.flatnonzero((raw == 32) | (raw == 10))
         starts = np.insert(gaps + 1, gaps.searchsorted(bounds[:-1]), bounds[:-1])
-        last = gaps.searchsorted(bounds[1:])  # chunks before the last one of each text, less one
-        ends = np.insert(gaps, last, bounds[1:])                 # for each earlier text
+        last = gaps.searchsorted(bounds[1:])  # gaps up to the end of each text
+        ends = np.insert(gaps, last, bounds[1:])
         entries = self._entries(raw, starts, ends, self._by_parts)
         end = self._add(raw[:0], np.zeros(1, int), np.array([end_id]), np.ones(1, int),
                         np.zeros(1, np.uint64), False)
