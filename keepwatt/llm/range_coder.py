@@ -1,7 +1,7 @@
 """An adaptive range coder for token ids that mixes predictions of order 0, 1 and 2.
 
-A block of ids is coded in frames, each up to four times as long as the one before it. Within a frame
-the model stands still; after it, encoder and decoder both learn from its ids. So all
+A block of ids is coded in frames, each up to four times as long as the one before it. Within a
+frame the model stands still; after it, encoder and decoder both learn from its ids. So all
 probabilities of a frame come from whole-array operations, and its ids are dealt to lanes of
 ``STEPS`` ids with a coder state each, which advance together. Blocks start from nothing.
 
