@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 from keepwatt.operators.growing import grow_forests
 from keepwatt.operators.preparation import PreparedData, weight_table
 from keepwatt.operators.trees import (
-    load_forest, store_forest, store_with_nodes, with_min_split,
+    WIDE, StoredForest, load_forest, store_forest, store_with_nodes, with_min_split,
 )
 
 MAX_DEPTH = 30
 MAX_CLASSES = 100  # Spark's limit
-WIDE = 1000  # features from which on Spark grows the trees: rows of bins would be no smaller
 VECTOR = "feature_vector"
 WEIGHT = "class_weight"
 
@@ -64,7 +63,7 @@ def classifier(params: ForestParams, target: str, seed: int = 0,
 
 
 def fit_forest(weighted: DataFrame, params: ForestParams, target: str, seed: int = 0,
-               max_bins: int = 128) -> RandomForestClassificationModel:
+               max_bins: int = 128) -> StoredForest | RandomForestClassificationModel:
     """A forest on rows with a vector, a label and the weight of the label's class."""
     return load_forest(stored_forests(
         weighted, params, [params.min_samples_leaf], target, seed, max_bins)[0])
@@ -138,7 +137,7 @@ def with_scaler(prepared: PreparedData, model: PipelineModel) -> PipelineModel:
     return PipelineModel([prepared.scaler, *model.stages])
 
 
-def forest_of(model: PipelineModel) -> RandomForestClassificationModel:
+def forest_of(model: PipelineModel) -> StoredForest | RandomForestClassificationModel:
     return model.stages[-1]
 
 

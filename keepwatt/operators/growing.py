@@ -116,8 +116,9 @@ def find_thresholds(rows: DataFrame, n_rows: int, width: int, bins: int,
     return [found.get(k, np.zeros(0)) for k in range(width)]
 
 
-def write_blocks(rows: DataFrame, thresholds: list[np.ndarray]) -> DataFrame:
-    """Rows as blocks of labels and bins, a byte each, feature by feature."""
+def write_blocks(rows: DataFrame, thresholds: list[np.ndarray], label: str = "label",
+                 label_type: type = np.uint8, bin_type: type = np.uint8) -> DataFrame:
+    """Rows as blocks of labels (or numbers) and bins, feature by feature."""
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, held, labels, bins = TaskContext.get().partitionId(), 0, 0, [], []
 
@@ -130,9 +131,10 @@ def write_blocks(rows: DataFrame, thresholds: list[np.ndarray]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = batch.column("values").flatten().to_numpy().reshape(batch.num_rows, -1)
-            labels.append(batch.column("label").to_numpy().astype(np.uint8))
-            bins.append(np.stack([np.searchsorted(t, values[:, k]).astype(np.uint8)
+            values = batch.column("values").flatten().to_numpy().reshape(
+                batch.num_rows, len(thresholds))
+            labels.append(batch.column(label).to_numpy().astype(label_type))
+            bins.append(np.stack([np.searchsorted(t, values[:, k]).astype(bin_type)
                                   for k, t in enumerate(thresholds)]))
             held += batch.num_rows
             if held >= BLOCK_ROWS:
@@ -141,7 +143,7 @@ def write_blocks(rows: DataFrame, thresholds: list[np.ndarray]) -> DataFrame:
         if held:
             yield made()
 
-    return stage(rows.select("label", "values").mapInArrow(of_batches, BLOCKS), "binned")
+    return stage(rows.select(label, "values").mapInArrow(of_batches, BLOCKS), "binned")
 
 
 def _drawn_rows(batches: Iterator[pa.RecordBatch], growth: Growth, top: tuple,

@@ -13,12 +13,20 @@ from contextvars import copy_context
 from multiprocessing.pool import ThreadPool
 from threading import Lock
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.ml.util import DefaultParamsWriter
+from pyspark.ml.base import Model
+from pyspark.ml.classification import (
+    RandomForestClassificationModel, _ProbabilisticClassifierParams, _RandomForestClassifierParams,
+)
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector
+from pyspark.ml.util import DefaultParamsWriter, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keepwatt.operators.descent import Descent, share_scale
 from keepwatt.session import new_folder, stage
 
 IS_SPLIT = "leftChild >= 0"
@@ -33,11 +41,133 @@ LEAF_COLUMNS = (
 NODES_AT_ONCE = 150_000
 ONE_FOREST = Lock()
 TREES_AT_ONCE = 4
-
-
-def save_forest(forest: RandomForestClassificationModel, spark: SparkSession, path: str) -> None:
-    """Write the forest, as Spark does and for Spark's reader. A forest of many nodes is written
-    tree by tree, so that the driver makes rows of a few trees only, not of all of them."""
+WIDE = 1000  # features from which on Spark grows the trees and holds the model
+ROW = "row_of_forest"
+
+
+class StoredForest(Model, _ProbabilisticClassifierParams, _RandomForestClassifierParams):
+    """The forest in a folder, as Spark writes it, with the settings, outputs and columns of
+    Spark's model. Its nodes are never in the driver: rows are sent down the trees by tasks. So
+    it lasts as long as its folder; inside ``staging`` it has to be saved elsewhere to stay."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__()
+        self.spark, self.stored_at = spark, path
+        about = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+        self._resetUid(about["uid"])
+        self.numFeatures, self.numClasses = int(about["numFeatures"]), int(about["numClasses"])
+        self.getNumTrees = int(about["numTrees"])
+        for name, value in about.get("defaultParamMap", {}).items():
+            if self.hasParam(name):
+                self._setDefault(**{name: value})
+        for name, value in about["paramMap"].items():
+            if self.hasParam(name):
+                self._set(**{name: value})
+
+    @property
+    def treeWeights(self) -> list[float]:
+        table = self.spark.read.parquet(f"{self.stored_at}/treesMetadata")
+        tree, _, weight = table.columns
+        return [r[0] for r in table.orderBy(tree).select(weight).collect()]
+
+    @property
+    def totalNumNodes(self) -> int:
+        return stored_nodes(self.spark, self.stored_at).count()
+
+    @property
+    def featureImportances(self) -> SparseVector:
+        """In each tree a feature's share of gain times weighted rows, then the same over trees."""
+        def of_tree(key, table):
+            table = table.sort_by("id")
+            gain, at = table.column("gain").to_numpy(), table.column("at").to_numpy()
+            sums = np.bincount(at, gain)
+            found = np.flatnonzero(sums)
+            return pa.table({
+                "tree": pa.array(np.full(len(found), key[0].as_py()), pa.int32()),
+                "at": pa.array(found, pa.int32()), "share": sums[found] / sums.sum()})
+
+        total = F.aggregate("impurityStats", F.lit(0.0), lambda a, b: a + b)
+        gains = stored_nodes(self.spark, self.stored_at).where(IS_SPLIT).select(
+            "treeID", "id", F.col("split.featureIndex").alias("at"),
+            (F.col("gain") * total).alias("gain"))
+        summed: dict[int, float] = {}
+        for r in gains.groupBy("treeID").applyInArrow(
+                of_tree, "tree int, at int, share double").orderBy("tree", "at").collect():
+            summed[r["at"]] = summed.get(r["at"], 0.0) + r["share"]
+        whole = sum(summed.values()) or 1.0
+        return SparseVector(self.numFeatures, {k: v / whole for k, v in summed.items()})
+
+    def setLeafCol(self, value: str) -> StoredForest:
+        return self._set(leafCol=value)
+
+    def descent(self, rows: DataFrame) -> Descent:
+        """``rows`` (row, vector) on their way down the trees."""
+        values = vector_to_array(F.col(f"`{self.getFeaturesCol()}`"))
+        return Descent(stored_nodes(self.spark, self.stored_at), rows.select(
+            "row", values.alias("values")), self.numFeatures, self.getNumTrees, self.numClasses)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        """The rows with the columns that Spark's model adds. They are stored with a number, which
+        what the trees say of them is joined by."""
+        made = [self.getRawPredictionCol(), self.getProbabilityCol(), self.getPredictionCol()]
+        if there := {c for c in (*made, self.getLeafCol()) if c and c in dataset.columns}:
+            raise ValueError(f"columns are there already: {sorted(there)}")
+        kept = stage(dataset.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+        descent = self.descent(kept.withColumnRenamed(ROW, "row"))
+        scale = float(share_scale(self.getNumTrees))
+        votes = [F.col(f"v{k}") for k in range(self.numClasses)]
+        said = stage(descent.votes().select(
+            F.col("row").alias(ROW), F.array(*[v / scale for v in votes]).alias("raw"),
+            (F.array_position(F.array(*votes), F.greatest(F.lit(0), *votes)) - 1).cast(
+                "double").alias("said")), "votes")
+        total = F.aggregate("raw", F.lit(0.0), lambda a, b: a + b)
+        shares = F.transform("raw", lambda v: F.coalesce(F.try_divide(v, total), v))
+        columns = [array_to_vector("raw"), array_to_vector(shares), F.col("said")]
+        # never broadcast: rows with the same votes take hardly any space in files
+        out = kept.join(said.hint("merge"), ROW)
+        if self.getLeafCol():
+            leaves = descent.leaves().groupBy(F.col("row").alias(ROW)).agg(
+                F.array_sort(F.collect_list(F.struct("tree", "leaf"))).alias("found"))
+            out = out.join(stage(leaves, "row-leaves").hint("merge"), ROW)
+            columns.append(array_to_vector(F.transform(
+                "found", lambda x: x.getField("leaf").cast("double"))))
+            made.append(self.getLeafCol())
+        return out.select(*[F.col(f"`{c}`") for c in dataset.columns], *[
+            c.alias(name) for name, c in zip(made, columns, strict=True) if name])
+
+    def write(self) -> MLWriter:
+        return _ForestCopy(self)
+
+
+class _ForestCopy(MLWriter):
+    """Writes a stored forest to another folder."""
+
+    def __init__(self, forest: StoredForest):
+        super().__init__()
+        self.forest = forest
+
+    def saveImpl(self, path: str) -> None:
+        copy_forest(self.forest.spark, self.forest.stored_at, path)
+
+
+def copy_forest(spark: SparkSession, source: str, path: str) -> None:
+    """The files of a stored forest written to ``path`` by tasks."""
+    if source.rstrip("/") == path.rstrip("/"):
+        return
+    for part in ("data", "treesMetadata"):
+        spark.read.parquet(f"{source}/{part}").write.mode("overwrite").parquet(f"{path}/{part}")
+    spark.read.text(f"{source}/metadata").coalesce(1).write.mode("overwrite").text(
+        f"{path}/metadata")
+
+
+def save_forest(forest: StoredForest | RandomForestClassificationModel, spark: SparkSession,
+                path: str) -> None:
+    """Write the forest, as Spark does and for Spark's reader. A stored forest is copied. One of
+    Spark's with many nodes is written tree by tree, so that the driver makes rows of a few trees
+    only, not of all of them."""
+    if isinstance(forest, StoredForest):
+        copy_forest(spark, forest.stored_at, path)
+        return
     if forest.totalNumNodes <= NODES_AT_ONCE:
         with ONE_FOREST:
             forest.write().overwrite().save(path)
@@ -71,7 +201,7 @@ def _exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def store_forest(forest: RandomForestClassificationModel, spark: SparkSession) -> str:
+def store_forest(forest: StoredForest | RandomForestClassificationModel, spark: SparkSession) -> str:
     """Write the forest to a new folder, unless it is stored already, and return its folder."""
     if (stored := getattr(forest, "stored_at", None)) and _exists(spark, stored):
         return stored
@@ -108,27 +238,43 @@ def without_small_splits(nodes: DataFrame, min_rows: int) -> DataFrame:
     return inner.unionByName(leaves)
 
 
-def with_min_split(forest: RandomForestClassificationModel, min_rows: int,
-                   spark: SparkSession) -> RandomForestClassificationModel:
+def with_min_split(forest: StoredForest | RandomForestClassificationModel, min_rows: int,
+                   spark: SparkSession) -> StoredForest | RandomForestClassificationModel:
     """The forest without splits of nodes that have fewer than ``min_rows`` rows. Its node table
     is stored, edited and loaded again."""
     path = store_forest(forest, spark)
     return forest_with_nodes(path, without_small_splits(stored_nodes(spark, path), min_rows))
 
 
-def forest_with_nodes(path: str, nodes: DataFrame) -> RandomForestClassificationModel:
+def forest_with_nodes(path: str, nodes: DataFrame) -> StoredForest | RandomForestClassificationModel:
     """The forest stored at ``path`` with other nodes."""
     return load_forest(store_with_nodes(path, nodes))
 
 
-def load_forest(path: str) -> RandomForestClassificationModel:
-    """Where the forest is stored is remembered, which saves making rows of its nodes in the
-    driver again."""
+def load_forest(path: str) -> StoredForest | RandomForestClassificationModel:
+    """The forest of a folder. Its nodes stay there, but for what only Spark's own model does:
+    many features, whose rows it has as sparse vectors, splits by category and thresholds."""
+    spark = SparkSession.active()
+    forest = StoredForest(spark, path)
+    by_category = stored_nodes(spark, path).where("split.numCategories >= 0")
+    if forest.numFeatures < WIDE and not forest.isSet("thresholds") and not by_category.take(1):
+        return forest
+    # where the forest is stored is remembered, which saves making rows of its nodes again
     forest = RandomForestClassificationModel.load(path)
     forest.stored_at = path
     return forest
 
 
+def reached_leaves(forest: StoredForest | RandomForestClassificationModel,
+                   rows: DataFrame) -> DataFrame:
+    """(row, tree, leaf): where ``rows`` (row, vector) end, leaves numbered as Spark does."""
+    if isinstance(forest, StoredForest):
+        return forest.descent(rows).leaves()
+    reached = forest.setLeafCol("leaves").transform(rows).select(
+        "row", F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
+    return reached.withColumn("leaf", F.col("leaf").cast("long"))
+
+
 def store_with_nodes(path: str, nodes: DataFrame) -> str:
     """The folder of the forest stored at ``path`` with other nodes."""
     spark = nodes.sparkSession

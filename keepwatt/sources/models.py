@@ -8,14 +8,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwatt.operators.forest import ForestParams
 from keepwatt.operators.preparation import PreparedData
-from keepwatt.operators.trees import save_forest
+from keepwatt.operators.trees import load_forest, save_forest
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -26,8 +25,9 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel:
+    """The model, whose forest stays in its folder."""
     before = PipelineModel.load(f"{path}/before")
-    return PipelineModel([*before.stages, RandomForestClassificationModel.load(f"{path}/forest")])
+    return PipelineModel([*before.stages, load_forest(f"{path}/forest")])
 
 
 def save_prepared(prepared: PreparedData, path: str) -> None:

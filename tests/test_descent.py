@@ -1,0 +1,133 @@
+"""Forests whose nodes stay in their folder, against Spark's model of the same folder."""
+
+import numpy as np
+import pytest
+from conftest import rows
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from keepwatt.operators import descent, growing
+from keepwatt.operators.descent import groups
+from keepwatt.operators.forest import (
+    VECTOR, WEIGHT, ForestParams, assemble, classifier, forest_of, predict, train_random_forest,
+    with_scaler,
+)
+from keepwatt.operators.preparation import prepare_data, weight_table
+from keepwatt.operators.trees import StoredForest, load_forest, store_forest
+from keepwatt.sources.models import ModelRegistry, load_model, save_model
+
+MADE = ("rawPrediction", "probability", "prediction", "leaves")
+
+
+@pytest.fixture(scope="module")
+def clients(spark):
+    churn = (F.col("signal") + F.col("other") / 2 > 1).cast("int")
+    return spark.range(1200).select(
+        "id", F.rand(1).alias("noise"), F.rand(2).alias("signal"), F.rand(3).alias("other"),
+        (F.rand(5) * 3).cast("int").alias("few")).withColumn(
+            "churn", F.when(F.rand(4) < 0.15, 1 - churn).otherwise(churn)).persist()
+
+
+@pytest.fixture(scope="module")
+def prepared(clients):
+    return prepare_data(clients)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, prepared):
+    return store_forest(forest_of(train_random_forest(prepared, ForestParams(9, 7, 2, 1))), spark)
+
+
+def said(forest, df):
+    arrays = [vector_to_array(c).alias(c) if c != "prediction" else F.col(c) for c in MADE]
+    return rows(forest.setLeafCol("leaves").transform(df).select("id", *arrays), "id")
+
+
+def same(forest, df):
+    got, want = said(forest, df), said(RandomForestClassificationModel.load(forest.stored_at), df)
+    assert len(got) == len(want) == df.count()
+    for a, b in zip(got, want, strict=True):
+        assert a[0] == b[0] and a[3:] == b[3:]
+        assert [*a[1], *a[2]] == pytest.approx([*b[1], *b[2]])
+
+
+@pytest.mark.parametrize("limit", [None, 1])
+def test_a_stored_forest_says_what_sparks_model_says(prepared, stored, monkeypatch, limit):
+    """Also if every task has one block of rows and one tree."""
+    if limit:
+        monkeypatch.setattr(descent, "GROUP_BYTES", limit)
+        monkeypatch.setattr(growing, "BLOCK_ROWS", 100)
+    test = assemble(prepared.data.repartition(3), prepared.features, "churn")
+    forest = load_forest(stored)
+    assert isinstance(forest, StoredForest)
+    same(forest, test)
+    own = RandomForestClassificationModel.load(stored)
+    assert forest.featureImportances.toArray() == pytest.approx(own.featureImportances.toArray())
+    for name in ("treeWeights", "totalNumNodes", "getNumTrees", "numClasses", "numFeatures", "uid"):
+        assert getattr(forest, name) == getattr(own, name)
+    for name in ("maxDepth", "minInstancesPerNode", "labelCol", "featuresCol", "seed"):
+        assert forest.getOrDefault(name) == own.getOrDefault(name)
+    assert forest.transform(test.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="there already"):
+        forest.transform(test.withColumn("prediction", F.lit(0.0)))
+
+
+def test_forests_of_spark_are_read_too(spark, prepared):
+    """Their thresholds are not those of the bins, and there may be any number of classes."""
+    train = assemble(prepared.data, prepared.features, "churn").withColumn(
+        "churn", F.col("churn") + F.col("id") % 2)
+    weighted = train.join(weight_table(train, "churn", WEIGHT), "churn")
+    forest = classifier(ForestParams(6, 5), "churn", max_bins=600).fit(weighted)
+    same(load_forest(store_forest(forest, spark)), train)
+
+
+def test_splits_by_category_are_left_to_spark(spark, prepared):
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    df = prepared.data.withColumn("kind", F.concat(F.lit("k"), (F.col("id") % 5).cast("string")))
+    kinds = StringIndexer(inputCol="kind", outputCol="kind_number").fit(df).transform(df)
+    vectors = VectorAssembler(inputCols=["kind_number", "signal"], outputCol=VECTOR).transform(kinds)
+    label = F.when(F.col("kind").isin("k1", "k3"), 1.0).otherwise(0.0)
+    weighted = vectors.withColumn("churn", label).withColumn(WEIGHT, F.lit(1.0))
+    forest = load_forest(store_forest(
+        classifier(ForestParams(4, 3), "churn").fit(weighted), spark))
+    assert isinstance(forest, RandomForestClassificationModel)
+    assert forest.transform(weighted).where("prediction = churn").count() == weighted.count()
+
+
+def test_a_model_is_saved_loaded_and_used_without_its_nodes_in_the_driver(
+        spark, clients, monkeypatch, tmp_path):
+    """Spark's model of all clients at 6 GB does not fit the driver's memory."""
+    monkeypatch.setattr(RandomForestClassificationModel, "load", None)
+    registry, params = ModelRegistry(spark, str(tmp_path / "models")), ForestParams(5, 6)
+
+    def build():
+        ready = prepare_data(clients)
+        return ready, train_random_forest(ready, params)
+
+    ready, model = registry.fit_or_load(registry.key(["signal"], params, "v1"), build, params)
+    save_model(with_scaler(ready, model), str(tmp_path / "with-scaler"))
+    expected = rows(predict(model, ready.data).select("id", "prediction"), "id")
+    assert rows(predict(load_model(str(tmp_path / "with-scaler")), clients).select(
+        "id", "prediction"), "id") == expected
+    forest_of(model).write().overwrite().save(str(tmp_path / "again"))
+    assert load_forest(str(tmp_path / "again")).totalNumNodes == forest_of(model).totalNumNodes
+
+
+def test_groups_are_small_enough_and_enough():
+    million, mb = 1_000_000, 1 << 20
+    assert groups(500, 14_000, 4, 100, mb, None, 8) == (1, 1)
+    by_row, by_tree = groups(5 * million, 140 * mb, 90, 100, 1500 * mb, None, 8)
+    assert by_row >= 5 and by_tree >= 47
+    assert groups(5 * million, 140 * mb, 90, 100, 18 * mb, None, 8) == (10, 2)
+    by_row, by_tree = groups(400_000, 11 * mb, 8, 110, 10 * mb, 4 * million, 8)
+    assert by_row * by_tree >= 11
+    assert groups(10 ** 9, 10 ** 11, 3, 2, 10, 1, 8) == (3, 2)
+
+
+def test_values_at_a_threshold_and_missing_ones_end_where_spark_has_them():
+    feature, cut = np.array([0, -1, -1], np.int32), np.array([1, 0, 0], np.uint32)
+    thresholds = np.array([0.5, 1.5, 2.5])
+    bins = np.searchsorted(thresholds, [1.4, 1.5, 1.6, np.nan, -np.inf]).astype(np.uint8)
+    assert descent.ends(feature, cut, np.array([2, -1, -1], np.int32), bins[None]).tolist() == [
+        1, 1, 2, 2, 1]
