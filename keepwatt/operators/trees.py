@@ -221,11 +221,12 @@ def without_small_splits(nodes: DataFrame, min_rows: int) -> DataFrame:
     not been split: those are leaves now, and what was below them is gone.
 
     This is exact, because a node's split does not depend on what happens below it, and because
-    no node has more rows than the one above it.
+    no node has more rows than the one above it. Nodes are never broadcast: numbers of nodes
+    take little space in files, but much in the driver.
     """
     splits = nodes.where(IS_SPLIT).where(F.col("rawCount") >= min_rows)
     below = splits.select("treeID", F.explode(F.array("leftChild", "rightChild")).alias("id"))
-    kept = nodes.where("id = 0").unionByName(nodes.join(below, ["treeID", "id"]))
+    kept = nodes.where("id = 0").unionByName(nodes.join(below.hint("merge"), ["treeID", "id"]))
     # a window group is a tree, which a model holds in memory anyway
     in_order = Window.partitionBy("treeID").orderBy("id")
     numbered = kept.withColumn("new", F.row_number().over(in_order) - 1)
@@ -233,7 +234,7 @@ def without_small_splits(nodes: DataFrame, min_rows: int) -> DataFrame:
     still = F.expr(IS_SPLIT) & (F.col("rawCount") >= min_rows)
     both = ["treeID", "new AS id", "prediction", "impurity", "impurityStats", "rawCount"]
     leaves = numbered.where(~still).selectExpr(*both, *LEAF_COLUMNS)
-    inner = numbered.where(still).join(right, ["treeID", "rightChild"]).selectExpr(
+    inner = numbered.where(still).join(right.hint("merge"), ["treeID", "rightChild"]).selectExpr(
         *both, "gain", "new + 1 AS leftChild", "right AS rightChild", "split")
     return inner.unionByName(leaves)
 
@@ -296,16 +297,16 @@ def with_depth(nodes: DataFrame, max_depth: int) -> DataFrame:
     above = nodes.where(IS_SPLIT).select(
         *key, F.col("id").alias("above"), F.col("rawCount").alias("rows_above"),
         F.explode(F.array("leftChild", "rightChild")).alias("id"))
-    first = stage(nodes.join(above, [*key, "id"], "left"), "tree-nodes")
+    first = stage(nodes.join(above.hint("merge"), [*key, "id"], "left"), "tree-nodes")
     steps = first.select(*key, "id", "above",
                          F.when(F.col("above").isNull(), 0).otherwise(1).alias("depth"))
     for _ in range(max(max_depth - 1, 0).bit_length()):
         further = steps.select(*key, F.col("id").alias("above"), F.col("above").alias("next"),
                                F.col("depth").alias("more"))
-        steps = stage(steps.join(further, [*key, "above"], "left").select(
+        steps = stage(steps.join(further.hint("merge"), [*key, "above"], "left").select(
             *key, "id", F.col("next").alias("above"),
             (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "tree-depths")
-    return first.join(steps.select(*key, "id", "depth"), [*key, "id"])
+    return first.join(steps.select(*key, "id", "depth").hint("merge"), [*key, "id"])
 
 
 def _margin(stats: str = "impurityStats") -> Column:

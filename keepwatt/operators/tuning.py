@@ -12,16 +12,17 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwatt.operators.forest import (
-    WEIGHT, ForestParams, assemble, evaluate_model, stored_forests, train_random_forest,
+    VECTOR, WEIGHT, ForestParams, assemble, evaluate_model, stored_forests, train_random_forest,
 )
 from keepwatt.operators.hash_split import stratified_folds
 from keepwatt.operators.preparation import PreparedData, weight_table
-from keepwatt.operators.trees import load_forest, nested_margins, store_forest, stored_nodes
+from keepwatt.operators.trees import (
+    load_forest, nested_margins, reached_leaves, store_forest, stored_nodes,
+)
 from keepwatt.session import stage
 
 
@@ -96,12 +97,10 @@ def cross_validate(folded: DataFrame, settings: Sequence[ForestParams], target:
     def send_down(job: tuple[int, int, str]) -> tuple[DataFrame, DataFrame]:
         fold, place, path = job
         name = F.lit(fold * len(leaf_sizes) + place).alias("model")
-        forest = load_forest(path).setLeafCol("leaves")
-        held = forest.transform(folded.where((F.col("fold") == fold) & (F.col(target) == 1)))
-        numbered = held.select(name, F.monotonically_increasing_id().alias("row"), "leaves")
-        reached = numbered.select("model", "row", F.posexplode(
-            vector_to_array("leaves")).alias("tree", "leaf"))
-        reached = stage(reached.withColumn("leaf", F.col("leaf").cast("long")), "leaves")
+        forest = load_forest(path)
+        held = folded.where((F.col("fold") == fold) & (F.col(target) == 1)).select(
+            F.monotonically_increasing_id().alias("row"), VECTOR)
+        reached = stage(reached_leaves(forest, held).select(name, "row", "tree", "leaf"), "leaves")
         return reached, stored_nodes(spark, store_forest(forest, spark)).select(
             name, "treeID", "id", "impurityStats", "rawCount", "leftChild", "rightChild")
 

@@ -13,8 +13,13 @@ from keepwatt.operators.forest import (
     VECTOR, WEIGHT, ForestParams, assemble, classifier, forest_of, predict, train_random_forest,
     with_scaler,
 )
+from keepwatt.operators.hash_split import stratified_folds
 from keepwatt.operators.preparation import prepare_data, weight_table
-from keepwatt.operators.trees import StoredForest, load_forest, store_forest
+from keepwatt.operators.trees import (
+    StoredForest, load_forest, store_forest, stored_nodes, with_depth, without_small_splits,
+)
+from keepwatt.operators.tuning import cross_validate
+from keepwatt.session import stage
 from keepwatt.sources.models import ModelRegistry, load_model, save_model
 
 MADE = ("rawPrediction", "probability", "prediction", "leaves")
@@ -131,3 +136,20 @@ def test_values_at_a_threshold_and_missing_ones_end_where_spark_has_them():
     bins = np.searchsorted(thresholds, [1.4, 1.5, 1.6, np.nan, -np.inf]).astype(np.uint8)
     assert descent.ends(feature, cut, np.array([2, -1, -1], np.int32), bins[None]).tolist() == [
         1, 1, 2, 2, 1]
+
+
+def test_the_search_has_no_nodes_in_the_driver(spark, prepared, monkeypatch):
+    """Four forests at once, each of 110 trees, did not fit the driver's memory at 6 GB."""
+    monkeypatch.setattr(RandomForestClassificationModel, "load", None)
+    folds = stratified_folds(prepared.train, "churn", ["id"], 2, 0)
+    folded = stage(assemble(folds, prepared.features, "churn"), "folds", ("fold",))
+    recalls = cross_validate(folded, [ForestParams(4, 3, 2, 1), ForestParams(5, 4, 9, 1)], "churn", 2)
+    assert all(0.5 < recall <= 1 for recall in recalls)
+
+
+def test_nodes_are_never_broadcast(spark, stored):
+    """Their files are small, the tables that the driver would make of them are not."""
+    nodes = stored_nodes(spark, stored)
+    for made in (with_depth(nodes.withColumn("model", F.lit(0)), 7), without_small_splits(nodes, 9)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
