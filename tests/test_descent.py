@@ -18,7 +18,8 @@ from keepwatt.operators.preparation import prepare_data, weight_table
 from keepwatt.operators.trees import (
     StoredForest, load_forest, store_forest, stored_nodes, with_depth, without_small_splits,
 )
-from keepwatt.operators.tuning import cross_validate
+from keepwatt.operators.tuning import SearchSpace, compare_models, cross_validate
+from keepwatt.plans.churn_model import custom_model, tuned_model
 from keepwatt.session import stage
 from keepwatt.sources.models import ModelRegistry, load_model, save_model
 
@@ -153,3 +154,15 @@ def test_nodes_are_never_broadcast(spark, stored):
     for made in (with_depth(nodes.withColumn("model", F.lit(0)), 7), without_small_splits(nodes, 9)):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_models_are_compared_without_their_nodes_in_the_driver(clients, monkeypatch):
+    """The custom forest is deep, and it was kept while the others were searched."""
+    monkeypatch.setattr(RandomForestClassificationModel, "load", None)
+    custom = custom_model(clients, params=ForestParams(5, 9))
+    tuned, _ = tuned_model(clients, 2, 2, SearchSpace((3, 4), (3, 3), (9, 9), (1, 1)))
+    scores = rows(compare_models({"custom": (custom.model, custom.prepared),
+                                  "tuned": (tuned.model, tuned.prepared)}), "model", "metric")
+    assert [r[:2] for r in scores] == [(m, k) for m in ("custom", "tuned")
+                                       for k in ("Accuracy", "Precision", "Recall")]
+    assert all(0.5 < r[2] <= 1 for r in scores)
